@@ -20,8 +20,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, files, with_ids=False)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near copies of every document."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.simhash import FOUR_BITS, near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), FOUR_BITS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
