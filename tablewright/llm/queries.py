@@ -41,10 +41,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learnt from six folds of seven."""
+    from tablewright.llm.lm_score import train_and_score
+
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
     "op9_simhash": op9_simhash,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
