@@ -31,6 +31,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.join(packed.places, "key").drop("key")
 
 
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from tablewright.llm.digest import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     from pyspark.sql import functions as F
@@ -51,6 +58,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
+    "op6_digest": op6_digest,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
 }
