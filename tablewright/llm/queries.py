@@ -38,6 +38,13 @@ def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    from tablewright.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     from pyspark.sql import functions as F
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
     "op6_digest": op6_digest,
+    "op7_html": op7_html,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
 }
