@@ -45,6 +45,14 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every row whose id is divisible by 100, among all rows."""
+    from tablewright.llm.ann import build, search, usable
+
+    rows = usable(_table(spark, sf_dir, "embeddings"))
+    return search(build(rows, 10), rows.where("vec_id % 100 = 0"), 10)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     from pyspark.sql import functions as F
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_digest": op6_digest,
     "op7_html": op7_html,
+    "op8_ann": op8_ann,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
 }
