@@ -20,6 +20,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, files, with_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from two folds of three."""
+    from tablewright.llm.toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     from pyspark.sql import functions as F
@@ -72,6 +79,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op6_digest": op6_digest,
     "op7_html": op7_html,
