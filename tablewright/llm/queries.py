@@ -38,6 +38,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.join(packed.places, "key").drop("key")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: own evidence with their host's and path's rates."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.quality import assess, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    found = assess(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    names = {"__evidence": "evidence", "__host_rate": "host_rate", "__path_rate": "path_rate", "__quality": "quality_score", "__keep": "keep"}
+    return found.select("doc_id", "source", "lang", *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All uses of documents in a mixture to target weights."""
+    from tablewright.llm.mixing import RECIPE, selected
+
+    return selected(_table(spark, sf_dir, "documents"), RECIPE)
+
+
 def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     from tablewright.llm.digest import fingerprints
@@ -81,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_digest": op6_digest,
     "op7_html": op7_html,
     "op8_ann": op8_ann,
@@ -88,4 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _oracle_sql() -> dict[str, str]:
+    from tablewright.llm.mixing import RECIPE, oracle
+
+    return {"op5_mixing": oracle(RECIPE)}
+
+
+ORACLE_SQL: dict[str, str] = _oracle_sql()

@@ -82,6 +82,13 @@ def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return cold_left.join(right, keys, how).unionByName(hot_left.join(F.broadcast(hot_right), keys, how))
 
 
+def attach(left: DataFrame, right: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """Left join to a written unique-key table of short rows: broadcast up to a checked row count, else spread out."""
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), keys, "left")
+    return join_skewed(left, right, keys)
+
+
 # ---------------------------------------------------------------- texts and words in numpy
 
 

@@ -379,6 +379,23 @@ def score(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_civil(docs: DataFrame, net: Network, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sent = spark.sparkContext.broadcast(net)
+    names = [f.name for f in docs.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(sent.value)
+        for batch in batches:
+            bad = np.concatenate([*[s.scores(b) for b in blocks(batch.column(len(names)))], np.zeros(0)]) >= threshold
+            yield batch.select(list(range(len(names)))).filter(pa.array(~bad))
+
+    text = F.col(f"`{text_col}`").cast("string") if text_col in names else F.lit(None).cast("string")
+    return docs.select("*", text.alias("__scored_text")).mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
     """Train on a bounded sample of the labelled documents: of each class the first ``sample`` by hash."""
     marked = wanted(labels, "doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
