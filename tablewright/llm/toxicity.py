@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, mix, prepare, span_keys, wanted, word_spans
 
-#: Labelled documents of each class that teach at most, and bytes of a document that do.
-SAMPLE, TEACHES = 1500, 20_000
+#: Labelled documents of each class that teach at most, and characters of a document that do: clean ones are cut there, longer
+#: toxic ones don't teach, since what makes them toxic may lie beyond.
+SAMPLE, TEACHES = 1200, 6_000
 #: Words in a window and between windows; hidden units a direction; sizes of the embeddings and of their hash tables.
 WINDOW, STRIDE, HIDDEN, WORD, CHARS, BUCKETS = 32, 16, 8, 8, 16, 1 << 16
 GRAMS = (3, 4, 5)
@@ -61,7 +62,7 @@ def char_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         for k in range(n):
             h = h * np.uint64(257) + marked[k : len(marked) - n + 1 + k]
         good = left[: len(h)] >= n
-        out.append((mix(h[good]) & np.uint64(BUCKETS - 1)).astype(np.int64))
+        out.append((mix(h[good]) & np.uint64(BUCKETS - 1)).astype(np.int32))
         owner.append(word[: len(h)][good])
     if not out:
         return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
@@ -111,8 +112,12 @@ class Network:
         """Word vectors: hashed word beside the mean of its n-grams (every word has one at least)."""
         out = np.empty((len(bucket), WORD + CHARS), np.float32)
         out[:, :WORD] = self.p["word"][bucket]
-        if len(bucket):
-            out[:, WORD:] = np.add.reduceat(self.p["char"][grams], np.cumsum(n_grams) - n_grams, axis=0) / np.sqrt(n_grams)[:, None]
+        ends = np.cumsum(n_grams)
+        for at in range(0, len(bucket), 4096):
+            n = n_grams[at : at + 4096]
+            stop = ends[at : at + 4096]
+            low = int(stop[0] - n[0])
+            out[at : at + 4096, WORD:] = np.add.reduceat(self.p["char"][grams[low : stop[-1]]], stop - n - low, axis=0) / np.sqrt(n)[:, None]
         return out
 
     def project(self, vectors: np.ndarray) -> np.ndarray:
@@ -257,10 +262,8 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
     # The first guess at toxic windows, and at the embeddings' first dimension: how much oftener toxic documents have a bucket.
     docs = np.repeat(np.arange(len(y)), vocab.counts)
     seed = {}
-    for name, owner, flat in (("word", docs, vocab.bucket[vocab.words]), ("char", *_gram_rows(vocab, docs))):
-        pairs = np.unique(owner * BUCKETS + flat)
-        n1 = np.bincount(pairs % BUCKETS, weights=y[pairs // BUCKETS], minlength=BUCKETS) + 0.5
-        n0 = np.bincount(pairs % BUCKETS, weights=1 - y[pairs // BUCKETS], minlength=BUCKETS) + 0.5
+    for name in ("word", "char"):
+        n1, n0 = _documents_with(vocab, docs, y, name)
         odds = np.log(n1 / (y.sum() + 1)) - np.log(n0 / ((1 - y).sum() + 1))
         # Only what chance doesn't explain counts; rare buckets are never learnt, or they would name documents.
         seed[name] = np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / n1 + 1 / n0), 0)
@@ -309,12 +312,22 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
     return net
 
 
-def _gram_rows(vocab: Vocabulary, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(docs * len(vocab.keys) + vocab.words)
-    doc, word = np.divmod(pairs, max(1, len(vocab.keys)))
-    n = vocab.n_grams[word]
-    first = (np.cumsum(vocab.n_grams) - vocab.n_grams)[word]
-    return np.repeat(doc, n), vocab.grams[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+def _documents_with(vocab: Vocabulary, docs: np.ndarray, y: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and clean documents that each bucket occurs in (plus a half), a few documents at a time."""
+    n1, n0 = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
+    first = np.cumsum(vocab.n_grams) - vocab.n_grams
+    ends = np.searchsorted(docs, np.arange(len(y)), "right")
+    at = 0
+    for d in range(len(y)):
+        words = np.unique(vocab.words[at : ends[d]])
+        at = int(ends[d])
+        if name == "word":
+            flat = vocab.bucket[words]
+        else:
+            n = vocab.n_grams[words]
+            flat = vocab.grams[np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        (n1 if y[d] else n0)[np.unique(flat)] += 1
+    return n1, n0
 
 
 # ---------------------------------------------------------------- scoring
@@ -402,9 +415,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Networ
     order = F.xxhash64("doc_id")
     some = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     texts = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text").toArrow().sort_by("doc_id")
-    clip = [(t or "")[:TEACHES] for t in got.column("text").to_pylist()]
-    return train(clip, got.column("toxic").to_numpy())
+    fit = (F.col("toxic") == 0) | (F.length("text") <= TEACHES)
+    chosen = texts.join(F.broadcast(some), "doc_id").where(fit).select("doc_id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, TEACHES).alias("text"))
+    got = chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    return train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, folds: int = 3, held_out: int = 1) -> DataFrame:
