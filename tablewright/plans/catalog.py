@@ -2,5 +2,575 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.functions import dates, numbers, similarity, text
+from tablewright.operators import clean, fuzzy, positional, quality, rules, schema, store
+from tablewright.operators.compare import CompareOptions, Comparison
+from tablewright.plans import pairs
+from tablewright.plans.pairs import view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and the SQL that checks it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql.replace("`", '"')
+        return f
+
+    return add
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
+# ---------------------------------------------------------------- keyed comparison
+
+
+def orders(spark: SparkSession, sf: str, **options) -> Comparison:
+    old, new = view(spark, sf, pairs.ORDERS_OLD, "orders"), view(spark, sf, pairs.ORDERS_NEW, "orders")
+    return Comparison(old, new, ["o_orderkey"], ["o_totalprice", "o_orderpriority"], CompareOptions(**options))
+
+
+def events(spark: SparkSession, sf: str) -> Comparison:
+    old, new = view(spark, sf, pairs.EVENTS_OLD, "events"), view(spark, sf, pairs.EVENTS_NEW, "events")
+    return Comparison(old, new, ["user_id", "event_type"], ["value"], CompareOptions(numeric_tolerance=0.01))
+
+
+_STATE = "CASE WHEN ok IS NULL THEN 'Alta' WHEN nk IS NULL THEN 'Baja' WHEN NOT (same_price AND same_priority) THEN 'Modificación' ELSE 'Sin cambios' END AS estado"
+_NEAR = "(op = np OR abs(op - np) <= 1e-12 + 1e-12 * abs(np))"
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+def _orders_sql(select: str, price: str = _NEAR, form: str = _FLAT) -> str:
+    return f"""WITH o AS ({pairs.ORDERS_OLD}), n AS ({pairs.ORDERS_NEW}),
+j AS (SELECT o.o_orderkey AS ok, n.o_orderkey AS nk, o.o_totalprice AS op, n.o_totalprice AS np, o.o_orderpriority AS os, n.o_orderpriority AS ns FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey),
+f AS (SELECT *, {price} AS same_price, {form.format('os')} = {form.format('ns')} AS same_priority FROM j),
+s AS (SELECT *, {_STATE} FROM f) {select}"""
+
+
+_COUNT = "SELECT estado, count(*) AS n FROM s GROUP BY estado"
+
+for _name, _options, _price, _form in (
+    ("compare_status", {}, _NEAR, _FLAT),
+    ("compare_numeric_tolerance", {"numeric_tolerance": 0.01}, "abs(op - np) <= 0.01", _FLAT),
+    ("compare_ignore_case", {"ignore_case": True}, _NEAR, f"lower({_FLAT})"),
+    ("compare_ignore_accents", {"ignore_accents": True}, _NEAR, f"strip_accents({_FLAT})"),
+    ("compare_ignore_spaces", {"ignore_spaces": False}, _NEAR, "trim({})"),
+    ("compare_excluded_columns", {"excluded": ("o_totalprice",)}, "true", _FLAT),
+):
+    query(_name, _orders_sql(_COUNT, _price, _form))(lambda spark, sf, o=_options: orders(spark, sf, **o).states())
+
+
+@query("compare_added", _orders_sql("SELECT nk AS o_orderkey, np AS o_totalprice, ns AS o_orderpriority FROM s WHERE estado = 'Alta'"))
+def compare_added(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).added(False)
+
+
+@query("compare_removed", _orders_sql("SELECT ok AS o_orderkey, op AS o_totalprice, os AS o_orderpriority FROM s WHERE estado = 'Baja'"))
+def compare_removed(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).removed(False)
+
+
+@query("compare_unchanged", _orders_sql("SELECT nk AS o_orderkey, np AS o_totalprice, ns AS o_orderpriority FROM s WHERE estado = 'Sin cambios'"))
+def compare_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).unchanged(False)
+
+
+_CHANGED = "concat_ws(', ', CASE WHEN NOT same_price THEN 'o_totalprice' END, CASE WHEN NOT same_priority THEN 'o_orderpriority' END)"
+
+
+@query("compare_changed_side_by_side", _orders_sql(f"SELECT nk AS o_orderkey, {_CHANGED} AS `Columnas con cambios`, op AS `o_totalprice (Archivo 1)`, np AS `o_totalprice (Archivo 2)`, os AS `o_orderpriority (Archivo 1)`, ns AS `o_orderpriority (Archivo 2)` FROM s WHERE estado = 'Modificación'"))
+def compare_changed(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(orders(spark, sf).changed(False, first=["o_totalprice", "o_orderpriority"]))
+
+
+@query("compare_consolidated", _orders_sql("SELECT estado AS `Estado`, coalesce(nk, ok) AS o_orderkey, CASE WHEN nk IS NULL THEN op ELSE np END AS o_totalprice, CASE WHEN nk IS NULL THEN os ELSE ns END AS o_orderpriority FROM s"))
+def compare_consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    return _plain(orders(spark, sf).consolidated(False))
+
+
+_KIND = f"""CASE WHEN {_FLAT.format('a')} = {_FLAT.format('b')} THEN 'Espacios en blanco' WHEN lower({_FLAT.format('a')}) = lower({_FLAT.format('b')}) THEN 'Mayúsculas/minúsculas'
+ WHEN strip_accents({_FLAT.format('a')}) = strip_accents({_FLAT.format('b')}) THEN 'Tildes/acentos' WHEN lower(strip_accents({_FLAT.format('a')})) = lower(strip_accents({_FLAT.format('b')})) THEN 'Mayúsculas y tildes' ELSE 'Texto distinto' END"""
+_CELLS = f"""SELECT k, 'o_totalprice' AS c, a, b, 'Numérico distinto' AS t FROM (SELECT nk AS k, CAST(op AS VARCHAR) AS a, CAST(np AS VARCHAR) AS b FROM s WHERE estado = 'Modificación' AND NOT same_price)
+UNION ALL SELECT k, 'o_orderpriority', a, b, {_KIND} FROM (SELECT nk AS k, os AS a, ns AS b FROM s WHERE estado = 'Modificación' AND NOT same_priority)"""
+
+
+@query("compare_details", _orders_sql(f"SELECT CAST(k AS VARCHAR) AS `Clave`, c AS `Columna`, a AS `Valor en Archivo 1`, b AS `Valor en Archivo 2`, t AS `Tipo de diferencia`, CASE WHEN t LIKE '%distinto' THEN round((1 - levenshtein(a, b) / greatest(length(a), length(b))) * 100, 1) ELSE 100.0 END AS `Similitud` FROM ({_CELLS})"))
+def compare_details(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).details(False)
+
+
+@query("compare_diff_type_histogram", _orders_sql(f"SELECT t AS `Tipo de diferencia`, count(*) AS n FROM ({_CELLS}) GROUP BY t"))
+def compare_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).histogram()
+
+
+@query("compare_inclusion", _orders_sql("""SELECT count(ok) AS total_a, count(nk) AS total_b, count(*) FILTER (ok = nk) AS encontrados, count(*) FILTER (estado = 'Sin cambios') AS identicos, count(*) FILTER (estado = 'Baja') AS faltantes,
+ round(100 * count(*) FILTER (ok = nk) / count(ok), 2) AS cobertura_clave, round(100 * count(*) FILTER (estado = 'Sin cambios') / count(ok), 2) AS cobertura_exacta, count(*) FILTER (estado IN ('Baja', 'Modificación')) = 0 AS contenido, count(*) FILTER (estado = 'Baja') = 0 AS contenido_por_clave, 'NO' AS veredicto FROM s"""))
+def compare_inclusion(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).inclusion()
+
+
+@query("compare_summary", _orders_sql("""SELECT unnest(['Registros en Archivo 1', 'Registros en Archivo 2', 'Altas', 'Bajas', 'Modificaciones', 'Sin cambios', 'Cobertura por clave (%)', 'Cobertura exacta (%)', 'Sin par en Archivo 1', 'Sin par en Archivo 2']) AS `Indicador`, unnest([CAST(count(ok) AS DOUBLE), count(nk), count(*) FILTER (estado = 'Alta'), count(*) FILTER (estado = 'Baja'), count(*) FILTER (estado = 'Modificación'), count(*) FILTER (estado = 'Sin cambios'), round(100 * count(*) FILTER (ok = nk) / count(ok), 2), round(100 * count(*) FILTER (estado = 'Sin cambios') / count(ok), 2), 0, 0]) AS `Valor` FROM s"""))
+def compare_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).summary()
+
+
+_EVENTS = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY fila) AS occ FROM ({pairs.EVENTS_OLD})), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY fila) AS occ FROM ({pairs.EVENTS_NEW})),
+s AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.event_type, n.event_type) AS event_type, o.fila AS ok, n.fila AS nk, CASE WHEN o.fila IS NULL THEN 'Alta' WHEN n.fila IS NULL THEN 'Baja' WHEN abs(o.value - n.value) <= 0.01 THEN 'Sin cambios' ELSE 'Modificación' END AS estado FROM o FULL JOIN n ON o.user_id = n.user_id AND o.event_type = n.event_type AND o.occ = n.occ),
+q AS (SELECT user_id, event_type, count(ok) AS n1, count(nk) AS n2 FROM s GROUP BY ALL HAVING count(ok) <> count(nk) AND count(ok) > 0 AND count(nk) > 0)"""
+
+
+@query("compare_status_duplicates", f"{_EVENTS} {_COUNT}")
+def compare_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).states()
+
+
+@query("compare_frequency_imbalance", f"{_EVENTS} SELECT user_id || ' | ' || event_type AS `Clave`, n1 AS `Veces en Archivo 1`, n2 AS `Veces en Archivo 2`, abs(n1 - n2) AS `Sin pareja`, CASE WHEN n1 > n2 THEN 'Archivo 1 (bajas)' ELSE 'Archivo 2 (altas)' END AS `Quedan sin par en` FROM q")
+def compare_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).frequencies()
+
+
+@query("compare_orphans", f"{_EVENTS} SELECT CAST(coalesce(sum(n1 - n2) FILTER (n1 > n2), 0) AS BIGINT) AS huerfanos_a, CAST(coalesce(sum(n2 - n1) FILTER (n2 > n1), 0) AS BIGINT) AS huerfanos_b FROM q")
+def compare_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).orphans()
+
+
+@query("compare_date_tolerance", f"WITH o AS ({pairs.DATED_OLD}), n AS ({pairs.DATED_NEW}) SELECT CASE WHEN strptime(o.fecha, '%Y-%m-%d') = strptime(n.fecha, '%d/%m/%Y') THEN 'Sin cambios' ELSE 'Modificación' END AS estado, count(*) AS n FROM o JOIN n USING (o_orderkey) GROUP BY 1")
+def compare_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return Comparison(view(spark, sf, pairs.DATED_OLD, "orders"), view(spark, sf, pairs.DATED_NEW, "orders"), ["o_orderkey"], ["fecha"]).states()
+
+
+@query("compare_timestamp_floor", "SELECT CASE WHEN date_trunc('second', ts) = date_trunc('second', ts + INTERVAL 300 MILLISECOND) THEN 'Sin cambios' ELSE 'Modificación' END AS estado, count(*) AS n FROM events GROUP BY 1")
+def compare_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    old = view(spark, sf, "SELECT event_id AS fila, event_id, ts FROM events", "events")
+    return Comparison(old, old.withColumn("ts", F.col("ts") + F.expr("INTERVAL '0.3' SECOND")), ["event_id"], ["ts"]).states()
+
+
+@query("compare_null_keys", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fila) AS occ FROM (SELECT o_orderkey AS fila, CASE WHEN o_orderkey % 50 = 7 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS k, o_totalprice AS v FROM orders)),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fila) AS occ FROM (SELECT o_orderkey AS fila, CASE WHEN o_orderkey % 100 = 7 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS k, o_totalprice AS v FROM orders))
+SELECT CASE WHEN o.fila IS NULL THEN 'Alta' WHEN n.fila IS NULL THEN 'Baja' WHEN o.v = n.v THEN 'Sin cambios' ELSE 'Modificación' END AS estado, count(*) AS n FROM o FULL JOIN n ON o.k = n.k AND o.occ = n.occ GROUP BY 1""")
+def compare_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    old = view(spark, sf, "SELECT o_orderkey AS fila, CASE WHEN o_orderkey % 50 <> 7 THEN CAST(o_orderkey AS STRING) END AS k, o_totalprice AS v FROM orders", "orders")
+    new = view(spark, sf, "SELECT o_orderkey AS fila, CASE WHEN o_orderkey % 100 = 7 THEN ' ' ELSE CAST(o_orderkey AS STRING) END AS k, o_totalprice AS v FROM orders", "orders")
+    return Comparison(old, new, ["k"], ["v"]).states()
+
+
+_LINE = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query("compare_composite_key", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE}) AS occ FROM lineitem),
+m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE}) AS occ2 FROM lineitem WHERE l_partkey % 20 <> 1)
+SELECT CASE WHEN m.l_orderkey IS NULL THEN 'Baja' WHEN l.l_quantity = m.l_quantity AND l.l_returnflag = m.l_returnflag THEN 'Sin cambios' ELSE 'Modificación' END AS estado, count(*) AS n FROM l LEFT JOIN m ON l.l_orderkey = m.l_orderkey AND l.l_linenumber = m.l_linenumber AND occ = occ2 GROUP BY 1""")
+def compare_composite(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, f"SELECT *, struct({_LINE}) AS fila FROM lineitem", "lineitem")
+    return Comparison(rows, rows.where("l_partkey % 20 <> 1"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_returnflag"]).states()
+
+
+# ---------------------------------------------------------------- fuzzy and positional
+
+
+def _fuzzy(spark: SparkSession, sf: str, algorithm: str) -> DataFrame:
+    old, new = view(spark, sf, pairs.CUSTOMERS_OLD, "customer"), view(spark, sf, pairs.CUSTOMERS_NEW, "customer")
+    found = fuzzy.suggestions(Comparison(old, new, ["c_custkey"], ["c_name", "c_mktsegment"], CompareOptions(fuzzy_enabled=True, fuzzy_algorithm=algorithm)), top=1 << 30)[0]
+    if found is None:
+        found = spark.createDataFrame([], "`Baja en Archivo 1` string, `Posible alta equivalente en Archivo 2` string, Similitud double, `Tipo de diferencia` string")
+    return found.select(F.col("Baja en Archivo 1").alias("baja"), F.col("Posible alta equivalente en Archivo 2").alias("alta"), F.col("Similitud").alias("similitud"), F.col("Tipo de diferencia").alias("tipo"))
+
+
+def _fuzzy_sql(sim: str) -> str:
+    return f"""WITH a AS (SELECT c_custkey AS k, c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS r FROM customer WHERE c_custkey % 20 = 1), b AS (SELECT c_custkey AS k, c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS r FROM customer WHERE c_custkey % 20 = 0),
+p AS (SELECT a.k AS ka, b.k AS kb, {sim} AS sim FROM a, b WHERE (SELECT count(*) FROM a) * (SELECT count(*) FROM b) <= 40000)
+SELECT CAST(ka AS VARCHAR) AS baja, CAST(kb AS VARCHAR) AS alta, round(sim * 100, 1) AS similitud, 'Texto distinto' AS tipo FROM p WHERE sim >= 0.85 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY sim DESC, kb) = 1"""
+
+
+@query("fuzzy_levenshtein", _fuzzy_sql("1 - levenshtein(a.r, b.r) / greatest(length(a.r), length(b.r))"))
+def fuzzy_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
+    return _fuzzy(spark, sf, similarity.LEVENSHTEIN)
+
+
+@query("fuzzy_jaro_winkler", _fuzzy_sql("jaro_winkler_similarity(a.r, b.r)"))
+def fuzzy_jaro_winkler(spark: SparkSession, sf: str) -> DataFrame:
+    return _fuzzy(spark, sf, similarity.JARO_WINKLER)
+
+
+@query("positional_strict", f"""WITH a AS (SELECT row_number() OVER (ORDER BY fila) AS p, {_FLAT.format('o_orderpriority')} AS s FROM ({pairs.ORDERS_OLD})), b AS (SELECT row_number() OVER (ORDER BY fila) AS p, {_FLAT.format('o_orderpriority')} AS s FROM ({pairs.ORDERS_NEW}))
+SELECT count(*) FILTER (a.s = b.s) AS iguales, count(*) FILTER (a.s <> b.s) AS distintas, count(*) FILTER (b.s IS NULL) AS solo_en_a, count(*) FILTER (a.s IS NULL) AS solo_en_b FROM a FULL JOIN b ON a.p = b.p""")
+def positional_strict(spark: SparkSession, sf: str) -> DataFrame:
+    return positional.strict(view(spark, sf, pairs.ORDERS_OLD, "orders"), view(spark, sf, pairs.ORDERS_NEW, "orders"), ["o_orderpriority"])
+
+
+@query("positional_aligned")
+def positional_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    return positional.aligned_rows(view(spark, sf, pairs.CUSTOMERS_OLD, "customer"), view(spark, sf, pairs.CUSTOMERS_NEW, "customer"), ["c_custkey", "c_name"])
+
+
+# ---------------------------------------------------------------- cleaning and typing
+
+
+@query("clean_data", f"""WITH d AS ({pairs.DIRTY}), t AS (SELECT fila, nullif(trim(estado), '') AS estado, nullif(trim(prioridad), '') AS prioridad, nullif(trim(codigo), '') AS codigo FROM d)
+SELECT * FROM t WHERE estado IS NOT NULL OR prioridad IS NOT NULL OR codigo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY estado, prioridad, codigo ORDER BY fila) = 1""")
+def clean_data(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.clean_data(view(spark, sf, pairs.DIRTY.replace("VARCHAR(20)", "STRING"), "orders"))
+
+
+@query("normalize_text")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return clean.normalize_text_data(docs, {"text": clean.TEXT})
+
+
+@query("strip_accents", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def strip_accents(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.fold(F.col("text")).alias("plain"))
+
+
+@query("collapse_spaces", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM documents")
+def collapse_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.collapse(F.col("text")).alias("plain"))
+
+
+_MAILS = "SELECT c_custkey AS fila, CASE c_custkey % 4 WHEN 0 THEN ' ' || c_name || ' @ Example.COM. ' WHEN 1 THEN 'mailto:User' || CAST(c_custkey AS VARCHAR(20)) || '@Sub.Example.COM' WHEN 2 THEN 'sin arroba' ELSE 'a(b)' || CAST(c_custkey AS VARCHAR(20)) || '@ex!ample.org' END AS correo FROM customer"
+
+
+@query("normalize_email", f"""SELECT fila, CASE WHEN contains(s, '@') THEN regexp_replace(s, '@[^@]*$', '') || '@' || lower(regexp_extract(s, '([^@]*)$', 1)) ELSE s END AS correo FROM (SELECT fila, regexp_replace(replace(trim(correo), ' ', ''), '(?i)^mailto:', '') AS s FROM ({_MAILS}))""")
+def normalize_email(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, _MAILS, "customer").select("fila", text.typed_email(F.col("correo")).alias("correo"))
+
+
+@query("normalize_by_name", rf"""WITH m AS (SELECT fila, replace(trim(correo), ' ', '') AS s FROM ({_MAILS})), p AS (SELECT *, regexp_replace(regexp_extract(s, '^([^@]*)@', 1), '[^A-Za-z0-9._%+\-]', '', 'g') || '@' || lower(trim(regexp_replace(regexp_extract(s, '^[^@]*@(.*)$', 1), '[^A-Za-z0-9.\-]', '', 'g'), '.')) AS c FROM m)
+SELECT fila, CASE WHEN contains(s, '@') AND regexp_full_match(c, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}') THEN c ELSE s END AS correo FROM p""")
+def normalize_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.normalize_text_data(view(spark, sf, _MAILS, "customer"))
+
+
+@query("clean_changed_cells", "SELECT doc_id AS fila, CASE WHEN strip_accents(text) <> text THEN ['text'] ELSE [] END AS cambios FROM documents WHERE text IS NOT NULL")
+def clean_changed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("fila"), "text")
+    return clean.changed_cells(docs, docs.withColumn("text", text.fold(F.col("text"))), ["text"])
+
+
+def _number_sql(column: str, lone: str, many: str) -> str:
+    return rf"""WITH p AS ({pairs.PRICES}), q AS (SELECT fila, trim({column}) AS s, regexp_replace(trim({column}), '[^0-9,.\-+eE]', '', 'g') AS k FROM p),
+t AS (SELECT *, CASE WHEN contains(k, ',') AND contains(k, '.') THEN CASE WHEN instr(reverse(k), ',') < instr(reverse(k), '.') THEN replace(replace(k, '.', ''), ',', '.') ELSE replace(k, ',', '') END WHEN contains(k, ',') THEN {lone} WHEN length(k) - length(replace(k, '.', '')) > 1 OR {many} THEN replace(k, '.', '') ELSE k END AS x FROM q)
+SELECT fila, CASE WHEN s LIKE '%\%' ESCAPE '\' THEN try_cast(x AS DOUBLE) / 100 ELSE try_cast(x AS DOUBLE) END AS valor FROM t"""
+
+
+@query("parse_number_coma", _number_sql("coma", "CASE WHEN length(k) - length(replace(k, ',', '')) = 1 THEN replace(k, ',', '.') ELSE replace(k, ',', '') END", r"(regexp_full_match(k, '[^.]*\.[^.]{3}') AND k NOT LIKE '0%')"))
+def parse_number_comma(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, pairs.PRICES, "orders").select("fila", numbers.parse_number(F.col("coma")).alias("valor"))
+
+
+@query("parse_number_punto", _number_sql("punto", "replace(k, ',', '')", "false"))
+def parse_number_point(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, pairs.PRICES, "orders").select("fila", numbers.parse_number(F.col("punto"), numbers.POINT).alias("valor"))
+
+
+@query("decimal_style", "SELECT " + ", ".join(f"count(*) FILTER (regexp_full_match(trim({c}), '{p[1:-2]}')) AS {c}_{n}" for c in ("coma", "punto") for n, p in numbers.EVIDENCE) + f" FROM ({pairs.PRICES})")
+def decimal_style(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, pairs.PRICES, "orders").agg(*[e.alias(f"{c}_{n}") for c in ("coma", "punto") for (n, _), e in zip(numbers.EVIDENCE, numbers.evidence(F.col(c)), strict=True)])
+
+
+@query("parse_dates", f"""SELECT fila, CASE WHEN fecha = '45123' THEN TIMESTAMP '2023-07-16' ELSE coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%Y-%m-%dT%H:%M:%S'), try_strptime(fecha, '%Y%m%d'), try_strptime(fecha, '%d/%m/%Y'), try_strptime(fecha, '%d-%m-%Y %H:%M'), try_strptime(fecha, '%d.%m.%Y')) END AS momento FROM ({pairs.DATES})""")
+def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, pairs.DATES, "orders").select("fila", dates.parse_date(F.col("fecha")).alias("momento"))
+
+
+@query("parse_excel_serial", "SELECT o_orderkey AS fila, TIMESTAMP '1899-12-30' + to_days(CAST(40000 + o_orderkey % 9000 AS INTEGER)) + to_hours(12 * (o_orderkey % 2)) AS momento FROM orders")
+def parse_serial(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "SELECT o_orderkey AS fila, concat(CAST(40000 + o_orderkey % 9000 AS STRING), CASE WHEN o_orderkey % 2 = 1 THEN '.5' ELSE '' END) AS s FROM orders", "orders")
+    return rows.select("fila", dates.parse_date(F.col("s")).alias("momento"))
+
+
+@query("infer_schema")
+def infer_schema(spark: SparkSession, sf: str) -> DataFrame:
+    found = schema.infer_schema(view(spark, sf, pairs.TYPED, "customer"))
+    return spark.createDataFrame([tuple(r.values()) for r in found], "columna string, detectado string, tipo string, ejemplos string, vacios long")
+
+
+_UNFIT = {"correo": ("Email", "fila % 9 = 4"), "pais_num": ("Entero", "fila % 11 = 5"), "activo": ("Booleano (Sí/No)", "fila % 7 = 3")}
+
+
+@query("apply_schema_report", " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS tipo, count(*) AS n, array_to_string((list({c} ORDER BY fila))[1:5], ' | ') AS ejemplos, list(fila ORDER BY fila) AS filas FROM ({pairs.TYPED}) WHERE {w} HAVING count(*) > 0" for c, (t, w) in _UNFIT.items()))
+def apply_schema_report(spark: SparkSession, sf: str) -> DataFrame:
+    _, report = schema.apply_schema(view(spark, sf, pairs.TYPED, "customer"), pairs.SCHEMA)
+    return report.select(F.col("Columna").alias("columna"), F.col("Tipo asignado").alias("tipo"), F.col("Valores no válidos").alias("n"), F.col("Ejemplos").alias("ejemplos"), F.col("Filas").alias("filas"))
+
+
+@query("apply_schema", f"SELECT fila, id, nombre, CASE WHEN fila % 9 = 4 THEN 'sincorreo' ELSE 'user' || id || '@example.com' END AS correo, try_cast(pais_num AS BIGINT) AS pais_num, try_cast(replace(saldo, ',', '.') AS DOUBLE) AS saldo, CASE activo WHEN 'Sí' THEN true WHEN 'no' THEN false END AS activo FROM ({pairs.TYPED})")
+def apply_schema(spark: SparkSession, sf: str) -> DataFrame:
+    return schema.apply_schema(view(spark, sf, pairs.TYPED, "customer"), pairs.SCHEMA)[0]
+
+
+@query("cast_boolean", "SELECT doc_id, CASE quality WHEN 1 THEN true WHEN 0 THEN false END AS valor FROM labels")
+def cast_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", schema.cast_boolean(F.col("quality").cast("string")).alias("valor"))
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query("null_counts", f"SELECT unnest(['fila', 'estado', 'prioridad', 'codigo']) AS columna, unnest([count(*) - count(fila), count(*) - count(estado), count(*) - count(prioridad), count(*) - count(codigo)]) AS nulos FROM ({pairs.DIRTY})")
+def null_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.null_counts(view(spark, sf, pairs.DIRTY.replace("VARCHAR(20)", "STRING"), "orders"))
+
+
+@query("completeness_score", f"SELECT round(100 * (1 - (4 * count(*) - count(fila) - count(estado) - count(prioridad) - count(codigo)) / (4 * count(*))), 2) AS score FROM ({pairs.DIRTY})")
+def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.completeness(view(spark, sf, pairs.DIRTY.replace("VARCHAR(20)", "STRING"), "orders"))
+
+
+@query("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS tipo, count(*) - count({c}) AS nulos, count(DISTINCT {c}) AS unicos FROM lineitem" for c, t in [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]))
+def column_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.profile(spark.read.parquet(f"{sf}/lineitem.parquet"))
+
+
+@query("key_duplicates", "SELECT event_id, user_id, event_type FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type) > 1")
+def key_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.repeated_keys(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type"), ["user_id", "event_type"])
+
+
+# ---------------------------------------------------------------- rules
+
+
+def _references(spark: SparkSession) -> dict[str, DataFrame]:
+    return {"aplicaciones": spark.createDataFrame(pairs.APPLICATIONS, store.TABLES["aplicaciones"]), "usuarios": spark.createDataFrame(pairs.PEOPLE, store.TABLES["usuarios"])}
+
+
+_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_HTTP = r"regexp_matches({}, '^https?://[-\w.%]')"
+
+
+def _has(c: str) -> str:
+    return f"coalesce(trim(`{c}`) <> '', false)"
+
+
+def _rules_sql(source: str, found: list[tuple[str, str, str, str]], whole: list[tuple[str, str, str, str]] = (), extra: str = "*") -> str:
+    rows = [f"SELECT fila, '{s}' AS severidad, '{r}' AS regla, '{c}' AS columna FROM v WHERE {w}" for r, s, c, w in found]
+    rows += [f"SELECT NULL AS fila, '{s}' AS severidad, '{r}' AS regla, '{c}' AS columna FROM v HAVING {w}" for r, s, c, w in whole]
+    return f"WITH v AS (SELECT {extra} FROM ({source})) " + " UNION ALL ".join(rows)
+
+
+def _issues(issues: DataFrame) -> DataFrame:
+    return issues.select("fila", "severidad", "regla", "columna")
+
+
+_E, _W = "error", "advertencia"
+_LIC = _rules_sql(pairs.LICENCES, [
+    ("LIC1", _W, "Producto asociado", "`Producto asociado` <> 'App Uno'"),
+    ("LIC2", _W, "Responsable / Correo", f"NOT regexp_full_match(trim(`Responsable / Correo`), '{_MAIL}')"),
+    ("LIC3", _W, "Responsable / Correo", f"regexp_full_match(trim(`Responsable / Correo`), '{_MAIL}') AND lower(trim(`Responsable / Correo`)) <> 'ana@empresa.com'"),
+    ("LIC4", _E, "Pais", "`Pais` NOT IN ('Colombia', 'Perú', 'Chile', 'tranversal')"),
+    ("LIC5", _E, "Cantidad Total", "`Cantidad Total` < 0"),
+    ("LIC6", _E, "Cantidad Asignadas", "`Cantidad Asignadas` < 0"),
+    ("LIC7", _E, "Cantidad Asignadas", "`Cantidad Asignadas` > `Cantidad Total`"),
+    ("LIC8", _W, "Cantidad Disponible", "abs(`Cantidad Disponible` - (`Cantidad Total` - `Cantidad Asignadas`)) > 0.01"),
+    ("LIC9", _E, "Fecha Compra", "try_strptime(`Fecha Compra`, '%Y-%m-%d') > TIMESTAMP '2030-06-30'"),
+    ("LIC9", _W, "Fecha Compra", "`Fecha Compra` IS NOT NULL AND try_strptime(`Fecha Compra`, '%Y-%m-%d') IS NULL"),
+    ("LIC10", _W, "Enlace Contrato", f"NOT {_HTTP.format('`Enlace Contrato`')}"),
+])
+
+
+@query("validate_licencias", _LIC)
+def validate_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_licences(view(spark, sf, pairs.LICENCES, "orders"), _references(spark)))
+
+
+@query("validate_dominios", _rules_sql(pairs.DOMAINS, [
+    ("DOM1", _E, "Dominio", r"NOT regexp_full_match(`Dominio`, '([a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}')"),
+    ("DOM2", _W, "Activo Asociado", "`Activo Asociado` <> 'App Uno'"),
+    ("DOM3", _W, "Responsable TI", "`Responsable TI` <> 'ana@empresa.com'"),
+    ("DOM4", _E, "Pais", "`Pais` NOT IN ('Colombia', 'Perú', 'Chile')"),
+    ("DOM5", _E, "Fecha Inicio / Vencimiento", "try_strptime(`Fecha Inicio / Vencimiento`, '%d/%m/%Y') > try_strptime(`Fecha Vencimiento`, '%d/%m/%Y')"),
+    ("DOM5", _W, "Fecha Inicio / Vencimiento", "`Fecha Vencimiento` IS NOT NULL AND try_strptime(`Fecha Inicio / Vencimiento`, '%d/%m/%Y') IS NULL"),
+]))
+def validate_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_domains(view(spark, sf, pairs.DOMAINS, "orders"), _references(spark)))
+
+
+@query("validate_certificados", _rules_sql(pairs.CERTIFICATES, [
+    ("CER1", _W, "Activo asociado", "`Activo asociado` <> 'App Uno'"),
+    ("CER2", _E, "Tipo de Certificado", "`Tipo de Certificado` NOT IN ('OV', 'EV', 'Firma Digital', 'Interno')"),
+    ("CER3", _E, "Estado", "`Estado` NOT IN ('Activo', 'Por Renovar', 'Por vencer', 'Vencido', 'Inactivo')"),
+    ("CER4", _W, "Dias Restantes", "abs(`Dias Restantes` - date_diff('day', DATE '2024-01-01', CAST(try_strptime(`Fecha Vencimiento`, '%Y-%m-%d') AS DATE))) > 1"),
+    ("CER4", _W, "Fecha Vencimiento", "`Fecha Vencimiento` IS NOT NULL AND try_strptime(`Fecha Vencimiento`, '%Y-%m-%d') IS NULL"),
+    ("CER5", _W, "Enlace Certificado", f"NOT {_HTTP.format('`Enlace Certificado`')}"),
+]))
+def validate_certificates(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_certificates(view(spark, sf, pairs.CERTIFICATES, "orders"), _references(spark), today="2024-01-01"))
+
+
+_ST = "upper(coalesce(trim(`Estado`), ''))"
+_ACCOUNT_NULLS = [("Nombre cuenta", _E, 0), ("Usuario", _E, 0), ("Estado", _E, 0), ("Ticket de Creacion de Usuario", _E, 0), ("Ticket de Retiro de usuario", _E, 0), ("Novedad", _W, 0), ("Criticidad SI", _W, 0.02), ("Datos Personales", _W, 0.05), ("Pais", _W, 0.1), ("Password Inicial", _W, 1), ("Descripcion", _W, 0.2), ("usuario 2026", _W, 0.15), ("Disponibilidad", _W, 0.1), ("Integridad", _W, 0.1)]
+
+
+@query("validate_cuentas", _rules_sql(pairs.ACCOUNTS, [
+    ("CUE2", _E, "Usuario", "veces > 1"),
+    ("CUE3", _E, "Nombre cuenta", f"NOT {_has('Nombre cuenta')}"),
+    ("CUE3", _E, "Nombre cuenta", f"{_has('Nombre cuenta')} AND length(trim(`Nombre cuenta`)) NOT BETWEEN 3 AND 100"),
+    ("CUE3", _E, "Nombre cuenta", f"{_has('Nombre cuenta')} AND NOT (regexp_matches(trim(`Nombre cuenta`), '^[\\wÀ-ÿ]') AND regexp_matches(trim(`Nombre cuenta`), '[\\wÀ-ÿ]$'))"),
+    ("CUE4", _E, "Usuario", f"NOT {_has('Usuario')}"),
+    ("CUE4", _E, "Usuario", f"{_has('Usuario')} AND NOT regexp_full_match(trim(`Usuario`), '[a-zA-Z0-9_.-]+')"),
+    ("CUE5", _E, "Estado", f"NOT {_has('Estado')}"),
+    ("CUE5", _E, "Estado", f"{_has('Estado')} AND {_ST} NOT IN ('ACTIVO', 'INACTIVO', 'SUSPENDIDO', 'RETIRADO')"),
+    ("CUE6", _E, "Ticket de Creacion de Usuario", f"{_ST} <> 'RETIRADO' AND NOT {_has('Ticket de Creacion de Usuario')}"),
+    ("CUE6", _E, "Ticket de Creacion de Usuario", f"{_has('Ticket de Creacion de Usuario')} AND NOT regexp_full_match(trim(`Ticket de Creacion de Usuario`), '(?i)TK-[0-9]{{6,}}')"),
+    ("CUE6", _E, "Ticket de Retiro de usuario", f"{_ST} = 'RETIRADO' AND NOT {_has('Ticket de Retiro de usuario')}"),
+    ("CUE6", _E, "Ticket de Retiro de usuario", f"{_has('Ticket de Retiro de usuario')} AND NOT regexp_full_match(trim(`Ticket de Retiro de usuario`), '(?i)TK-[0-9]{{6,}}')"),
+    ("CUE7", _W, "Novedad", "upper(trim(`Novedad`)) NOT IN ('CREACION', 'MODIFICACION', 'RETIRO', 'SIN NOVEDAD')"),
+    ("CUE7", _W, "Criticidad SI", "upper(trim(`Criticidad SI`)) NOT IN ('ALTA', 'MEDIA', 'BAJA', 'CRITICA')"),
+    ("CUE8", _W, "Datos Personales", "upper(trim(`Datos Personales`)) NOT IN ('SÍ') AND NOT regexp_full_match(trim(`Datos Personales`), '[A-Za-z0-9_./-]+')"),
+    ("CUE9", _W, "Pais", "upper(trim(`Pais`)) NOT IN ('PERÚ')"),
+    ("CUE10", _W, "Password Inicial", "length(trim(`Password Inicial`)) < 8"),
+    ("CUE11", _W, "Descripcion", "length(trim(`Descripcion`)) > 500"),
+    ("CUE12", _W, "Disponibilidad", "upper(trim(`Disponibilidad`)) NOT IN ('ALTO', 'MEDIO', 'BAJO', '1', '2', '3')"),
+], [("CUE13", s, c, f"avg(CASE WHEN {_has(c)} THEN 0 ELSE 1 END) > {t}") for c, s, t in _ACCOUNT_NULLS], "*, count(*) OVER (PARTITION BY trim(`Usuario`)) AS veces"))
+def validate_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_accounts(view(spark, sf, pairs.ACCOUNTS, "orders")))
+
+
+_USER_HIGH = ["Nombre", "Estado", "Correo", "Documento", "Tipo Documento", "Empresa"]
+_USER_MEDIUM, _USER_LOW = ["Ticket Ingreso", "Ticket Retiro", "Telefono", "Gerencia", "Cargo"], ["ZIP", "Telefono Alternativo"]
+
+
+def _blank(columns: list[str]) -> str:
+    return "avg((" + " + ".join(f"CASE WHEN {_has(c)} THEN 0.0 ELSE 1.0 END" for c in columns) + f") / {len(columns)})"
+
+
+@query("validate_usuario", _rules_sql(pairs.USERS, [
+    *[("USU2", _E, c, f"NOT {_has(c)}") for c in _USER_HIGH],
+    ("USU3", _E, "Estado", f"{_has('Estado')} AND {_ST} NOT IN ('ACTIVO', 'INACTIVO', 'SUSPENDIDO', 'RETIRADO')"),
+    ("USU3", _E, "Correo", f"NOT regexp_full_match(trim(`Correo`), '{_MAIL}')"),
+    ("USU3", _E, "Documento", "NOT regexp_full_match(trim(`Documento`), '[A-Za-z0-9]+')"),
+    ("USU3", _E, "Tipo Documento", "upper(trim(`Tipo Documento`)) NOT IN ('CC', 'CE', 'PASAPORTE', 'NIT', 'PEP')"),
+    ("USU4", _W, "Ticket Ingreso", f"{_ST} IN ('ACTIVO', 'INACTIVO', 'SUSPENDIDO') AND NOT {_has('Ticket Ingreso')}"),
+    ("USU4", _W, "Ticket Ingreso", f"{_has('Ticket Ingreso')} AND NOT regexp_full_match(trim(`Ticket Ingreso`), '(?i)TK-[0-9]{{6,}}')"),
+    ("USU5", _W, "Ticket Retiro", f"{_ST} = 'RETIRADO' AND NOT {_has('Ticket Retiro')}"),
+    ("USU5", _W, "Ticket Retiro", f"{_has('Ticket Retiro')} AND NOT regexp_full_match(trim(`Ticket Retiro`), '(?i)TK-[0-9]{{6,}}')"),
+    ("USU6", _W, "Telefono", r"NOT regexp_full_match(trim(`Telefono`), '\+?[0-9]+')"),
+    ("USU7", _W, "Gerencia", f"{_ST} = 'ACTIVO' AND NOT {_has('Gerencia')}"),
+    ("USU10", _W, "ZIP", "NOT regexp_full_match(trim(`ZIP`), '[A-Za-z0-9._/-]+')"),
+    ("USU10", _W, "Telefono Alternativo", r"NOT regexp_full_match(trim(`Telefono Alternativo`), '\+?[0-9]+')"),
+], [("USU8", _W, "Nivel medio", f"{_blank(_USER_MEDIUM)} > 0.05"), ("USU9", _W, "Nivel bajo", f"{_blank(_USER_LOW)} > 0.20")]))
+def validate_users(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_users(view(spark, sf, pairs.USERS, "customer")))
+
+
+_SERVER_MEDIUM = ["CPU", "MAC", "Antivirus", "Vencimiento Soporte", "Integridad", "Proveedor", "Tipo Servidor"]
+_PREFIX = "CASE WHEN upper(`Tipo Servidor`) LIKE '%FIS%' THEN 'SF_' WHEN upper(`Tipo Servidor`) LIKE '%VIR%' THEN 'SV_' END"
+_OFF = f"coalesce(NOT starts_with(upper(trim(`Nombre CMDB`)), {_PREFIX}), false)"
+
+
+@query("validate_infraestructura", _rules_sql(pairs.SERVERS, [
+    ("INF2", _E, "Modelo", f"NOT {_has('Modelo')}"),
+    ("INF3", _E, "Hostname", "NOT regexp_full_match(trim(`Hostname`), '[A-Za-z0-9._-]+')"),
+    ("INF4", _E, "Ambiente", "upper(trim(`Ambiente`)) NOT IN ('PRODUCCION', 'DESARROLLO', 'PRUEBAS', 'STAGING')"),
+    ("INF4", _E, "Estado", "upper(trim(`Estado`)) NOT IN ('ACTIVO', 'INACTIVO', 'MANTENIMIENTO', 'RETIRADO')"),
+    ("INF5", _E, "IP", r"NOT regexp_full_match(`IP`, '((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)')"),
+    ("INF6", _W, "CPU", "NOT coalesce(try_cast(`CPU` AS DOUBLE) > 0, false)"),
+    ("INF7", _W, "MAC", "NOT regexp_full_match(trim(`MAC`), '[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}')"),
+    ("INF8", _W, "Antivirus", f"NOT {_has('Antivirus')}"),
+    ("INF9", _W, "Tiene Soporte", "upper(trim(`Tiene Soporte`)) IN ('SI', 'SÍ') AND try_strptime(`Vencimiento Soporte`, '%Y-%m-%d') IS NULL"),
+    ("INF10", _W, "SO Parchable", "true"),
+    ("INF11", _W, "Integridad", "upper(trim(`Integridad`)) NOT IN ('ALTA', 'MEDIA', 'BAJA', 'CRITICA', 'SI', 'NO')"),
+    ("INF12", _W, "Proveedor", f"NOT {_has('Proveedor')}"),
+    ("INF12", _W, "Tipo Servidor", f"NOT {_has('Tipo Servidor')}"),
+    ("INF13", _W, "Nombre CMDB", f"{_has('Nombre CMDB')} AND {_OFF}"),
+    ("INF13", _W, "Nombre CMDB", f"{_has('Nombre CMDB')} AND NOT {_OFF} AND NOT regexp_full_match(trim(`Nombre CMDB`), '(?i)(SV|SF)_[A-Za-z0-9._-]+')"),
+    ("INF14", _W, "Rack", "NOT regexp_full_match(trim(`Rack`), '[A-Za-z0-9ÁÉÍÓÚáéíóúÑñ ._:/-]+')"),
+], [("INF15", _W, "Nivel medio", f"{_blank(_SERVER_MEDIUM)} > 0.05"), ("INF15", _W, "Nivel bajo", f"{_blank(['Nombre CMDB', 'Rack'])} > 0.20")]))
+def validate_servers(spark: SparkSession, sf: str) -> DataFrame:
+    return _issues(rules.validate_servers(view(spark, sf, pairs.SERVERS, "customer")))
+
+
+def _share(*conditions: str) -> str:
+    return "100 * avg((" + " + ".join(f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END" for c in conditions) + f") / {len(conditions)})"
+
+
+_ACCOUNT_SCORE = "round(" + " + ".join(f"{w} * {_share(*[_has(c) for c, _, _ in part])}" for w, part in ((0.40, _ACCOUNT_NULLS[:3]), (0.35, _ACCOUNT_NULLS[3:8]), (0.25, _ACCOUNT_NULLS[8:]))) + ", 2)"
+
+
+@query("score_cuentas", f"SELECT {_ACCOUNT_SCORE} AS score FROM ({pairs.ACCOUNTS})")
+def score_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.accounts_score(view(spark, sf, pairs.ACCOUNTS, "orders"))
+
+
+_TK = "regexp_full_match(trim(`{}`), '(?i)TK-[0-9]{{6,}}')"
+
+
+@query("score_usuario", "SELECT round(0.40 * " + _share(_has("Nombre"), f"{_ST} IN ('ACTIVO', 'INACTIVO', 'SUSPENDIDO', 'RETIRADO')", f"regexp_full_match(trim(`Correo`), '{_MAIL}')", "regexp_full_match(trim(`Documento`), '[A-Za-z0-9]+')", "upper(trim(`Tipo Documento`)) IN ('CC', 'CE', 'PASAPORTE', 'NIT', 'PEP')", _has("Empresa"))
+       + " + 0.35 * " + _share(f"CASE WHEN {_has('Ticket Ingreso')} THEN {_TK.format('Ticket Ingreso')} ELSE {_ST} NOT IN ('ACTIVO', 'INACTIVO', 'SUSPENDIDO') END", f"CASE WHEN {_has('Ticket Retiro')} THEN {_TK.format('Ticket Retiro')} ELSE {_ST} <> 'RETIRADO' END", r"regexp_full_match(trim(`Telefono`), '\+?[0-9]+')", f"{_has('Gerencia')} OR {_ST} <> 'ACTIVO'", _has("Cargo"))
+       + " + 0.25 * " + _share(f"NOT {_has('ZIP')} OR regexp_full_match(trim(`ZIP`), '[A-Za-z0-9._/-]+')", rf"NOT {_has('Telefono Alternativo')} OR regexp_full_match(trim(`Telefono Alternativo`), '\+?[0-9]+')") + f", 2) AS score FROM ({pairs.USERS})")
+def score_users(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.users_score(view(spark, sf, pairs.USERS, "customer"))
+
+
+@query("score_infraestructura", "SELECT round(0.50 * " + _share(*[_has(c) for c in ("Hostname", "Marca", "Modelo", "SO", "Firmware", "IP", "Serial", "Ambiente", "Data Center", "Servicios", "Estado", "Descripcion")]) + " + 0.35 * " + _share(*[_has(c) for c in _SERVER_MEDIUM]) + " + 0.15 * " + _share(_has("Nombre CMDB"), _has("Rack")) + f", 2) AS score FROM ({pairs.SERVERS})")
+def score_servers(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.servers_score(view(spark, sf, pairs.SERVERS, "customer"))
+
+
+@query("quality_verdict", f"SELECT score, CASE WHEN score >= 90 THEN 'Conforme' WHEN score >= 75 THEN 'Advertencia' ELSE 'Rechazado' END AS veredicto, CASE WHEN score >= 90 THEN 'verde' WHEN score >= 70 THEN 'amarillo' ELSE 'rojo' END AS semaforo FROM (SELECT {_ACCOUNT_SCORE} AS score FROM ({pairs.ACCOUNTS}))")
+def quality_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, pairs.ACCOUNTS, "orders")
+    both = rules.accounts_score(rows).crossJoin(quality.completeness(rows).withColumnRenamed("score", "complete"))  # one row each
+    s = both.select(quality.effective_score(F.col("score"), F.col("complete")).alias("score"))
+    return s.select("score", quality.verdict(F.col("score")).alias("veredicto"), quality.light(F.col("score")).alias("semaforo"))
+
+
+@query("problem_rows", "SELECT fila, CASE WHEN bool_or(severidad = 'error') THEN 'error' ELSE 'advertencia' END AS severidad, count(*) AS problemas FROM (" + _LIC.replace("WITH v AS", "WITH v AS", 1) + ") GROUP BY fila")
+def problem_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, pairs.LICENCES, "orders")
+    found = rules.problem_rows(rows, rules.validate_licences(rows, _references(spark)))
+    return found.select("fila", "severidad", F.size(F.split("Problemas", "; ")).cast("long").alias("problemas"))
+
+
+@query("reference_lookup_anti", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def reference_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    part, lines = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    return part.join(lines, part["p_partkey"] == lines["l_partkey"], "left_anti").select("p_partkey", "p_name")
+
+
+@query("history_top_n", "SELECT o_orderkey AS id, o_orderdate AS fecha_validacion FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def history_top(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("fecha_validacion"))
+    return rows.orderBy(F.desc("fecha_validacion"), F.desc("id")).limit(5)
+
+
+@query("upsert_reference", "SELECT n_name AS nombre, CASE WHEN n_nationkey % 2 = 0 THEN 'nuevo' ELSE 'viejo' END AS version FROM nation")
+def upsert_reference(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("nombre"), "n_nationkey")
+    new = rows.where("n_nationkey % 2 = 0").select("nombre", F.lit("nuevo").alias("version"), F.col("n_nationkey").cast("long").alias("__at"))
+    return store.latest_wins(rows.select("nombre", F.lit("viejo").alias("version")), new, "nombre")
+
+
+# ---------------------------------------------------------------- similarity
+
+
+@query("string_similarity", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS BIGINT) AS distancia, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS razon FROM part")
+def string_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distancia"), F.round(similarity.levenshtein_ratio(F.col("p_name"), F.col("p_type")), 6).alias("razon"))
+
+
+@query("jaro_similarity", "SELECT p_partkey, round(jaro_similarity(p_name, lower(p_type)), 6) AS jaro FROM part")
+def jaro_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select("p_partkey", F.round(similarity.jaro(F.col("p_name"), F.lower("p_type")), 6).alias("jaro"))
+
+
+@query("char_diff")
+def char_diff(spark: SparkSession, sf: str) -> DataFrame:
+    found = orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).details(False)
+    return found.select("Clave", "Columna", similarity.char_diff(F.col("Valor en Archivo 1"), F.col("Valor en Archivo 2")).alias("d")).select("Clave", "Columna", "d.*")
