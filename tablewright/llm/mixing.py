@@ -14,12 +14,13 @@ taken together or not at all; a node without a weight gets nothing; an empty tab
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import attach, prepare, stored
+from tablewright.llm.shared import attach, column, owned, prepare, stored
 
 LEAF = ["domain", "lang", "source"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,11 +57,12 @@ RECIPE = Recipe(
 )
 
 
-def leaves(docs: DataFrame, recipe: Recipe) -> tuple[DataFrame, dict[str, Column]]:
-    """Expressions for a document's leaf, in terms of its own columns, and the frame that they hold on."""
-    own = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("lang", "source", "text", "doc_id")}
-    frame = docs.withColumns({"__source": own["source"], "__lang": own["lang"]})
-    return frame, {"lang": F.col("__lang"), "source": F.col("__source"), "domain": F.expr(recipe.domain_sql.replace("source", "__source").replace("lang", "__lang")), "id": own["doc_id"], "tokens": F.regexp_count(own["text"], F.lit(WORD)).cast("long")}
+def leaves(docs: DataFrame, recipe: Recipe) -> DataFrame:
+    """The documents under neutral names, with their leaf (__domain, __lang, __source), id as text and tokens."""
+    rows, first = owned(docs)
+    own = {c: F.coalesce(column(first, c), F.lit("")) for c in ("lang", "source", "text", "doc_id")}
+    rows = rows.withColumns({"__lang": own["lang"], "__source": own["source"], "__id": own["doc_id"], "__n": F.regexp_count(own["text"], F.lit(WORD)).cast("long")})
+    return rows.withColumn("__domain", F.expr(re.sub(r"\b(source|lang)\b", r"__\1", recipe.domain_sql)))
 
 
 def budgets(sums: DataFrame, recipe: Recipe) -> DataFrame:
@@ -88,8 +90,7 @@ def budgets(sums: DataFrame, recipe: Recipe) -> DataFrame:
 def decisions(docs: DataFrame, recipe: Recipe = RECIPE) -> tuple[DataFrame, DataFrame]:
     """The documents' leaves, ids and tokens, and for each leaf its whole epochs and where its prefix ends (both written)."""
     prepare(docs.sparkSession)
-    frame, own = leaves(docs, recipe)
-    rows = stored(frame.select(*[own[c].alias(c) for c in LEAF], own["id"].alias("id"), own["tokens"].alias("n")), "mix-rows")
+    rows = stored(leaves(docs, recipe).select(*[F.col(f"__{c}").alias(c) for c in LEAF], F.col("__id").alias("id"), F.col("__n").alias("n")), "mix-rows")
     plan = stored(budgets(rows.groupBy(*LEAF).agg(F.sum("n").alias("tokens")).where("tokens > 0"), recipe), "mix-budgets")
     plan = plan.select(*LEAF, F.expr("budget DIV tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"))
     dealt = attach(rows, plan, LEAF).where("epochs IS NOT NULL").withColumn("h", _order(recipe, F.col("id"), F.col("epochs"))).withColumn("bucket", F.substring("h", 1, 3))
@@ -126,15 +127,10 @@ def selected(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
 def mixed(docs: DataFrame, recipe: Recipe = RECIPE) -> DataFrame:
     """The documents themselves, each as often as it is used."""
     _, plan = decisions(docs, recipe)
-    frame, own = leaves(docs, recipe)
-    keys = [f"__{c}_key" for c in LEAF]
-    frame = frame.withColumns({k: own[c] for k, c in zip(keys, LEAF, strict=True)} | {"__id": own["id"], "__n": own["tokens"]})
-    table = plan.toDF(*keys, *["epochs", "cut_h", "cut_n"])
-    names = docs.columns
-    frame = frame.toDF(*[f"__own_{i}" if i < len(names) else c for i, c in enumerate(frame.columns)])
-    rows = attach(frame, table, keys).where("epochs IS NOT NULL").withColumn("__uses", _uses(recipe, F.col("__id"), F.col("__n"))).where("__uses > 0")
-    rows = rows.withColumn("__use", F.explode(F.expr("sequence(1L, __uses)")))
-    return rows.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)])
+    keys = [f"__{c}" for c in LEAF]
+    rows = attach(leaves(docs, recipe), plan.toDF(*keys, "epochs", "cut_h", "cut_n"), keys).where("epochs IS NOT NULL")
+    rows = rows.withColumn("__uses", _uses(recipe, F.col("__id"), F.col("__n"))).where("__uses > 0").withColumn("__use", F.explode(F.expr("sequence(1L, __uses)")))
+    return rows.select(*[f"__own_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def oracle(recipe: Recipe = RECIPE) -> str:

@@ -62,6 +62,20 @@ def wanted(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] if n in have else F.lit(None).alias(n) for n in names])
 
 
+def owned(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with neutral column names, by place, and the neutral name of each old one: nothing added can clash."""
+    neutral = [f"__own_{i}" for i in range(len(df.columns))]
+    first: dict[str, str] = {}
+    for name, new in zip(df.columns, neutral, strict=True):
+        first.setdefault(name, new)
+    return df.toDF(*neutral), first
+
+
+def column(first: dict[str, str], name: str, kind: str = "string"):
+    """A column of an ``owned`` frame by its old name, null if there is none."""
+    return (F.col(first[name]) if name in first else F.lit(None)).cast(kind)
+
+
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = 1000) -> DataFrame:
     """Join many rows to a unique-key side without sending a hot key to one task.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, TextBlock, blocks, join_skewed, mix, prepare, span_keys, stored, wanted, word_spans
+from tablewright.llm.shared import LOWER, TextBlock, blocks, column, join_skewed, mix, owned, prepare, span_keys, stored, wanted, word_spans
 
 #: Members of a bucket on either side beyond which it is dealt out in tiles.
 TILE = 4096
@@ -346,8 +346,11 @@ def keep_first(docs: DataFrame, how: Closeness = FIVE_WORDS) -> DataFrame:
     Of rows with equal ids one stays; rows without an id stay if no row with an id is near them.
     """
     found = near_duplicates(docs, how)
-    chosen = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(chosen, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    none = F.lit(-(1 << 63))
+    chosen = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", none).alias("__id")).distinct()
+    rows, first = owned(docs)
+    rows = rows.withColumn("__id", F.coalesce(column(first, "doc_id", "long"), none))
+    return rows.join(chosen, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id").toDF(*docs.columns)
 
 
 __all__ = ["FIVE_WORDS", "FOUR_BITS", "Closeness", "components", "fingerprints", "keep_first", "links", "near_duplicates", "ring", "shingle_hashes"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, mix, prepare, span_keys, wanted, word_spans
+from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, column, mix, owned, prepare, span_keys, wanted, word_spans
 
 #: Labelled documents of each class that teach at most, and characters of a document that do: clean ones are cut there, longer
 #: toxic ones don't teach, since what makes them toxic may lie beyond.
@@ -397,16 +397,16 @@ def keep_civil(docs: DataFrame, net: Network, *, text_col: str = "text", thresho
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(net)
-    names = [f.name for f in docs.schema]
+    rows, first = owned(docs)
+    width = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(sent.value)
         for batch in batches:
-            bad = np.concatenate([*[s.scores(b) for b in blocks(batch.column(len(names)))], np.zeros(0)]) >= threshold
-            yield batch.select(list(range(len(names)))).filter(pa.array(~bad))
+            bad = np.concatenate([*[s.scores(b) for b in blocks(batch.column(width))], np.zeros(0)]) >= threshold
+            yield batch.select(list(range(width))).filter(pa.array(~bad))
 
-    text = F.col(f"`{text_col}`").cast("string") if text_col in names else F.lit(None).cast("string")
-    return docs.select("*", text.alias("__scored_text")).mapInArrow(run, docs.schema)
+    return rows.withColumn("__text", column(first, text_col)).mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
