@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_date
 from tablewright.functions.similarity import JARO_WINKLER, as_text, with_difference
 from tablewright.functions.text import collapse, fold, strip
+from tablewright.operators.occurrence import number_within
 
 # States, labels.
 ADDED, REMOVED, CHANGED, UNCHANGED = "Alta", "Baja", "Modificación", "Sin cambios"
@@ -105,8 +106,7 @@ class Comparison:
         names = [f"k{i}" for i in range(len(self.keys))]
         normed = [F.coalesce(normal(F.col(f"`{k}`"), self.kinds[k], self.options, key=True), F.lit("")).alias(n) for n, k in zip(names, self.keys, strict=True)]
         own = [F.col(f"`{c}`").alias(f"{tag}_{c}") for c in dict.fromkeys(self.keys + self.columns)]
-        occ = F.row_number().over(Window.partitionBy(*names).orderBy(f"{tag}__fila"))
-        return df.select(*normed, F.col(f"`{order}`").alias(f"{tag}__fila"), *own).withColumn("occ", occ)
+        return number_within(df.select(*normed, F.col(f"`{order}`").alias(f"{tag}__fila"), *own), names, f"{tag}__fila", "occ")
 
     @cached_property
     def base(self) -> DataFrame:
@@ -133,7 +133,7 @@ class Comparison:
     # -- results
 
     def _lead(self, show: bool | None) -> list[Column]:
-        return [F.col("occ").cast("long").alias("Ocurrencia")] if (self.repeated if show is None else show) else []
+        return [F.col("occ").alias("Ocurrencia")] if (self.repeated if show is None else show) else []
 
     def _values(self, tag: str) -> list[Column]:
         return [F.col(f"`{tag}_{c}`").alias(c) for c in self.keys + self.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,10 +40,15 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows whose key occurs more than once; none without keys."""
+    """All rows whose key (nulls are equal) occurs more than once; none without keys.
+
+    Counts are aggregated before the shuffle and joined back, so that a hot key can be split.
+    """
     if not keys:
         return df.limit(0)
-    return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n > 1").drop("__n")
+    often = df.groupBy(*[F.col(f"`{k}`") for k in keys]).count().where("count > 1").drop("count")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
+    return df.alias("l").join(often.alias("r"), same, "left_semi")
 
 
 def effective_score(rules: Column, complete: Column) -> Column:

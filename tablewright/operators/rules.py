@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -390,7 +390,10 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
     f = _Fields(df, ACCOUNT_FIELDS)
     if absent := [f.label(k) for k in ACCOUNT_LEVELS["alto"] if k not in f]:
         return _missing(df, "CUE1", absent)
-    df = df.withColumn("__same", F.count("*").over(Window.partitionBy(strip(_value(df, f.at["usuario"])))))
+    # Nulls are equal to each other here; counts are aggregated first, so that a hot user can be split.
+    df = df.withColumn("__user", F.coalesce(F.concat(F.lit("="), strip(_value(df, f.at["usuario"]))), F.lit("")))
+    often = df.groupBy("__user").agg(F.count("*").alias("__same")).where("__same > 1")
+    df = df.join(often, "__user", "left")
     f.df = df
     scan, state = RuleScan(df, order), f.upper("estado")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,8 +136,11 @@ def unfit(c: Column, typed: Column, kind: str) -> Column:
     return present(c) & (~F.coalesce(typed.rlike(EMAIL_TYPED), F.lit(False)) if kind == EMAIL else typed.isNull())
 
 
-def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila") -> tuple[DataFrame, DataFrame]:
-    """The typed table, and for each column with unfit values their count, first examples, rows and fate."""
+def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila", list_rows: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The typed table, and for each column with unfit values their count, first examples, rows and fate.
+
+    ``list_rows=False`` leaves the lists of rows out, which grow with the table.
+    """
     known = {c: t for c, t in schema.items() if c in df.columns and t in TYPES}
     styles = (styles or {}) | decimal_styles({c: t for c, t in known.items() if c not in (styles or {})}, df)
     made = {c: cast(F.col(f"`{c}`"), t, styles.get(c, numbers.COMMA)) for c, t in known.items()}
@@ -150,6 +153,9 @@ def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] |
         return typed, spark.createDataFrame([], report)
     bad = F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.struct(F.lit(c).alias("c"), F.lit(t).alias("t"), F.col(f"`{c}`").cast("string").alias("v"))) for c, t in known.items()]))
     cells = both.select(F.col(order).cast("long").alias("at"), F.explode(bad).alias("x")).select("at", "x.*")
-    grouped = cells.groupBy("c", "t").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("at", "v"))), 1, REPORTED).alias("some"), F.array_sort(F.collect_list("at")).alias("rows"))
     fate = F.when(F.col("t") == EMAIL, KEEP).otherwise(LOSE)
-    return typed, grouped.select(F.col("c").alias("Columna"), F.col("t").alias("Tipo asignado"), F.col("n").alias("Valores no válidos"), F.array_join("some.v", " | ").alias("Ejemplos"), fate.alias("Qué pasará"), F.col("rows").alias("Filas")).to(report)
+    counts = cells.groupBy("c", "t").agg(F.count("*").alias("n"), *([F.array_sort(F.collect_list("at")).alias("rows")] if list_rows else []))
+    first = cells.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("at"))).where(F.col("k") <= REPORTED)
+    some = first.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("some"))
+    rows = F.col("rows") if list_rows else F.lit(None).cast("array<bigint>")
+    return typed, counts.join(some, "c").select(F.col("c").alias("Columna"), F.col("t").alias("Tipo asignado"), F.col("n").alias("Valores no válidos"), F.array_join("some.v", " | ").alias("Ejemplos"), fate.alias("Qué pasará"), rows.alias("Filas")).to(report)

@@ -254,3 +254,14 @@ def test_store(spark, tmp_path):
     assert s.history(1).first().id == 2
     s.clear()
     assert s.table("aplicaciones").count() == 0 and s.table("usuarios").count() == 2
+
+
+def test_hot_keys_are_numbered_in_slices(spark, monkeypatch):
+    from tablewright.operators import occurrence
+
+    monkeypatch.setattr(occurrence, "CALM", 50)
+    rows = [("hot", i * 3) for i in range(500)] + [(f"k{i % 20}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, at long").repartition(5)
+    got = {(r.k, r.at): r.occ for r in occurrence.number_within(df, ["k"], "at", "occ").collect()}
+    for k in {k for k, _ in rows}:
+        assert [got[k, at] for at in sorted(a for x, a in rows if x == k)] == list(range(1, sum(x == k for x, _ in rows) + 1))
