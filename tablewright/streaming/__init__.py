@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are whole tables; a foreachBatch sink may call the batch operators."""
