@@ -41,6 +41,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + os.path.join(tempfile.gettempdir(), "tablewright-scratch")
         os.makedirs(base[7:], exist_ok=True)
         spark.sparkContext.setCheckpointDir(base)
+    if "://" not in base:  # a bare path belongs to the cluster's default file system, which other readers must be told
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = "file://" + base[5:] if base.startswith("file:/") and "://" not in base else base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -45,6 +45,8 @@ class TokenFiles:
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file://"):  # a URI can't hold every sign that a path can
+        return pafs.LocalFileSystem(), path[7:]
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
