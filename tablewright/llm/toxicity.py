@@ -24,7 +24,7 @@ from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, column, m
 
 #: Labelled documents of each class that teach at most, and characters of a document that do: clean ones are cut there, longer
 #: toxic ones don't teach, since what makes them toxic may lie beyond.
-SAMPLE, TEACHES = 1200, 6_000
+SAMPLE, TEACHES = 1000, 6_000
 #: Words in a window and between windows; hidden units a direction; sizes of the embeddings and of their hash tables.
 WINDOW, STRIDE, HIDDEN, WORD, CHARS, BUCKETS = 32, 16, 8, 8, 16, 1 << 16
 GRAMS = (3, 4, 5)
@@ -81,15 +81,32 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Distinct words of some texts: their buckets and n-grams, and the word numbers of all texts in order."""
-
-    def __init__(self, block: TextBlock) -> None:
-        block = TextBlock(LOWER[block.buf], block.offs, block.first)
-        starts, ends, rows = word_spans(block)
-        self.keys, first, self.words = np.unique(span_keys(block.buf, starts, ends), return_index=True, return_inverse=True)
+    """Distinct words of some texts: their buckets and n-grams, and the word numbers of all texts in order.
+
+    Blocks are taken one by one, so only word numbers grow with the texts.
+    """
+
+    def __init__(self, *texts: TextBlock) -> None:
+        table, keys, grams, n_grams, words, counts = KeyTable(12), [], [], [], [], []
+        known = 0
+        for block in texts:
+            block = TextBlock(LOWER[block.buf], block.offs, block.first)
+            starts, ends, rows = word_spans(block)
+            own = span_keys(block.buf, starts, ends)
+            new, first = np.unique(own, return_index=True)
+            lost = table.find(new) < 0
+            new, first = new[lost], first[lost]
+            table.add(new, np.arange(known, known + len(new)))
+            known += len(new)
+            flat, n = char_grams(block.buf, starts[first], ends[first])
+            keys.append(new)
+            grams.append(flat)
+            n_grams.append(n)
+            words.append(table.find(own).astype(np.int32))
+            counts.append(np.bincount(rows, minlength=len(block)))
+        self.keys, self.grams, self.n_grams = (np.concatenate(x) for x in (keys, grams, n_grams))
+        self.words, self.counts = np.concatenate(words), np.concatenate(counts)
         self.bucket = (self.keys & np.uint64(BUCKETS - 1)).astype(np.int64)
-        self.grams, self.n_grams = char_grams(block.buf, starts[first], ends[first])
-        self.counts = np.bincount(rows, minlength=len(block))
 
 
 # ---------------------------------------------------------------- network
@@ -242,10 +259,10 @@ def _fast_sigmoid(x: np.ndarray) -> np.ndarray:
 def _places(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of every window (the number of words: none) and the windows' rows."""
     first, size, row = windows(vocab.counts)
-    at = first[:, None] + np.arange(WINDOW)
+    at = (first[:, None] + np.arange(WINDOW)).astype(np.int32)
     inside = np.arange(WINDOW) < size[:, None]
-    words = np.append(vocab.words, len(vocab.keys))
-    return np.where(inside, words[np.minimum(at, len(vocab.words))], len(vocab.keys)), row
+    words = np.append(vocab.words, np.int32(len(vocab.keys)))
+    return np.where(inside, words[np.minimum(at, len(vocab.words))], np.int32(len(vocab.keys))), row
 
 
 def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int = 128, rounds: int = 3) -> Network:
@@ -256,8 +273,7 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
     if len(set(y.tolist())) < 2:
         net.scale = 0.0
         return net
-    block = next(iter(blocks(pa.array(texts, pa.large_string()), 1 << 40)))
-    vocab = Vocabulary(block)
+    vocab = Vocabulary(*blocks(pa.array(texts, pa.large_string()), 1 << 18))
     place, row = _places(vocab)
     # The first guess at toxic windows, and at the embeddings' first dimension: how much oftener toxic documents have a bucket.
     docs = np.repeat(np.arange(len(y)), vocab.counts)

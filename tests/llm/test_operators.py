@@ -312,7 +312,7 @@ def test_neighbours(spark, none, monkeypatch):
 
 def test_gradients_are_right():
     texts = [prose(40, i) for i in range(6)]
-    vocab = toxicity.Vocabulary(next(iter(shared.blocks(pa.array(texts, pa.large_string()), 1 << 30))))
+    vocab = toxicity.Vocabulary(*shared.blocks(pa.array(texts, pa.large_string()), 300))
     vocab.common = vocab.common_grams = np.ones(toxicity.BUCKETS, bool)
     net = toxicity.Network()
     r = np.random.default_rng(0)
