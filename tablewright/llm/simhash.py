@@ -343,14 +343,17 @@ def near_duplicates(docs: DataFrame, how: Closeness = FOUR_BITS, *, id_col: str
 def keep_first(docs: DataFrame, how: Closeness = FIVE_WORDS) -> DataFrame:
     """The documents without all but one of each group of near copies: the one with the smallest id stays.
 
-    Of rows with equal ids one stays; rows without an id stay if no row with an id is near them.
+    Rows are told apart by a 64-bit key of id and text, so repeated or missing ids join nothing that isn't near.  Of
+    rows with equal ids and texts one stays; a row without an id stays if no row with an id is near it, and of
+    several such near each other the one with the smallest key.
     """
-    found = near_duplicates(docs, how)
-    none = F.lit(-(1 << 63))
-    chosen = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", none).alias("__id")).distinct()
     rows, first = owned(docs)
-    rows = rows.withColumn("__id", F.coalesce(column(first, "doc_id", "long"), none))
-    return rows.join(chosen, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id").toDF(*docs.columns)
+    ident, text = column(first, "doc_id", "long"), column(first, "text")
+    keyed = rows.select(F.xxhash64(ident, text).alias("__key"), ident.alias("__id"), text.alias("__text"))
+    found = near_duplicates(keyed, how, id_col="__key", text_col="__text").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key"))
+    chosen = found.join(keyed.select("__key", "__id").distinct(), "__key").groupBy("component_id").agg(least.alias("least")).select("least.__key")
+    return rows.withColumn("__key", F.xxhash64(ident, text)).dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key").toDF(*docs.columns)
 
 
 __all__ = ["FIVE_WORDS", "FOUR_BITS", "Closeness", "components", "fingerprints", "keep_first", "links", "near_duplicates", "ring", "shingle_hashes"]

@@ -199,6 +199,15 @@ def test_dedup_keeps_one_of_each_group(docs):
     assert ids.count(10) == 1 and {20 + i for i in range(30)} <= set(ids) and None in ids
 
 
+def test_dedup_tells_rows_apart_without_ids(spark):
+    rows = [*[(None, prose(60, 500 + i), "a") for i in range(6)], (None, prose(60, 500), "b"), (3, prose(60, 501), "c"), (8, prose(60, 520), "d"), (8, prose(60, 521), "e"), (8, prose(60, 521), "e"), (None, None, "f"), (None, "", "f")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)).collect()
+    texts = [r.text for r in kept if r.text]
+    assert sorted(texts) == sorted({t for _, t, _ in rows if t})
+    assert [r.doc_id for r in kept if r.text == prose(60, 501)] == [3]
+    assert sum(not r.text for r in kept) == 1 and len(kept) == len(texts) + 1
+
+
 def test_lm_base_score_is_exact_and_model_helps(spark, none, monkeypatch):
     rows = [(i, t) for i, t in TEXTS] + [(100 + i, prose(50, i % 7)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
