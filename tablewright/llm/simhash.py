@@ -11,6 +11,8 @@ Equal fingerprints are one class from the start.  Pairs are compared in numpy in
 as a spanning forest, so rows out grow with rows in.  Buckets with many members are dealt out as a grid of tiles.
 Components are found by contraction: every node takes its least neighbour's label until no edge is left.
 
+Near copies of the pipeline (``keep_first``) are held by shared shingles, exactly: minhash bands find candidates, the sets decide.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than a
 shingle form one shingle; repeated rows fall in one class and are all returned; null ids are returned with their
 class, whose smallest id ignores them; an empty table gives an empty result; other columns are ignored.
@@ -51,9 +53,25 @@ class Closeness:
 
 #: Four words, four bits.
 FOUR_BITS = Closeness()
-#: Texts whose five-word shingles have a similarity of about 0.8 or more: a 128-bit SimHash then differs in some
-#: 19 +- 4 bits; single words change five times less, so buckets over them find nearly all such pairs.
-FIVE_WORDS = Closeness(words=1, distance=7, sketch_words=5, sketch_distance=24)
+
+
+@dataclass(frozen=True)
+class Overlap:
+    """How texts are held to be near copies: sets of ``words``-word shingles of a Jaccard similarity of ``least`` or more.
+
+    Pairs are looked for in ``bands`` tables of ``rows`` minhashes each, and every link is checked on the sets themselves.
+    """
+
+    words: int = 5
+    least: float = 0.8
+    bands: int = 32
+    rows: int = 5
+
+
+#: Five words, 0.8: wherever a pair differs, the chance that no band finds it is (1 - 0.8 ** 5) ** 32 = 3e-6 at 0.8, less above.
+FIVE_WORDS = Overlap()
+#: Shingles and texts of a group of candidates beyond which it is dealt out in tiles.
+TILE_SHINGLES, TILE_TEXTS = 1 << 21, 4096
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -340,20 +358,170 @@ def near_duplicates(docs: DataFrame, how: Closeness = FOUR_BITS, *, id_col: str
     return join_skewed(prints.select("doc_id", "fp", "node"), named, ["node"]).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, how: Closeness = FIVE_WORDS) -> DataFrame:
+# ---------------------------------------------------------------- near copies by shingles
+
+
+def shingle_sets(block: TextBlock, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all rows of a block, sorted in each row, and their number in each row."""
+    hashes, counts = shingle_hashes(block, words)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], np.bincount(rows[new], minlength=len(counts))
+
+
+def _bands(hashes: np.ndarray, counts: np.ndarray, how: Overlap) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each row's whole set (0: empty), and for each row with shingles the keys of its bands."""
+    full = np.flatnonzero(counts)
+    node, keys = np.zeros(len(counts), np.uint64), np.zeros((len(full), how.bands), np.uint64)
+    if not len(full):
+        return node, keys
+    first = (np.cumsum(counts) - counts)[full]
+    node[full] = mix(np.add.reduceat(mix(hashes), first) + counts[full].astype(np.uint64))
+    seeds = mix(np.arange(1, 2 * how.bands * how.rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(how.bands, how.rows, 2)
+    for band in range(how.bands):
+        key = np.full(len(full), band + 1, np.uint64)
+        for flip, times in seeds[band]:
+            key = mix(key + np.minimum.reduceat((hashes ^ flip) * (times | np.uint64(1)), first))
+        keys[:, band] = key
+    return node, keys
+
+
+def linked(hashes: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of the given similarity or more that connect whatever all such pairs connect, by breadth-first search."""
+    m, ends = len(counts), np.cumsum(counts)
+    starts = ends - counts
+    if m == 2:
+        both = len(np.intersect1d(hashes[: ends[0]], hashes[ends[0] :], assume_unique=True))
+        near = np.arange(int(both >= least * (counts.sum() - both) - 1e-9))
+        return near, near + 1
+    terms, ids = np.unique(hashes, return_inverse=True)
+    owner, left, indexed = np.repeat(np.arange(m), counts), np.ones(m, bool), 2 * m + 2
+    own = at = np.zeros(0, np.int64)
+    u, v = [], []
+    for s in range(m):
+        if not left[s]:
+            continue
+        left[s] = False
+        queue = [s]
+        while queue and (rest := int(left.sum())):
+            if rest * 2 < indexed:  # of the sets, only those not reached yet
+                keep = np.flatnonzero(left[owner])
+                keep = keep[np.argsort(ids[keep], kind="stable")]
+                own, at, indexed = owner[keep], np.searchsorted(ids[keep], np.arange(len(terms) + 1)), rest
+            x = queue.pop()
+            mine = ids[starts[x] : ends[x]]
+            size = at[mine + 1] - at[mine]
+            both = np.bincount(own[np.repeat(at[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=m)
+            near = np.flatnonzero(left & (both >= least * (counts[x] + counts - both) - 1e-9))
+            left[near] = False
+            u += [x] * len(near)
+            v += near.tolist()
+            queue += near.tolist()
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, node) sorted by bucket: pairs of each bucket's first node with every other one."""
+    bucket, lead = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys, nodes = np.concatenate([bucket, batch.column(0).to_numpy()]), np.concatenate([lead, batch.column(1).to_numpy()])
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        leads = nodes[np.flatnonzero(new)][new.cumsum() - 1]
+        other = leads != nodes
+        bucket, lead = keys[-1:], leads[-1:]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(leads[other]), "b": pa.array(nodes[other])})
+
+
+def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Of texts (key: unique, id, text): the written table of their nodes (key, id, node), and node and root of those with near copies.
+
+    Equal sets are one node.  Nodes that share a band, directly or through others, form a group; inside a group all pairs are
+    compared by their sets, except those that links connect already.  Large groups are dealt out as a grid of tiles.
+    """
+    spark = texts.sparkSession
+    prepare(spark)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                hashes, counts = shingle_sets(block, how.words)
+                node, keys = _bands(hashes, counts, how)
+                offs = np.concatenate([[0], np.cumsum((counts > 0) * how.bands)]).astype(np.int32)
+                own = [batch.column(k).slice(block.first, len(block)) for k in (0, 1)]
+                yield pa.RecordBatch.from_pydict({"key": own[0], "id": own[1], "node": pa.array(node.view(np.int64)), "size": pa.array(counts), "bands": pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.reshape(-1).view(np.int64)))})
+
+    prints = stored(texts.select("key", "id", "text").mapInArrow(make, "key long, id long, node long, size long, bands array<long>"), "copies-prints")
+    classes = prints.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"))
+    buckets = prints.select("node", F.explode("bands").alias("bucket")).distinct().select("bucket", "node")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    stars = stored(buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long"), "copies-candidates")
+    prepare(spark)
+    groups = stored(components(stars).join(classes, "node"), "copies-groups")
+    parts = F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_TEXTS)).cast("int")
+    large = groups.groupBy("root").agg(parts.alias("r")).where("r > 1")  # fewer than the shingles' number / TILE_SHINGLES + the texts' / TILE_TEXTS
+    mine = F.pmod(F.xxhash64("node"), "r").cast("int")
+    dealt = groups.join(F.broadcast(large), "root", "left").withColumn("r", F.coalesce("r", F.lit(1))).withColumn("mine", mine)
+    tile = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda k: F.least("mine", k) * F.col("r") + F.greatest("mine", k))
+    members = texts.select("key", "text").join(dealt.select("key", "node", "root", F.explode(tile).alias("tile")), "key").select("root", "tile", "node", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            sets = [shingle_sets(block, how.words) for block in blocks(rows.column("text"))]
+            hashes, counts = (np.concatenate(x) for x in zip(*sets, strict=True))
+            root, tiles, node = (rows.column(c).to_numpy() for c in ("root", "tile", "node"))
+            cuts = [0, *(np.flatnonzero((root[1:] != root[:-1]) | (tiles[1:] != tiles[:-1])) + 1).tolist(), len(root)]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            a, b = [], []
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if to - at > 1:
+                    u, v = linked(hashes[ends[at] : ends[to]], counts[at:to], how.least)
+                    a.append(node[at + u])
+                    b.append(node[at + v])
+            none = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+
+        for batch in batches:
+            kept.append(batch)
+            size += batch.nbytes
+            if size < 1 << 23:
+                continue
+            rows = pa.Table.from_batches(kept).combine_chunks()
+            root, tiles = rows.column("root").to_numpy(), rows.column("tile").to_numpy()
+            new = np.flatnonzero((root[1:] != root[:-1]) | (tiles[1:] != tiles[:-1]))
+            if not len(new):
+                continue
+            cut = int(new[-1]) + 1  # the last group may go on in the next batch
+            yield edges(rows.slice(0, cut))
+            kept = rows.slice(cut).to_batches()
+            size = sum(b.nbytes for b in kept)
+        if sum(map(len, kept)):
+            yield edges(pa.Table.from_batches(kept).combine_chunks())
+
+    found = stored(members.repartition("root", "tile").sortWithinPartitions("root", "tile", "node").mapInArrow(check, "a long, b long"), "copies-links")
+    return prints.select("key", "id", "node"), components(found)
+
+
+def keep_first(docs: DataFrame, how: Overlap = FIVE_WORDS) -> DataFrame:
     """The documents without all but one of each group of near copies: the one with the smallest id stays.
 
     Rows are told apart by a 64-bit key of id and text, so repeated or missing ids join nothing that isn't near.  Of
     rows with equal ids and texts one stays; a row without an id stays if no row with an id is near it, and of
-    several such near each other the one with the smallest key.
+    several such near each other the one with the smallest key.  Texts without words are near copies of each other.
     """
     rows, first = owned(docs)
     ident, text = column(first, "doc_id", "long"), column(first, "text")
-    keyed = rows.select(F.xxhash64(ident, text).alias("__key"), ident.alias("__id"), text.alias("__text"))
-    found = near_duplicates(keyed, how, id_col="__key", text_col="__text").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    least = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key"))
-    chosen = found.join(keyed.select("__key", "__id").distinct(), "__key").groupBy("component_id").agg(least.alias("least")).select("least.__key")
-    return rows.withColumn("__key", F.xxhash64(ident, text)).dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").drop("__key").toDF(*docs.columns)
+    rows = stored(rows.withColumn("__key", F.xxhash64(ident, text)).dropDuplicates(["__key"]), "copies-rows")
+    nodes, roots = near_copies(rows.select(F.col("__key").alias("key"), ident.alias("id"), text.alias("text")), how)
+    least = nodes.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    chosen = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.key").alias("__key"))
+    return rows.join(chosen, "__key", "left_semi").drop("__key").toDF(*docs.columns)
 
 
-__all__ = ["FIVE_WORDS", "FOUR_BITS", "Closeness", "components", "fingerprints", "keep_first", "links", "near_duplicates", "ring", "shingle_hashes"]
+__all__ = ["FIVE_WORDS", "FOUR_BITS", "Closeness", "Overlap", "components", "fingerprints", "keep_first", "linked", "links", "near_copies", "near_duplicates", "ring", "shingle_hashes", "shingle_sets"]

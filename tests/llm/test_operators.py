@@ -208,6 +208,35 @@ def test_dedup_tells_rows_apart_without_ids(spark):
     assert sum(not r.text for r in kept) == 1 and len(kept) == len(texts) + 1
 
 
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_dedup_links_block_edits_and_nothing_else(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_TEXTS", tile)
+    r = random.Random(9)
+    texts = []
+    for i in range(120):  # one block of each text replaced, appended or cut, to similarities around 0.8
+        words = prose(r.randint(120, 400), 1000 + i).split()
+        n = round(len(words) * r.uniform(0.03, 0.2))
+        other = prose(n, 2000 + i).split()
+        at = r.choice([0, len(words) - n, r.randrange(len(words) - n)])
+        texts += [words, r.choice([words[:at] + other + words[at + n :], words + other, words[:at] + words[at + n :]])]
+    for k in range(24):  # a chain that only neighbours link, and a group
+        texts.append(prose(400, 1)[:1600].split()[10 * k : 10 * k + 200])
+        words = prose(150, 3000).split()
+        words[r.randrange(150)] = "changed"
+        texts.append(words)
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    name = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and name[i] != name[j]:
+                low, high = sorted((name[i], name[j]))
+                name = [low if x == high else x for x in name]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.keep_first(docs).collect()) == sorted(set(name))
+    assert 60 < len(texts) - len(set(name)) < 160
+
+
 def test_lm_base_score_is_exact_and_model_helps(spark, none, monkeypatch):
     rows = [(i, t) for i, t in TEXTS] + [(100 + i, prose(50, i % 7)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
