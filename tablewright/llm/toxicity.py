@@ -5,7 +5,8 @@ read windows of 32 words that overlap by half; attention pools the states of a w
 score is the calibrated greatest logit of all its windows.  Labels belong to documents, so training looks for the windows: a
 toxic document teaches with its currently worst window, a clean one with its worst and a random one.
 
-Learning uses a bounded sample of labelled rows (``SAMPLE`` of each class, by hash); scoring reads every window of every text.
+Learning uses a bounded sample of labelled rows (``SAMPLE`` of each class, by hash); of these, as of all texts that are scored,
+every window is read.
 
 Defined results: null and empty texts are scored as one window without words; rows that are repeated or have no id are scored
 alike; null labels teach nothing; without labels of both classes every score is 0.5 x the share of class 1; other columns are ignored.
@@ -13,18 +14,17 @@ alike; null labels teach nothing; without labels of both classes every score is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, column, mix, owned, prepare, span_keys, wanted, word_spans
+from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, column, mix, owned, prepare, span_keys, stored, wanted, word_spans
 
-#: Labelled documents of each class that teach at most, and characters of a document that do: clean ones are cut there, longer
-#: toxic ones don't teach, since what makes them toxic may lie beyond.
-SAMPLE, TEACHES = 1000, 6_000
+#: Labelled documents of each class that teach at most, with all their windows; bytes of text that are read at once, and windows that are scored.
+SAMPLE, PORTION, AT_ONCE = 1000, 1 << 18, 4096
 #: Words in a window and between windows; hidden units a direction; sizes of the embeddings and of their hash tables.
 WINDOW, STRIDE, HIDDEN, WORD, CHARS, BUCKETS = 32, 16, 8, 8, 16, 1 << 16
 GRAMS = (3, 4, 5)
@@ -87,6 +87,16 @@ class Vocabulary:
     """
 
     def __init__(self, *texts: TextBlock) -> None:
+        self._read(texts)
+
+    @classmethod
+    def of(cls, texts: Iterable[TextBlock]) -> Vocabulary:
+        """The vocabulary of blocks that come one by one and are not kept."""
+        out = cls.__new__(cls)
+        out._read(texts)
+        return out
+
+    def _read(self, texts: Iterable[TextBlock]) -> None:
         table, keys, grams, n_grams, words, counts = KeyTable(12), [], [], [], [], []
         known = 0
         for block in texts:
@@ -104,6 +114,8 @@ class Vocabulary:
             n_grams.append(n)
             words.append(table.find(own).astype(np.int32))
             counts.append(np.bincount(rows, minlength=len(block)))
+        if not keys:
+            keys, grams, n_grams, words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         self.keys, self.grams, self.n_grams = (np.concatenate(x) for x in (keys, grams, n_grams))
         self.words, self.counts = np.concatenate(words), np.concatenate(counts)
         self.bucket = (self.keys & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -259,27 +271,54 @@ def _fast_sigmoid(x: np.ndarray) -> np.ndarray:
 def _places(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of every window (the number of words: none) and the windows' rows."""
     first, size, row = windows(vocab.counts)
-    at = (first[:, None] + np.arange(WINDOW)).astype(np.int32)
-    inside = np.arange(WINDOW) < size[:, None]
-    words = np.append(vocab.words, np.int32(len(vocab.keys)))
-    return np.where(inside, words[np.minimum(at, len(vocab.words))], np.int32(len(vocab.keys))), row
+    return _placed(vocab, first, size), row
+
+
+def _placed(vocab: Vocabulary, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Word numbers of some windows, by their first words and numbers of words."""
+    none = np.int32(len(vocab.keys))
+    if not len(vocab.words):
+        return np.full((len(first), WINDOW), none)
+    at = np.minimum(first[:, None] + np.arange(WINDOW), len(vocab.words) - 1)
+    return np.where(np.arange(WINDOW) < size[:, None], vocab.words[at], none)
+
 
+def _portions(rows: Iterable[tuple[str, int]], marks: list[int]) -> Iterator[TextBlock]:
+    """The texts in blocks, a portion at a time; their marks are appended to ``marks``."""
+    held, size = [], 0
+    for text, mark in rows:
+        marks.append(mark)
+        held.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield from blocks(pa.array(held, pa.large_string()), PORTION)
+            held, size = [], 0
+    yield from blocks(pa.array(held, pa.large_string()), PORTION)
 
-def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int = 128, rounds: int = 3) -> Network:
-    """Learn from whole-document labels; seeded, so equal samples give equal networks."""
+
+def train(rows: Iterable[tuple[str, int]], *, steps: int = 210, batch: int = 128, rounds: int = 3) -> Network:
+    """Learn from whole documents' labels (text, toxic); seeded, so equal samples give equal networks.
+
+    Texts are read in portions; what stays of them is a word's number for each word and the places of the windows.
+    """
     net, rng = Network(), np.random.default_rng(11)
-    y = np.asarray(toxic, np.int64)
+    marks: list[int] = []
+    vocab = Vocabulary.of(_portions(rows, marks))
+    y = np.asarray(marks, np.int64)
     net.shift = float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))) if len(y) else -3.0
-    if len(set(y.tolist())) < 2:
+    if len(set(marks)) < 2:
         net.scale = 0.0
         return net
-    vocab = Vocabulary(*blocks(pa.array(texts, pa.large_string()), 1 << 18))
-    place, row = _places(vocab)
+    start, length, row = windows(vocab.counts)
+    place = lambda own: _placed(vocab, start[own], length[own])
+
+    def scored(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        return np.concatenate([of(place(slice(at, at + AT_ONCE))) for at in range(0, len(row), AT_ONCE)])
+
     # The first guess at toxic windows, and at the embeddings' first dimension: how much oftener toxic documents have a bucket.
-    docs = np.repeat(np.arange(len(y)), vocab.counts)
     seed = {}
     for name in ("word", "char"):
-        n1, n0 = _documents_with(vocab, docs, y, name)
+        n1, n0 = _documents_with(vocab, y, name)
         odds = np.log(n1 / (y.sum() + 1)) - np.log(n0 / ((1 - y).sum() + 1))
         # Only what chance doesn't explain counts; rare buckets are never learnt, or they would name documents.
         seed[name] = np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / n1 + 1 / n0), 0)
@@ -292,7 +331,8 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
         net.p[name][:, 0] = np.clip(seed[name], -2, 4) * 0.5
     first = np.cumsum(vocab.n_grams) - vocab.n_grams
     evidence = np.maximum(seed["word"][vocab.bucket], np.maximum.reduceat(seed["char"][vocab.grams], first)) if len(first) else np.zeros(0)
-    score = np.append(evidence, -9)[place].max(1)
+    padded = np.append(evidence, -9)
+    score = scored(lambda own: padded[own].max(1))
     moment = {k: np.zeros_like(v) for k, v in net.p.items()}
     power = {k: np.zeros_like(v) for k, v in net.p.items()}
     done = 0
@@ -303,7 +343,7 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
         other = np.flatnonzero(y[row] == 0)
         for _ in range(steps // rounds):
             picked = np.concatenate([rng.choice(pos, batch // 2), rng.choice(neg, batch // 4), rng.choice(other, batch // 4)])
-            g = net.gradients(vocab, place[picked], y[row[picked]].astype(np.float32), rng.random(len(picked) * WINDOW))
+            g = net.gradients(vocab, place(picked), y[row[picked]].astype(np.float32), rng.random(len(picked) * WINDOW))
             done += 1
             rate = 0.02 * min(1, done / 10) * (1 - 0.8 * done / steps)
             for k, own in g.items():
@@ -312,7 +352,7 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
                 power[k][at] += 0.01 * (own * own - power[k][at])
                 net.p[k][at] -= rate * (moment[k][at] / (1 - 0.9**done)) / (np.sqrt(power[k][at] / (1 - 0.99**done)) + 1e-5)
         gates = net.project(net.vectors(vocab.bucket, vocab.grams, vocab.n_grams))
-        score = net.logits(gates, place)
+        score = scored(lambda own: net.logits(gates, own))
     # Calibrate the greatest logits on the documents: a logistic curve by Newton's method with a mild prior.
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, row, score)
@@ -328,11 +368,11 @@ def train(texts: list[str], toxic: np.ndarray, *, steps: int = 210, batch: int =
     return net
 
 
-def _documents_with(vocab: Vocabulary, docs: np.ndarray, y: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+def _documents_with(vocab: Vocabulary, y: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Toxic and clean documents that each bucket occurs in (plus a half), a few documents at a time."""
     n1, n0 = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
     first = np.cumsum(vocab.n_grams) - vocab.n_grams
-    ends = np.searchsorted(docs, np.arange(len(y)), "right")
+    ends = np.cumsum(vocab.counts)
     at = 0
     for d in range(len(y)):
         words = np.unique(vocab.words[at : ends[d]])
@@ -431,10 +471,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Networ
     order = F.xxhash64("doc_id")
     some = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     texts = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    fit = (F.col("toxic") == 0) | (F.length("text") <= TEACHES)
-    chosen = texts.join(F.broadcast(some), "doc_id").where(fit).select("doc_id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, TEACHES).alias("text"))
-    got = chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    return train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
+    chosen = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # The parts come one at a time in order of ids, so the driver never holds all the texts.
+    parts = stored(chosen, "toxicity-taught").repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id")
+    return train((r.text, r.toxic) for r in parts.toLocalIterator())
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, folds: int = 3, held_out: int = 1) -> DataFrame:

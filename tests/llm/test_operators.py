@@ -397,6 +397,21 @@ def test_toxicity_generalises(spark, none):
     assert toxicity.classify(none, labels).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(240):  # over 6,000 characters each; what is toxic stands at the end
+        words = prose(1300, 4000 + i).split()
+        if i % 4 == 0:
+            words[-20:-17] = ["zugg" + r.choice(["an", "e", "est", "ly", "or"]) for _ in range(3)]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    assert min(len(t) for _, t, _ in rows) > 6000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = toxicity.classify(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    held = [(x.predicted, rows[x.doc_id][2]) for x in got if x.held_out]
+    assert len(held) > 50 and sum(p == y for p, y in held) / len(held) > 0.95
+
+
 def test_quality(spark, none, docs):
     rows = []
     for i in range(600):
