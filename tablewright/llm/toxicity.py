@@ -466,11 +466,16 @@ def keep_civil(docs: DataFrame, net: Network, *, text_col: str = "text", thresho
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
-    """Train on a bounded sample of the labelled documents: of each class the first ``sample`` by hash."""
+    """Train on a bounded sample of the labelled documents: of each class the first ``sample`` by hash.
+
+    Only labels of documents that are there count, one for each id (the lesser of several).
+    """
     marked = wanted(labels, "doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    order = F.xxhash64("doc_id")
-    some = marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     texts = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    there = texts.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    known = stored(marked.groupBy("doc_id").agg(F.min("toxic").alias("toxic")).join(there, "doc_id", "left_semi"), "toxicity-labels")
+    order = F.xxhash64("doc_id")
+    some = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
     chosen = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
     # The parts come one at a time in order of ids, so the driver never holds all the texts.
     parts = stored(chosen, "toxicity-taught").repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id")

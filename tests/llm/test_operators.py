@@ -412,6 +412,15 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert len(held) > 50 and sum(p == y for p, y in held) / len(held) > 0.95
 
 
+def test_toxicity_sample_is_of_documents_there(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", list)
+    docs = spark.createDataFrame([*[(i, f"text {i}") for i in range(20)], (None, "none")], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(20)] + [(3, 1)] * 50 + [(4, 0)] * 50 + [(i, i % 2) for i in range(100, 400)]
+    taught = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=8)
+    assert len(set(taught)) == len(taught) == 16 and sum(y for _, y in taught) == 8
+    assert all(int(t.split()[1]) % 2 == y for t, y in taught)
+
+
 def test_quality(spark, none, docs):
     rows = []
     for i in range(600):
