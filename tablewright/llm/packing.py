@@ -4,7 +4,8 @@ Every document is tokenised once into pieces of at most ``capacity`` ids, writte
 sequences of their own; the others are dealt into parts of bounded size, and each part is packed by best-fit
 decreasing.  Dual feasible functions over a part's lengths give a lower bound on the bins that any packing needs; a part that
 meets its bound is certified and done.  Parts with a gap exchange documents: those of their bins that are not
-full meet in common parts, best-fit decreasing runs again, and the better packing stays.
+full meet in common parts, best-fit decreasing runs again, and the better packing stays.  A part that is alone with its gap
+exchanges with the certified part that has most room.  The bound over all lengths certifies the whole.
 
 Defined results: null text is empty and holds the end id alone; null ids stay null; repeated rows are packed as often as
 they occur; an empty table gives an empty result; other columns are ignored.
@@ -30,11 +31,17 @@ PART, FEW, LEAST = 50_000, 16, 2_000
 
 @dataclass
 class Packed:
-    """pieces: key, doc_id, piece, start, length, ids (little-endian uint32); places: key, sequence_id, offset."""
+    """pieces: key, doc_id, piece, start, length, ids (little-endian uint32); places: key, sequence_id, offset.
+
+    bins: sequences used; bound: sequences that any packing of these pieces needs; report: bins and bounds of the parts that
+    each round packed.
+    """
 
     pieces: DataFrame
     places: DataFrame
     capacity: int
+    bins: int = 0
+    bound: int = 0
     report: list[dict] = field(default_factory=list)
 
     def sequences(self) -> DataFrame:
@@ -76,9 +83,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     Two families: lengths over ``capacity - t`` count as whole and those under ``t`` as nothing, for every t;
     and lengths rounded down to k-ths of the capacity (kept where they are whole (k+1)-ths), for k to 50.
     """
-    if not len(lengths):
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` from the number of lengths of each size."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     n, mass = np.cumsum(count), np.cumsum(count * size)
     t = np.arange(0, capacity // 2 + 1)
@@ -151,34 +162,43 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 10
         return pdf.drop(columns="old").assign(bin=where, offset=offset, fill=fill, bins=bins, bound=lower_bound(lengths, capacity))
 
     packed = stored(loose.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInPandas(first, schema), "packed")
-    done, report = [], []
+    place = ["key", "part", "bin", "offset"]
+    done, free, report = [packed.where(F.col("fill") == capacity).select(*place)], packed.where(F.col("fill") < capacity), []
     used = parts
     for at in range(rounds + 1):
-        # One row per part with a gap comes to the driver.
-        own = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count_if(F.col("fill") < capacity).alias("free"))
-        total = own.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
+        # One row per part with a gap comes to the driver: a part holds PART pieces on average.
+        total = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
         report.append({"round": at, "bins": total.bins or 0, "bound": total.bound or 0})
-        gaps = sorted(tuple(r) for r in own.where("bins > bound").select("part", "free").collect())
-        if at == rounds or len(gaps) < 2:
+        if at == rounds:
+            break
+        room = free.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count("*").alias("free"))
+        gaps = sorted(tuple(r) for r in room.where("bins > bound").select("part", "free").collect())
+        if len(gaps) == 1:
+            gaps += [tuple(r) for r in room.where("bins <= bound").orderBy(F.desc("free"), "part").limit(1).select("part", "free").collect()]
+        if len(gaps) < 2:
             break
         # Neighbours in this list meet: as many as make a part of bounded size, two at least.
         meet, held, group = [], 0, used
-        for k, (part, free) in enumerate(gaps):
-            if held and held + free > PART and len(meet) > 1 and meet[-2][1] == group:
+        for part, size in gaps:
+            if held and held + size > PART and len(meet) > 1 and meet[-2][1] == group:
                 group, held = group + 1, 0
             meet.append((part, group))
-            held += free
+            held += size
         used = group + 1
         plan = docs.sparkSession.createDataFrame(meet, "part long, new long")
-        both = packed.join(F.broadcast(plan), "part", "left")
-        stay = F.col("new").isNull() | (F.col("fill") >= capacity)
-        done.append(both.where(stay).select("key", "part", "bin", "offset"))
-        moved = both.where(~stay).select("key", "length", F.col("new").alias("part"), "bin", "offset", F.col("part").alias("old"))
+        both = free.join(F.broadcast(plan) if len(meet) < 100_000 else plan, "part", "left")
+        moved = both.where("new IS NOT NULL").select("key", "length", F.col("new").alias("part"), "bin", "offset", F.col("part").alias("old"))
         packed = stored(moved.groupBy("part").applyInPandas(again, schema), "repacked")
-    done.append(packed.select("key", "part", "bin", "offset"))
+        done.append(packed.where(F.col("fill") == capacity).select(*place))
+        free = both.where("new IS NULL").drop("new").select(*packed.columns).unionByName(packed.where(F.col("fill") < capacity))
+    done.append(free.select(*place))
     places = done[0]
     for more in done[1:]:
         places = places.unionByName(more)
     # A part's bins are numbered below 2 ** 32; kept bins never share a part number with new ones.
-    places = places.select("key", F.expr("part * 4294967296 + bin").alias("sequence_id"), "offset").unionByName(whole)
-    return Packed(pieces, places, capacity, report)
+    places = stored(places.select("key", F.expr("part * 4294967296 + bin").alias("sequence_id"), "offset").unionByName(whole), "packed-places")
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # `capacity` rows at most
+        count[r.length] = r["count"]
+    # Every bin has one piece at its start.
+    return Packed(pieces, places, capacity, places.where("offset = 0").count(), bound_of(count, capacity), report)

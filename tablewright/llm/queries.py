@@ -35,7 +35,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     digest = packed.pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digest.join(packed.places, "key").drop("key")
+    certificate = {"n_sequences": F.lit(packed.bins).cast("long"), "least_sequences": F.lit(packed.bound).cast("long")}
+    return digest.join(packed.places, "key").drop("key").withColumns(certificate)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ column and its offsets; words are found, hashed and looked up with numpy over th
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -35,17 +36,26 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); it goes when the session's JVM ends.
+
+    Where that is unset, a local master (whose executors are in this machine) gets a temporary folder; on a
+    cluster the warehouse, which all executors share, takes its place.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and context.master.split("[")[0] == "local":
         base = "file://" + os.path.join(tempfile.gettempdir(), "tablewright-scratch")
         os.makedirs(base[7:], exist_ok=True)
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tablewright-scratch"
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
     if "://" not in base:  # a bare path belongs to the cluster's default file system, which other readers must be told
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = system.makeQualified(path).toString()
         base = "file://" + base[5:] if base.startswith("file:/") and "://" not in base else base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system.deleteOnExit(context._jvm.org.apache.hadoop.fs.Path(out))
+    return out
 
 
 def stored(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
@@ -144,19 +154,9 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -166,17 +166,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each span of bytes: equal spans have equal keys (polynomial hash, never 0)."""
-    pw, inv = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _MIX1
-    h = mix(h)
+def exact_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves that tell spans of bytes apart.
+
+    Up to 15 bytes they are the bytes themselves with their number, so different spans never agree; longer
+    spans have a cryptographic digest (BLAKE2b) with a mark that no number of bytes has.
+    """
+    size = ends - starts
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))
+    a = eight[starts] & _LOW[np.minimum(size, 8)]
+    b = eight[starts + 8] & _LOW[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > 15).tolist():
+        digest = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=15).digest(), "little")
+        a[i], b[i] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64 | 0xFF << 56
+    return a, b
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit key of both halves, never 0."""
+    h = mix(a * _ODD + mix(b ^ _MIX2))
     h[h == 0] = 1
     return h
 
 
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each span of bytes: equal spans have equal keys, others by chance only."""
+    return folded(*exact_keys(buf, starts, ends))
+
+
 def word_spans(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of all words: maximal runs of bytes that are no white space."""
     buf, n = block.buf, len(block.buf)

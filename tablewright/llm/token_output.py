@@ -6,8 +6,8 @@ over those sizes give every partition its base.  The manifest of bases makes the
 
 Defined results: null text is empty and has the end id alone; null document ids come first and stay null;
 equal ids are ordered by the text's hash, equal rows are written as often as they occur; an empty table gives
-no parts; other columns are ignored.  A task writes under a name of its own attempt and renames at its end,
-so a lost executor's task is simply run again.
+no parts; other columns are ignored.  A task writes under names of its own attempt and reports them, so the task of a
+lost executor is simply run again; the manifest names the attempts that count, and the others' files are removed.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from tablewright.llm.tokens import encoder
 
 #: Stands for a null document id in the id file.
 NO_ID = -(1 << 63)
+#: A part's files.
+KINDS = ("ids", "offsets", "docs")
 
 
 @dataclass
@@ -65,14 +67,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, en
         part, attempt = task.partitionId(), task.taskAttemptId()
         fs, local = _filesystem(path)
         e = encoder(tokenizer)
+        if not 0 <= end_id <= np.iinfo(e.dtype).max:
+            raise ValueError(f"end id {end_id} does not fit the tokenizer's {np.dtype(e.dtype).name} files")
         docs = tokens = 0
-        names = [f"{local}/part-{part:06d}.{kind}" for kind in ("ids", "offsets", "docs")]
+        name = f"part-{part:06d}-{attempt}"
         files: list = []
         for batch in batches:
             ids_of = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
             for block in blocks(batch.column(1)):
                 if not files:
-                    files = [fs.open_output_stream(f"{n}.{attempt}") for n in names]
+                    files = [fs.open_output_stream(f"{local}/{name}.{kind}") for kind in KINDS]
                 ids, offs = e.encode(block)
                 n = len(block)
                 out = np.insert(ids, offs[1:], end_id)
@@ -81,21 +85,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, en
                 files[1].write(ends.astype("<u8").tobytes())
                 files[2].write(ids_of[block.first : block.first + n].tobytes())
                 docs, tokens = docs + n, int(ends[-1])
-        for f, n in zip(files, names, strict=False):
+        for f in files:
             f.close()
-            fs.move(f"{n}.{attempt}", n)
         if files:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "wide": pa.array([e.dtype == np.uint32])})
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "part": pa.array([part], pa.int64()), "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "wide": pa.array([e.dtype == np.uint32])})
 
     source = wanted(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     ordered = source.repartitionByRange(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), text_col)
     # One row per part comes to the driver, never per document.
-    rows = sorted(ordered.mapInArrow(write, "part long, docs long, tokens long, wide boolean").collect())
+    rows = sorted(ordered.mapInArrow(write, "name string, part long, docs long, tokens long, wide boolean").collect(), key=lambda r: r.part)
     parts, doc_base, token_base = [], 0, 0
     for r in rows:
-        parts.append({"part": r.part, "docs": r.docs, "tokens": r.tokens, "doc_base": doc_base, "token_base": token_base})
+        parts.append({"name": r.name, "docs": r.docs, "tokens": r.tokens, "doc_base": doc_base, "token_base": token_base})
         doc_base, token_base = doc_base + r.docs, token_base + r.tokens
     out = TokenFiles(path, "uint32" if any(r.wide for r in rows) else "uint16", parts)
+    counted = {f"{p['name']}.{kind}" for p in parts for kind in KINDS}
+    for found in fs.get_file_info(pafs.FileSelector(local)):
+        if found.base_name.startswith("part-") and found.base_name not in counted:
+            fs.delete_file(found.path)
     with fs.open_output_stream(f"{local}/manifest.json") as f:
         f.write(json.dumps({"dtype": out.dtype, "parts": parts}).encode())
     return out
@@ -121,7 +128,7 @@ def _mapped(path: str, name: str, dtype: str) -> np.ndarray:
 
 def read_part(files: TokenFiles, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, token offsets in the part (documents + 1) and ids of one part."""
-    name = f"part-{part['part']:06d}"
+    name = part["name"]
     ends = _mapped(files.path, f"{name}.offsets", "<u8")
     return _mapped(files.path, f"{name}.docs", "<i8"), np.concatenate([[0], ends]).astype(np.int64), _mapped(files.path, f"{name}.ids", "<u2" if files.dtype == "uint16" else "<u4")
 
@@ -147,6 +154,6 @@ def read_tokens(spark: SparkSession, files: TokenFiles, *, with_ids: bool = True
                         cols["ids"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat.astype(np.int64)))
                     yield pa.RecordBatch.from_pydict(cols)
 
-    fields = "part long, docs long, tokens long, doc_base long, token_base long"
+    fields = "name string, docs long, tokens long, doc_base long, token_base long"
     table = spark.createDataFrame([tuple(p.values()) for p in files.parts], fields)
     return table.repartition(max(1, len(files.parts))).mapInArrow(read, schema)

@@ -2,7 +2,8 @@
 
 Encoding is a function of units: a tokenizer that drops white space encodes every run of other
 characters by itself; a byte-level one that keeps it never merges across a lone blank between two visible
-characters.  Each unit is therefore encoded once per worker and found again by a 64-bit key, all in numpy.
+characters.  Each unit is therefore encoded once per worker and found again by a 64-bit key, all in numpy; what is
+found counts only if its exact key (shared.exact_keys) agrees too, so units whose keys clash are still told apart.
 Units of plain Latin letters and closing punctuation skip the library's normaliser and splitter, whose
 effect on them is known, and go to its BPE model in one joined string; all other units go through the whole library.
 """
@@ -15,7 +16,7 @@ import re
 
 import numpy as np
 
-from tablewright.llm.shared import WHITE, KeyTable, TextBlock, span_keys, word_spans
+from tablewright.llm.shared import WHITE, KeyTable, TextBlock, exact_keys, folded, word_spans
 
 #: Units that a worker keeps; beyond it the cache starts anew.
 CACHE_UNITS = 1_500_000
@@ -60,6 +61,7 @@ class Encoder:
         self.table = KeyTable(16)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.start, self.count, self.units = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.a, self.b = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
 
     # -- units
 
@@ -89,8 +91,8 @@ class Encoder:
         starts, ends = marks[:-1], marks[1:]
         return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
-    def _learn(self, block: TextBlock, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        keys, at = np.unique(keys, return_index=True)
+    def _learn(self, block: TextBlock, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Encode the spans ``at`` and keep them as units; the units' numbers."""
         data = block.buf.tobytes()
         plain, widths, pieces, odd = [], [], [], []
         for i, s, e in zip(range(len(at)), starts[at].tolist(), ends[at].tolist(), strict=True):
@@ -121,16 +123,17 @@ class Encoder:
             flats.append(np.array(ids, np.int64))
         order = np.array(plain + odd, np.int64)
         flat = np.concatenate(flats) if flats else np.zeros(0, np.int64)
-        rows = np.arange(self.units, self.units + len(order))
+        rows = np.empty(len(order), np.int64)
+        rows[order] = np.arange(self.units, self.units + len(order))
         self.pool = _grown(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.start, self.count = _grown(self.start, self.units + len(order)), _grown(self.count, self.units + len(order))
+        self.start, self.count, self.a, self.b = (_grown(x, self.units + len(order)) for x in (self.start, self.count, self.a, self.b))
         got = count[order]
-        self.start[rows] = self.used + np.cumsum(got) - got
-        self.count[rows] = got
+        self.start[rows[order]] = self.used + np.cumsum(got) - got
+        self.count[rows], self.a[rows], self.b[rows] = count, a[at], b[at]
         self.used += len(flat)
         self.units += len(order)
-        self.table.add(keys[order], rows)
+        return rows
 
     # -- texts
 
@@ -142,13 +145,17 @@ class Encoder:
             got = [np.array(x.ids, self.dtype) for x in self.whole.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([*got, np.zeros(0, self.dtype)]), np.cumsum([0, *map(len, got)])
         starts, ends, rows = self._spans(block)
-        keys = span_keys(block.buf, starts, ends)
+        a, b = exact_keys(block.buf, starts, ends)
+        keys = folded(a, b)
         if self.units > CACHE_UNITS:
             self._clear()
         found = self.table.find(keys)
         if len(lost := np.flatnonzero(found < 0)):
-            self._learn(block, keys[lost], starts[lost], ends[lost])
+            new, first = np.unique(keys[lost], return_index=True)
+            self.table.add(new, self._learn(block, lost[first], starts, ends, a, b))
             found[lost] = self.table.find(keys[lost])
+        if len(other := np.flatnonzero((self.a[found] != a) | (self.b[found] != b))):
+            found[other] = self._learn(block, other, starts, ends, a, b)  # their key is another unit's
         count = self.count[found].astype(np.int64)
         to = np.cumsum(count)
         total = int(to[-1]) if len(to) else 0

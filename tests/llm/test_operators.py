@@ -64,6 +64,36 @@ def test_encoder_equals_the_library(name):
             assert ids[offs[k] : offs[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_encoder_tells_words_of_equal_sums_apart(name, size):
+    parity = "".join("ab"[i.bit_count() & 1] for i in range(size))  # and its complement: equal under polynomial hashes modulo 2 ** 64
+    texts = [parity, parity.translate(str.maketrans("ab", "ba")), parity]
+    e, t = Encoder(P.path(name)), tokenizer(name)
+    for text in texts:
+        assert e.encode(next(shared.blocks(pa.array([text]))))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_survives_clashing_keys(monkeypatch):
+    monkeypatch.setattr("tablewright.llm.tokens.folded", lambda a, b: (a & np.uint64(7)) + np.uint64(1 << 63))
+    e, t = Encoder(P.path(WORD)), tokenizer(WORD)
+    for text in [BASE, LONG[:2000], BASE]:
+        assert e.encode(next(shared.blocks(pa.array([text]))))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_exact_keys_are_exact():
+    r = random.Random(4)
+    words = sorted({bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 20))) for _ in range(4000)})
+    ends = np.cumsum([len(w) for w in words])
+    a, b = shared.exact_keys(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(words)
+
+
+def test_token_files_need_ids_that_fit(spark, docs):
+    with pytest.raises(Exception, match="does not fit"):
+        token_output.write_tokens(docs, P.path(WORD), end_id=1 << 16)
+
+
 def test_token_files_round_trip(spark, docs, none):
     files = token_output.write_tokens(docs, P.path(WORD), end_id=1)
     rows = token_output.read_tokens(spark, token_output.open_tokens(files.path)).orderBy("start").collect()
@@ -102,7 +132,7 @@ def test_packing_covers_all_and_meets_bounds(spark, docs, none):
         assert [o for o, _ in sorted(own)] == np.cumsum([0, *[n for _, n in sorted(own)]])[:-1].tolist() and sum(n for _, n in own) <= 1024
     total = sum(len(k[1]) * n for k, n in want.items())
     assert len(seq) <= -(-total // 1024) + 1
-    assert packed.sequences().count() == len(seq)
+    assert packed.sequences().count() == len(seq) == packed.bins >= packed.bound >= -(-total // 1024)
     assert packing.pack(none, P.path(BYTE)).places.count() == 0
 
 
@@ -132,6 +162,9 @@ def test_packing_exchanges_between_parts(spark, monkeypatch):
     packed = packing.pack(texts, P.path(BYTE))
     last = packed.places.select("sequence_id").distinct().count()
     assert packed.report[0]["bins"] >= last and len(packed.report) >= 2 and packed.places.count() == packed.pieces.count()
+    assert packed.bins == last >= packed.bound
+    full = packed.places.join(packed.pieces, "key").groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r.n == r.end <= 1024 for r in full)
 
 
 def fingerprint(text, words=4):
