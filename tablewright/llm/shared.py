@@ -6,6 +6,8 @@ column and its offsets; words are found, hashed and looked up with numpy over th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised pass handles; larger texts form a block of their own.
 BLOCK_BYTES = 1 << 20
 
+# With the C library's own rising threshold freed arrays stay in the process, and an executor keeps several idle workers:
+# from 256 kB on arrays are mapped, and go back to the system at once (mallopt's M_MMAP_THRESHOLD is -3).
+with contextlib.suppress(AttributeError, OSError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)
+
 
 # ---------------------------------------------------------------- session and shared folder
 

@@ -19,7 +19,9 @@ import numpy as np
 from tablewright.llm.shared import WHITE, KeyTable, TextBlock, exact_keys, folded, word_spans
 
 #: Units that a worker keeps; beyond it the cache starts anew.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
+#: Pieces that the library gets at once: it holds some hundred bytes for each token.
+AT_ONCE = 4096
 
 _PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -108,10 +110,13 @@ class Encoder:
         count = np.zeros(len(at), np.int64)
         flats = []
         if plain:
-            joined = b"\n".join(pieces)
-            if self.words:
-                joined = joined.decode().lower().encode()  # these letters keep their UTF-8 width
-            ids = np.array(self.bare.encode(joined.decode("latin-1").translate(self.letters), add_special_tokens=False).ids, np.int64)
+            got = []
+            for k in range(0, len(pieces), AT_ONCE):
+                joined = b"\n".join(pieces[k : k + AT_ONCE])
+                if self.words:
+                    joined = joined.decode().lower().encode()  # these letters keep their UTF-8 width
+                got.append(np.array(self.bare.encode(joined.decode("latin-1").translate(self.letters), add_special_tokens=False).ids, np.int64))
+            ids = np.concatenate(got)
             ends_ = np.cumsum(self.width[ids])
             bounds = np.searchsorted(ends_, np.cumsum(widths), "left") + 1
             count[plain] = np.diff(bounds, prepend=0)
