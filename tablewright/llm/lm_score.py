@@ -1,49 +1,50 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from a log-frequency Bloom filter that grows with the corpus.
 
-The training documents' 1- to 3-gram counts are gathered by shuffles that grow with the input: tasks send sorted
-32-bit keys in buckets of the hash, each bucket is merged by one task, and counts are quantised to half powers
-of two.  An n-gram of level q stands in the filter once for every level up to q, so its count is read
-back by repeated membership probes until the first miss.  The filter and the exact counts of the commonest words are
-broadcast; both have fixed greatest sizes, which the level that n-grams need to enter is raised to keep.
+Texts are dealt into portions of bounded size.  A portion sends the distinct 1- to 3-grams of its tokens, with the times that
+they occur in training documents, to buckets of their hash; the number of buckets follows the bytes of text, so a
+bucket stays small however large the corpus is.  A bucket sums the counts, quantises them to half powers of two and enters
+every n-gram of level q into its segment of the filter once for every level up to q: no count is too small to enter.  It
+then answers each portion by repeated membership probes, until the first miss.  Segments meet their probes by this
+shuffle and are not broadcast, because no bound holds for a filter that has everything.
 
 Probabilities are interpolated with absolute discounts: P(w|uv) = max(c(uvw) - D, 0) / c(uv) + (1 - s) P(w|v), where s is
 the share of the context level's mass that the discounted filter holds, measured over all training events.
 
-The base score needs exact counts of all words: those of the commonest come from the broadcast table, the others by a join.
-Words are known by 64-bit keys.
+The base score needs exact counts of words: buckets of 1-grams know words by their exact keys (shared.exact_keys) and answer
+with exact counts.
 
 Defined results: null text is empty (its end token is scored); null ids train and are not held out; repeated rows train
-and are scored as often as they occur; with no training rows every count is 0; other columns are ignored.
+and are scored as often as they occur; with no training rows every count is 0; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, mix, prepare, span_keys, stored, wanted, word_spans
+from tablewright.llm.shared import LOWER, TextBlock, blocks, exact_keys, folded, mix, prepare, stored, wanted, word_spans
 
-#: Words whose exact counts are broadcast, 12 bytes each; bytes of the filter; its hash functions and bits an entry.
-COMMON, FILTER_BYTES, PROBES, ENTRY_BITS = 1 << 20, 32 << 20, 4, 10
-#: Bits of a bucket's segment at least, so that chance can't fill one in a small corpus.
-SEGMENT = 1 << 13
+#: Bytes of text in a portion, and of all portions' text for each bucket.
+PORTION, BUCKET = 4 << 20, 8 << 20
+#: Hash functions of the filter, its bits an entry, and bits of a segment at least.
+PROBES, ENTRY_BITS, SEGMENT = 4, 16, 1 << 13
 #: Highest level: counts to 2 ** 47.
 LEVELS = 96
 DISCOUNT = 0.75
-#: Keys of the end token and of what stands before a document.
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Keys of the end token (its second exact half too, which no word has) and of what stands before a document.
+END, END_HALF, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFE << 56), np.uint64(0x14057B7EF767814F)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 + floor(2 log2(count))."""
-    return 1 + np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9).astype(np.int64)
+    """Quantised counts: 1 + floor(2 log2(count)), 0 for none."""
+    return np.where(count > 0, 1 + np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9), 0).astype(np.int64)
 
 
 def level_counts() -> np.ndarray:
@@ -53,314 +54,314 @@ def level_counts() -> np.ndarray:
     return np.concatenate([[0], np.sqrt(low * np.maximum(low, high))])
 
 
-# ---------------------------------------------------------------- events
+# ---------------------------------------------------------------- events of a portion
 
 
-def events(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys w, the one before v, the one before that u, and the rows, of all tokens with each row's end."""
+@dataclass
+class Events:
+    """All tokens of some texts, each text's end among them.
+
+    w, a, b: key and exact halves of the token; first: whether it is its text's first; row: its text; pair, triple: keys
+    of the 2- and 3-gram that end at it.
+    """
+
+    w: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    first: np.ndarray
+    row: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+
+
+def events(block: TextBlock) -> Events:
     block = TextBlock(LOWER[block.buf], block.offs, block.first)
     starts, ends, rows = word_spans(block)
     n = np.bincount(rows, minlength=len(block))
     at = np.cumsum(n + 1) - 1  # of each row's end token
-    w = np.empty(len(rows) + len(block), np.uint64)
-    inner = np.ones(len(w), bool)
+    inner = np.ones(len(rows) + len(block), bool)
     inner[at] = False
-    w[inner], w[at] = span_keys(block.buf, starts, ends), END
-    row = np.repeat(np.arange(len(block)), n + 1)
-    first = at - n
+    w, a, b = (np.empty(len(inner), np.uint64) for _ in range(3))
+    a[inner], b[inner] = exact_keys(block.buf, starts, ends)
+    a[at], b[at] = 0, END_HALF
+    w[inner], w[at] = folded(a[inner], b[inner]), END
+    first = np.zeros(len(inner), bool)
+    first[at - n] = True
     v = np.empty_like(w)
-    v[1:], v[first] = w[:-1], START
+    v[1:] = w[:-1]
+    v[first] = START
     u = np.empty_like(w)
-    u[1:], u[first] = v[:-1], START
-    return w, v, u, row
-
-
-def gram_keys(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
-    """64-bit keys of the 1-, 2- and 3-grams that end at each token, and of the context uv."""
-    pair = lambda a, b: mix(a * _A + b * _B)
-    context = pair(u, v)
-    return [mix(w * _B + _A), pair(v, w), mix(context * _A + w * _B + np.uint64(3)), context]
+    u[1:] = v[:-1]
+    u[first] = START
+    pair = mix(v * _A + w * _B)
+    return Events(w, a, b, first, np.repeat(np.arange(len(block)), n + 1), pair, mix(mix(u * _A + v * _B) * _A + w * _B + np.uint64(3)))
+
+
+def distinct(e: Events, order: int, bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of an order: cuts between buckets, what names them in a bucket, the token that each comes first at, and each token's n-gram.
+
+    1-grams are named by their exact halves, others by 32 bits of their key that follow the bucket's.
+    """
+    keys = e.w if order == 1 else (e.pair if order == 2 else e.triple) >> np.uint64(32 - bucket_bits)
+    order_ = np.argsort(keys, kind="stable")
+    k = keys[order_]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if order == 1:  # words whose keys clash stay apart
+        a, b = e.a[order_], e.b[order_]
+        new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    gram = np.empty(len(k), np.int64)
+    gram[order_] = new.cumsum() - 1
+    lead = order_[new]
+    bucket = (keys[lead] >> np.uint64(64 - bucket_bits if order == 1 else 32)).astype(np.int64)
+    names = np.stack([e.a[lead], e.b[lead]], 1) if order == 1 else keys[lead].astype("<u4")
+    return np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1)), names, lead, gram
 
 
 # ---------------------------------------------------------------- filter
 
 
-@dataclass
-class Model:
-    """What workers get: exact counts of common words, filter bits, level shares and corpus totals."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    bits: np.ndarray
-    bucket_bits: int
-    segment: int
-    starts: tuple[int, int, int]
-    tokens: int
-    types: int
-    shares: np.ndarray  # [order 2 or 3][level]
-
-    def table(self) -> KeyTable:
-        if not hasattr(self, "_table"):
-            self._table = KeyTable(12)
-            self._table.add(self.words, np.arange(len(self.words)))
-        return self._table
-
-    def level_of(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Levels by probing from the order's first level until a miss; 0 where that one is missing."""
-        out = np.zeros(len(keys), np.int64)
-        if not len(self.bits):
-            return out
-        live, j = np.arange(len(keys)), self.starts[order - 1]
-        ids = keys >> np.uint64(32 - self.bucket_bits)
-        base = (ids >> np.uint64(32)).astype(np.int64) * self.segment
-        while len(live) and j <= LEVELS:
-            h, own, left = gram_hash(ids[live], order, j), base[live], np.arange(len(live))
+class Segment:
+    """The filter's bits for the n-grams of one bucket; ids: 32-bit names in the bucket."""
+
+    def __init__(self, ids: np.ndarray, levels: np.ndarray, entry_bits: int = ENTRY_BITS) -> None:
+        self.size = max(SEGMENT, int(levels.sum()) * entry_bits)
+        bits = np.zeros(self.size, bool)
+        for j in range(1, int(levels.max(initial=0)) + 1):
+            h = _hash(ids[levels >= j], j)
             for i in range(PROBES):
-                at = own[left] + position(h[left], i, self.segment)
+                bits[self._position(h, i)] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    def _position(self, h: np.ndarray, i: int) -> np.ndarray:
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return ((((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(self.size)) >> np.uint64(32)).astype(np.int64)
+
+    def levels(self, ids: np.ndarray) -> np.ndarray:
+        """Levels by probing from the first level until a miss; 0 where that one is missing."""
+        out, live = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for j in range(1, LEVELS + 1):
+            h, left = _hash(ids[live], j), np.arange(len(live))
+            for i in range(PROBES):
+                at = self._position(h[left], i)
                 left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             live = live[left]
+            if not len(live):
+                break
             out[live] = j
-            j += 1
         return out
 
 
-def gram_hash(ids: np.ndarray, order: int, j: int) -> np.ndarray:
-    """Hash of an n-gram at a level."""
-    return mix(ids * _A + np.uint64(order * 128 + j))
+def _hash(ids: np.ndarray, j: int) -> np.ndarray:
+    return mix(ids.astype(np.uint64) * _A + np.uint64(j))
 
 
-def position(h: np.ndarray, i: int, segment: int) -> np.ndarray:
-    """Bit in the segment that the i-th hash function gives."""
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(segment)) >> np.uint64(32)).astype(np.int64)
+# ---------------------------------------------------------------- portions, questions, answers
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-
-
-def _flushed(batches: Iterator[pa.RecordBatch], of: Callable, most: int = 1 << 22) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """Distinct keys and counts of each kind of key that ``of`` makes from a block, in portions of bounded size."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        for block in blocks(batch.column(0)):
-            held.append(of(block))
-            size += sum(map(len, held[-1]))
-            if size >= most:
-                yield [_summed(np.concatenate(k)) for k in zip(*held, strict=True)]
-                held, size = [], 0
-    if held:
-        yield [_summed(np.concatenate(k)) for k in zip(*held, strict=True)]
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """key and count of every word (and of the end token) of all texts, as a written table."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ((keys, n),) in _flushed(batches, lambda b: [events(b)[0]]):
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at : at + 100_000].view(np.int64)), "n": pa.array(n[at : at + 100_000].astype(np.int64))})
-
-    return stored(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
-
-
-def _levels(texts: DataFrame, exact_from: int, bucket_bits: int) -> DataFrame:
-    """For each bucket and order: 32-bit keys and levels of the n-grams that may enter the filter."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(block: TextBlock) -> list[np.ndarray]:
-            w, v, u, _ = events(block)
-            return [k >> np.uint64(32 - bucket_bits) for k in gram_keys(w, v, u)[:3]]
-
-        for orders in _flushed(batches, of):
-            for order, (ids, n) in enumerate(orders, 1):
-                bucket = (ids >> np.uint64(32)).astype(np.int64)
-                cuts = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
-                low = ids.astype(np.uint32)
-                rows = {"bucket": [], "order": [], "ones": [], "more": [], "counts": []}
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own, k = low[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]
-                    rows["bucket"].append(b)
-                    rows["order"].append(order)
-                    rows["ones"].append(own[k == 1].tobytes())
-                    rows["more"].append(own[k > 1].tobytes())
-                    rows["counts"].append(k[k > 1].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int32()), "order": pa.array(rows["order"], pa.int32()), **{c: pa.array(rows[c], pa.binary()) for c in ("ones", "more", "counts")}})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = int(pdf["order"].iloc[0])
-        ones, more = np.frombuffer(b"".join(pdf["ones"]), "<u4"), np.frombuffer(b"".join(pdf["more"]), "<u4")
-        n = np.concatenate([np.ones(len(ones), np.int64), np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64)])
-        keys, n = _summed(np.concatenate([ones, more]), n)
-        keep = n < exact_from if order == 1 else n >= 2
-        q = level(n[keep]).astype(np.uint8)
-        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "order": [order], "keys": [keys[keep].tobytes()], "levels": [q.tobytes()], "has": [np.bincount(q, minlength=LEVELS + 1).tolist()]})
-
-    grams = texts.mapInArrow(count, "bucket int, order int, ones binary, more binary, counts binary")
-    return stored(grams.groupBy("bucket", "order").applyInPandas(merge, "bucket int, order int, keys binary, levels binary, has array<long>"), "lm-levels")
-
-
-def train(texts: DataFrame, *, common: int = COMMON, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """The model of a column of texts, and the written table of all word counts."""
-    spark = texts.sparkSession
-    counts = word_counts(texts)
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    tokens, types = total.n or 0, total.v
-    # The least count whose words and all commoner ones number `common` at most: one row for each distinct count.
-    exact_from, held = 1, 0
-    for n, words in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
-        if held + words > common:
-            exact_from = n + 1
-            break
-        held += words
-    top = counts.where(F.col("n") >= exact_from).toArrow()  # `common` rows at most
-    words = top.column("key").to_numpy().view(np.uint64)
-    parts = texts.rdd.getNumPartitions()
-    bucket_bits = max(6, (2 * parts - 1).bit_length())
-    levels = _levels(texts, exact_from, bucket_bits)
-    has = np.zeros((4, LEVELS + 1), np.int64)
-    for order, q, n in levels.select("order", F.posexplode("has")).groupBy("order", "pos").agg(F.sum("col")).collect():
-        has[order, q] = n
-    starts = [1, 3, 3]
-
-    def entries() -> int:
-        return sum(int(has[o, q]) * max(0, q - starts[o - 1] + 1) for o in (1, 2, 3) for q in range(LEVELS + 1))
-
-    while entries() * ENTRY_BITS > filter_bytes * 8 and starts[1] < LEVELS:
-        starts[1:] = [starts[1] + 1] * 2
-        if starts[1] > 6:
-            starts[0] += 1
-    segment = max(SEGMENT, -(-min(filter_bytes * 8, entries() * ENTRY_BITS) // (1 << bucket_bits)) // 8 * 8 + 8)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def portions(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, teaches, text) dealt into portions, one row each, as a written table: portion, size, ids, teaches, texts."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            ids, teaches, texts = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            whole = pa.array([0, len(ids)], pa.int32())
+            return pa.RecordBatch.from_pydict({"portion": pa.array([number]), "size": pa.array([size]), **{c: pa.ListArray.from_arrays(whole, x) for c, x in (("ids", ids), ("teaches", teaches), ("texts", texts))}})
+
         for batch in batches:
-            for r in batch.to_pylist():
-                own, q = np.frombuffer(r["keys"], "<u4").astype(np.uint64), np.frombuffer(r["levels"], np.uint8)
-                ids = own | (np.uint64(r["bucket"]) << np.uint64(32))
-                bits = np.zeros(segment, bool)
-                for j in range(starts[r["order"] - 1], int(q.max(initial=0)) + 1):
-                    h = gram_hash(ids[q >= j], r["order"], j)
-                    for i in range(PROBES):
-                        bits[position(h, i, segment)] = True
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r["bucket"]], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    bits = np.zeros(segment // 8 << bucket_bits, np.uint8)
-    for r in levels.select("bucket", "order", "keys", "levels").mapInArrow(fill, "bucket int, bits binary").toLocalIterator():
-        at = r.bucket * segment // 8
-        bits[at : at + segment // 8] |= np.frombuffer(r.bits, np.uint8)
-    model = Model(words, top.column("n").to_numpy(), bits, bucket_bits, segment, tuple(starts), tokens, types, np.zeros((2, LEVELS + 1)))
-
-    # Shares of each context level's mass that the discounted filter holds, over all training events.
-    sent = spark.sparkContext.broadcast(model)
-
-    def held_mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        mass, seen = np.zeros((2, LEVELS + 1)), np.zeros((2, LEVELS + 1))
+            columns = batch.column(0), batch.column(1), batch.column(2).fill_null("")
+            for block in blocks(columns[2], PORTION):
+                if held and size + len(block.buf) > PORTION:
+                    yield out()
+                    held, size, number = [], 0, number + 1
+                held.append(tuple(c.slice(block.first, len(block)) for c in columns))
+                size += len(block.buf)
+        if held:
+            yield out()
+
+    return stored(rows.mapInArrow(deal, "portion long, size long, ids array<long>, teaches array<boolean>, texts array<string>"), "lm-portions")
+
+
+def _block(texts: pa.Array) -> TextBlock:
+    return next(blocks(texts, 1 << 62), TextBlock(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0))
+
+
+def asked(parts: DataFrame, bucket_bits: int) -> DataFrame:
+    """Of each portion, order and bucket: the distinct n-grams and how often training documents have them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                for k, (context, got, _) in enumerate(_looked_up(m, *events(block)[:3])[1:]):
-                    q = level(context) * (context > 0)
-                    seen[k] += np.bincount(q, minlength=LEVELS + 1)
-                    mass[k] += np.bincount(q, weights=np.where(got > 0, 1 - DISCOUNT / np.maximum(got, 1), 0), minlength=LEVELS + 1)
-        at = np.argwhere(seen > 0)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(at[:, 0]), "q": pa.array(at[:, 1]), "mass": pa.array(mass[tuple(at.T)]), "seen": pa.array(seen[tuple(at.T)])})
-
-    for k, q, mass, seen in texts.mapInArrow(held_mass, "k long, q long, mass double, seen double").groupBy("k", "q").agg(F.sum("mass"), F.sum("seen")).collect():
-        model.shares[k, q] = min(mass / seen, 0.999)
-    model.shares[:, 0] = 0
-    sent.destroy()
-    return model, counts
-
-
-def _looked_up(m: Model, w: np.ndarray, v: np.ndarray, u: np.ndarray) -> list:
-    """For orders 1 to 3: the context's count (order 1: the table's row), the n-gram's count, the count's exactness."""
-    value = level_counts()
-    one, two, three, context = gram_keys(w, v, u)
-
-    at = m.table().find(w)
-    rare = np.flatnonzero(at < 0)
-    exact = m.counts[np.maximum(at, 0)] if len(m.counts) else np.zeros(len(w), np.int64)
-    c1 = exact.astype(float)
-    c1[rare] = value[m.level_of(one[rare], 1)]
-    # The context of a token is the token before, or the start: as many as there are end tokens.
-    first = v == START
-    before = np.concatenate([c1[:1], c1[:-1]])
-    ends = float(m.counts[row]) if (row := int(m.table().find(np.array([END]))[0])) >= 0 else 0.0
-    before[first] = ends
-    may = np.flatnonzero((c1 > 1) & (before > 1))
-    c2 = np.zeros(len(w))
-    c2[may] = value[m.level_of(two[may], 2)]
-    c2 = np.minimum(c2, np.minimum(c1, before))
-    # uv is the 2-gram that ended a token earlier; at a document's second token it starts with the start.
-    c_uv = np.concatenate([[0.0], c2[:-1]])
-    c_uv[first] = 0
-    may = np.flatnonzero((c2 > 0) & (c_uv > 0))
-    c3 = np.zeros(len(w))
-    c3[may] = value[m.level_of(three[may], 3)]
-    c3 = np.minimum(c3, np.minimum(c2, c_uv))
-    return [(at, c1, exact), (before, c2, None), (c_uv, c3, None)]
-
-
-def probabilities(m: Model, looked: list) -> np.ndarray:
+            for i in range(len(batch)):
+                e = events(_block(batch.column(2)[i].values))
+                teaches = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)[e.row]
+                for order in (1, 2, 3):
+                    cuts, names, _, gram = distinct(e, order, bucket_bits)
+                    counts = np.bincount(gram, weights=teaches, minlength=len(names)).astype("<u4")
+                    full = np.flatnonzero(np.diff(cuts)).tolist()
+                    yield pa.RecordBatch.from_pydict({
+                        "portion": pa.array([batch.column(0)[i].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "order": pa.array([order] * len(full), pa.int32()),
+                        "names": pa.array([names[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "counts": pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                    })
+
+    return parts.select("portion", "teaches", "texts").mapInArrow(ask, "portion long, bucket int, order int, names binary, counts binary")
+
+
+def answer(group: pa.Table, entry_bits: int = ENTRY_BITS) -> pa.Table:
+    """A bucket's answers to its portions: of 1-grams exact counts (8 bytes each), of others levels from the filter (1 byte)."""
+    order, flat = group.column("order")[0].as_py(), lambda c: b"".join(x.as_buffer().to_pybytes() for c_ in group.column(c).chunks for x in c_)
+    counts = np.frombuffer(flat("counts"), "<u4").astype(np.int64)
+    lengths = np.array([x.as_buffer().size // 4 for c in group.column("counts").chunks for x in c])
+    tokens = types = 0
+    if order == 1:
+        names = np.frombuffer(flat("names"), "<u8").reshape(-1, 2)
+        sort = np.lexsort((names[:, 0], names[:, 1]))
+        new = np.ones(len(sort), bool)
+        new[1:] = (names[sort[1:]] != names[sort[:-1]]).any(1)
+    else:
+        names = np.frombuffer(flat("names"), "<u4")
+        sort = np.argsort(names, kind="stable")
+        new = np.ones(len(sort), bool)
+        new[1:] = names[sort[1:]] != names[sort[:-1]]
+    total = np.add.reduceat(counts[sort], np.flatnonzero(new))
+    if order == 1:
+        tokens, types, found = int(total.sum()), int((total > 0).sum()), total.astype("<i8")
+    else:
+        ids, q = names[sort[new]], level(total)
+        found = Segment(ids[q > 0], q[q > 0], entry_bits).levels(ids).astype(np.uint8)
+    out = np.empty(len(sort), found.dtype)
+    out[sort] = found[new.cumsum() - 1]
+    ends = np.cumsum(lengths)
+    data = [out[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    once = [1, *[0] * (len(data) - 1)]
+    return pa.table({
+        "portion": group.column("portion").combine_chunks(), "order": group.column("order").combine_chunks(), "bucket": group.column("bucket").combine_chunks(), "found": pa.array(data, pa.binary()),
+        "tokens": pa.array([tokens * k for k in once], pa.int64()), "types": pa.array([types * k for k in once], pa.int64()),
+    })
+
+
+# ---------------------------------------------------------------- scores
+
+
+def read(e: Events, answers: pa.Table, bucket_bits: int, ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact count of every token's word, and levels of its 1-, 2- and 3-gram, none above its parts' (ends: level of the end token)."""
+    by = {1: [], 2: [], 3: []}
+    for r in answers.select(["order", "bucket", "found"]).sort_by([("order", "ascending"), ("bucket", "ascending")]).to_pylist():
+        by[r["order"]].append(r["found"])
+    count = np.frombuffer(b"".join(by[1]), "<i8")[distinct(e, 1, bucket_bits)[3]]
+    q = np.zeros((3, len(count)), np.int64)
+    q[0] = level(count)
+    for order in (2, 3):
+        q[order - 1] = np.frombuffer(b"".join(by[order]), np.uint8)[distinct(e, order, bucket_bits)[3]]
+    before = contexts(q, e.first, ends)
+    q[1] = np.minimum(q[1], np.minimum(q[0], before[0]))
+    q[2] = np.minimum(q[2], np.minimum(q[1], contexts(q, e.first, ends)[1]))
+    return count, q
+
+
+def contexts(q: np.ndarray, first: np.ndarray, ends: int) -> np.ndarray:
+    """Levels of what stands before each token: one token (the start: as many as there are ends), and two (0 at the first token)."""
+    out = np.zeros((2, q.shape[1]), np.int64)
+    out[:, 1:] = q[:2, :-1]
+    out[0, first], out[1, first] = ends, 0
+    return out
+
+
+def _joint(q: np.ndarray, first: np.ndarray, ends: int, teaches: np.ndarray) -> np.ndarray:
+    """For 2- and 3-grams: number of training events by the context's level and their own."""
+    context = contexts(q, first, ends)
+    return np.stack([np.bincount(context[k][teaches] * (LEVELS + 1) + q[k + 1][teaches], minlength=(LEVELS + 1) ** 2) for k in (0, 1)])
+
+
+def shares(joint: np.ndarray) -> np.ndarray:
+    """Of each context level's mass the share that discounted n-grams hold, from the events of ``_joint``."""
+    joint = joint.reshape(2, LEVELS + 1, LEVELS + 1).astype(float)
+    kept = np.concatenate([[0], 1 - DISCOUNT / np.maximum(level_counts()[1:], 1)])
+    seen = joint.sum(2)
+    out = np.where(seen > 0, np.minimum((joint * kept).sum(2) / np.maximum(seen, 1), 0.999), 0)
+    out[:, 0] = 0
+    return out
+
+
+def probabilities(q: np.ndarray, first: np.ndarray, ends: int, share: np.ndarray, tokens: int, types: int) -> np.ndarray:
     """log10 P of each token."""
-    p = (looked[0][1] + 1) / (m.tokens + m.types + 1)
-    for k, (context, got, _) in enumerate(looked[1:]):
-        q = level(context) * (context > 0)
-        p = np.where(got > 0, (got - DISCOUNT) / np.maximum(context, 1), 0) + (1 - m.shares[k][q]) * p
+    value, context = level_counts(), contexts(q, first, ends)
+    p = (value[q[0]] + 1) / (tokens + types + 1)
+    for k in (0, 1):
+        got, own = value[q[k + 1]], np.maximum(value[context[k]], 1)
+        p = np.where(got > 0, np.maximum(got - DISCOUNT, 0) / own, 0) + (1 - share[k][context[k]]) * p
     return np.log10(np.clip(p, 1e-300, 1))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
+def score_by(rows: DataFrame, *, entry_bits: int = ENTRY_BITS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of rows (doc_id, teaches, text), learnt from those that teach."""
+    spark = rows.sparkSession
     prepare(spark)
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, row = sent.value, TaskContext.get().partitionId() << 36
-        whole = np.log10(m.tokens + m.types + 1)
+    parts = portions(rows)
+    size = parts.agg(F.sum("size").alias("n")).first().n or 0
+    bits = max(1, (-(-size // BUCKET) - 1).bit_length())
+    reply = "portion long, order int, bucket int, found binary, tokens long, types long"
+    replies = stored(asked(parts, bits).groupBy("bucket", "order").applyInArrow(lambda group: answer(group, entry_bits), reply), "lm-replies")
+    total = replies.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    tokens, types = total.n or 0, total.v or 0
+    n_ends = parts.agg(F.sum(F.expr("size(filter(teaches, x -> x))")).alias("n")).first().n or 0
+    ends, whole = int(level(np.array([n_ends]))[0]), np.log10(tokens + types + 1)
+
+    def look(own: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, teaches, texts = (own.column(c).combine_chunks().flatten() for c in ("ids", "teaches", "texts"))
+        e = events(_block(texts))
+        count, q = read(e, answers, bits, ends)
+        n = len(ids)
+        at = np.concatenate([[0], np.cumsum(np.bincount(e.row, minlength=n))]) * 3
+        joint = _joint(q, e.first, ends, teaches.to_numpy(zero_copy_only=False)[e.row])
+        full = np.flatnonzero(joint)
+        once = pa.array([0, *[len(full)] * n], pa.int32())  # the portion's sums stand in its first row
+        levels = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(q.T.astype(np.uint8)))])
+        return pa.table({
+            "doc_id": ids, "n_tokens": pa.array(np.diff(at) // 3), "n_known": pa.array(np.bincount(e.row[count > 0], minlength=n)), "base_score": pa.array(np.bincount(e.row, weights=np.log10(count + 1.0) - whole, minlength=n)),
+            "levels": levels.cast(pa.binary()), "kind": pa.ListArray.from_arrays(once, pa.array(full.astype(np.int64))), "events": pa.ListArray.from_arrays(once, pa.array(joint.reshape(-1)[full])),
+        })
+
+    met = parts.select("portion", "ids", "teaches", "texts").groupBy("portion").cogroup(replies.select("portion", "order", "bucket", "found").groupBy("portion"))
+    found = stored(met.applyInArrow(look, "doc_id long, n_tokens long, n_known long, base_score double, levels binary, kind array<long>, events array<long>"), "lm-levels")
+    joint = np.zeros(2 * (LEVELS + 1) ** 2, np.int64)
+    for r in found.select(F.explode(F.arrays_zip("kind", "events")).alias("e")).groupBy("e.kind").agg(F.sum("e.events").alias("n")).collect():  # as many as there are pairs of levels
+        joint[r.kind] = r.n
+    share = shares(joint)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
-                w, v, u, rows = events(block)
-                looked = _looked_up(m, w, v, u)
-                at, _, exact = looked[0]
-                common, n = at >= 0, len(block)
-                base = np.bincount(rows, weights=np.where(common, np.log10(exact + 1.0), 0) - whole, minlength=n)
-                rare = np.flatnonzero(~common)
-                offs = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(row + np.arange(n)), "doc_id": batch.column(0).slice(block.first, n), "n_tokens": pa.array(np.bincount(rows, minlength=n)), "n_common": pa.array(np.bincount(rows[common], minlength=n)),
-                    "base": pa.array(base), "score": pa.array(np.bincount(rows, weights=probabilities(m, looked), minlength=n)), "rare": pa.ListArray.from_arrays(pa.array(offs), pa.array(w[rare].view(np.int64))),
-                })
-                row += n
-
-    source = wanted(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    found = stored(source.mapInArrow(run, "row long, doc_id long, n_tokens long, n_common long, base double, score double, rare array<long>"), "lm-scores")
-    # Common words are counted exactly already; the others' counts come by a join on their keys.
-    known = found.select("row", F.explode("rare").alias("key")).join(counts, "key").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"))
-    return found.drop("rare").join(known, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
-    )
-
-
-def remainder(id_col: str, mod: int) -> F.Column:
+            sizes = batch.column(1).to_numpy()
+            out = np.zeros(len(batch))
+            at = 0
+            while at < len(batch):  # about a portion's tokens at once
+                to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), PORTION // 4, "right")) + at)
+                n = sizes[at:to]
+                q = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(4).slice(at, to - at)), np.uint8).reshape(-1, 3).T.astype(np.int64)
+                first = np.zeros(q.shape[1], bool)
+                first[np.cumsum(n) - n] = True
+                out[at:to] = np.bincount(np.repeat(np.arange(len(n)), n), weights=probabilities(q, first, ends, share, tokens, types), minlength=len(n))
+                at = to
+            own = {c: batch.column(c) for c in ("doc_id", "n_tokens", "n_known")}
+            yield pa.RecordBatch.from_pydict({**own, "train_tokens": pa.array([tokens] * len(batch), pa.int64()), "base_score": batch.column(3), "score": pa.array(out)})
+
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "levels"]
+    return found.select(*names).mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def remainder(id_col: str, mod: int) -> Column:
     """crc32 of an id's decimal text, modulo."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod, F.lit(-1))
 
 
-def train_and_score(docs: DataFrame, *, folds: int = 7, held_out: int = 2) -> DataFrame:
+def train_and_score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, entry_bits: int = ENTRY_BITS) -> DataFrame:
     """Learn from all folds but one, score all documents."""
-    prepare(docs.sparkSession)
-    rows = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model, counts = train(rows.where(remainder("doc_id", folds) != held_out).select("text"))
-    out = score(rows, model, counts)
-    return out.select("doc_id", (remainder("doc_id", folds) == held_out).alias("held_out"), *out.columns[1:])
+    apart = remainder("doc_id", folds) == held_out
+    rows = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = score_by(rows.select("doc_id", (~apart).alias("teaches"), "text"), entry_bits=entry_bits)
+    return out.select("doc_id", apart.alias("held_out"), *out.columns[1:])
