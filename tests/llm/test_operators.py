@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers as P
@@ -270,34 +272,93 @@ def test_dedup_links_block_edits_and_nothing_else(spark, monkeypatch, tile):
     assert 60 < len(texts) - len(set(name)) < 160
 
 
-def test_lm_base_score_is_exact_and_model_helps(spark, none, monkeypatch):
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def test_lm_base_score_is_exact_and_model_helps(spark, none):
     rows = [(i, t) for i, t in TEXTS] + [(100 + i, prose(50, i % 7)) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, portion string, score double")
     count = collections.Counter(w for i, t in rows if not held(i) for w in tokens(t))
     n, v = sum(count.values()), len(count)
     want = collections.Counter()
     for i, t in rows:
         w = tokens(t)
         want[i, held(i), len(w), sum(count[x] > 0 for x in w), round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
-    for common in (1 << 20, 50):  # with few common words the rest comes by the join
-        monkeypatch.setattr(lm_score.train, "__kwdefaults__", {"common": common, "filter_bytes": 32 << 20})
-        got = lm_score.train_and_score(docs).collect()
-        assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-        assert {r.train_tokens for r in got} == {n}
+    got = lm_score.train_and_score(docs.repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} == {n}
     assert all(r.score <= 0 for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got)
     assert lm_score.train_and_score(none).count() == 0
+    untaught = lm_score.score_by(docs.select("doc_id", F.lit(False).alias("teaches"), "text")).collect()
+    assert len(untaught) == len(rows) and all(r.n_known == r.train_tokens == 0 and r.base_score == 0 for r in untaught)
 
 
-def test_bloom_levels_come_back(spark):
-    texts = spark.createDataFrame([("x y",)] * 40 + [("x z",)] * 5 + [("q r",)], "text string")
-    shared.prepare(spark)
-    model, _ = lm_score.train(texts)
-    block = next(shared.blocks(pa.array(["x y", "x z", "q r"])))
-    w, v, u, _ = lm_score.events(block)
-    found = model.level_of(lm_score.gram_keys(w, v, u)[1], 2)
-    assert found.tolist() == [lm_score.level(np.array([45]))[0], lm_score.level(np.array([40]))[0], lm_score.level(np.array([40]))[0]] + [lm_score.level(np.array([45]))[0], lm_score.level(np.array([5]))[0], lm_score.level(np.array([5]))[0]] + [0, 0, 0]
+def test_lm_score_by_brute_force(spark):
+    rows = [(i, prose(5 + i % 30, i % 50)) for i in range(90)] + [(200, None), (201, prose(300, 9)), (202, prose(300, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grams = [collections.Counter() for _ in range(3)]
+    for i, t in rows:
+        if not held(i):
+            w = [0, 0, *tokens(t)]
+            for k in range(2, len(w)):
+                for o in range(3):
+                    grams[o][tuple(w[k - o : k + 1])] += 1
+    value = lm_score.level_counts()
+    q = lambda c: 1 + math.floor(2 * math.log2(c) + 1e-9) if c else 0
+    ends, total, types = q(sum(not held(i) for i, _ in rows)), sum(grams[0].values()), len(grams[0])
+
+    def levels(t):  # of each token: its 1-, 2- and 3-gram and the contexts of the latter two
+        w, out = [0, 0, *tokens(t)], []
+        for k in range(2, len(w)):
+            one = q(grams[0][w[k],])
+            before = ends if k == 2 else out[-1][0]
+            two = min(q(grams[1][w[k - 1], w[k]]), one, before)
+            above = 0 if k == 2 else out[-1][1]
+            out.append((one, two, min(q(grams[2][tuple(w[k - 2 : k + 1])]), two, above), before, above))
+        return out
+
+    seen, mass = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            for _, two, three, c2, c3 in levels(t):
+                for k, own, c in ((0, two, c2), (1, three, c3)):
+                    seen[k, c] += 1
+                    mass[k, c] += 1 - 0.75 / value[own] if own else 0
+    share = lambda k, c: min(mass[k, c] / seen[k, c], 0.999) if c and seen[k, c] else 0
+    want = {}
+    for i, t in rows:
+        want[i] = 0
+        for one, two, three, c2, c3 in levels(t):
+            p = (value[one] + 1) / (total + types + 1)
+            for k, own, c in ((0, two, c2), (1, three, c3)):
+                p = (max(value[own] - 0.75, 0) / max(value[c], 1) if own else 0) + (1 - share(k, c)) * p
+            want[i] += math.log10(min(p, 1))
+    got = {r.doc_id: r.score for r in lm_score.train_and_score(docs, entry_bits=4096).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 * max(1, abs(want[i])) for i in want)
+
+
+def test_lm_knows_words_of_equal_sums_apart(spark):
+    parity = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = parity.translate(str.maketrans("ab", "ba"))
+    rows = [(0, True, f"{parity} x"), (1, False, f"{other} x")]
+    got = {r.doc_id: r for r in lm_score.score_by(spark.createDataFrame(rows, "doc_id long, teaches boolean, text string")).collect()}
+    assert got[0].n_known == 3 and got[1].n_known == 2  # the word x and the end
+    assert abs(got[1].base_score - sum(math.log10((c + 1) / 7) for c in (0, 1, 1))) < 1e-12
+
+
+def test_lm_filter_keeps_every_count():
+    r = np.random.default_rng(1)
+    ids = np.unique(r.integers(0, 1 << 32, 20_000, dtype=np.uint32))
+    counts = np.minimum(r.zipf(1.3, len(ids)), 1 << 40)
+    got = lm_score.Segment(ids, lm_score.level(counts)).levels(ids)
+    assert (got >= lm_score.level(counts)).all() and (got == lm_score.level(counts)).mean() > 0.99
+    new = np.setdiff1d(r.integers(0, 1 << 32, 20_000, dtype=np.uint32), ids)
+    assert (lm_score.Segment(ids, lm_score.level(counts)).levels(new) > 0).mean() < 0.01
 
 
 def test_digests(spark, docs, none):
@@ -347,6 +408,78 @@ def test_html(spark, none):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def main_text(source):
+    page = html_extract.Page(source)
+    best = page.best()
+    return page.text(best[0][1]) if best else ""
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article><p>a</p><svg><svg></svg><text>leak</text></svg><p>b</p></article>", "a b"),
+        ("<article><p>a</p><svg><text>drawn</text><p>b</p></article>", "a b"),
+        ("<article><section id='related-work'><p>Work of others.</p></section><p class='search-tree'>A tree.</p><div class='related-posts'>x</div></article>", "Work of others. A tree."),
+        ("<article><p>text</p><div id='search-results-for-you'><a>one</a> <a>two</a></div></article>", "text"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p></article>", "let x=1 be"),
+        ("<article><p>AT&<b>amp;</b>T &amp;lt; &eacute;</p></article>", "AT&amp;T &lt; é"),
+        (f"<article><p title='{'x' * 20_050} > y'>good</p></article>", "good"),
+        ("<div><p title=\"abc>text</p><p>more</p></div>", "text more"),
+        ("<article><p>a<!-- x -- y > z -->b<!-->c</p></article>", "abc"),
+        ("<body><table><tr><td>a<td>b<tr><td>c</table></body>", "a b c"),
+        ("<p>1 < 2 and 3 <4</p>", "1 < 2 and 3 <4"),
+        ("<article>x<xmp><b>y</b></xmp><textarea>z</textarea></article>", "x <b>y</b>"),
+        ("<article><table><tr><td>in</div> cell</td></tr></table> after</article>", "in cell after"),
+        ("<article>" + "<div>" * 500 + "<p>deep</p></article>", "deep"),
+    ],
+)
+def test_html_cases(source, want):
+    assert main_text(source) == want
+
+
+@pytest.mark.parametrize("source", ["<b>" * 30_000 + "</i>" * 30_000, "<ul><li>" + "<b>" * 20_000 + "<li>a" * 20_000, "<a title=\"" * 30_000, "<a title='x " * 30_000, "<!-- " * 30_000, "<p " + 'a="b" ' * 100_000 + ">x"])
+def test_html_takes_linear_time(source):
+    began = time.process_time()
+    html_extract.Page(source).best()
+    assert time.process_time() - began < 2
+
+
+def test_deep_paths_differ():
+    page = html_extract.Page("<div>" * 100 + "<p class='a'>x</p><p class='b'>y</p>")
+    assert len(set(page.path[-2:])) == 2 and max(map(len, page.path)) < 1000
+
+
+def test_html_equals_a_parser_on_all_pages(spark):
+    class Articles(HTMLParser):  # of pages whose text is their article, without notices in it
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.ad, self.out = 0, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.ad += tag == "div" and (self.ad > 0 or dict(attrs).get("class") == "ad")
+            self.out.append(" " * (tag not in ("a", "b")))
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.ad -= tag == "div" and self.ad > 0
+            self.out.append(" " * (tag not in ("a", "b")))
+
+        def handle_data(self, data):
+            if self.inside and not self.ad:
+                self.out.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in html_extract.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 200
+    for r in rows:
+        naive = Articles()
+        naive.feed(r.html or "")
+        naive.close()
+        assert got[r.page_id].text == " ".join("".join(naive.out).split()) and got[r.page_id].url == r.url
+
+
 def test_consensus_overrules_one_page(spark):
     usual = "<body><main class='m1'><p>" + prose(60, 1) + "</p></main><div class='x'><p>{}</p></div></body>"
     rows = [(i, "http://h.example.com/", usual.format("short")) for i in range(8)] + [(9, "http://h.example.com/", usual.format(prose(300, 2)))]
