@@ -7,7 +7,7 @@ from tablewright.functions import dates, numbers, similarity, text
 from tablewright.operators import clean, fuzzy, positional, quality, rules, schema
 from tablewright.operators.compare import CompareOptions, Comparison, cosmetic
 from tablewright.operators.store import Store
-from tablewright.sources import tables, writers, xlsx
+from tablewright.sources import csv_text, tables, writers, xlsx
 from tablewright.sources.errors import FileLoadError, friendly_message, to_friendly_error
 
 HEAD = "ID;Nombre;Responsable / Correo;Cantidad Total;Fecha Compra;Pais;Auditoria"
@@ -209,30 +209,67 @@ def test_workbooks(spark, tmp_path):
 
 
 def test_friendly_errors(spark, tmp_path):
-    for name, data, words in (("informe.pdf", b"x", "no soportado"), ("malo.xlsx", b"x", "no es un libro"), ("vacio.csv", b"", "vacío"), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n", "línea 3"), ("viejo.xls", b"x", "componente")):
+    for name, data, words in (("informe.pdf", b"x", "formato no soportado"), ("malo.xlsx", b"x", "no es un libro de Excel"), ("vacio.csv", b"", "está vacío"), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n", "línea 3 .*columnas"), ("viejo.xls", b"x", "componente")):
         (tmp_path / name).write_bytes(data)
         with pytest.raises(FileLoadError, match=words) as e:
             tables.load_table(spark, str(tmp_path / name))
         assert e.value.suggestion
-    assert "dañado" in to_friendly_error(ValueError("x")).suggestion and "columna" in friendly_message(KeyError("a"))[0]
-
-
-def test_large_csv_is_numbered_like_a_small_one(spark, tmp_path, monkeypatch):
-    lines = ["id,texto", *[f'{i},"valor, {i} ñ"' for i in range(500)], "", "x,"]
-    (tmp_path / "g.csv").write_bytes("\n".join(lines).encode("cp1252"))
-    small, _ = tables.load_table(spark, str(tmp_path / "g.csv"))
+    assert "dañado" in to_friendly_error(ValueError("x")).suggestion and "columna a" in friendly_message(KeyError("a"), "comparar")[0]
+    with pytest.raises(FileLoadError, match="No se encuentra") as e:
+        tables.load_table(spark, str(tmp_path / "nada.csv"))
+    assert e.value.technical
+    try:
+        spark.range(1).select("nada").collect()
+    except Exception as exc:
+        assert "falta la columna" in friendly_message(exc, "comparar")[0]
+
+
+ODD_CSV = [
+    "\n".join(["id,texto", *[f'{i},"valor, {i} ñ"' for i in range(500)], "", "x,"]).encode("cp1252"),
+    b'\xef\xbb\xbfa;b\r\n1;"x\r\ny ""z"""\r\n\r\n2;"p;q"\r\n3;5" pipe\r\n4\r\n5; "s"t\r\n6;\xc3\xb1',
+    "\n".join(["a,b", *[f'{i},"line\n\nof {i}, ""quoted"" \n end"' for i in range(300)], "9,x"]).encode(),
+    b"\n\na|b\n1|2\n" + b"\n".join(b"%d|plain" % i for i in range(400)) + b"\n7|late \xe9\n",  # the only byte that isn't UTF-8
+    b"a\tb\n1\t\x81\xe9\n",
+    b"a;b\r1;2\r3;\"4\r5\"\r",
+    ("id,t\n" + '1,"' + "long\n" * 2000 + '"\n2,b\n').encode(),
+]
+
+
+@pytest.mark.parametrize("raw", ODD_CSV, ids=range(len(ODD_CSV)))
+def test_csv_is_read_alike_at_every_size(spark, tmp_path, monkeypatch, raw):
+    (tmp_path / "g.csv").write_bytes(raw)
+    small, said = tables.load_table(spark, str(tmp_path / "g.csv"))
     monkeypatch.setattr(tables, "DRIVER_BYTES", 0)
-    large, _ = tables.load_table(spark, str(tmp_path / "g.csv"))
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    (tmp_path / "r.csv").write_text("a,b\n1,2\n1,2,3\n")
-    with pytest.raises(FileLoadError, match="línea 3"):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # records cross partitions
+    try:
+        large, again = tables.load_table(spark, str(tmp_path / "g.csv"))
+        assert large.rdd.getNumPartitions() > 1 or len(raw) < 2000
+        assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert small.columns == large.columns and said == again and small.count() > 0
+    uploaded, _ = tables.load_bytes(spark, "g.csv", raw)
+    assert sorted(map(tuple, uploaded.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_faulty_csv_names_the_line(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(tables, "DRIVER_BYTES", limit)
+    (tmp_path / "r.csv").write_text('a,b\n1,"x\ny"\n1,2,3\n')
+    with pytest.raises(FileLoadError, match="línea 4 trae 3"):
         tables.load_table(spark, str(tmp_path / "r.csv"))
+    (tmp_path / "q.csv").write_text('a,b\n1,2\n1,"never\nclosed\n')
+    with pytest.raises(FileLoadError, match="línea 3"):
+        tables.load_table(spark, str(tmp_path / "q.csv"))[0].collect()
 
 
 def test_headers_and_lists():
     assert tables.unique_headers(["a", "", "a", None])[0] == ["a", "Columna_2", "a (2)", "Columna_4"]
+    assert tables.unique_headers(["a", "a (2)", "a", "a"])[0] == ["a", "a (2)", "a (3)", "a (4)"]
     assert tables.ranges([1, 2, 3, 7, 8]) == ["1-3", "7-8"] and tables.listed(range(8)) == "0, 1, 2, 3, 4, 5 y 2 más"
-    assert tables.separator("a;b\n1;2") == ";" and xlsx.letters(28) == "AB" and xlsx.place("AB3") == (3, 28)
+    assert csv_text.separator("a;b\n1;2") == ";" and xlsx.letters(28) == "AB" and xlsx.place("AB3") == (3, 28)
+    assert csv_text.separator("a;b;c\n1,5;2,5;3,5\n1,5;2;3") == ";" and csv_text.separator("sola\nuna") == ","
+    assert csv_text.separator('a,b\n"x;y;z",2\n"p;q;r",3') == "," and csv_text.charset(b"\x81") == "latin-1"
 
 
 def test_reports(pair, tmp_path):
