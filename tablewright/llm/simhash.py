@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, TextBlock, blocks, column, join_skewed, mix, owned, prepare, span_keys, stored, wanted, word_spans
+from tablewright.llm.shared import LOWER, TextBlock, attach, blocks, column, join_skewed, mix, owned, prepare, span_keys, stored, wanted, word_spans
 
 #: Members of a bucket on either side beyond which it is dealt out in tiles.
 TILE = 4096
@@ -70,6 +70,8 @@ class Overlap:
 
 #: Five words, 0.8: wherever a pair differs, the chance that no band finds it is (1 - 0.8 ** 5) ** 32 = 3e-6 at 0.8, less above.
 FIVE_WORDS = Overlap()
+#: A bucket with over a SHARE-th of the rows is dealt out by SALTS; HOT: nodes of a 64th part that it must have at least.
+SHARE, SALTS, HOT = 2000, 64, 32
 #: Shingles and texts of a group of candidates beyond which it is dealt out in tiles.
 TILE_SHINGLES, TILE_TEXTS = 1 << 21, 4096
 
@@ -326,7 +328,7 @@ def components(edges: DataFrame) -> DataFrame:
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     moves = []
     while True:
-        pairs = edges.where("a <> b").distinct()
+        pairs = stored(edges.where("a <> b").distinct(), "component-pairs")
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(order("a"), "m")["n"].alias("to"))
         least = stored(least, "component-moves")
@@ -334,13 +336,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         moves.append(least)
         to = lambda c: least.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to"))
-        edges = stored(pairs.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "component-edges")
+        # A node may hold most edges: moves are attached to both ends without sending it to one task.
+        edges = stored(attach(attach(pairs, to("a"), ["a"]), to("b"), ["b"]).where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), "component-edges")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
     roots = moves.pop().select(F.col("a").alias("node"), F.col("to").alias("root"))
     while moves:
         last = moves.pop()
-        roots = stored(last.join(roots, last["to"] == roots["node"], "left").select(last["a"].alias("node"), F.coalesce(roots["root"], last["to"]).alias("root")), "component-roots")
+        above = stored(roots.select(F.col("node").alias("to"), "root"), "component-above")
+        roots = stored(attach(last, above, ["to"]).select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root")), "component-roots")
     return roots
 
 
@@ -352,9 +356,11 @@ def near_duplicates(docs: DataFrame, how: Closeness = FOUR_BITS, *, id_col: str
     prints = stored(prints.withColumn("node", node), "simhash-prints")
     classes = stored(prints.groupBy("node", "fp", *sketch).agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = components(links(classes.drop("first"), how))
-    whole = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(whole.join(least, "root").select("node", "component_id"), "simhash-components")
+    whole = stored(classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    least = stored(whole.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "simhash-least")
+    # Most nodes are components of their own; only the others are joined to their component's smallest id.
+    several = attach(whole.where("node <> root").select("node", "root"), least.where("n > 1").select("root", "component_id"), ["root"]).select("node", "component_id")
+    named = stored(several.unionByName(least.select(F.col("root").alias("node"), "component_id")), "simhash-components")
     return join_skewed(prints.select("doc_id", "fp", "node"), named, ["node"]).select("doc_id", "fp", "component_id")
 
 
@@ -459,7 +465,17 @@ def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame,
     classes = prints.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"))
     buckets = prints.select("node", F.explode("bands").alias("bucket")).distinct().select("bucket", "node")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    stars = stored(buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long"), "copies-candidates")
+    # Buckets that seem to hold over a SHARE-th of all rows, judged by a 64th of the nodes, are dealt out by salt; their salts' first nodes meet after.
+    some = buckets.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
+    some = stored(some.where("n > 1"), "copies-some")
+    seen = prints.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node").distinct().count() * how.bands
+    hot = some.where(F.col("n") > max(HOT, seen // SHARE)).select("bucket", F.lit(True).alias("hot"))  # fewer than SHARE rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))).otherwise(0)
+    dealt = buckets.join(F.broadcast(hot), "bucket", "left").select("bucket", salt.cast("int").alias("salt"), "node")
+    wide = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node").select(F.xxhash64("bucket", "salt").alias("bucket"), "node")
+    stars = wide.mapInArrow(_stars, "a long, b long")
+    leads = dealt.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket", "salt").agg(F.min("node").alias("node")).select("bucket", "node")  # SHARE x SALTS rows at most
+    stars = stored(stars.unionByName(leads.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long")), "copies-candidates")
     prepare(spark)
     groups = stored(components(stars).join(classes, "node"), "copies-groups")
     parts = F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_TEXTS)).cast("int")
