@@ -5,8 +5,8 @@ leaves hold over all epochs, and what it can't take its siblings share by weight
 all of a parent's children are full does the shortage reach the parent's own siblings.  All arithmetic is in whole tokens.
 
 A leaf's budget is met by whole epochs and a prefix of one more: documents in the seeded order of
-md5("seed:epoch:doc_id") as long as their tokens fit.  Prefixes are found without sorting a leaf: sums of 4,096 hash buckets
-show in which bucket the prefix ends, and only that bucket's documents are ranked.
+md5("seed:epoch:doc_id") as long as their tokens fit.  Prefixes are found without sorting a leaf: sums of 256 hash buckets
+show in which one the prefix ends, that one is cut into 256 again until it is small, and only its documents are ranked.
 
 Defined results: null text holds no tokens; null tree columns are the value ""; rows that agree in order and tokens are
 taken together or not at all; a node without a weight gets nothing; an empty table gives an empty result; other columns are passed by.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.shared import attach, column, owned, prepare, stored
 
 LEAF = ["domain", "lang", "source"]
+#: Documents of a bucket that are ranked at once.
+RANKED = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,13 +95,20 @@ def decisions(docs: DataFrame, recipe: Recipe = RECIPE) -> tuple[DataFrame, Data
     rows = stored(leaves(docs, recipe).select(*[F.col(f"__{c}").alias(c) for c in LEAF], F.col("__id").alias("id"), F.col("__n").alias("n")), "mix-rows")
     plan = stored(budgets(rows.groupBy(*LEAF).agg(F.sum("n").alias("tokens")).where("tokens > 0"), recipe), "mix-budgets")
     plan = plan.select(*LEAF, F.expr("budget DIV tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"))
-    dealt = attach(rows, plan, LEAF).where("epochs IS NOT NULL").withColumn("h", _order(recipe, F.col("id"), F.col("epochs"))).withColumn("bucket", F.substring("h", 1, 3))
-    sums = dealt.groupBy(*LEAF, "rest", "bucket").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket"))
-    ends = stored(sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEAF, "rest").agg(F.min(F.struct("bucket", "upto", "n")).alias("e")).select(*LEAF, "rest", F.col("e.bucket").alias("bucket"), (F.col("e.upto") - F.col("e.n")).alias("before")), "mix-ends")
-    # Only documents of the bucket in which the prefix ends are ranked.
-    last = attach(dealt.drop("rest"), ends.withColumnRenamed("bucket", "end_bucket"), LEAF).where("bucket = end_bucket")
-    ranked = last.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("h", "n")))
+    near = attach(rows, plan, LEAF).where("epochs IS NOT NULL").withColumn("h", _order(recipe, F.col("id"), F.col("epochs"))).select(*LEAF, "h", "n")
+    ends = plan.select(*LEAF, "rest", F.lit("").alias("bucket"), F.lit(0).cast("long").alias("before"))
+    for digits in range(2, 33, 2):
+        sums = attach(near, ends.drop("bucket"), LEAF).groupBy(*LEAF, "rest", "before", F.substring("h", 1, digits).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket"))  # of 256 buckets at most
+        first = sums.withColumn("upto", upto).where("upto > rest").groupBy(*LEAF, "rest").agg(F.min(F.struct("bucket", "upto", "n", "docs")).alias("e"))
+        ends = stored(first.select(*LEAF, "rest", F.col("e.bucket").alias("bucket"), (F.col("e.upto") - F.col("e.n")).alias("before"), F.col("e.docs").alias("docs")), "mix-ends")
+        near = stored(attach(near, ends.select(*LEAF, "bucket"), LEAF).where("startswith(h, bucket)").drop("bucket"), "mix-near")
+        if (ends.agg(F.max("docs").alias("n")).first().n or 0) <= RANKED:
+            break
+        ends = ends.drop("docs")
+    # Rows that agree in order and tokens are one, so copies of an id are ranked once.
+    last = attach(near.groupBy(*LEAF, "h", "n").agg(F.sum("n").alias("m")), ends.select(*LEAF, "rest", "before"), LEAF)
+    ranked = last.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy(*LEAF).orderBy("h", "n")))
     edge = ranked.where("upto <= rest").groupBy(*LEAF).agg(F.max(F.struct("h", "n")).alias("edge"))
     cut = ends.join(edge, LEAF, "left").select(*LEAF, F.coalesce(F.col("edge.h"), F.col("bucket")).alias("cut_h"), F.coalesce(F.col("edge.n"), F.lit(-1)).alias("cut_n"))
     return rows, stored(plan.join(cut, LEAF, "left").select(*LEAF, "epochs", "cut_h", "cut_n"), "mix-plan")
