@@ -43,10 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents: own evidence with their host's and path's rates."""
     from pyspark.sql import functions as F
 
-    from tablewright.llm.quality import assess, learn
+    from tablewright.llm.quality import assess, learn, taught
 
-    docs = _table(spark, sf_dir, "documents")
-    found = assess(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    docs, marked = _table(spark, sf_dir, "documents"), taught(_table(spark, sf_dir, "labels"))
+    found = assess(docs, learn(docs, marked), marked)
     names = {"__evidence": "evidence", "__host_rate": "host_rate", "__path_rate": "path_rate", "__quality": "quality_score", "__keep": "keep"}
     return found.select("doc_id", "source", "lang", *[F.col(k).alias(v) for k, v in names.items()])
 
