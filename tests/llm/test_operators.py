@@ -246,6 +246,9 @@ def test_dedup_tells_rows_apart_without_ids(spark):
 @pytest.mark.parametrize("tile", [4096, 8])
 def test_dedup_links_block_edits_and_nothing_else(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE_TEXTS", tile)
+    if tile == 8:  # and every bucket that the 64th part shows twice is hot
+        monkeypatch.setattr(simhash, "HOT", 0)
+        monkeypatch.setattr(simhash, "SHARE", 10**9)
     r = random.Random(9)
     texts = []
     for i in range(120):  # one block of each text replaced, appended or cut, to similarities around 0.8
@@ -542,6 +545,55 @@ def test_gradients_are_right():
         assert abs((up - down) / (2 * h) - g[k][at]) < 0.03 * abs(g[k][at]) + 2e-5, k
 
 
+def naive_toxicity(net, text):
+    """Score of a text, word by word and window by window."""
+    mask, full = toxicity.BUCKETS - 1, (1 << 64) - 1
+    finish = lambda h: int(shared.mix(np.array([h & full], np.uint64))[0])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        raw = np.frombuffer(word, np.uint8)
+        key = int(shared.span_keys(raw, np.array([0]), np.array([len(raw)]))[0])
+        marked, grams = [2, *word, 3], []
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for byte in marked[i : i + n]:
+                    h = (h * 257 + byte) & full
+                grams.append(finish(h) & mask)
+        return np.concatenate([net.p["word"][key & mask], sum(net.p["char"][g].astype(float) for g in grams) / math.sqrt(len(grams))]).astype(float)
+
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    h_, best, at = toxicity.HIDDEN, -math.inf, 0
+    while True:
+        own = words[at : at + toxicity.WINDOW]
+        states = np.zeros((len(own), 2 * h_))
+        for k, order in ((0, range(len(own))), (1, reversed(range(len(own))))):
+            h = np.zeros(h_)
+            for i in order:
+                x, a = vector(own[i]) @ net.p["wx"][k] + net.p["b"][k], h @ net.p["u"][k]
+                z, r = sig(x[:h_] + a[:h_]), sig(x[h_ : 2 * h_] + a[h_ : 2 * h_])
+                new = np.tanh(x[2 * h_ :] + r * a[2 * h_ :])
+                h = (1 - z) * new + z * h
+                states[i, k * h_ : (k + 1) * h_] = h
+        weight = np.exp(np.tanh(states @ net.p["wa"]) @ net.p["va"])
+        pooled = weight @ states / weight.sum() if len(own) else np.zeros(2 * h_)
+        best = max(best, float(pooled @ net.p["wo"] + net.p["bo"][0]))
+        if at + toxicity.WINDOW >= len(words):
+            return float(sig(net.scale * best + net.shift))
+        at += toxicity.STRIDE
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    net, r = toxicity.Network(), np.random.default_rng(8)
+    for k in net.p:
+        net.p[k] = (r.normal(size=net.p[k].shape) * 0.5).astype(np.float32)
+    texts = [None, "", "one", "ÉCOLE Für İ 中文 WORD", BASE, prose(32, 1), prose(33, 2), prose(48, 3), prose(49, 4), "x" * 3000, prose(4000, 5)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
+    for row in toxicity.score(docs, net).collect():
+        assert abs(row.score - naive_toxicity(net, texts[row.doc_id])) < 1e-4
+
+
 def test_toxicity_generalises(spark, none):
     r = random.Random(3)
     rows = []
@@ -595,17 +647,42 @@ def test_quality(spark, none, docs):
         rows.append((i, t.upper().replace(" ", "!! ") if bad else t, "en" if i % 3 else None, "hot" if i % 2 else f"s{i % 40}", int(not bad), "x"))
     docs_ = spark.createDataFrame([r[:4] + r[5:] for r in rows], "doc_id long, text string, lang string, source string, good string")
     labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int")
-    model = quality.learn(docs_, labels)
-    got = {r.doc_id: r for r in quality.assess(docs_, model).collect()}
-    assert len(got) == 600 and sum(got[r[0]]["__keep"] == bool(r[4]) for r in rows) >= 594
-    # Rates by brute force: shrunk path rates without the document itself.
-    table, mean = quality.rates(docs_, model)
-    sites = {(r["__host"], r["__path"]): r for r in table.collect()}
-    one = got[1]
-    site = sites["=hot", "=en"]
-    assert abs(one["__path_rate"] - (site.good - one["__evidence"] + site.strength * site.host_rate) / (site.n - 1 + site.strength)) < 1e-9
-    assert quality.assess(docs_, model, only_kept=True).columns == docs_.columns
-    assert quality.assess(docs, model).count() == len(TEXTS) and quality.assess(none, model).count() == 0
+    labels = labels.unionByName(labels.limit(40)).unionByName(spark.createDataFrame([(5000, 1), (None, 0)], labels.schema))
+    marked = quality.taught(labels, sample=300)
+    known = {r.doc_id: r.quality for r in marked.collect()}
+    assert len(known) == 300 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in known)
+    model = quality.learn(docs_, marked)
+    found = quality.assess(docs_, model, marked).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(got) == 600 and sum(got[r[0]]["__keep"] == bool(r[4]) for r in rows) >= 594
+    # All rates by brute force: paths shrink to their host, hosts to all, each document without itself.
+    worth = {i: known.get(i, r["__evidence"]) for i, r in got.items()}
+    site = {r[0]: (r[3], r[2]) for r in rows}
+    n, good = collections.Counter(), collections.Counter()
+    for i, (host, path) in site.items():
+        for key in ((host, path), host, "all"):
+            n[key] += 1
+            good[key] += worth[i]
+    mean = (good["all"] + 0.5) / (n["all"] + 1)
+
+    def strength(groups):  # (rate, mean, rows)
+        total = sum(k for *_, k in groups)
+        spread, chance = sum(k * (r - m) ** 2 for r, m, k in groups), sum(m * (1 - m) for _, m, _ in groups)
+        return min(max(sum(k * m * (1 - m) for _, m, k in groups) / total / max((spread - chance) / total, 1e-9) - 1, 1), 1e6)
+
+    hosts = {h for h, _ in site.values()}
+    k0 = strength([(good[h] / n[h], mean, n[h]) for h in hosts])
+    rate = {h: (good[h] + k0 * mean) / (n[h] + k0) for h in hosts}
+    k1 = strength([(good[s] / n[s], rate[s[0]], n[s]) for s in set(site.values())])
+    logit = lambda p: math.log(p / (1 - p))
+    for i, r in got.items():
+        s = site[i]
+        path_rate = (good[s] - worth[i] + k1 * rate[s[0]]) / (n[s] - 1 + k1)
+        assert abs(r["__host_rate"] - rate[s[0]]) < 1e-9 and abs(r["__path_rate"] - path_rate) < 1e-6
+        z = logit(min(max(r["__evidence"], 1e-9), 1 - 1e-9)) + logit(min(max(path_rate, 1e-6), 1 - 1e-6)) - logit(mean)
+        assert abs(r["__quality"] - 1 / (1 + math.exp(-z))) < 1e-6
+    assert quality.assess(docs_, model, marked, only_kept=True).columns == docs_.columns
+    assert quality.assess(docs, model).count() == len(TEXTS) and quality.assess(none, model, marked).count() == 0
 
 
 def test_mixing_by_brute_force(spark, docs, none):
@@ -624,6 +701,16 @@ def test_mixing_by_brute_force(spark, docs, none):
         used[r.domain, r.lang, r.source] += r.n_tokens
     assert sum(used.values()) <= sum(leaf.values()) * 6 // 10
     assert all(n <= 3 * leaf[k] for k, n in used.items()) and {r.epoch for r in rows} <= {0, 1, 2}
+    # Every leaf's prefix by brute force: whole epochs, then documents in seeded order as long as they fit.
+    plan = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(spark.createDataFrame([(*k, n) for k, n in leaf.items() if n], "domain string, lang string, source string, tokens long"), recipe).collect()}
+    want = collections.Counter()
+    for key, budget in plan.items():
+        epochs, rest = divmod(budget, leaf[key])
+        own = sorted((hashlib.md5(f"{recipe.seed}:{epochs}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), count(r.text), -1 if r.doc_id is None else r.doc_id) for r in docs.collect() if of[r.doc_id, r.text] == key)
+        for h, n, i in own:
+            inside = sum(m for g, m, _ in own if (g, m) <= (h, n)) <= rest
+            want.update({(i, n, e): 1 for e in range(epochs + inside)} if epochs + inside else {})
+    assert collections.Counter((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.epoch) for r in rows) == want
     copies = mixing.mixed(docs, recipe)
     assert copies.count() == len(rows) and copies.columns == docs.columns and mixing.selected(none).count() == 0
 
@@ -637,9 +724,12 @@ def test_shortage_goes_to_siblings_first(spark):
     assert half == {("a", "x"): 10, ("a", "y"): 292, ("b", "x"): 302}
 
 
-def test_mixing_sql_agrees(spark, tmp_path):
+@pytest.mark.parametrize("ranked", [256, 1])
+def test_mixing_sql_agrees(spark, tmp_path, monkeypatch, ranked):
     import duckdb
 
+    monkeypatch.setattr(mixing, "RANKED", ranked)  # with 1 buckets are cut down to single hashes
+
     rows = [(i, prose(5 + i % 40, i), ["en", "de", "fr", "es"][i % 4], f"src{i * i % 13}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     docs.coalesce(1).write.parquet(str(tmp_path / "d"))
