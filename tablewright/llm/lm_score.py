@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,37 +160,60 @@ def _hash(ids: np.ndarray, j: int) -> np.ndarray:
 # ---------------------------------------------------------------- portions, questions, answers
 
 
+def pressed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes: all first bytes, all second bytes, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpressed(data: bytes, dtype: str, width: int = 1) -> np.ndarray:
+    """Numbers of ``pressed``, in rows of ``width`` where that is over 1."""
+    size = np.dtype(dtype).itemsize * width
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype)
+    return out if width > 1 else out.reshape(-1)
+
+
+def _joined(parts: list[np.ndarray], dtype: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def portions(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, teaches, text) dealt into portions, one row each, as a written table: portion, size, ids, teaches, texts."""
+    """Rows (doc_id, teaches, text) dealt into portions, one row each, as a written table: portion, size (bytes of text), ids, teaches, ends, texts.
+
+    texts: all UTF-8 bytes, compressed; ends: where each text ends in them.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Array, ...]] = []
+        held: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            ids, teaches, texts = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            ids, teaches = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+            ends = pa.array(np.cumsum(np.concatenate([np.diff(h[2].offs) for h in held])))
+            texts = zstandard.ZstdCompressor(level=1).compress(b"".join(h[2].buf.tobytes() for h in held))
             whole = pa.array([0, len(ids)], pa.int32())
-            return pa.RecordBatch.from_pydict({"portion": pa.array([number]), "size": pa.array([size]), **{c: pa.ListArray.from_arrays(whole, x) for c, x in (("ids", ids), ("teaches", teaches), ("texts", texts))}})
+            lists = {c: pa.ListArray.from_arrays(whole, x) for c, x in (("ids", ids), ("teaches", teaches), ("ends", ends))}
+            return pa.RecordBatch.from_pydict({"portion": pa.array([number]), "size": pa.array([size]), **lists, "texts": pa.array([texts], pa.binary())})
 
         for batch in batches:
-            columns = batch.column(0), batch.column(1), batch.column(2).fill_null("")
-            for block in blocks(columns[2], PORTION):
+            for block in blocks(batch.column(2), PORTION):
                 if held and size + len(block.buf) > PORTION:
                     yield out()
                     held, size, number = [], 0, number + 1
-                held.append(tuple(c.slice(block.first, len(block)) for c in columns))
+                held.append((*(batch.column(k).slice(block.first, len(block)) for k in (0, 1)), block))
                 size += len(block.buf)
         if held:
             yield out()
 
-    return stored(rows.mapInArrow(deal, "portion long, size long, ids array<long>, teaches array<boolean>, texts array<string>"), "lm-portions")
+    return stored(rows.mapInArrow(deal, "portion long, size long, ids array<long>, teaches array<boolean>, ends array<long>, texts binary"), "lm-portions", compression="uncompressed")
 
 
-def _block(texts: pa.Array) -> TextBlock:
-    return next(blocks(texts, 1 << 62), TextBlock(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0))
+def _block(ends: pa.Array, texts: bytes) -> TextBlock:
+    return TextBlock(np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8), np.concatenate([[0], ends.to_numpy()]), 0)
 
 
 def asked(parts: DataFrame, bucket_bits: int) -> DataFrame:
@@ -198,33 +222,36 @@ def asked(parts: DataFrame, bucket_bits: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                e = events(_block(batch.column(2)[i].values))
+                e = events(_block(batch.column(2)[i].values, batch.column(3)[i].as_py()))
                 teaches = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)[e.row]
                 for order in (1, 2, 3):
                     cuts, names, _, gram = distinct(e, order, bucket_bits)
                     counts = np.bincount(gram, weights=teaches, minlength=len(names)).astype("<u4")
                     full = np.flatnonzero(np.diff(cuts)).tolist()
+                    cut = [slice(cuts[b], cuts[b + 1]) for b in full]
+                    own = [names[c] if order == 1 else np.diff(names[c], prepend=names.dtype.type(0)) for c in cut]  # sorted: as steps
                     yield pa.RecordBatch.from_pydict({
                         "portion": pa.array([batch.column(0)[i].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()), "order": pa.array([order] * len(full), pa.int32()),
-                        "names": pa.array([names[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "counts": pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                        "names": pa.array([pressed(x) for x in own], pa.binary()), "counts": pa.array([pressed(counts[c]) for c in cut], pa.binary()),
                     })
 
-    return parts.select("portion", "teaches", "texts").mapInArrow(ask, "portion long, bucket int, order int, names binary, counts binary")
+    return parts.select("portion", "teaches", "ends", "texts").mapInArrow(ask, "portion long, bucket int, order int, names binary, counts binary")
 
 
 def answer(group: pa.Table, entry_bits: int = ENTRY_BITS) -> pa.Table:
     """A bucket's answers to its portions: of 1-grams exact counts (8 bytes each), of others levels from the filter (1 byte)."""
-    order, flat = group.column("order")[0].as_py(), lambda c: b"".join(x.as_buffer().to_pybytes() for c_ in group.column(c).chunks for x in c_)
-    counts = np.frombuffer(flat("counts"), "<u4").astype(np.int64)
-    lengths = np.array([x.as_buffer().size // 4 for c in group.column("counts").chunks for x in c])
+    order, each = group.column("order")[0].as_py(), lambda c, *kind: [unpressed(x, *kind) for x in group.column(c).to_pylist()]
+    counts = each("counts", "<u4")
+    lengths = np.array([len(c) for c in counts])
+    counts = np.concatenate(counts).astype(np.int64)
     tokens = types = 0
     if order == 1:
-        names = np.frombuffer(flat("names"), "<u8").reshape(-1, 2)
+        names = np.concatenate(each("names", "<u8", 2))
         sort = np.lexsort((names[:, 0], names[:, 1]))
         new = np.ones(len(sort), bool)
         new[1:] = (names[sort[1:]] != names[sort[:-1]]).any(1)
     else:
-        names = np.frombuffer(flat("names"), "<u4")
+        names = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in each("names", "<u4")])
         sort = np.argsort(names, kind="stable")
         new = np.ones(len(sort), bool)
         new[1:] = names[sort[1:]] != names[sort[:-1]]
@@ -237,7 +264,7 @@ def answer(group: pa.Table, entry_bits: int = ENTRY_BITS) -> pa.Table:
     out = np.empty(len(sort), found.dtype)
     out[sort] = found[new.cumsum() - 1]
     ends = np.cumsum(lengths)
-    data = [out[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    data = [pressed(out[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
     once = [1, *[0] * (len(data) - 1)]
     return pa.table({
         "portion": group.column("portion").combine_chunks(), "order": group.column("order").combine_chunks(), "bucket": group.column("bucket").combine_chunks(), "found": pa.array(data, pa.binary()),
@@ -252,12 +279,12 @@ def read(e: Events, answers: pa.Table, bucket_bits: int, ends: int) -> tuple[np.
     """Exact count of every token's word, and levels of its 1-, 2- and 3-gram, none above its parts' (ends: level of the end token)."""
     by = {1: [], 2: [], 3: []}
     for r in answers.select(["order", "bucket", "found"]).sort_by([("order", "ascending"), ("bucket", "ascending")]).to_pylist():
-        by[r["order"]].append(r["found"])
-    count = np.frombuffer(b"".join(by[1]), "<i8")[distinct(e, 1, bucket_bits)[3]]
+        by[r["order"]].append(unpressed(r["found"], "<i8" if r["order"] == 1 else "u1"))
+    count = _joined(by[1], "<i8")[distinct(e, 1, bucket_bits)[3]]
     q = np.zeros((3, len(count)), np.int64)
     q[0] = level(count)
     for order in (2, 3):
-        q[order - 1] = np.frombuffer(b"".join(by[order]), np.uint8)[distinct(e, order, bucket_bits)[3]]
+        q[order - 1] = _joined(by[order], "u1")[distinct(e, order, bucket_bits)[3]]
     before = contexts(q, e.first, ends)
     q[1] = np.minimum(q[1], np.minimum(q[0], before[0]))
     q[2] = np.minimum(q[2], np.minimum(q[1], contexts(q, e.first, ends)[1]))
@@ -313,8 +340,8 @@ def score_by(rows: DataFrame, *, entry_bits: int = ENTRY_BITS) -> DataFrame:
     ends, whole = int(level(np.array([n_ends]))[0]), np.log10(tokens + types + 1)
 
     def look(own: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, teaches, texts = (own.column(c).combine_chunks().flatten() for c in ("ids", "teaches", "texts"))
-        e = events(_block(texts))
+        ids, teaches, stops = (own.column(c).combine_chunks().flatten() for c in ("ids", "teaches", "ends"))
+        e = events(_block(stops, own.column("texts")[0].as_py()))
         count, q = read(e, answers, bits, ends)
         n = len(ids)
         at = np.concatenate([[0], np.cumsum(np.bincount(e.row, minlength=n))]) * 3
@@ -327,7 +354,7 @@ def score_by(rows: DataFrame, *, entry_bits: int = ENTRY_BITS) -> DataFrame:
             "levels": levels.cast(pa.binary()), "kind": pa.ListArray.from_arrays(once, pa.array(full.astype(np.int64))), "events": pa.ListArray.from_arrays(once, pa.array(joint.reshape(-1)[full])),
         })
 
-    met = parts.select("portion", "ids", "teaches", "texts").groupBy("portion").cogroup(replies.select("portion", "order", "bucket", "found").groupBy("portion"))
+    met = parts.select("portion", "ids", "teaches", "ends", "texts").groupBy("portion").cogroup(replies.select("portion", "order", "bucket", "found").groupBy("portion"))
     found = stored(met.applyInArrow(look, "doc_id long, n_tokens long, n_known long, base_score double, levels binary, kind array<long>, events array<long>"), "lm-levels")
     joint = np.zeros(2 * (LEVELS + 1) ** 2, np.int64)
     for r in found.select(F.explode(F.arrays_zip("kind", "events")).alias("e")).groupBy("e.kind").agg(F.sum("e.events").alias("n")).collect():  # as many as there are pairs of levels
