@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip
+from tablewright.functions.text import let, strip
 
 #: Other ways to write a date, and the same in ISO order; years of two digits turn at 69.
 REWRITES = [
@@ -25,14 +25,16 @@ def parse_date(c: Column) -> Column:
 
     Offsets are dropped.  Times of day alone and swapped days and months are no dates.
     """
-    s = strip(c.cast("string"))
-    made = s
-    for pattern, instead in REWRITES:
-        made = F.regexp_replace(made, pattern, instead)
-    moment = F.when(made.rlike(ISO), made.try_cast("timestamp_ntz"))
-    days = s.try_cast("double")
-    serial = F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), ((days % 1) * 86400).cast("decimal(18,6)"))
-    return F.when(s.rlike(SERIAL), serial).when(s.rlike(r"^\d"), moment)
+
+    def moment(s: Column) -> Column:
+        for pattern, instead in REWRITES:
+            s = F.regexp_replace(s, pattern, instead)
+        return let(s, lambda made: F.when(made.rlike(ISO), made.try_cast("timestamp_ntz")))
+
+    def serial(days: Column) -> Column:
+        return F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), ((days % 1) * 86400).cast("decimal(18,6)"))
+
+    return let(strip(c.cast("string")), lambda s: F.when(s.rlike(SERIAL), let(s.try_cast("double"), serial)).when(s.rlike(r"^\d"), moment(s)))
 
 
 def looks_dated(c: Column) -> Column:

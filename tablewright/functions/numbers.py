@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip
+from tablewright.functions.text import let, strip
 
 COMMA, POINT = "coma", "punto"
 #: Evidence for a style, strong then weak: (name, pattern).
@@ -47,18 +47,22 @@ def parse_number(c: Column, style: str = COMMA) -> Column:
     The last of two signs is the decimal one.  A lone comma is decimal in comma style, else it parts
     thousands; points part thousands if repeated or, in comma style, before exactly three last digits of a number that doesn't start with 0.
     """
-    s = strip(c.cast("string"))
-    kept = F.regexp_replace(s, r"(?U)[^\d,.\-+eE]", "")
-    commas, points = F.length(kept) - F.length(F.replace(kept, F.lit(","), F.lit(""))), F.length(kept) - F.length(F.replace(kept, F.lit("."), F.lit("")))
-    no_comma, no_point = F.replace(kept, F.lit(","), F.lit("")), F.replace(kept, F.lit("."), F.lit(""))
-    comma_decimal = F.replace(no_point, F.lit(","), F.lit("."))
-    comma_last = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
-    many = points > 1
-    if style == COMMA:
-        many = many | ((points == 1) & (F.length(F.substring_index(kept, ".", -1)) == 3) & ~F.regexp_replace(kept, r"^[+-]+", "").startswith("0"))
-        lone = F.when(commas == 1, F.replace(kept, F.lit(","), F.lit("."))).otherwise(no_comma)
-    else:
-        lone = no_comma
-    text = F.when((commas > 0) & (points > 0), F.when(comma_last, comma_decimal).otherwise(no_comma)).when(commas > 0, lone).when(many, no_point).otherwise(kept)
-    number = to_double(text)
-    return F.when(kept.rlike(r"\d"), F.when(s.endswith("%"), number / 100).otherwise(number))
+
+    def read(kept: Column) -> Column:
+        without = lambda sign: F.replace(kept, F.lit(sign), F.lit(""))
+        comma, point = F.instr(kept, ","), F.instr(kept, ".")
+        several = lambda sign: F.substring_index(kept, sign, 2) != kept
+        comma_decimal = F.replace(without("."), F.lit(","), F.lit("."))
+        comma_last = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
+        lone, parts = without(","), several(".")
+        if style == COMMA:
+            parts = parts | ((F.length(kept) - point == 3) & ~kept.rlike(r"^[+-]*0"))
+            lone = F.when(several(","), lone).otherwise(F.replace(kept, F.lit(","), F.lit(".")))
+        text = F.when((comma > 0) & (point > 0), F.when(comma_last, comma_decimal).otherwise(without(","))).when(comma > 0, lone).when((point > 0) & parts, without(".")).otherwise(kept)
+        return let(text, to_double)
+
+    def number(s: Column) -> Column:
+        value = let(F.regexp_replace(s, r"(?U)[^\d,.\-+eE]", ""), read)
+        return F.when(s.endswith("%"), value / 100).otherwise(value)
+
+    return let(strip(c.cast("string")), lambda s: F.when(s.rlike(r"\d"), number(s)))

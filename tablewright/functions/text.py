@@ -16,6 +16,11 @@ EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"
 EMAIL_TYPED = r"^[A-Za-z0-9._%+\-']+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, and that keeps generated code short."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")

@@ -67,3 +67,8 @@ def changed_cells(before: DataFrame, after: DataFrame, columns: list[str], *, or
     b = after.select(F.col(order), *[F.col(f"`{c}`").cast("string").alias(f"b{i}") for i, c in enumerate(columns)])
     differs = [F.when(F.coalesce(F.col(f"a{i}"), F.lit("")) != F.coalesce(F.col(f"b{i}"), F.lit("")), F.lit(c)) for i, c in enumerate(columns)]
     return a.join(b, order).select(order, F.array_compact(F.array(*differs)).alias("cambios"))
+
+
+def changed_count(changes: DataFrame) -> DataFrame:
+    """One row: the cells that ``changed_cells`` names."""
+    return changes.agg(F.coalesce(F.sum(F.size("cambios")), F.lit(0)).cast("long").alias("celdas"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_date
-from tablewright.functions.similarity import JARO_WINKLER, as_text, with_difference
+from tablewright.functions.similarity import COSMETIC, JARO_WINKLER, as_text, with_difference
 from tablewright.functions.text import collapse, fold, strip
 from tablewright.operators.occurrence import number_within
 
@@ -45,15 +45,32 @@ class CompareOptions:
     fuzzy_threshold: float = 0.85
 
     def describe(self) -> str:
-        """The options in words."""
-        said = [
-            f"{'ignora' if self.ignore_case else 'distingue'} mayúsculas",
-            f"{'ignora' if self.ignore_accents else 'distingue'} tildes",
-            "ignora espacios sobrantes" if self.ignore_spaces else "distingue espacios",
-            f"tolerancia numérica ±{self.numeric_tolerance:g}" if self.numeric_tolerance else "sin tolerancia numérica",
-            "ignora formato de fecha" if self.date_tolerance else "compara fechas literalmente",
-        ]
-        return "; ".join(said + ([f"{len(self.excluded)} columna(s) excluida(s)"] if self.excluded else []))
+        """What counts as equal, in words."""
+        forms = [name for name, off in (("las mayúsculas", self.ignore_case), ("las tildes", self.ignore_accents), ("los espacios de más", self.ignore_spaces)) if off]
+        told = ["Dan igual " + " y ".join(forms) if forms else "Cuenta cada signo de un texto"]
+        told.append(f"los números difieren desde {self.numeric_tolerance:g}" if self.numeric_tolerance else "los números difieren desde cualquier cantidad")
+        told.append("una fecha vale lo mismo en cualquier formato" if self.date_tolerance else "una fecha vale por su texto")
+        if self.excluded:
+            told.append(f"quedan fuera {', '.join(self.excluded)}")
+        return "; ".join(told) + "."
+
+
+def column_sets(old: DataFrame, new: DataFrame, *, order: str = "fila") -> tuple[list[str], list[str], list[str]]:
+    """Columns of both tables, of the old one alone and of the new one alone, in their tables' order."""
+    a, b = ([c for c in df.columns if c != order] for df in (old, new))
+    return [c for c in a if c in b], [c for c in a if c not in b], [c for c in b if c not in a]
+
+
+def disjoint(keys: list[str], columns: list[str], excluded: tuple[str, ...] = ()) -> tuple[list[str], list[str], list[str], dict[str, str]]:
+    """Keys, compared and excluded columns that no two share, and for each column that was taken out of one what it stays in.
+
+    A key is neither compared nor excluded; an excluded column is not compared.
+    """
+    keys = list(dict.fromkeys(keys))
+    out = [c for c in dict.fromkeys(excluded) if c not in keys]
+    stay = [c for c in dict.fromkeys(columns) if c not in keys and c not in out]
+    moved = {c: "clave" for c in [*columns, *excluded] if c in keys} | {c: "excluida" for c in columns if c in out}
+    return keys, stay, out, moved
 
 
 def normal(c: Column, kind: T.DataType, opts: CompareOptions, *, key: bool = False) -> Column:
@@ -92,8 +109,8 @@ class Comparison:
 
     def __init__(self, old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], options: CompareOptions | None = None, *, order: str = "fila") -> None:
         self.options = options or CompareOptions()
-        self.keys = list(keys)
-        self.columns = [c for c in columns if c not in keys and c not in self.options.excluded and c in old.columns and c in new.columns]
+        self.keys, stay, _, self.moved = disjoint(keys, columns, self.options.excluded)
+        self.columns = [c for c in stay if c in old.columns and c in new.columns]
         self.kinds = {}
         for c in self.keys + self.columns:
             a, b = old.schema[c].dataType, new.schema[c].dataType
@@ -170,6 +187,13 @@ class Comparison:
         fila = F.when(F.col("estado") == REMOVED, F.col("a__fila")).otherwise(F.col("b__fila"))
         return self.base.select(F.col("estado").alias("Estado"), *self._lead(show), *values, rank.alias("__orden"), fila.alias("__fila"), F.col("changed").alias("__changed"))
 
+    def shown(self, states: list[str] | None = None, show: bool | None = None) -> DataFrame:
+        """The consolidated rows of some states; by default of all but the unchanged, or of these if there are no others."""
+        if states is None:
+            some = bool(self.base.where(F.col("estado") != UNCHANGED).head(1))
+            states = [x for x in STATES if x != UNCHANGED] if some else STATES
+        return self.consolidated(show).where(F.col("Estado").isin(states))
+
     def key_text(self) -> Column:
         """The key as shown: its parts joined by a bar."""
         return F.concat_ws(" | ", *[F.col(f"k{i}") for i in range(len(self.keys))])
@@ -240,8 +264,11 @@ class Comparison:
         return t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("Indicador"), F.col(c).cast("double").alias("Valor")) for k, c in named.items()])).alias("x")).select("x.*")
 
 
+def of_kinds(details: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Only differences of some kinds; by default all."""
+    return details if kinds is None else details.where(F.col("Tipo de diferencia").isin(kinds))
+
+
 def cosmetic(details: DataFrame) -> DataFrame:
     """Only differences of form."""
-    from tablewright.functions.similarity import COSMETIC
-
-    return details.where(F.col("Tipo de diferencia").isin(COSMETIC))
+    return of_kinds(details, COSMETIC)

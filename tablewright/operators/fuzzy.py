@@ -1,11 +1,12 @@
 """Suggested matches between removed and added records by text similarity.
 
-Every removed record meets every added one, so the operator runs only below a stated number of pairs.
+Every removed record asks all added ones, which come in blocks of bounded size; each block's best answers meet in one
+aggregate.  Interactive use stops at a stated number of pairs and says so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.similarity import as_text, similarity, with_difference
@@ -13,6 +14,8 @@ from tablewright.operators.compare import ADDED, REMOVED, Comparison
 
 #: Pairs up to which the search runs, and suggestions it returns.
 MOST_PAIRS, TOP = 40_000, 200
+#: Added records that are broadcast at once.
+BLOCK = 20_000
 NOTHING = "No hay bajas y altas para emparejar."
 
 
@@ -24,20 +27,29 @@ def _records(comparison: Comparison, state: str, tag: str) -> DataFrame:
     return rows.select(F.col(f"{tag}__fila").alias(f"{tag}_fila"), text(comparison.keys).alias(f"{tag}_clave"), text(comparison.keys + comparison.columns).alias(f"{tag}_registro"))
 
 
-def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float) -> DataFrame:
+def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, *, block: int = BLOCK) -> DataFrame:
     """For each removed record the most similar added one (the first of equals) if it reaches the threshold.
 
-    Both frames have fila, clave and registro, prefixed a_ and b_.
+    Both frames have fila, clave and registro, prefixed a_ and b_.  Blocks of added records hold about ``block`` rows.
     """
-    pairs = removed.join(F.broadcast(added), how="cross").withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm))
-    best = Window.partitionBy("a_fila").orderBy(F.desc("sim"), "b_fila")
-    return pairs.where("sim > 0").withColumn("rank", F.row_number().over(best)).where((F.col("rank") == 1) & (F.col("sim") >= threshold)).drop("rank")
+    blocks = max(1, -(-added.count() // block))
+    found = None
+    for k in range(blocks):
+        own = added if blocks == 1 else added.where(F.pmod(F.xxhash64("b_fila"), F.lit(blocks)) == k)
+        pairs = removed.join(F.broadcast(own), how="cross").withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where(F.col("sim") >= threshold)
+        better = F.min_by(F.struct("sim", "b_fila", "b_clave", "b_registro"), F.struct(-F.col("sim"), "b_fila")).alias("b")
+        part = pairs.where("sim > 0").groupBy("a_fila", "a_clave", "a_registro").agg(better).select("a_fila", "a_clave", "a_registro", "b.*")
+        found = part if found is None else found.unionByName(part)
+    if blocks == 1:
+        return found
+    best = F.min_by(F.struct("sim", "b_fila", "b_clave", "b_registro"), F.struct(-F.col("sim"), "b_fila")).alias("b")
+    return found.groupBy("a_fila", "a_clave", "a_registro").agg(best).select("a_fila", "a_clave", "a_registro", "b.*")
 
 
-def suggestions(comparison: Comparison, *, most_pairs: int = MOST_PAIRS, top: int = TOP) -> tuple[DataFrame | None, str]:
+def suggestions(comparison: Comparison, *, most_pairs: int | None = MOST_PAIRS, top: int | None = TOP) -> tuple[DataFrame | None, str]:
     """The suggested matches, most similar first, and a note where there are none.
 
-    More than ``most_pairs`` pairs are not compared at all; the note says so.
+    More than ``most_pairs`` pairs (None: no limit) are not compared at all; the note says so.
     """
     opts = comparison.options
     if not opts.fuzzy_enabled:
@@ -47,13 +59,15 @@ def suggestions(comparison: Comparison, *, most_pairs: int = MOST_PAIRS, top: in
     a, b = n.get(REMOVED, 0), n.get(ADDED, 0)
     if not a or not b:
         return None, NOTHING
-    if a * b > most_pairs:
-        return None, f"Se omitió la coincidencia difusa: {a:,} bajas × {b:,} altas superan el límite de {most_pairs:,} combinaciones."
+    if most_pairs is not None and a * b > most_pairs:
+        return None, f"No se buscó: {a:,} bajas por {b:,} altas superan {most_pairs:,} combinaciones."
     best = best_matches(removed, added, opts.fuzzy_algorithm, opts.fuzzy_threshold).withColumnRenamed("sim", "best")
     found = with_difference(best, "a_registro", "b_registro", algorithm=opts.fuzzy_algorithm)
     out = found.select(
         F.col("a_clave").alias("Baja en Archivo 1"), F.col("b_clave").alias("Posible alta equivalente en Archivo 2"), F.round(F.col("best") * 100, 1).alias("Similitud"), F.col("kind").alias("Tipo de diferencia"),
         F.col("a_registro").alias("Registro en Archivo 1"), F.col("b_registro").alias("Registro en Archivo 2"), "a_fila",
     )
+    if top is None:
+        return out.drop("a_fila"), ""
     out = out.orderBy(F.desc("Similitud"), "a_fila").limit(top).drop("a_fila")
     return out, "" if out.head(1) else f"No se encontraron pares con similitud ≥ {opts.fuzzy_threshold:.0%}."

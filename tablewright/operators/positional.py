@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.compare import CompareOptions, normal
 
@@ -38,18 +39,25 @@ class PositionalResult:
 def numbered(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
     """The frame with gap-free positions from 1 by ``order``, without sorting all rows in one task.
 
-    Rows are range-partitioned; each partition's count gives the base of the next (one small row per partition
-    reaches the driver).
+    The values of ``order`` are cut at quantiles; each range's count gives the base of the next (one small row per range
+    reaches the driver).  Another than a numeric order is range-partitioned, and that partitioning is written first.
     """
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).persist()
-    counts = sorted((r[0], r[1]) for r in parts.groupBy("__part").count().collect())
+    spark = df.sparkSession
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else []
+        at = sum((F.coalesce(F.col(order) > c, F.lit(False)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+        rows = df.withColumn("__part", at)
+    else:
+        rows = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+        rows = rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
     base, bases = 0, []
-    for part, n in counts:
+    for part, n in sorted((r[0], r[1]) for r in rows.groupBy("__part").count().collect()):
         bases.append((part, base))
         base += n
-    table = df.sparkSession.createDataFrame(bases, "__part int, __base long")
+    table = spark.createDataFrame(bases, "__part int, __base long")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return parts.withColumn("__own", own).join(F.broadcast(table), "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__part", "__base", "__own")
+    return rows.withColumn("__own", own).join(F.broadcast(table), "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__part", "__base", "__own")
 
 
 def signatures(df: DataFrame, columns: list[str], opts: CompareOptions, order: str) -> DataFrame:
@@ -69,16 +77,17 @@ def strict(old: DataFrame, new: DataFrame, columns: list[str], opts: CompareOpti
 def opcodes(a: list[str], b: list[str]) -> Iterator[tuple[str, int | None, int | None, str]]:
     """Kind ("" for equal), positions from 0 in both sequences, and an explanation, for every aligned row."""
     for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        for k in range(max(i2 - i1, j2 - j1)):
-            i, j = (i1 + k if i1 + k < i2 else None), (j1 + k if j1 + k < j2 else None)
+        both, longer = min(i2 - i1, j2 - j1), max(i2 - i1, j2 - j1)
+        for k in range(longer):
+            i, j = (i1 + k if k < i2 - i1 else None), (j1 + k if k < j2 - j1 else None)
             if op == "equal":
-                yield ("" if i == j else SHIFTED), i, j, f"Mismo contenido en distinta posición (posición {i + 1} → {j + 1})."
-            elif i is not None and j is not None:
-                yield OTHER, i, j, "Las filas ocupan la misma posición pero su contenido no coincide."
-            elif i is not None:
-                yield ONLY_A, i, None, f"Fila eliminada respecto de la secuencia (posición {i + 1})." if op == "delete" else f"Fila sin equivalente en la secuencia del Archivo 2 (posición {i + 1})."
+                yield ("" if i == j else SHIFTED), i, j, f"Pasa de la posición {i + 1} a la {j + 1} sin cambiar."
+            elif k < both:
+                yield OTHER, i, j, "Cada archivo tiene otro contenido en este lugar de la secuencia."
+            elif j is None:
+                yield ONLY_A, i, None, f"La posición {i + 1} del Archivo 1 no tiene pareja."
             else:
-                yield ONLY_B, None, j, f"Fila insertada en la secuencia (posición {j + 1})." if op == "insert" else f"Fila sin equivalente en la secuencia del Archivo 1 (posición {j + 1})."
+                yield ONLY_B, None, j, f"La posición {j + 1} del Archivo 2 no tiene pareja."
 
 
 def aligned_rows(old: DataFrame, new: DataFrame, columns: list[str], opts: CompareOptions | None = None, *, order: str = "fila", most_rows: int = MOST_ROWS) -> DataFrame:

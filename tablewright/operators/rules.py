@@ -170,13 +170,30 @@ SERVER_FIELDS = {
     "licencia": ("Licencia",),
     "certificados": ("Certificados",),
 }
-_NAMES = list(SERVER_FIELDS)
-SERVER_TEXT = _NAMES[_NAMES.index("proveedor") : _NAMES.index("tickets") + 1]
+SERVER_TEXT = ["proveedor", "area", "custodio", "empresa", "tipo_servidor", "segmento", "aplicacion", "lider", "novedad", "os_build", "tickets"]
 SERVER_LEVELS = {
-    "alto": _NAMES[: _NAMES.index("cpu")],
-    "medio": [n for n in _NAMES[_NAMES.index("cpu") : _NAMES.index("nombre_cmdb")] if n not in ("soporte", "parchable")],
-    "bajo": _NAMES[_NAMES.index("nombre_cmdb") :],
-}
+    "alto": ["hostname", "marca", "modelo", "so", "firmware", "ip", "serial", "ambiente", "datacenter", "servicios", "estado", "descripcion"],
+    "medio": [
+        "cpu", "discos", "espacio", "ram", "mac", "antivirus", "agentes", "vencimiento_soporte", "ultimo_parchado", "integridad", "disponibilidad", "confidencialidad", "criticidad", "obsolescencia",
+        "proveedor", "area", "custodio", "empresa", "tipo_servidor", "segmento", "aplicacion", "lider", "novedad", "os_build", "tickets",
+    ],
+    "bajo": ["nombre_cmdb", "rack", "ubicacion", "dns", "rol", "servicios_negocio", "cluster", "virtualizador", "cambio", "servidor_fisico", "licencia", "certificados"],
+}
+
+# What the rules say ({}: the value or values in question).
+SAYS = {
+    "unknown_application": "Producto asociado '{}' no existe en aplicaciones", "bad_mail": "Formato de correo inválido: {}", "unknown_user": "Responsable '{}' no existe en usuarios", "country": "País '{}' no permitido",
+    "negative": "{} no puede ser negativa", "over_total": "Cantidad Asignadas (%s) > Cantidad Total (%s)", "not_free": "Cantidad Disponible (%s) no coincide con cálculo (%s)", "late": "{} es posterior a Fecha Vencimiento", "bad_date": "Formato de fecha inválido",
+    "bad_url": "URL inválida: {}", "bad_domain": "Formato de dominio inválido: {}", "unknown": "{} '{}' no existe", "not_permitted": "{} '{}' no permitido", "certificate_url": "URL inválida en Enlace Certificado",
+    "days": "Días Restantes (%s) no coincide con cálculo (%s)", "certificate_date": "Formato de fecha inválido en Fecha Vencimiento", "again": "Usuario '{}' está repetido; debe ser único", "account_needs": "{} es obligatorio para el esquema Cuentas",
+    "account_length": "Nombre cuenta debe tener entre 3 y 100 caracteres", "account_ends": "Nombre cuenta no puede iniciar ni terminar con caracteres especiales", "login": "Usuario debe ser alfanumérico y no contener espacios", "state_needs": "{} es obligatorio para el estado ",
+    "ticket": "{} debe cumplir el patrón TK-000000", "news": "Novedad no está permitida", "criticality": "Criticidad SI no está permitida", "personal": "Datos Personales debe ser lógico o una máscara de protección válida", "account_country": "País no corresponde a un código o catálogo válido",
+    "password": "Password Inicial debe tener al menos 8 caracteres", "long": "Descripción no puede superar 500 caracteres", "cia": "{} debe ser ALTO, MEDIO, BAJO o 1, 2, 3", "nulls": "Columna {}: porcentaje de nulos ", "tolerance": " supera la tolerancia de {}", "most": " supera el máximo permitido de {}",
+    "missing": "Columna obligatoria ausente{}: {}", "high_needs": "{} es obligatorio (Nivel Alto)", "state": "Estado no permitido", "mail": "Correo Email no tiene un formato válido", "number": "Identificación debe ser alfanumérica", "id_kind": "Tipo de Identificación no permitido",
+    "user_state_needs": "{} es obligatorio para el estado del usuario", "phone": "Teléfono Principal solo puede contener números y el signo +", "active_needs": "{} es obligatorio para usuarios ACTIVO", "form": "{} tiene un formato no válido", "all_nulls": "porcentaje global de nulos", "some_nulls": "porcentaje de nulos",
+    "host": "Nombre Servidor debe ser alfanumérico y no contener espacios", "environment": "Ambiente no permitido", "ip": "IP Relacionada no tiene un formato IPv4 o IPv6 válido", "above_zero": "{} debe ser numérico y mayor que cero", "mac": "Dirección MAC no tiene formato válido", "empty": "{} no puede estar vacío",
+    "support": "Fecha Vencimiento Soporte es obligatoria y debe usar YYYY-MM-DD", "patched": "Fecha Último Parchado debe usar YYYY-MM-DD cuando SO Parchable es SÍ", "value": "{} tiene un valor no permitido", "cmdb_kind": "Nombre CMDB debe iniciar con {} para el tipo de servidor indicado", "cmdb": "Nombre CMDB debe iniciar con SV_ o SF_", "text_form": "{} tiene un formato de texto no válido",
+}
 
 
 # ---------------------------------------------------------------- helpers
@@ -187,6 +204,16 @@ def canonical(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower())
 
 
+def plain(text: str) -> str:
+    """Lower case without accents; what ASCII doesn't have goes."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if c.isascii())
+
+
+def mentions(message: str, column: str) -> bool:
+    """Whether a message names a column as a word of its own, accents and case apart."""
+    return bool(re.search(r"(?<!\w)" + re.escape(plain(column)) + r"(?!\w)", plain(message)))
+
+
 def resolve(columns: Iterable[str], fields: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """The table's column for each field that it has: the field's first name that any column bears."""
     have = {canonical(c): c for c in columns}
@@ -248,10 +275,10 @@ def _blank_share(columns: list[str]) -> Column:
 
 
 def _missing(df: DataFrame, rule: str, absent: list[str], of: str = "") -> DataFrame:
-    return df.sparkSession.createDataFrame([(None, ERROR, rule, c, f"Columna obligatoria ausente{of}: {c}") for c in absent], SCHEMA)
+    return df.sparkSession.createDataFrame([(None, ERROR, rule, c, SAYS["missing"].format(of, c)) for c in absent], SCHEMA)
 
 
-def _known(df: DataFrame, column: str, reference: DataFrame, name: str, flag: str, *, lower: bool = False) -> DataFrame:
+def known(df: DataFrame, column: str, reference: DataFrame, name: str, flag: str, *, lower: bool = False) -> DataFrame:
     """The table with a flag that says whether a value stands in a reference table; the engine picks the join by size."""
     key = lambda c: F.lower(c) if lower else c
     names = reference.select(key(F.col(name).cast("string")).alias(f"{flag}_key")).where(f"{flag}_key IS NOT NULL").distinct().withColumn(flag, F.lit(True))
@@ -275,8 +302,8 @@ def _dates_in_order(scan: RuleScan, df: DataFrame, rule: str, first: str, last:
     if first in df.columns and last in df.columns:
         a, b = _moment(df, first), _moment(df, last)
         both = F.col(f"`{first}`").isNotNull() & F.col(f"`{last}`").isNotNull()
-        scan.add(rule, ERROR, first, both & (a > b), f"{name} es posterior a Fecha Vencimiento")
-        scan.add(rule, WARNING, first, both & (a.isNull() | b.isNull()), "Formato de fecha inválido")
+        scan.add(rule, ERROR, first, both & (a > b), SAYS["late"].format(name))
+        scan.add(rule, WARNING, first, both & (a.isNull() | b.isNull()), SAYS["bad_date"])
 
 
 # ---------------------------------------------------------------- rule sets
@@ -286,31 +313,31 @@ def validate_licences(df: DataFrame, references: dict[str, DataFrame], *, order:
     """Licencias TI."""
     has = set(df.columns)
     if "Producto asociado" in has:
-        df = _known(df, "Producto asociado", references["aplicaciones"], "nombre", "__app")
+        df = known(df, "Producto asociado", references["aplicaciones"], "nombre", "__app")
     if "Responsable / Correo" in has:
-        df = _known(df, "Responsable / Correo", references["usuarios"], "email", "__user", lower=True)
+        df = known(df, "Responsable / Correo", references["usuarios"], "email", "__user", lower=True)
     scan = RuleScan(df, order)
     if "Producto asociado" in has:
         v = _value(df, "Producto asociado")
-        scan.add("LIC1", WARNING, "Producto asociado", v.isNotNull() & F.col("__app").isNull(), _raw("Producto asociado '{}' no existe en aplicaciones", v))
+        scan.add("LIC1", WARNING, "Producto asociado", v.isNotNull() & F.col("__app").isNull(), _raw(SAYS["unknown_application"], v))
     if "Responsable / Correo" in has:
         v = strip(_value(df, "Responsable / Correo"))
         valid = v.rlike(EMAIL)
-        scan.add("LIC2", WARNING, "Responsable / Correo", ~valid, _raw("Formato de correo inválido: {}", v))
-        scan.add("LIC3", WARNING, "Responsable / Correo", valid & F.col("__user").isNull(), _raw("Responsable '{}' no existe en usuarios", v))
+        scan.add("LIC2", WARNING, "Responsable / Correo", ~valid, _raw(SAYS["bad_mail"], v))
+        scan.add("LIC3", WARNING, "Responsable / Correo", valid & F.col("__user").isNull(), _raw(SAYS["unknown_user"], v))
     if "Pais" in has:
         v = _value(df, "Pais")
-        scan.add("LIC4", ERROR, "Pais", ~v.isin(LICENCE_COUNTRIES), _raw("País '{}' no permitido", v))
+        scan.add("LIC4", ERROR, "Pais", ~v.isin(LICENCE_COUNTRIES), _raw(SAYS["country"], v))
     n = {c: _number(df, c) if c in has else F.lit(None).cast("double") for c in ("Cantidad Total", "Cantidad Asignadas", "Cantidad Disponible")}
     total, used, free = n.values()
-    scan.add("LIC5", ERROR, "Cantidad Total", total < 0, "Cantidad Total no puede ser negativa")
-    scan.add("LIC6", ERROR, "Cantidad Asignadas", used < 0, "Cantidad Asignadas no puede ser negativa")
-    scan.add("LIC7", ERROR, "Cantidad Asignadas", used > total, F.format_string("Cantidad Asignadas (%s) > Cantidad Total (%s)", _figure(used), _figure(total)))
-    scan.add("LIC8", WARNING, "Cantidad Disponible", F.abs(free - (total - used)) > 0.01, F.format_string("Cantidad Disponible (%s) no coincide con cálculo (%s)", _figure(free), _figure(total - used)))
+    scan.add("LIC5", ERROR, "Cantidad Total", total < 0, SAYS["negative"].format("Cantidad Total"))
+    scan.add("LIC6", ERROR, "Cantidad Asignadas", used < 0, SAYS["negative"].format("Cantidad Asignadas"))
+    scan.add("LIC7", ERROR, "Cantidad Asignadas", used > total, F.format_string(SAYS["over_total"], _figure(used), _figure(total)))
+    scan.add("LIC8", WARNING, "Cantidad Disponible", F.abs(free - (total - used)) > 0.01, F.format_string(SAYS["not_free"], _figure(free), _figure(total - used)))
     _dates_in_order(scan, df, "LIC9", "Fecha Compra", "Fecha Vencimiento", "Fecha Compra")
     if "Enlace Contrato" in has:
         v = _value(df, "Enlace Contrato")
-        scan.add("LIC10", WARNING, "Enlace Contrato", ~v.rlike(URL), _raw("URL inválida: {}", v))
+        scan.add("LIC10", WARNING, "Enlace Contrato", ~v.rlike(URL), _raw(SAYS["bad_url"], v))
     return scan.issues()
 
 
@@ -318,15 +345,15 @@ def validate_domains(df: DataFrame, references: dict[str, DataFrame], *, order:
     """Dominios."""
     has = set(df.columns)
     if "Activo Asociado" in has:
-        df = _known(df, "Activo Asociado", references["aplicaciones"], "nombre", "__app")
+        df = known(df, "Activo Asociado", references["aplicaciones"], "nombre", "__app")
     if "Responsable TI" in has:
-        df = _known(df, "Responsable TI", references["usuarios"], "email", "__user")
+        df = known(df, "Responsable TI", references["usuarios"], "email", "__user")
     scan = RuleScan(df, order)
     for column, rule, severity, text, bad in (
-        ("Dominio", "DOM1", ERROR, "Formato de dominio inválido: {}", lambda v: ~v.rlike(DOMAIN)),
-        ("Activo Asociado", "DOM2", WARNING, "Activo Asociado '{}' no existe", lambda v: v.isNotNull() & F.col("__app").isNull()),
-        ("Responsable TI", "DOM3", WARNING, "Responsable TI '{}' no existe", lambda v: v.isNotNull() & F.col("__user").isNull()),
-        ("Pais", "DOM4", ERROR, "País '{}' no permitido", lambda v: ~v.isin(DOMAIN_COUNTRIES)),
+        ("Dominio", "DOM1", ERROR, SAYS["bad_domain"], lambda v: ~v.rlike(DOMAIN)),
+        ("Activo Asociado", "DOM2", WARNING, SAYS["unknown"].replace("{}", "Activo Asociado", 1), lambda v: v.isNotNull() & F.col("__app").isNull()),
+        ("Responsable TI", "DOM3", WARNING, SAYS["unknown"].replace("{}", "Responsable TI", 1), lambda v: v.isNotNull() & F.col("__user").isNull()),
+        ("Pais", "DOM4", ERROR, SAYS["country"], lambda v: ~v.isin(DOMAIN_COUNTRIES)),
     ):
         if column in has:
             v = _value(df, column)
@@ -339,13 +366,13 @@ def validate_certificates(df: DataFrame, references: dict[str, DataFrame], *, or
     """Certificados; ``today`` (yyyy-mm-dd) fixes the day that remaining days count from."""
     has = set(df.columns)
     if "Activo asociado" in has:
-        df = _known(df, "Activo asociado", references["aplicaciones"], "nombre", "__app")
+        df = known(df, "Activo asociado", references["aplicaciones"], "nombre", "__app")
     scan = RuleScan(df, order)
     for column, rule, severity, text, bad in (
-        ("Activo asociado", "CER1", WARNING, "Activo asociado '{}' no existe", lambda v: v.isNotNull() & F.col("__app").isNull()),
-        ("Tipo de Certificado", "CER2", ERROR, "Tipo de Certificado '{}' no permitido", lambda v: ~v.isin(CERTIFICATE_KINDS)),
-        ("Estado", "CER3", ERROR, "Estado '{}' no permitido", lambda v: ~v.isin(CERTIFICATE_STATES)),
-        ("Enlace Certificado", "CER5", WARNING, "URL inválida en Enlace Certificado", lambda v: ~v.rlike(URL)),
+        ("Activo asociado", "CER1", WARNING, SAYS["unknown"].replace("{}", "Activo asociado", 1), lambda v: v.isNotNull() & F.col("__app").isNull()),
+        ("Tipo de Certificado", "CER2", ERROR, SAYS["not_permitted"].replace("{}", "Tipo de Certificado", 1), lambda v: ~v.isin(CERTIFICATE_KINDS)),
+        ("Estado", "CER3", ERROR, SAYS["not_permitted"].replace("{}", "Estado", 1), lambda v: ~v.isin(CERTIFICATE_STATES)),
+        ("Enlace Certificado", "CER5", WARNING, SAYS["certificate_url"], lambda v: ~v.rlike(URL)),
     ):
         if column in has:
             v = _value(df, column)
@@ -355,8 +382,8 @@ def validate_certificates(df: DataFrame, references: dict[str, DataFrame], *, or
         left = F.date_diff(F.to_date(ends), F.lit(today).cast("date") if today else F.current_date())
         if "Dias Restantes" in has:
             said = _number(df, "Dias Restantes")
-            scan.add("CER4", WARNING, "Dias Restantes", F.abs(said - left) > 1, F.format_string("Días Restantes (%s) no coincide con cálculo (%s)", _figure(said), left.cast("string")))
-        scan.add("CER4", WARNING, "Fecha Vencimiento", F.col("`Fecha Vencimiento`").isNotNull() & ends.isNull(), "Formato de fecha inválido en Fecha Vencimiento")
+            scan.add("CER4", WARNING, "Dias Restantes", F.abs(said - left) > 1, F.format_string(SAYS["days"], _figure(said), left.cast("string")))
+        scan.add("CER4", WARNING, "Fecha Vencimiento", F.col("`Fecha Vencimiento`").isNotNull() & ends.isNull(), SAYS["certificate_date"])
     return scan.issues()
 
 
@@ -390,36 +417,39 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
     f = _Fields(df, ACCOUNT_FIELDS)
     if absent := [f.label(k) for k in ACCOUNT_LEVELS["alto"] if k not in f]:
         return _missing(df, "CUE1", absent)
-    # Nulls are equal to each other here; counts are aggregated first, so that a hot user can be split.
-    df = df.withColumn("__user", F.coalesce(F.concat(F.lit("="), strip(_value(df, f.at["usuario"]))), F.lit("")))
-    often = df.groupBy("__user").agg(F.count("*").alias("__same")).where("__same > 1")
-    df = df.join(often, "__user", "left")
+    # Nulls are equal to each other here.  They may be most rows, so they are counted apart and spread over the join's tasks.
+    user = strip(_value(df, f.at["usuario"]))
+    nobody = df.agg((F.count_if(user.isNull()) > 1).alias("__many"))  # one row
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64(F.col(order)), F.lit(4096)).cast("string"))
+    df = df.withColumn("__user", F.coalesce(F.concat(F.lit("="), user), spread))
+    often = df.where(F.startswith("__user", F.lit("="))).groupBy("__user").agg(F.count("*").alias("__n")).where("__n > 1")
+    df = df.join(often, "__user", "left").crossJoin(F.broadcast(nobody)).withColumn("__again", F.coalesce(F.col("__n") > 1, F.col("__many") & F.startswith("__user", F.lit("#"))))
     f.df = df
     scan, state = RuleScan(df, order), f.upper("estado")
 
     def add(rule: str, severity: str, key: str, bad: Column, text: str) -> None:
         scan.add(rule, severity, f.at[key], bad, text)
 
-    scan.add("CUE2", ERROR, f.at["usuario"], F.col("__same") > 1, F.concat(F.lit("Usuario '"), F.coalesce(_value(df, f.at["usuario"]), F.lit("")), F.lit("' está repetido; debe ser único")))
+    scan.add("CUE2", ERROR, f.at["usuario"], F.col("__again"), _raw(SAYS["again"], F.coalesce(_value(df, f.at["usuario"]), F.lit(""))))
     for rule, key in (("CUE3", "nombre"), ("CUE4", "usuario"), ("CUE5", "estado")):
-        add(rule, ERROR, key, ~f.has(key), f"{f.label(key)} es obligatorio para el esquema Cuentas")
+        add(rule, ERROR, key, ~f.has(key), SAYS["account_needs"].format(f.label(key)))
     name = f.text("nombre")
-    add("CUE3", ERROR, "nombre", f.has("nombre") & ~F.length(name).between(3, 100), "Nombre cuenta debe tener entre 3 y 100 caracteres")
-    add("CUE3", ERROR, "nombre", f.has("nombre") & ~(name.rlike(r"(?U)^[\wÀ-ÿ]") & name.rlike(r"(?U)^.*[\wÀ-ÿ]\z")), "Nombre cuenta no puede iniciar ni terminar con caracteres especiales")
-    add("CUE4", ERROR, "usuario", f.has("usuario") & ~f.text("usuario").rlike(LOGIN), "Usuario debe ser alfanumérico y no contener espacios")
-    scan.add("CUE5", ERROR, f.at["estado"], f.has("estado") & ~state.isin(ACCOUNT_STATES), _raw("Estado '{}' no permitido", F.coalesce(_value(df, f.at["estado"]), F.lit(""))))
+    add("CUE3", ERROR, "nombre", f.has("nombre") & ~F.length(name).between(3, 100), SAYS["account_length"])
+    add("CUE3", ERROR, "nombre", f.has("nombre") & ~(name.rlike(r"(?U)^[\wÀ-ÿ]") & name.rlike(r"(?U)^.*[\wÀ-ÿ]\z")), SAYS["account_ends"])
+    add("CUE4", ERROR, "usuario", f.has("usuario") & ~f.text("usuario").rlike(LOGIN), SAYS["login"])
+    scan.add("CUE5", ERROR, f.at["estado"], f.has("estado") & ~state.isin(ACCOUNT_STATES), _raw(SAYS["not_permitted"].replace("{}", "Estado", 1), F.coalesce(_value(df, f.at["estado"]), F.lit(""))))
     for key, needed in (("ticket_creacion", state != "RETIRADO"), ("ticket_retiro", state == "RETIRADO")):
         if key in f:
-            scan.add("CUE6", ERROR, f.at[key], needed & ~f.has(key), F.concat(F.lit(f"{f.label(key)} es obligatorio para el estado "), state))
-            add("CUE6", ERROR, key, f.has(key) & ~f.text(key).rlike(TICKET), f"{f.label(key)} debe cumplir el patrón TK-000000")
+            scan.add("CUE6", ERROR, f.at[key], needed & ~f.has(key), F.concat(F.lit(SAYS["state_needs"].format(f.label(key))), state))
+            add("CUE6", ERROR, key, f.has(key) & ~f.text(key).rlike(TICKET), SAYS["ticket"].format(f.label(key)))
     for rule, key, good, text in (
-        ("CUE7", "novedad", lambda: f.upper("novedad").isin(ACCOUNT_NEWS), "Novedad no está permitida"),
-        ("CUE7", "criticidad", lambda: f.upper("criticidad").isin(CRITICALITY), "Criticidad SI no está permitida"),
-        ("CUE8", "datos_personales", lambda: f.upper("datos_personales").isin(TRUTH) | f.text("datos_personales").rlike(MASK), "Datos Personales debe ser lógico o una máscara de protección válida"),
-        ("CUE9", "pais", lambda: f.upper("pais").isin(ACCOUNT_COUNTRIES), "País no corresponde a un código o catálogo válido"),
-        ("CUE10", "password", lambda: F.length(f.text("password")) >= 8, "Password Inicial debe tener al menos 8 caracteres"),
-        ("CUE11", "descripcion", lambda: F.length(f.text("descripcion")) <= 500, "Descripción no puede superar 500 caracteres"),
-        *[("CUE12", k, lambda k=k: f.upper(k).isin(ACCOUNT_CIA), f"{ACCOUNT_FIELDS[k][0]} debe ser ALTO, MEDIO, BAJO o 1, 2, 3") for k in ("disponibilidad", "confidencialidad", "integridad")],
+        ("CUE7", "novedad", lambda: f.upper("novedad").isin(ACCOUNT_NEWS), SAYS["news"]),
+        ("CUE7", "criticidad", lambda: f.upper("criticidad").isin(CRITICALITY), SAYS["criticality"]),
+        ("CUE8", "datos_personales", lambda: f.upper("datos_personales").isin(TRUTH) | f.text("datos_personales").rlike(MASK), SAYS["personal"]),
+        ("CUE9", "pais", lambda: f.upper("pais").isin(ACCOUNT_COUNTRIES), SAYS["account_country"]),
+        ("CUE10", "password", lambda: F.length(f.text("password")) >= 8, SAYS["password"]),
+        ("CUE11", "descripcion", lambda: F.length(f.text("descripcion")) <= 500, SAYS["long"]),
+        *[("CUE12", k, lambda k=k: f.upper(k).isin(ACCOUNT_CIA), SAYS["cia"].format(ACCOUNT_FIELDS[k][0])) for k in ("disponibilidad", "confidencialidad", "integridad")],
     ):
         if key in f:
             add(rule, WARNING, key, f.has(key) & ~good(), text)
@@ -429,7 +459,7 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
             if key in f:
                 limit = ACCOUNT_TOLERANCE.get(key, 0.0)
                 severe = level == "alto" or key.startswith("ticket")
-                whole.append(("CUE13", ERROR if severe else WARNING, f.at[key], f"Columna {f.at[key]}: porcentaje de nulos ", _blank_share([f.at[key]]), limit, f" supera la tolerancia de {limit:.0%}"))
+                whole.append(("CUE13", ERROR if severe else WARNING, f.at[key], SAYS["nulls"].format(f.at[key]), _blank_share([f.at[key]]), limit, SAYS["tolerance"].format(f"{limit:.0%}")))
     return scan.issues().unionByName(_level_rows(df, whole))
 
 
@@ -437,7 +467,7 @@ def _levels(df: DataFrame, f: _Fields, levels: dict[str, list[str]], rules: tupl
     found = []
     for rule, level, limit, text in ((rules[0], "medio", 0.05, texts[0]), (rules[1], "bajo", 0.20, texts[1])):
         if columns := f.columns(levels[level]):
-            found.append((rule, WARNING, f"Nivel {level}", f"Nivel {level.capitalize()}: {text} ", _blank_share(columns), limit, f" supera el máximo permitido de {limit:.0%}"))
+            found.append((rule, WARNING, f"Nivel {level}", f"Nivel {level.capitalize()}: {text} ", _blank_share(columns), limit, SAYS["most"].format(f"{limit:.0%}")))
     return _level_rows(df, found)
 
 
@@ -462,24 +492,24 @@ def validate_users(df: DataFrame, references: dict | None = None, *, order: str
             scan.add(rule, severity, f.at[key], bad, text)
 
     for key in USER_LEVELS["alto"]:
-        add("USU2", ERROR, key, ~f.has(key), f"{f.label(key)} es obligatorio (Nivel Alto)")
-    add("USU3", ERROR, "estado", f.has("estado") & ~state.isin(ACCOUNT_STATES), "Estado no permitido")
-    add("USU3", ERROR, "email", f.has("email") & ~f.text("email").rlike(EMAIL), "Correo Email no tiene un formato válido")
-    add("USU3", ERROR, "identificacion", f.has("identificacion") & ~f.text("identificacion").rlike(ALNUM), "Identificación debe ser alfanumérica")
-    add("USU3", ERROR, "tipo_identificacion", f.has("tipo_identificacion") & ~f.upper("tipo_identificacion").isin(ID_KINDS), "Tipo de Identificación no permitido")
+        add("USU2", ERROR, key, ~f.has(key), SAYS["high_needs"].format(f.label(key)))
+    add("USU3", ERROR, "estado", f.has("estado") & ~state.isin(ACCOUNT_STATES), SAYS["state"])
+    add("USU3", ERROR, "email", f.has("email") & ~f.text("email").rlike(EMAIL), SAYS["mail"])
+    add("USU3", ERROR, "identificacion", f.has("identificacion") & ~f.text("identificacion").rlike(ALNUM), SAYS["number"])
+    add("USU3", ERROR, "tipo_identificacion", f.has("tipo_identificacion") & ~f.upper("tipo_identificacion").isin(ID_KINDS), SAYS["id_kind"])
     for rule, key, needed in (("USU4", "ticket_ingreso", state.isin("ACTIVO", "INACTIVO", "SUSPENDIDO")), ("USU5", "ticket_retiro", state == "RETIRADO")):
         if key in f:
-            add(rule, WARNING, key, needed & ~f.has(key), f"{f.label(key)} es obligatorio para el estado del usuario")
-            add(rule, WARNING, key, f.has(key) & ~f.text(key).rlike(TICKET), f"{f.label(key)} debe cumplir el patrón TK-000000")
+            add(rule, WARNING, key, needed & ~f.has(key), SAYS["user_state_needs"].format(f.label(key)))
+            add(rule, WARNING, key, f.has(key) & ~f.text(key).rlike(TICKET), SAYS["ticket"].format(f.label(key)))
     if "telefono" in f:
-        add("USU6", WARNING, "telefono", f.has("telefono") & ~f.text("telefono").rlike(PHONE), "Teléfono Principal solo puede contener números y el signo +")
+        add("USU6", WARNING, "telefono", f.has("telefono") & ~f.text("telefono").rlike(PHONE), SAYS["phone"])
     for key in USER_ACTIVE:
         if key in f:
-            add("USU7", WARNING, key, (state == "ACTIVO") & ~f.has(key), f"{f.label(key)} es obligatorio para usuarios ACTIVO")
+            add("USU7", WARNING, key, (state == "ACTIVO") & ~f.has(key), SAYS["active_needs"].format(f.label(key)))
     for key in USER_LEVELS["bajo"]:
         if key in f:
-            add("USU10", WARNING, key, ~_user_optional(f, key), f"{f.label(key)} tiene un formato no válido")
-    return scan.issues().unionByName(_levels(df, f, USER_LEVELS, ("USU8", "USU9"), ("porcentaje global de nulos", "porcentaje global de nulos")))
+            add("USU10", WARNING, key, ~_user_optional(f, key), SAYS["form"].format(f.label(key)))
+    return scan.issues().unionByName(_levels(df, f, USER_LEVELS, ("USU8", "USU9"), (SAYS["all_nulls"], SAYS["all_nulls"])))
 
 
 def _strict_day(f: _Fields, key: str) -> Column:
@@ -506,42 +536,42 @@ def validate_servers(df: DataFrame, references: dict | None = None, *, order: st
         scan.add(rule, severity, f.at[key], bad, text)
 
     for key in SERVER_LEVELS["alto"]:
-        add("INF2", ERROR, key, ~f.has(key), f"{f.label(key)} es obligatorio (Nivel Alto)")
-    add("INF3", ERROR, "hostname", f.has("hostname") & ~f.text("hostname").rlike(HOST), "Nombre Servidor debe ser alfanumérico y no contener espacios")
-    add("INF4", ERROR, "ambiente", f.has("ambiente") & ~f.upper("ambiente").isin(ENVIRONMENTS), "Ambiente no permitido")
-    add("INF4", ERROR, "estado", f.has("estado") & ~f.upper("estado").isin(SERVER_STATES), "Estado no permitido")
-    add("INF5", ERROR, "ip", f.has("ip") & ~f.text("ip").rlike(IPV4) & ~F.col("__ip"), "IP Relacionada no tiene un formato IPv4 o IPv6 válido")
+        add("INF2", ERROR, key, ~f.has(key), SAYS["high_needs"].format(f.label(key)))
+    add("INF3", ERROR, "hostname", f.has("hostname") & ~f.text("hostname").rlike(HOST), SAYS["host"])
+    add("INF4", ERROR, "ambiente", f.has("ambiente") & ~f.upper("ambiente").isin(ENVIRONMENTS), SAYS["environment"])
+    add("INF4", ERROR, "estado", f.has("estado") & ~f.upper("estado").isin(SERVER_STATES), SAYS["state"])
+    add("INF5", ERROR, "ip", f.has("ip") & ~f.text("ip").rlike(IPV4) & ~F.col("__ip"), SAYS["ip"])
     for key in ("cpu", "discos", "espacio", "ram"):
         if key in f:
-            add("INF6", WARNING, key, ~F.coalesce(_number(df, f.at[key]) > 0, F.lit(False)), f"{f.label(key)} debe ser numérico y mayor que cero")
+            add("INF6", WARNING, key, ~F.coalesce(_number(df, f.at[key]) > 0, F.lit(False)), SAYS["above_zero"].format(f.label(key)))
     if "mac" in f:
-        add("INF7", WARNING, "mac", f.has("mac") & ~f.text("mac").rlike(MAC), "Dirección MAC no tiene formato válido")
+        add("INF7", WARNING, "mac", f.has("mac") & ~f.text("mac").rlike(MAC), SAYS["mac"])
     for key in ("antivirus", "agentes"):
         if key in f:
-            add("INF8", WARNING, key, ~f.has(key), f"{f.label(key)} no puede estar vacío")
+            add("INF8", WARNING, key, ~f.has(key), SAYS["empty"].format(f.label(key)))
     for rule, key, day, text in (
-        ("INF9", "soporte", "vencimiento_soporte", "Fecha Vencimiento Soporte es obligatoria y debe usar YYYY-MM-DD"),
-        ("INF10", "parchable", "ultimo_parchado", "Fecha Último Parchado debe usar YYYY-MM-DD cuando SO Parchable es SÍ"),
+        ("INF9", "soporte", "vencimiento_soporte", SAYS["support"]),
+        ("INF10", "parchable", "ultimo_parchado", SAYS["patched"]),
     ):
         if key in f:
             yes = F.lit(True) == F.col(f"`{f.at[key]}`") if dict(df.dtypes)[f.at[key]] == "boolean" else f.upper(key).isin(YES)
             add(rule, WARNING, key, yes & ~_strict_day(f, day), text)
     for key in ("integridad", "disponibilidad", "confidencialidad", "criticidad", "obsolescencia"):
         if key in f:
-            add("INF11", WARNING, key, f.has(key) & ~f.upper(key).isin(SERVER_CIA), f"{f.label(key)} tiene un valor no permitido")
+            add("INF11", WARNING, key, f.has(key) & ~f.upper(key).isin(SERVER_CIA), SAYS["value"].format(f.label(key)))
     for key in SERVER_TEXT:
         if key in f:
-            add("INF12", WARNING, key, ~f.has(key), f"{f.label(key)} no puede estar vacío")
+            add("INF12", WARNING, key, ~f.has(key), SAYS["empty"].format(f.label(key)))
     if "nombre_cmdb" in f:
         kind = f.upper("tipo_servidor") if "tipo_servidor" in f else F.lit("")
         prefix = F.when(kind.contains("FIS"), "SF_").when(kind.contains("VIR"), "SV_")
         off = prefix.isNotNull() & ~F.startswith(f.upper("nombre_cmdb"), prefix)
-        add("INF13", WARNING, "nombre_cmdb", f.has("nombre_cmdb") & off, F.concat(F.lit("Nombre CMDB debe iniciar con "), prefix, F.lit(" para el tipo de servidor indicado")))
-        add("INF13", WARNING, "nombre_cmdb", f.has("nombre_cmdb") & ~F.coalesce(off, F.lit(False)) & ~f.text("nombre_cmdb").rlike(CMDB), "Nombre CMDB debe iniciar con SV_ o SF_")
+        add("INF13", WARNING, "nombre_cmdb", f.has("nombre_cmdb") & off, _raw(SAYS["cmdb_kind"], prefix))
+        add("INF13", WARNING, "nombre_cmdb", f.has("nombre_cmdb") & ~F.coalesce(off, F.lit(False)) & ~f.text("nombre_cmdb").rlike(CMDB), SAYS["cmdb"])
     for key in SERVER_LEVELS["bajo"][1:]:
         if key in f:
-            add("INF14", WARNING, key, f.has(key) & ~f.text(key).rlike(LABEL), f"{f.label(key)} tiene un formato de texto no válido")
-    return scan.issues().unionByName(_levels(df, f, SERVER_LEVELS, ("INF15", "INF15"), ("porcentaje global de nulos", "porcentaje de nulos")))
+            add("INF14", WARNING, key, f.has(key) & ~f.text(key).rlike(LABEL), SAYS["text_form"].format(f.label(key)))
+    return scan.issues().unionByName(_levels(df, f, SERVER_LEVELS, ("INF15", "INF15"), (SAYS["all_nulls"], SAYS["some_nulls"])))
 
 
 RULE_SETS = {"Licencias TI": validate_licences, "Dominios": validate_domains, "Certificados": validate_certificates, "Cuentas": validate_accounts, "Usuario": validate_users, "Infraestructura": validate_servers}

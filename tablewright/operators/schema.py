@@ -21,8 +21,8 @@ FALSE = ["no", "n", "false", "falso", "f", "0", "-"]
 ID_WORDS = {"id", "key", "identificador", "ident", "codigo", "código", "code", "uuid", "serial", "nit", "rut", "sku", "cod", "placa", "serie"}
 MAIL_WORDS = {"email", "correo", "mail"}
 DATE_WORDS = {"fecha", "date", "vencimiento", "inicio", "fin"}
-KEEP, LOSE = "Se conservan tal cual, pero no tienen formato de correo válido.", "Quedarán vacíos. Si desea conservarlos, asigne el tipo «Texto» o «Identificador»."
-SAMPLE, EXAMPLES, REPORTED = 500, 3, 5
+KEEP, LOSE = "Siguen como están, aunque no son direcciones.", "Se pierden al convertir; como «Texto» o «Identificador» seguirían."
+SAMPLE, EXAMPLES, REPORTED, PREVIEW = 500, 3, 5, 50
 
 
 def name_words(name: str) -> list[str]:
@@ -67,29 +67,36 @@ def decide(name: str, m: dict) -> str:
     return DATE if dated and m["date"] >= 0.8 else TEXT
 
 
-def _union(dfs: tuple[DataFrame, ...], column: str, order: str) -> DataFrame:
-    parts = [df.select(F.lit(i).alias("file"), F.col(order).alias("at"), F.col(f"`{column}`").cast("string").alias("v")) for i, df in enumerate(dfs) if column in df.columns]
-    return reduce(DataFrame.unionByName, parts)
+def samples(dfs: tuple[DataFrame, ...], columns: list[str], order: str = "fila", n: int = SAMPLE) -> DataFrame:
+    """i (the column's number), file, at, v and s (stripped) of the first ``n`` non-blank values of every column over all tables.
 
-
-def sample(dfs: tuple[DataFrame, ...], column: str, order: str = "fila", n: int = SAMPLE) -> DataFrame:
-    """The first ``n`` non-blank values of a column over all tables, stripped: a top-k, so no table is sorted whole."""
-    return _union(dfs, column, order).where(present(F.col("v"))).orderBy("file", "at").limit(n).select("file", "at", "v", strip(F.col("v")).alias("s"))
+    One scan a table; each task keeps ``n`` values a column before anything is shuffled.
+    """
+    parts = []
+    for file, df in enumerate(dfs):
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns) if c in df.columns])
+        parts.append(df.select(F.lit(file).alias("file"), F.col(order).alias("at"), F.explode(cells).alias("x")).select("file", "at", "x.*"))
+    rows = reduce(DataFrame.unionByName, parts).where(present(F.col("v")))
+    first = F.row_number().over(Window.partitionBy("i").orderBy("file", "at"))
+    return rows.withColumn("k", first).where(F.col("k") <= n).select("i", "file", "at", "v", strip(F.col("v")).alias("s"))
 
 
-def infer_schema(*dfs: DataFrame, order: str = "fila") -> list[dict]:
-    """Column, detected type, examples and nulls over the union of the tables' columns."""
+def infer_schema(*dfs: DataFrame, order: str = "fila", overrides: dict[str, str] | None = None) -> list[dict]:
+    """Column, detected type, type (that of ``overrides`` where it has one), examples and nulls over the union of the tables' columns."""
     columns = list(dict.fromkeys(c for df in dfs for c in df.columns if c != order))
     if not columns:
         return []
+    if wrong := {c: t for c, t in (overrides or {}).items() if c not in columns or t not in TYPES}:
+        raise ValueError(f"no such columns or types: {wrong}")
     nulls = [df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns if c != order]).first().asDict() if len(df.columns) > 1 else {} for df in dfs]
+    rows = samples(dfs, columns, order).withColumns({"n": numbers.parse_number(F.col("s")), "d": parse_date(F.col("s"))})
+    some = F.slice(F.array_sort(F.collect_list(F.struct("file", "at", "v"))), 1, EXAMPLES)["v"]  # of SAMPLE values
+    found = {r.i: r.asDict() for r in rows.groupBy("i").agg(*[v.alias(k) for k, v in measures().items()], some.alias("some")).collect()}  # one row a column
     out = []
-    for c in columns:
-        rows = sample(dfs, c, order)
-        rows = rows.withColumn("n", numbers.parse_number(F.col("s"))).withColumn("d", parse_date(F.col("s")))
-        m = rows.agg(*[v.alias(k) for k, v in measures().items()], F.array_sort(F.collect_list(F.struct("file", "at", "v"))).alias("all")).first().asDict()
-        kind = decide(c, m)
-        out.append({"Columna": c, "Tipo detectado": kind, "Tipo de dato": kind, "Ejemplos": " | ".join(r["v"] for r in m["all"][:EXAMPLES]), "Vacíos": sum(n.get(c, 0) for n in nulls)})
+    for i, c in enumerate(columns):
+        kind = decide(c, found.get(i, {"n": 0}))
+        examples = found[i]["some"] if i in found else []
+        out.append({"Columna": c, "Tipo detectado": kind, "Tipo de dato": (overrides or {}).get(c, kind), "Ejemplos": " | ".join(examples), "Vacíos": sum(n.get(c, 0) for n in nulls)})
     return out
 
 
@@ -136,26 +143,44 @@ def unfit(c: Column, typed: Column, kind: str) -> Column:
     return present(c) & (~F.coalesce(typed.rlike(EMAIL_TYPED), F.lit(False)) if kind == EMAIL else typed.isNull())
 
 
-def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila", list_rows: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The typed table, and for each column with unfit values their count, first examples, rows and fate.
-
-    ``list_rows=False`` leaves the lists of rows out, which grow with the table.
-    """
+def _typed(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None) -> tuple[DataFrame, dict[str, str], dict[str, Column]]:
+    """The table with its typed columns beside the others, the types of the columns that have one, and the typed columns."""
     known = {c: t for c, t in schema.items() if c in df.columns and t in TYPES}
     styles = (styles or {}) | decimal_styles({c: t for c, t in known.items() if c not in (styles or {})}, df)
-    made = {c: cast(F.col(f"`{c}`"), t, styles.get(c, numbers.COMMA)) for c, t in known.items()}
-    both = df.withColumns({f"__typed_{i}": v for i, v in enumerate(made.values())})
-    at = {c: F.col(f"__typed_{i}") for i, c in enumerate(made)}
+    both = df.withColumns({f"__typed_{i}": cast(F.col(f"`{c}`"), t, styles.get(c, numbers.COMMA)) for i, (c, t) in enumerate(known.items())})
+    return both, known, {c: F.col(f"__typed_{i}") for i, c in enumerate(known)}
+
+
+def unfit_cells(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila") -> DataFrame:
+    """fila, Columna, Tipo asignado and Valor of every value that doesn't fit its type."""
+    both, known, at = _typed(df, schema, styles)
+    if not known:
+        return df.sparkSession.createDataFrame([], "fila long, Columna string, `Tipo asignado` string, Valor string")
+    bad = F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.struct(F.lit(c).alias("Columna"), F.lit(t).alias("Tipo asignado"), F.col(f"`{c}`").cast("string").alias("Valor"))) for c, t in known.items()]))
+    return both.select(F.col(order).cast("long").alias("fila"), F.explode(bad).alias("x")).select("fila", "x.*")
+
+
+def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila") -> tuple[DataFrame, DataFrame]:
+    """The typed table, and for each column with unfit values their count, first examples and fate (``unfit_cells`` has them all)."""
+    both, _, at = _typed(df, schema, styles)
     typed = both.select(*[at[c].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns])
-    spark = df.sparkSession
-    report = T.StructType([T.StructField("Columna", T.StringType()), T.StructField("Tipo asignado", T.StringType()), T.StructField("Valores no válidos", T.LongType()), T.StructField("Ejemplos", T.StringType()), T.StructField("Qué pasará", T.StringType()), T.StructField("Filas", T.ArrayType(T.LongType()))])
-    if not made:
-        return typed, spark.createDataFrame([], report)
-    bad = F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.struct(F.lit(c).alias("c"), F.lit(t).alias("t"), F.col(f"`{c}`").cast("string").alias("v"))) for c, t in known.items()]))
-    cells = both.select(F.col(order).cast("long").alias("at"), F.explode(bad).alias("x")).select("at", "x.*")
-    fate = F.when(F.col("t") == EMAIL, KEEP).otherwise(LOSE)
-    counts = cells.groupBy("c", "t").agg(F.count("*").alias("n"), *([F.array_sort(F.collect_list("at")).alias("rows")] if list_rows else []))
-    first = cells.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("at"))).where(F.col("k") <= REPORTED)
-    some = first.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("some"))
-    rows = F.col("rows") if list_rows else F.lit(None).cast("array<bigint>")
-    return typed, counts.join(some, "c").select(F.col("c").alias("Columna"), F.col("t").alias("Tipo asignado"), F.col("n").alias("Valores no válidos"), F.array_join("some.v", " | ").alias("Ejemplos"), fate.alias("Qué pasará"), rows.alias("Filas")).to(report)
+    cells = unfit_cells(df, schema, styles, order=order)
+    fate = F.when(F.col("Tipo asignado") == EMAIL, KEEP).otherwise(LOSE)
+    counts = cells.groupBy("Columna", "Tipo asignado").agg(F.count("*").alias("Valores no válidos"))
+    first = cells.withColumn("k", F.row_number().over(Window.partitionBy("Columna").orderBy("fila"))).where(F.col("k") <= REPORTED)
+    some = first.groupBy("Columna").agg(F.array_sort(F.collect_list(F.struct("fila", "Valor"))).alias("some"))
+    return typed, counts.join(some, "Columna").select("Columna", "Tipo asignado", "Valores no válidos", F.array_join("some.Valor", " | ").alias("Ejemplos"), fate.alias("Qué pasará"))
+
+
+def cast_preview(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila", n: int = PREVIEW) -> DataFrame:
+    """The first ``n`` rows as they are, with ``__no_validas``: the names of the columns whose value doesn't fit."""
+    head = df.orderBy(order).limit(n)
+    styles = (styles or {}) | decimal_styles({c: t for c, t in schema.items() if c not in (styles or {})}, df)  # judged by the whole table
+    both, known, at = _typed(head, schema, styles)
+    bad = F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.lit(c)) for c, t in known.items()])) if known else F.array().cast("array<string>")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], bad.alias("__no_validas"))
+
+
+def union_reports(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports of several files as one, with the file's label in ``Archivo``."""
+    return reduce(DataFrame.unionByName, [r.select(F.lit(label).alias("Archivo"), "*") for label, r in reports.items()])

@@ -1,8 +1,14 @@
-"""Reference tables and the history of validations as Parquet tables under one folder."""
+"""Reference tables and the history of validations as Parquet tables under one folder.
+
+Reference tables are small and written whole, in versions; the history only grows, so a validation is a file of its own.
+"""
 
 from __future__ import annotations
 
+import secrets
+import time
 from dataclasses import dataclass
+from datetime import datetime
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +22,12 @@ TABLES = {
     "historico_validaciones": "id long, esquema string, archivo_anterior string, archivo_nuevo string, fecha_validacion timestamp, score_calidad double, total_registros long, errores_encontrados long, advertencias long, detalles string",
     "resultados_validacion": "id long, historico_id long, tipo_validacion string, registro_id string, campo string, error string",
 }
+HISTORY = "historico_validaciones"
 KEYS = {"proveedores": "razon_social", "aplicaciones": "nombre", "usuarios": "nombre"}
 SAMPLES = {
-    "proveedores": [("Proveedor Uno S.A.", "900000001", "Contacto Uno", "uno@example.com", "6010000001"), ("Proveedor Dos S.A.", "900000002", "Contacto Dos", "dos@example.com", "6010000002")],
-    "aplicaciones": [("Aplicación Uno", "1.0", "Producción", "Equipo Uno"), ("Aplicación Dos", "2.0", "Pruebas", "Equipo Dos")],
-    "usuarios": [("Usuario Uno", "usuario.uno@example.com", "TI", "Analista"), ("Usuario Dos", "usuario.dos@example.com", "Finanzas", "Gerente")],
+    "proveedores": [("Proveedor Uno S.A.", "900000001", "Contacto Uno", "uno@example.com", "6010000001"), ("Proveedor Dos S.A.", "900000002", "Contacto Dos", "dos@example.com", "6010000002"), ("Proveedor Tres S.A.", "900000003", "Contacto Tres", "tres@example.com", "6010000003"), ("Proveedor Cuatro S.A.", "900000004", "Contacto Cuatro", "cuatro@example.com", "6010000004")],
+    "aplicaciones": [("Aplicación Uno", "1.0", "Producción", "Equipo Uno"), ("Aplicación Dos", "2.0", "Pruebas", "Equipo Dos"), ("Aplicación Tres", "3.0", "Producción", "Equipo Tres")],
+    "usuarios": [("Usuario Uno", "usuario.uno@example.com", "TI", "Analista"), ("Usuario Dos", "usuario.dos@example.com", "Finanzas", "Gerente"), ("Usuario Tres", "usuario.tres@example.com", "Seguridad", "Líder")],
 }
 
 
@@ -56,10 +63,17 @@ class Store:
     def create(self) -> None:
         """Make the tables that don't exist."""
         for table, schema in TABLES.items():
-            if self._version(table) is None:
+            if table == HISTORY:
+                self.spark.createDataFrame([], schema).write.mode("append").parquet(self._rows())
+            elif self._version(table) is None:
                 self._write(table, self.spark.createDataFrame([], schema))
 
+    def _rows(self) -> str:
+        return f"{self.path}/{HISTORY}/rows"
+
     def table(self, table: str) -> DataFrame:
+        if table == HISTORY:
+            return self.spark.read.schema(TABLES[table]).parquet(self._rows())
         version = self._version(table)
         return self.spark.read.schema(TABLES[table]).parquet(version) if version else self.spark.createDataFrame([], TABLES[table])
 
@@ -74,16 +88,24 @@ class Store:
         self._write(table, latest_wins(self.table(table), new, KEYS[table]))
 
     def add_history(self, esquema: str, archivo_anterior: str | None, archivo_nuevo: str | None, score: float, total: int, errors: int, warnings: int, details: str = "") -> int:
-        """Append a validation; its number follows the last one."""
-        now = self.table("historico_validaciones")
-        number = (now.agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(number, esquema, archivo_anterior, archivo_nuevo, score, total, errors, warnings, details)], "id long, esquema string, archivo_anterior string, archivo_nuevo string, score_calidad double, total_registros long, errores_encontrados long, advertencias long, detalles string")
-        self._write("historico_validaciones", now.unionByName(row.withColumn("fecha_validacion", F.current_timestamp()).select(now.columns)))
-        return number
+        """Append a validation; its number is later than all that were given before."""
+        return self.add_histories([(esquema, archivo_anterior, archivo_nuevo, None, score, total, errors, warnings, details)])[0]
+
+    def add_histories(self, rows: list[tuple]) -> list[int]:
+        """Append validations (the fields of the history after its number; no moment: now) as one file.
+
+        Numbers are the microsecond and random low bits, so writers need not know of each other.
+        """
+        now = time.time_ns() // 1000
+        numbers = [((now + i) << 11) | secrets.randbelow(1 << 11) for i in range(len(rows))]
+        moment = datetime.now()
+        whole = [(n, *r[:3], r[3] or moment, *r[4:]) for n, r in zip(numbers, rows, strict=True)]
+        self.spark.createDataFrame(whole, TABLES[HISTORY]).coalesce(1).write.mode("append").parquet(self._rows())
+        return numbers
 
     def history(self, n: int = 5) -> DataFrame:
         """The latest validations."""
-        return self.table("historico_validaciones").orderBy(F.desc("fecha_validacion"), F.desc("id")).limit(n)
+        return self.table(HISTORY).orderBy(F.desc("fecha_validacion"), F.desc("id")).limit(n)
 
     def clear(self) -> None:
         """Empty the suppliers and applications."""

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import dates, numbers, similarity, text
 from tablewright.operators import clean, fuzzy, positional, quality, rules, schema, store
-from tablewright.operators.compare import CompareOptions, Comparison
+from tablewright.operators.compare import CHANGED, CompareOptions, Comparison, of_kinds
 from tablewright.plans import pairs
 from tablewright.plans.pairs import view
+from tablewright.sources import files, tables, writers
+from tablewright.sources.xlsx import to_excel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +125,53 @@ def compare_inclusion(spark: SparkSession, sf: str) -> DataFrame:
     return orders(spark, sf).inclusion()
 
 
+def _whole_sql(verdict: str, same: str) -> str:
+    return f"SELECT count(*) AS total_a, count(*) AS total_b, count(*) AS encontrados, count(*) FILTER ({same}) AS identicos, 0 AS faltantes, CAST(100 AS DOUBLE) AS cobertura_clave, round(100 * count(*) FILTER ({same}) / count(*), 2) AS cobertura_exacta, count(*) FILTER (NOT ({same})) = 0 AS contenido, true AS contenido_por_clave, '{verdict}' AS veredicto FROM orders"
+
+
+@query("compare_inclusion_whole", _whole_sql("SÍ", "true"))
+def compare_inclusion_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "SELECT o_orderkey AS fila, o_orderkey, o_totalprice FROM orders", "orders")
+    return Comparison(rows, rows, ["o_orderkey"], ["o_totalprice"]).inclusion()
+
+
+@query("compare_inclusion_partial", _whole_sql("PARCIAL", "o_orderkey % 10 <> 4"))
+def compare_inclusion_partial(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "SELECT o_orderkey AS fila, o_orderkey, o_totalprice FROM orders", "orders")
+    other = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 4, F.col("o_totalprice") + 5).otherwise(F.col("o_totalprice")))
+    return Comparison(rows, other, ["o_orderkey"], ["o_totalprice"]).inclusion()
+
+
+@query("compare_totals", _orders_sql("SELECT count(*) FILTER (estado = 'Alta') AS altas, count(*) FILTER (estado = 'Baja') AS bajas, count(*) FILTER (estado = 'Modificación') AS modificaciones, count(*) FILTER (estado = 'Sin cambios') AS sin_cambios, count(*) AS total_keys FROM s"))
+def compare_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).totals()
+
+
+@query("compare_shown", _orders_sql("SELECT estado AS `Estado`, count(*) AS n FROM s WHERE estado <> 'Sin cambios' GROUP BY estado"))
+def compare_shown(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).shown().groupBy("Estado").agg(F.count("*").alias("n"))
+
+
+@query("compare_shown_states", _orders_sql("SELECT nk AS o_orderkey FROM s WHERE estado = 'Modificación'"))
+def compare_shown_states(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).shown([CHANGED], False).select("o_orderkey")
+
+
+@query("compare_details_of_kinds", _orders_sql(f"SELECT CAST(k AS VARCHAR) AS `Clave`, c AS `Columna`, t AS `Tipo de diferencia` FROM ({_CELLS}) WHERE t IN ('Tildes/acentos', 'Mayúsculas/minúsculas')"))
+def compare_details_of_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    found = of_kinds(orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).details(False), [similarity.ACCENTS, similarity.CASE])
+    return found.select("Clave", "Columna", "Tipo de diferencia")
+
+
+_KINDS = ", ".join("({}, {}, {}, '{}')".format(i, *("NULL" if x is None else f"'{x}'" for x in (a, b)), kind) for i, (a, b, kind) in enumerate(pairs.DIFFERENCES))
+
+
+@query("difference_kinds", f"SELECT i, a, b, kind FROM (VALUES {_KINDS}) AS t(i, a, b, kind)")
+def difference_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs.DIFFERENCES)], "i int, a string, b string")
+    return similarity.with_difference(rows, "a", "b", tolerance=0.01).select("i", "a", "b", "kind")
+
+
 @query("compare_summary", _orders_sql("""SELECT unnest(['Registros en Archivo 1', 'Registros en Archivo 2', 'Altas', 'Bajas', 'Modificaciones', 'Sin cambios', 'Cobertura por clave (%)', 'Cobertura exacta (%)', 'Sin par en Archivo 1', 'Sin par en Archivo 2']) AS `Indicador`, unnest([CAST(count(ok) AS DOUBLE), count(nk), count(*) FILTER (estado = 'Alta'), count(*) FILTER (estado = 'Baja'), count(*) FILTER (estado = 'Modificación'), count(*) FILTER (estado = 'Sin cambios'), round(100 * count(*) FILTER (ok = nk) / count(ok), 2), round(100 * count(*) FILTER (estado = 'Sin cambios') / count(ok), 2), 0, 0]) AS `Valor` FROM s"""))
 def compare_summary(spark: SparkSession, sf: str) -> DataFrame:
     return orders(spark, sf).summary()
@@ -181,18 +231,24 @@ def compare_composite(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- fuzzy and positional
 
 
-def _fuzzy(spark: SparkSession, sf: str, algorithm: str) -> DataFrame:
+def _fuzzy(spark: SparkSession, sf: str, algorithm: str, top: int | None = None) -> DataFrame:
     old, new = view(spark, sf, pairs.CUSTOMERS_OLD, "customer"), view(spark, sf, pairs.CUSTOMERS_NEW, "customer")
-    found = fuzzy.suggestions(Comparison(old, new, ["c_custkey"], ["c_name", "c_mktsegment"], CompareOptions(fuzzy_enabled=True, fuzzy_algorithm=algorithm)), top=1 << 30)[0]
+    compared = Comparison(old, new, ["c_custkey"], ["c_name", "c_mktsegment"], CompareOptions(fuzzy_enabled=True, fuzzy_algorithm=algorithm))
+    found, note = fuzzy.suggestions(compared, most_pairs=None, top=top)
     if found is None:
-        found = spark.createDataFrame([], "`Baja en Archivo 1` string, `Posible alta equivalente en Archivo 2` string, Similitud double, `Tipo de diferencia` string")
+        raise ValueError(note)
     return found.select(F.col("Baja en Archivo 1").alias("baja"), F.col("Posible alta equivalente en Archivo 2").alias("alta"), F.col("Similitud").alias("similitud"), F.col("Tipo de diferencia").alias("tipo"))
 
 
-def _fuzzy_sql(sim: str) -> str:
+def _fuzzy_sql(sim: str, top: str = "") -> str:
     return f"""WITH a AS (SELECT c_custkey AS k, c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS r FROM customer WHERE c_custkey % 20 = 1), b AS (SELECT c_custkey AS k, c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS r FROM customer WHERE c_custkey % 20 = 0),
-p AS (SELECT a.k AS ka, b.k AS kb, {sim} AS sim FROM a, b WHERE (SELECT count(*) FROM a) * (SELECT count(*) FROM b) <= 40000)
-SELECT CAST(ka AS VARCHAR) AS baja, CAST(kb AS VARCHAR) AS alta, round(sim * 100, 1) AS similitud, 'Texto distinto' AS tipo FROM p WHERE sim >= 0.85 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY sim DESC, kb) = 1"""
+p AS (SELECT a.k AS ka, b.k AS kb, {sim} AS sim FROM a, b), q AS (SELECT * FROM p WHERE sim >= 0.85 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY sim DESC, kb) = 1)
+SELECT CAST(ka AS VARCHAR) AS baja, CAST(kb AS VARCHAR) AS alta, round(sim * 100, 1) AS similitud, 'Texto distinto' AS tipo FROM q {top}"""
+
+
+@query("fuzzy_suggestions_top", _fuzzy_sql("1 - levenshtein(a.r, b.r) / greatest(length(a.r), length(b.r))", "ORDER BY round(sim * 100, 1) DESC, ka LIMIT 200"))
+def fuzzy_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _fuzzy(spark, sf, similarity.LEVENSHTEIN, fuzzy.TOP)
 
 
 @query("fuzzy_levenshtein", _fuzzy_sql("1 - levenshtein(a.r, b.r) / greatest(length(a.r), length(b.r))"))
@@ -211,9 +267,49 @@ def positional_strict(spark: SparkSession, sf: str) -> DataFrame:
     return positional.strict(view(spark, sf, pairs.ORDERS_OLD, "orders"), view(spark, sf, pairs.ORDERS_NEW, "orders"), ["o_orderpriority"])
 
 
-@query("positional_aligned")
+def _aligned(rows: DataFrame) -> DataFrame:
+    return rows.select("orden", "Tipo", F.col("Fila en Archivo 1").alias("fila_a"), F.col("Fila en Archivo 2").alias("fila_b"), "iguales")
+
+
+#: Each twentieth customer stands where another stood: these differ in place, all others are equal in place.
+@query("positional_aligned", f"""WITH p AS (SELECT row_number() OVER (ORDER BY fila) AS pos, fila FROM ({pairs.CUSTOMERS_OLD})), q AS (SELECT row_number() OVER (ORDER BY fila) AS pos, fila FROM ({pairs.CUSTOMERS_NEW})), j AS (SELECT p.fila AS a, q.fila AS b FROM p JOIN q USING (pos))
+SELECT row_number() OVER (ORDER BY a) - 1 AS orden, 'Contenido distinto en la misma posición' AS `Tipo`, CAST(a AS VARCHAR) AS fila_a, CAST(b AS VARCHAR) AS fila_b, 0 AS iguales FROM j WHERE a <> b
+UNION ALL SELECT -1, '', '—', '—', count(*) FROM j WHERE a = b""")
 def positional_aligned(spark: SparkSession, sf: str) -> DataFrame:
-    return positional.aligned_rows(view(spark, sf, pairs.CUSTOMERS_OLD, "customer"), view(spark, sf, pairs.CUSTOMERS_NEW, "customer"), ["c_custkey", "c_name"])
+    return _aligned(positional.aligned_rows(view(spark, sf, pairs.CUSTOMERS_OLD, "customer"), view(spark, sf, pairs.CUSTOMERS_NEW, "customer"), ["c_custkey", "c_name"]))
+
+
+def _shifted_sql(lone: str, a: str, b: str) -> str:
+    """Rows after a lone one are shifted."""
+    return f"""WITH w AS (SELECT c_custkey AS k, c_custkey % 50 <> 7 AS paired, row_number() OVER (ORDER BY c_custkey) AS pos FROM customer), s AS (SELECT *, row_number() OVER (PARTITION BY paired ORDER BY k) AS own FROM w)
+SELECT row_number() OVER (ORDER BY k) - 1 AS orden, CASE WHEN paired THEN 'Desplazada' ELSE '{lone}' END AS `Tipo`, {a} AS fila_a, {b} AS fila_b, 0 AS iguales FROM s WHERE NOT paired OR pos <> own
+UNION ALL SELECT -1, '', '—', '—', count(*) FROM s WHERE paired AND pos = own"""
+
+
+_K, _ELSE = "CAST(k AS VARCHAR)", "CASE WHEN paired THEN CAST(k AS VARCHAR) ELSE '—' END"
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "SELECT c_custkey AS fila, c_custkey, c_name FROM customer", "customer")
+
+
+@query("positional_deleted", _shifted_sql("Solo en Archivo 1", _K, _ELSE))
+def positional_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf)
+    return _aligned(positional.aligned_rows(rows, rows.where("c_custkey % 50 <> 7"), ["c_custkey", "c_name"]))
+
+
+@query("positional_inserted", _shifted_sql("Solo en Archivo 2", _ELSE, _K))
+def positional_inserted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf)
+    return _aligned(positional.aligned_rows(rows.where("c_custkey % 50 <> 7"), rows, ["c_custkey", "c_name"]))
+
+
+@query("positional_in_order", "SELECT count(*) AS iguales, 0 AS desplazadas, 0 AS distintas, 0 AS solo_en_a, 0 AS solo_en_b, true AS mismo_orden FROM customer")
+def positional_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _customers(spark, sf)
+    r = positional.aligned(rows, rows, ["c_custkey", "c_name"])
+    return spark.createDataFrame([(r.iguales, r.desplazadas, r.distintas, r.solo_en_a, r.solo_en_b, r.mismo_orden)], "iguales long, desplazadas long, distintas long, solo_en_a long, solo_en_b long, mismo_orden boolean")
 
 
 # ---------------------------------------------------------------- cleaning and typing
@@ -225,7 +321,10 @@ def clean_data(spark: SparkSession, sf: str) -> DataFrame:
     return clean.clean_data(view(spark, sf, pairs.DIRTY.replace("VARCHAR(20)", "STRING"), "orders"))
 
 
-@query("normalize_text")
+_TITLE = "list_transform(l, lambda x, i: CASE WHEN i = 1 OR NOT regexp_matches(l[i - 1], '[A-Za-z]') THEN upper(x) ELSE lower(x) END)"
+
+
+@query("normalize_text", rf"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(strip_accents(text), '[^A-Za-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS l FROM documents) SELECT doc_id, array_to_string({_TITLE}, '') AS text FROM d""")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return clean.normalize_text_data(docs, {"text": clean.TEXT})
@@ -255,6 +354,11 @@ def normalize_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return clean.normalize_text_data(view(spark, sf, _MAILS, "customer"))
 
 
+@query("clean_changed_count", "SELECT count(*) FILTER (strip_accents(text) <> text) AS celdas FROM documents")
+def clean_changed_count(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.changed_count(clean_changed(spark, sf))
+
+
 @query("clean_changed_cells", "SELECT doc_id AS fila, CASE WHEN strip_accents(text) <> text THEN ['text'] ELSE [] END AS cambios FROM documents WHERE text IS NOT NULL")
 def clean_changed(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("fila"), "text")
@@ -282,6 +386,18 @@ def decimal_style(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, pairs.PRICES, "orders").agg(*[e.alias(f"{c}_{n}") for c in ("coma", "punto") for (n, _), e in zip(numbers.EVIDENCE, numbers.evidence(F.col(c)), strict=True)])
 
 
+def _style_sql(c: str) -> str:
+    n = {name: f"count(*) FILTER (regexp_full_match(trim({c}), '{p[1:-2]}'))" for name, p in numbers.EVIDENCE}
+    comma, point = f"({n['comma_after_points']} + {n['comma_not_thousands']})", f"({n['point_after_commas']} + {n['point_not_thousands']})"
+    return f"CASE WHEN {point} > {comma} OR {point} = {comma} AND {n['thousands_by_comma']} > {n['thousands_by_point']} THEN 'punto' ELSE 'coma' END"
+
+
+@query("decimal_style_choice", f"SELECT {_style_sql('coma')} AS coma, {_style_sql('punto')} AS punto FROM ({pairs.PRICES})")
+def decimal_choice(spark: SparkSession, sf: str) -> DataFrame:
+    found = schema.decimal_styles({"coma": schema.DECIMAL, "punto": schema.DECIMAL}, view(spark, sf, pairs.PRICES, "orders"))
+    return spark.createDataFrame([(found["coma"], found["punto"])], "coma string, punto string")
+
+
 @query("parse_dates", f"""SELECT fila, CASE WHEN fecha = '45123' THEN TIMESTAMP '2023-07-16' ELSE coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%Y-%m-%dT%H:%M:%S'), try_strptime(fecha, '%Y%m%d'), try_strptime(fecha, '%d/%m/%Y'), try_strptime(fecha, '%d-%m-%Y %H:%M'), try_strptime(fecha, '%d.%m.%Y')) END AS momento FROM ({pairs.DATES})""")
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, pairs.DATES, "orders").select("fila", dates.parse_date(F.col("fecha")).alias("momento"))
@@ -293,19 +409,42 @@ def parse_serial(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("fila", dates.parse_date(F.col("s")).alias("momento"))
 
 
-@query("infer_schema")
+_FOUND = {"id": "Identificador / Código", "nombre": "Texto", "correo": "Email", "pais_num": "Texto", "saldo": "Decimal (Float)", "activo": "Texto"}
+_INFER = " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS detectado, '{{}}' AS tipo, array_to_string((list({c} ORDER BY fila) FILTER (trim({c}) <> ''))[1:3], ' | ') AS ejemplos, count(*) - count({c}) AS vacios FROM ({pairs.TYPED})".format(pairs.SCHEMA[c]) for c, t in _FOUND.items())
+
+
+#: Some values of pais_num and activo fit no type, so they are found to be text; the schema says what they are meant to be.
+@query("infer_schema", _INFER)
 def infer_schema(spark: SparkSession, sf: str) -> DataFrame:
-    found = schema.infer_schema(view(spark, sf, pairs.TYPED, "customer"))
+    found = schema.infer_schema(view(spark, sf, pairs.TYPED, "customer"), overrides=pairs.SCHEMA)
     return spark.createDataFrame([tuple(r.values()) for r in found], "columna string, detectado string, tipo string, ejemplos string, vacios long")
 
 
 _UNFIT = {"correo": ("Email", "fila % 9 = 4"), "pais_num": ("Entero", "fila % 11 = 5"), "activo": ("Booleano (Sí/No)", "fila % 7 = 3")}
 
 
-@query("apply_schema_report", " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS tipo, count(*) AS n, array_to_string((list({c} ORDER BY fila))[1:5], ' | ') AS ejemplos, list(fila ORDER BY fila) AS filas FROM ({pairs.TYPED}) WHERE {w} HAVING count(*) > 0" for c, (t, w) in _UNFIT.items()))
+@query("apply_schema_report", " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS tipo, count(*) AS n, array_to_string((list({c} ORDER BY fila))[1:5], ' | ') AS ejemplos FROM ({pairs.TYPED}) WHERE {w} HAVING count(*) > 0" for c, (t, w) in _UNFIT.items()))
 def apply_schema_report(spark: SparkSession, sf: str) -> DataFrame:
     _, report = schema.apply_schema(view(spark, sf, pairs.TYPED, "customer"), pairs.SCHEMA)
-    return report.select(F.col("Columna").alias("columna"), F.col("Tipo asignado").alias("tipo"), F.col("Valores no válidos").alias("n"), F.col("Ejemplos").alias("ejemplos"), F.col("Filas").alias("filas"))
+    return report.select(F.col("Columna").alias("columna"), F.col("Tipo asignado").alias("tipo"), F.col("Valores no válidos").alias("n"), F.col("Ejemplos").alias("ejemplos"))
+
+
+@query("unfit_cells", " UNION ALL ".join(f"SELECT fila, '{c}' AS columna, '{t}' AS tipo, {c} AS valor FROM ({pairs.TYPED}) WHERE {w}" for c, (t, w) in _UNFIT.items()))
+def unfit_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return schema.unfit_cells(view(spark, sf, pairs.TYPED, "customer"), pairs.SCHEMA).toDF("fila", "columna", "tipo", "valor")
+
+
+@query("cast_preview", "SELECT *, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {w} THEN '{c}' END" for c, (_, w) in _UNFIT.items()) + f"], lambda x: x IS NOT NULL), ', ') AS no_validas FROM ({pairs.TYPED}) ORDER BY fila LIMIT 50")
+def cast_preview(spark: SparkSession, sf: str) -> DataFrame:
+    found = schema.cast_preview(view(spark, sf, pairs.TYPED, "customer"), pairs.SCHEMA)
+    return found.withColumn("no_validas", F.array_join("__no_validas", ", ")).drop("__no_validas")
+
+
+@query("cast_reports_of_files", " UNION ALL ".join(f"SELECT '{name}' AS archivo, '{c}' AS columna, count(*) AS n FROM ({pairs.TYPED}) WHERE {w} AND {part} HAVING count(*) > 0" for name, part in (("Archivo 1", "fila % 2 = 0"), ("Archivo 2", "fila % 2 = 1")) for c, (_, w) in _UNFIT.items()))
+def cast_reports(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, pairs.TYPED, "customer")
+    reports = {name: schema.apply_schema(rows.where(part), pairs.SCHEMA)[1] for name, part in (("Archivo 1", "fila % 2 = 0"), ("Archivo 2", "fila % 2 = 1"))}
+    return schema.union_reports(reports).select(F.col("Archivo").alias("archivo"), F.col("Columna").alias("columna"), F.col("Valores no válidos").alias("n"))
 
 
 @query("apply_schema", f"SELECT fila, id, nombre, CASE WHEN fila % 9 = 4 THEN 'sincorreo' ELSE 'user' || id || '@example.com' END AS correo, try_cast(pais_num AS BIGINT) AS pais_num, try_cast(replace(saldo, ',', '.') AS DOUBLE) AS saldo, CASE activo WHEN 'Sí' THEN true WHEN 'no' THEN false END AS activo FROM ({pairs.TYPED})")
@@ -477,7 +616,7 @@ _OFF = f"coalesce(NOT starts_with(upper(trim(`Nombre CMDB`)), {_PREFIX}), false)
     ("INF3", _E, "Hostname", "NOT regexp_full_match(trim(`Hostname`), '[A-Za-z0-9._-]+')"),
     ("INF4", _E, "Ambiente", "upper(trim(`Ambiente`)) NOT IN ('PRODUCCION', 'DESARROLLO', 'PRUEBAS', 'STAGING')"),
     ("INF4", _E, "Estado", "upper(trim(`Estado`)) NOT IN ('ACTIVO', 'INACTIVO', 'MANTENIMIENTO', 'RETIRADO')"),
-    ("INF5", _E, "IP", r"NOT regexp_full_match(`IP`, '((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)')"),
+    ("INF5", _E, "IP", r"`IP` <> '2001:db8::1' AND NOT regexp_full_match(`IP`, '((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)')"),
     ("INF6", _W, "CPU", "NOT coalesce(try_cast(`CPU` AS DOUBLE) > 0, false)"),
     ("INF7", _W, "MAC", "NOT regexp_full_match(trim(`MAC`), '[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}')"),
     ("INF8", _W, "Antivirus", f"NOT {_has('Antivirus')}"),
@@ -536,16 +675,26 @@ def problem_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("fila", "severidad", F.size(F.split("Problemas", "; ")).cast("long").alias("problemas"))
 
 
-@query("reference_lookup_anti", "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query("validate_missing_columns", "SELECT regla, columna, severidad FROM (VALUES ('CUE1', 'Usuario', 'error'), ('USU1', 'Identificación', 'error'), ('INF1', 'Modelo', 'error')) AS t(regla, columna, severidad)")
+def validate_missing(spark: SparkSession, sf: str) -> DataFrame:
+    found = rules.validate("Cuentas", view(spark, sf, pairs.ACCOUNTS, "orders").drop("Usuario"))
+    found = found.unionByName(rules.validate("Usuario", view(spark, sf, pairs.USERS, "customer").drop("Documento")))
+    return found.unionByName(rules.validate("Infraestructura", view(spark, sf, pairs.SERVERS, "customer").drop("Modelo"))).select("regla", "columna", "severidad")
+
+
+@query("reference_lookup_anti", f"SELECT fila FROM ({pairs.DOMAINS}) WHERE `Activo Asociado` IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (VALUES ('App Uno')) AS t(nombre) WHERE nombre = `Activo Asociado`)")
 def reference_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    part, lines = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
-    return part.join(lines, part["p_partkey"] == lines["l_partkey"], "left_anti").select("p_partkey", "p_name")
+    known = rules.known(view(spark, sf, pairs.DOMAINS, "orders"), "Activo Asociado", _references(spark)["aplicaciones"], "nombre", "__app")
+    return known.where(F.col("Activo Asociado").isNotNull() & F.col("__app").isNull()).select("fila")
 
 
-@query("history_top_n", "SELECT o_orderkey AS id, o_orderdate AS fecha_validacion FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+@query("history_top_n", "SELECT 'b' || n_nationkey || '.csv' AS archivo_nuevo, CAST(n_nationkey AS DOUBLE) AS score_calidad, CAST(DATE '2024-01-01' + CAST(n_nationkey * 7 % 25 AS INTEGER) AS DATE) AS dia FROM nation ORDER BY n_nationkey * 7 % 25 DESC LIMIT 5")
 def history_top(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("fecha_validacion"))
-    return rows.orderBy(F.desc("fecha_validacion"), F.desc("id")).limit(5)
+    kept = store.Store(spark, files.scratch(spark, "store"))
+    kept.create()
+    nations = [r[0] for r in spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").collect()]  # 25 rows
+    kept.add_histories([("Cuentas", None, f"b{k}.csv", datetime(2024, 1, 1, 12) + timedelta(days=k * 7 % 25), float(k), k, 0, 0, "") for k in nations])
+    return kept.history(5).select("archivo_nuevo", "score_calidad", F.to_date("fecha_validacion").alias("dia"))
 
 
 @query("upsert_reference", "SELECT n_name AS nombre, CASE WHEN n_nationkey % 2 = 0 THEN 'nuevo' ELSE 'viejo' END AS version FROM nation")
@@ -555,6 +704,43 @@ def upsert_reference(spark: SparkSession, sf: str) -> DataFrame:
     return store.latest_wins(rows.select("nombre", F.lit("viejo").alias("version")), new, "nombre")
 
 
+# ---------------------------------------------------------------- files
+
+_LOADED = f"SELECT row_number() OVER (ORDER BY fila) + 1 AS fila, id, nombre, correo, pais_num, nullif(saldo, '') AS saldo, activo FROM ({pairs.TYPED})"
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, pairs.TYPED, "customer").orderBy("fila").drop("fila")
+
+
+@query("csv_round_trip", _LOADED)
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load_bytes(spark, "clientes.csv", writers.csv_bytes(_written(spark, sf)))[0]
+
+
+@query("xlsx_round_trip", _LOADED)
+def xlsx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.load_bytes(spark, "clientes.xlsx", to_excel({"Datos": _written(spark, sf)}))[0]
+
+
+@query("cleaned_file", _LOADED)
+def cleaned_file(spark: SparkSession, sf: str) -> DataFrame:
+    found = writers.cleaned_files(_written(spark, sf), "clientes.xlsx")
+    return tables.load_bytes(spark, "clientes_limpio.csv", found["clientes_limpio.csv"])[0]
+
+
+#: Texts with line breaks and quotes: a record's number is that of its first line.
+@query("csv_distributed", """WITH d AS (SELECT doc_id, coalesce(replace(text, chr(13), ''), '') AS t FROM documents)
+SELECT CAST(2 + coalesce(sum(1 + length(t) - length(replace(t, chr(10), ''))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS fila, CAST(doc_id AS VARCHAR) AS doc_id, nullif(t, '') AS texto FROM d""")
+def csv_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")).alias("t"))
+    lines = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("t", F.lit('"'), F.lit('""')), F.lit('"')).alias("line"))
+    head = spark.createDataFrame([(-1, "doc_id,texto")], "doc_id long, line string")
+    folder = files.scratch(spark, "csv")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("doc_id").select("line").write.text(folder)  # one file, as people send them
+    return tables.distributed_csv(spark, files.parts(spark, folder)[0])[0]
+
+
 # ---------------------------------------------------------------- similarity
 
 
@@ -570,6 +756,16 @@ def jaro_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return part.select("p_partkey", F.round(similarity.jaro(F.col("p_name"), F.lower("p_type")), 6).alias("jaro"))
 
 
+_SHOWN = r"replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("char_diff_texts", _orders_sql(f"SELECT CAST(k AS VARCHAR) AS `Clave`, c AS `Columna`, a, b FROM ({_CELLS})"))
+def char_diff_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The marked texts without their marks are the texts."""
+    bare = lambda c: F.expr(_SHOWN.format(f"regexp_replace({c}, '<[^>]*>', '')"))
+    return char_diff(spark, sf).select("Clave", "Columna", bare("html_a").alias("a"), bare("html_b").alias("b"))
+
+
 @query("char_diff")
 def char_diff(spark: SparkSession, sf: str) -> DataFrame:
     found = orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).details(False)

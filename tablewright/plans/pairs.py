@@ -71,9 +71,15 @@ ACCOUNTS = """SELECT o_orderkey AS fila, CASE o_orderkey % 6 WHEN 0 THEN 'ab' WH
 USERS = """SELECT c_custkey AS fila, c_name AS `Nombre`, CASE c_custkey % 5 WHEN 0 THEN 'Activo' WHEN 1 THEN 'RETIRADO' WHEN 2 THEN 'otro' WHEN 3 THEN NULL ELSE 'suspendido' END AS `Estado`, CASE c_custkey % 4 WHEN 0 THEN 'x@y' ELSE 'a.b@example.com' END AS `Correo`, CASE c_custkey % 6 WHEN 0 THEN '12-3' ELSE '123' END AS `Documento`,
  CASE c_custkey % 7 WHEN 0 THEN 'TI' ELSE 'cc' END AS `Tipo Documento`, CASE c_custkey % 8 WHEN 0 THEN ' ' ELSE 'E' END AS `Empresa`, CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'TK1' ELSE 'TK-000001' END AS `Ticket Ingreso`, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'mal' ELSE 'tk-9999999' END AS `Ticket Retiro`,
  CASE c_custkey % 10 WHEN 0 THEN '57 1' WHEN 1 THEN NULL ELSE '+571' END AS `Telefono`, CASE c_custkey % 2 WHEN 0 THEN NULL ELSE 'G' END AS `Gerencia`, 'C' AS `Cargo`, CASE c_custkey % 11 WHEN 0 THEN 'a b' WHEN 1 THEN NULL ELSE '110' END AS `ZIP`, CASE c_custkey % 12 WHEN 0 THEN 'x' WHEN 1 THEN '1' ELSE NULL END AS `Telefono Alternativo` FROM customer"""
-SERVERS = """SELECT c_custkey AS fila, CASE c_custkey % 9 WHEN 0 THEN 'srv 1' ELSE 'srv-1' END AS `Hostname`, 'M' AS `Marca`, CASE c_custkey % 10 WHEN 0 THEN NULL ELSE 'X' END AS `Modelo`, 'L' AS `SO`, 'F' AS `Firmware`, CASE c_custkey % 5 WHEN 0 THEN '10.0.0.256' WHEN 1 THEN '10.0.0.01' ELSE '10.0.0.1' END AS `IP`, 'S' AS `Serial`,
+SERVERS = """SELECT c_custkey AS fila, CASE c_custkey % 9 WHEN 0 THEN 'srv 1' ELSE 'srv-1' END AS `Hostname`, 'M' AS `Marca`, CASE c_custkey % 10 WHEN 0 THEN NULL ELSE 'X' END AS `Modelo`, 'L' AS `SO`, 'F' AS `Firmware`, CASE c_custkey % 5 WHEN 0 THEN '10.0.0.256' WHEN 1 THEN '10.0.0.01' WHEN 2 THEN '2001:db8::1' WHEN 3 THEN '2001:db8::g' ELSE '10.0.0.1' END AS `IP`, 'S' AS `Serial`,
  CASE c_custkey % 4 WHEN 0 THEN 'QA' ELSE 'produccion' END AS `Ambiente`, 'D' AS `Data Center`, 'W' AS `Servicios`, CASE c_custkey % 6 WHEN 0 THEN 'SUSPENDIDO' ELSE 'Activo' END AS `Estado`, 'd' AS `Descripcion`, CASE c_custkey % 7 WHEN 0 THEN '0' WHEN 1 THEN 'dos' WHEN 2 THEN NULL ELSE '4' END AS `CPU`, CASE c_custkey % 3 WHEN 0 THEN '00:1A:2b:3c:4d' ELSE '00:1A:2b:3c:4d:5e' END AS `MAC`,
  CASE c_custkey % 8 WHEN 0 THEN NULL ELSE 'A' END AS `Antivirus`, CASE c_custkey % 2 WHEN 0 THEN 'sí' ELSE 'no' END AS `Tiene Soporte`, CASE c_custkey % 3 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-02-28' ELSE NULL END AS `Vencimiento Soporte`, 'SI' AS `SO Parchable`, CASE c_custkey % 11 WHEN 0 THEN 'ALTO' ELSE 'Alta' END AS `Integridad`,
  CASE c_custkey % 12 WHEN 0 THEN ' ' ELSE 'P' END AS `Proveedor`, CASE c_custkey % 3 WHEN 0 THEN 'FISICO' WHEN 1 THEN 'Virtual' ELSE NULL END AS `Tipo Servidor`, CASE c_custkey % 4 WHEN 0 THEN 'SF_a' WHEN 1 THEN 'sv_b' WHEN 2 THEN 'otro' ELSE NULL END AS `Nombre CMDB`, CASE c_custkey % 13 WHEN 0 THEN 'r#1' ELSE 'R-1' END AS `Rack` FROM customer"""
 APPLICATIONS = [("App Uno", "1", "Producción", "TI")]
 PEOPLE = [("Ana", "ana@empresa.com", "TI", "Analista")]
+
+#: Pairs of texts that differ in every way, with the kind of their difference.
+DIFFERENCES = [
+    ("Hola", "hola", "Mayúsculas/minúsculas"), ("Perú", "Peru", "Tildes/acentos"), ("Perú", "PERU", "Mayúsculas y tildes"), ("a  b", "a b", "Espacios en blanco"), ("Perú ", "peru", "Mayúsculas y tildes"), ("100,5", "x", "Texto distinto"),
+    ("1.0", "1.005", "Numérico dentro de tolerancia"), ("1", "2", "Numérico distinto"), ("2024-01-15", "15/01/2024", "Formato de fecha/hora"), ("2024-01-15", "16/01/2024", "Fecha distinta"), (None, "x", "Valor faltante en un archivo"), (None, None, "Sin diferencia"), ("007", "7", "Sin diferencia"),
+]

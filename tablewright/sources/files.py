@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,3 +33,38 @@ def head(spark: SparkSession, path: str, n: int) -> bytes:
 def name(path: str) -> str:
     """The last part of a path."""
     return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def signature(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """Path, bytes and time of the last change of a file: another one means other contents."""
+    fs, p = _open(spark, path)
+    status = fs.getFileStatus(p)
+    return path, status.getLen(), status.getModificationTime()
+
+
+def parts(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the data files that a writer left in a folder, in order."""
+    fs, p = _open(spark, folder)
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); it goes when the session's JVM ends.
+
+    Where that is unset, a local master (whose executors are in this machine) gets a temporary folder; on a
+    cluster the warehouse, which all executors share, takes its place.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and context.master.split("[")[0] == "local":
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tablewright-scratch")
+        os.makedirs(base[7:], exist_ok=True)
+        context.setCheckpointDir(base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tablewright-scratch"
+    fs, p = _open(spark, base)
+    if "://" not in base:  # a bare path belongs to the cluster's default file system, which other readers must be told
+        base = fs.makeQualified(p).toString()
+        base = "file://" + base[5:] if base.startswith("file:/") and "://" not in base else base
+    out = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    fs.deleteOnExit(_open(spark, out)[1])
+    return out

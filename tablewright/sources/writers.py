@@ -60,3 +60,25 @@ def write_report(comparison: Comparison, path: str, issues: DataFrame | None = N
 def excel_report(comparison: Comparison, issues: DataFrame | None = None) -> bytes:
     """A report as a workbook."""
     return to_excel(report_frames(comparison, issues))
+
+
+def cleaned_files(df: DataFrame, file_name: str) -> dict[str, bytes]:
+    """A cleaned table as a workbook and as CSV, by the names under which they are handed out."""
+    base = file_name.rsplit(".", 1)[0]
+    return {f"{base}_limpio.xlsx": to_excel({"Datos": df}), f"{base}_limpio.csv": csv_bytes(df)}
+
+
+def write_cleaned(df: DataFrame, folder: str, file_name: str) -> str:
+    """A cleaned table of any size as a folder of CSV files; its path."""
+    path = f"{folder.rstrip('/')}/{file_name.rsplit('.', 1)[0]}_limpio.csv"
+    write_csv(df, path)
+    return path
+
+
+def section_files(comparison: Comparison, issues: DataFrame | None = None, positions: DataFrame | None = None) -> dict[str, bytes]:
+    """Every section of a comparison as CSV by its file's name; positions: the detail of an alignment."""
+    names = {"Detalle diferencias": "diferencias", "Modificaciones": "modificaciones", "Altas": "altas", "Bajas": "bajas", "Repeticiones": "repeticiones", "Problemas validacion": "problemas"}
+    frames = {names[k]: v for k, v in report_frames(comparison, issues).items() if k in names}
+    if positions is not None:
+        frames["orden"] = positions
+    return {f"{name}.csv": csv_bytes(df) for name, df in frames.items()}

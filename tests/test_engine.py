@@ -286,11 +286,13 @@ def test_store(spark, tmp_path):
     s.create()
     s.seed()
     s.upsert("aplicaciones", [("Aplicación Uno", "1.1", "Pruebas", "X"), ("Aplicación Uno", "1.2", "Pruebas", "X")])
-    assert {r.nombre: r.version for r in s.names("aplicaciones").collect()} == {"Aplicación Dos": "2.0", "Aplicación Uno": "1.2"}
-    assert [s.add_history("Cuentas", None, "b.csv", 91.5, 10, 0, 1) for _ in range(2)] == [1, 2]
-    assert s.history(1).first().id == 2
+    assert {r.nombre: r.version for r in s.names("aplicaciones").collect()} == {"Aplicación Dos": "2.0", "Aplicación Tres": "3.0", "Aplicación Uno": "1.2"}
+    ids = [s.add_history("Cuentas", None, "b.csv", 91.5, 10, 0, 1) for _ in range(2)]
+    assert ids[0] < ids[1] and s.history(1).first().id == ids[1] and s.history().count() == 2
+    s.create()
+    assert s.history().count() == 2
     s.clear()
-    assert s.table("aplicaciones").count() == 0 and s.table("usuarios").count() == 2
+    assert s.table("aplicaciones").count() == 0 and s.table("usuarios").count() == 3 and s.table("proveedores").count() == 0
 
 
 def test_hot_keys_are_numbered_in_slices(spark, monkeypatch):
@@ -302,3 +304,112 @@ def test_hot_keys_are_numbered_in_slices(spark, monkeypatch):
     got = {(r.k, r.at): r.occ for r in occurrence.number_within(df, ["k"], "at", "occ").collect()}
     for k in {k for k, _ in rows}:
         assert [got[k, at] for at in sorted(a for x, a in rows if x == k)] == list(range(1, sum(x == k for x, _ in rows) + 1))
+
+
+def test_roles_are_disjoint(pair):
+    from tablewright.operators.compare import column_sets, disjoint
+
+    assert disjoint(["a", "a"], ["a", "b", "c", "b"], ("c", "a")) == (["a"], ["b"], ["c"], {"a": "clave", "c": "excluida"})
+    old, new = pair[2]
+    c = Comparison(old, new, ["ID"], ["ID", "Nombre", "Auditoria"], CompareOptions(excluded=("Auditoria",)))
+    assert c.columns == ["Nombre"] and c.moved == {"ID": "clave", "Auditoria": "excluida"}
+    assert column_sets(old, new.drop("Pais").withColumnRenamed("Nombre", "Otro"))[1:] == (["Nombre", "Pais"], ["Otro"])
+    said = CompareOptions(ignore_case=True, numeric_tolerance=0.5, excluded=("x",)).describe()
+    assert "mayúsculas" in said and "0.5" in said and "x" in said and "cada signo" in CompareOptions(ignore_spaces=False).describe()
+
+
+def test_views_of_states_and_kinds(pair):
+    from tablewright.operators.compare import of_kinds
+
+    c = compared(pair)
+    assert {r.Estado for r in c.shown().collect()} == {"Alta", "Baja", "Modificación"} and c.shown(["Alta"]).count() == 1
+    old = pair[2][0]
+    assert Comparison(old, old, ["ID"], ["Nombre"]).shown().count() == 5  # nothing but the unchanged
+    assert of_kinds(c.details()).count() == c.details().count() > of_kinds(c.details(), [similarity.ACCENTS]).count()
+
+
+def test_exports(pair, tmp_path):
+    from tablewright.sources.writers import cleaned_files, section_files, write_cleaned
+
+    df = pair[2][0]
+    found = cleaned_files(df, "inventario.v2.csv")
+    assert list(found) == ["inventario.v2_limpio.xlsx", "inventario.v2_limpio.csv"] and xlsx.catalogue(found["inventario.v2_limpio.xlsx"])[0]["nombre"] == "Datos"
+    assert write_cleaned(df, str(tmp_path), "a.xlsx").endswith("/a_limpio.csv") and (tmp_path / "a_limpio.csv").is_dir()
+    c = compared(pair)
+    detail = positional.aligned(pair[2][0], pair[2][1], ["Nombre"]).detalle
+    assert {"altas.csv", "bajas.csv", "modificaciones.csv", "diferencias.csv", "repeticiones.csv", "orden.csv"} <= set(section_files(c, positions=detail))
+
+
+def test_workspace_follows_its_files(spark, tmp_path, monkeypatch):
+    from tablewright.sources import cache
+
+    path = tmp_path / "a.csv"
+    path.write_text("id,v\n1,x\n")
+    w = cache.Workspace(spark)
+    first = w.load(str(path))[0]
+    assert w.load(str(path))[0] is first and w.clean(str(path)) is w.clean(str(path)) and first.is_cached
+    assert w.load(str(path), tables.ReadOptions(header_row=2))[0] is not first
+    path.write_text("id,v\n1,x\n2,y\n")
+    assert w.load(str(path))[0].count() == 2
+    kinds = {"id": schema.ID, "v": schema.TEXT}
+    (tmp_path / "b.csv").write_text("id,v\n1,X\n2,y\n")
+    one = w.compare(str(path), str(tmp_path / "b.csv"), kinds, ["id"], ["v"])
+    assert w.compare(str(path), str(tmp_path / "b.csv"), kinds, ["id"], ["v"]) is one
+    other = w.compare(str(path), str(tmp_path / "b.csv"), kinds, ["id"], ["v"], CompareOptions(ignore_case=True))
+    assert one.totals().first().modificaciones == 1 and other.totals().first().modificaciones == 0
+    kept = cache.Kept(2)
+    frames = [spark.range(i + 1) for i in range(3)]
+    for i, f in enumerate(frames):
+        kept.get(i, lambda f=f: (f, f))
+    assert not frames[0].is_cached and frames[2].is_cached
+    for x in (kept, w.tables, w.comparisons):
+        x.clear()
+    assert not frames[2].is_cached
+
+
+def test_messages_name_columns():
+    assert rules.plain("País ÑANDÚ ≥ 1") == "pais nandu  1" and rules.mentions("Fila 2: País 'X' no permitido", "pais")
+    assert not rules.mentions("Fila 2: Paisaje", "País") and rules.mentions("Columna Cantidad Total: 5%", "cantidad total")
+
+
+def test_inference_over_files_and_overrides(spark):
+    a = spark.createDataFrame([(i, f"{i},5", " ", "0012") for i in range(2, 9)], "fila long, monto string, vacio string, nota string")
+    b = spark.createDataFrame([(i, "n/d", None, "x") for i in range(2, 4)], "fila long, monto string, nuevo string, nota string")
+    got = {r["Columna"]: r for r in schema.infer_schema(a, b, overrides={"vacio": schema.DATE})}
+    assert list(got) == ["monto", "vacio", "nota", "nuevo"] and got["monto"]["Ejemplos"] == "2,5 | 3,5 | 4,5"
+    assert got["nota"]["Tipo detectado"] == schema.ID and got["vacio"]["Tipo detectado"] == schema.TEXT and got["vacio"]["Tipo de dato"] == schema.DATE and got["nuevo"]["Vacíos"] == 2
+    with pytest.raises(ValueError, match="otra"):
+        schema.infer_schema(a, overrides={"otra": schema.TEXT})
+    wide = spark.range(2000).selectExpr("id + 2 AS fila", "CASE WHEN id < 500 THEN '7' ELSE 'texto' END AS c")
+    assert schema.infer_schema(wide.repartition(6))[0]["Tipo detectado"] == schema.INTEGER  # of the first 500 values
+
+
+def test_unfit_cells_and_preview(spark):
+    df = spark.createDataFrame([(2, "1", "si"), (3, "x", "quizás"), (4, None, "no")], "fila long, n string, b string")
+    kinds = {"n": schema.INTEGER, "b": schema.BOOLEAN}
+    assert sorted(map(tuple, schema.unfit_cells(df, kinds).collect())) == [(3, "b", schema.BOOLEAN, "quizás"), (3, "n", schema.INTEGER, "x")]
+    assert [sorted(r["__no_validas"]) for r in schema.cast_preview(df, kinds, n=2).orderBy("fila").collect()] == [[], ["b", "n"]]
+    assert schema.unfit_cells(df, {}).count() == 0 and schema.apply_schema(df, {})[1].count() == 0
+
+
+def test_fuzzy_blocks_give_the_same(spark):
+    words = spark.createDataFrame([(i, str(i), f"servidor {i % 37} zona {i % 11}") for i in range(90)], "fila long, clave string, registro string")
+    old, new = (words.where(f"fila % 2 = {k}").toDF(*[f"{t}_{c}" for c in words.columns]) for k, t in ((0, "a"), (1, "b")))
+    whole = sorted(map(tuple, fuzzy.best_matches(old, new, similarity.LEVENSHTEIN, 0.8).collect()))
+    assert sorted(map(tuple, fuzzy.best_matches(old, new, similarity.LEVENSHTEIN, 0.8, block=7).collect())) == whole and len(whole) > 20
+
+
+def test_positions_by_any_order(spark):
+    df = spark.range(300).selectExpr("id * 7 % 300 AS fila", "concat('k', lpad(id * 7 % 300, 4, '0')) AS s", "CAST(NULL AS INT) AS nada").repartition(5)
+    for order in ("fila", "s"):
+        got = positional.numbered(df, order).collect()
+        assert [r.pos for r in sorted(got, key=lambda r: r[order])] == list(range(1, 301))
+    assert sorted(r.pos for r in positional.numbered(df, "nada").collect()) == list(range(1, 301)) and positional.numbered(df.limit(0), "fila").count() == 0
+
+
+def test_repeated_users_may_be_mostly_null(spark):
+    rows = [(i, None) for i in range(50)] + [(60, "a"), (61, "a "), (62, "b"), (63, "#1")]
+    df = spark.createDataFrame([(i, "Cuenta uno", u, "ACTIVO") for i, u in rows], "fila long, `Nombre cuenta` string, Usuario string, Estado string")
+    again = sorted(r.fila for r in rules.validate("Cuentas", df).where("regla = 'CUE2'").collect())
+    assert again == [*range(50), 60, 61]
+    assert rules.validate("Cuentas", df.where("fila >= 49")).where("regla = 'CUE2'").count() == 2
