@@ -10,8 +10,6 @@ import contextlib
 import ctypes
 import hashlib
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.files import scratch
+
 #: Bytes of text that one vectorised pass handles; larger texts form a block of their own.
 BLOCK_BYTES = 1 << 20
 
@@ -42,29 +42,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); it goes when the session's JVM ends.
-
-    Where that is unset, a local master (whose executors are in this machine) gets a temporary folder; on a
-    cluster the warehouse, which all executors share, takes its place.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and context.master.split("[")[0] == "local":
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tablewright-scratch")
-        os.makedirs(base[7:], exist_ok=True)
-        context.setCheckpointDir(base)
-    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tablewright-scratch"
-    path = context._jvm.org.apache.hadoop.fs.Path(base)
-    system = path.getFileSystem(context._jsc.hadoopConfiguration())
-    if "://" not in base:  # a bare path belongs to the cluster's default file system, which other readers must be told
-        base = system.makeQualified(path).toString()
-        base = "file://" + base[5:] if base.startswith("file:/") and "://" not in base else base
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    system.deleteOnExit(context._jvm.org.apache.hadoop.fs.Path(out))
-    return out
-
-
 def stored(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
