@@ -517,6 +517,21 @@ def test_neighbours(spark, none, monkeypatch):
     assert ann.search(ann.build(empty), empty).count() == 0
 
 
+def test_neighbours_over_shards_of_full_size(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2 * ann.SHARD + 500, 24)).astype(np.float32)  # three shards
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 24).cast(pa.list_(pa.float32()))}))
+    use = ann.usable(frame.repartition(8))
+    index = ann.build(use)
+    assert index.count() == 3
+    hits = 0
+    for row in ann.search(index, use.where("vec_id % 300 = 0")).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        far = ((x - x[row.query_id]) ** 2).sum(1)
+        far[row.query_id] = np.inf
+        hits += len(set(row.ids) & set(np.argpartition(far, 10)[:10].tolist()))
+    assert hits / (10 * len(range(0, len(x), 300))) >= 0.95
+
+
 def test_gradients_are_right():
     texts = [prose(40, i) for i in range(6)]
     vocab = toxicity.Vocabulary(*shared.blocks(pa.array(texts, pa.large_string()), 300))
