@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word is the embedding of its hashed form beside the mean of its hashed byte 3- and 5-grams.  Both directions
+A word is the embedding of its hashed form beside the scaled sum of its hashed byte 3- to 7-grams.  Both directions
 read windows of 32 words that overlap by half; attention pools the states of a window to one logit, and a document's
 score is the calibrated greatest logit of all its windows.  Labels belong to documents, so training looks for the windows: a
 toxic document teaches with its currently worst window, a clean one with its worst and a random one.
@@ -9,7 +9,7 @@ Learning uses a bounded sample of labelled rows (``SAMPLE`` of each class, by ha
 every window is read.
 
 Defined results: null and empty texts are scored as one window without words; rows that are repeated or have no id are scored
-alike; null labels teach nothing; without labels of both classes every score is 0.5 x the share of class 1; other columns are ignored.
+alike; null labels teach nothing, and of several labels of an id the lesser teaches; without labels of both classes every score is 0.5 x the share of class 1; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from tablewright.llm.shared import LOWER, KeyTable, TextBlock, blocks, column, m
 SAMPLE, PORTION, AT_ONCE = 1000, 1 << 18, 4096
 #: Words in a window and between windows; hidden units a direction; sizes of the embeddings and of their hash tables.
 WINDOW, STRIDE, HIDDEN, WORD, CHARS, BUCKETS = 32, 16, 8, 8, 16, 1 << 16
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6, 7)
 #: Documents that a word or n-gram must occur in to be learnt, and the share of words whose own embedding is hidden in a training step.
 KNOWN, HIDE = 4, 0.3
 #: Words whose vectors a worker keeps.
@@ -138,7 +138,7 @@ class Network:
         self.scale, self.shift = 1.0, 0.0
 
     def vectors(self, bucket: np.ndarray, grams: np.ndarray, n_grams: np.ndarray) -> np.ndarray:
-        """Word vectors: hashed word beside the mean of its n-grams (every word has one at least)."""
+        """Word vectors: hashed word beside the sum of its n-grams over the root of their number (every word has one at least)."""
         out = np.empty((len(bucket), WORD + CHARS), np.float32)
         out[:, :WORD] = self.p["word"][bucket]
         ends = np.cumsum(n_grams)
@@ -296,7 +296,7 @@ def _portions(rows: Iterable[tuple[str, int]], marks: list[int]) -> Iterator[Tex
     yield from blocks(pa.array(held, pa.large_string()), PORTION)
 
 
-def train(rows: Iterable[tuple[str, int]], *, steps: int = 210, batch: int = 128, rounds: int = 3) -> Network:
+def train(rows: Iterable[tuple[str, int]], *, steps: int = 210, batch: int = 128, rounds: int = 6) -> Network:
     """Learn from whole documents' labels (text, toxic); seeded, so equal samples give equal networks.
 
     Texts are read in portions; what stays of them is a word's number for each word and the places of the windows.
@@ -328,7 +328,7 @@ def train(rows: Iterable[tuple[str, int]], *, steps: int = 210, batch: int = 128
         else:
             vocab.common_grams = known
         net.p[name][known] = rng.normal(size=(int(known.sum()), net.p[name].shape[1])).astype(np.float32) * 0.05
-        net.p[name][:, 0] = np.clip(seed[name], -2, 4) * 0.5
+        net.p[name][:, 0] = np.clip(seed[name], -2, 4)
     first = np.cumsum(vocab.n_grams) - vocab.n_grams
     evidence = np.maximum(seed["word"][vocab.bucket], np.maximum.reduceat(seed["char"][vocab.grams], first)) if len(first) else np.zeros(0)
     padded = np.append(evidence, -9)
