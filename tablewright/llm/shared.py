@@ -32,14 +32,30 @@ with contextlib.suppress(AttributeError, OSError):
 # ---------------------------------------------------------------- session and shared folder
 
 
+#: Rows of an Arrow batch at most: texts may be long.  Frames are given back unevaluated, so this stays set in the session.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and bound the Arrow batches that they get."""
+    """Make this package importable in Python workers and bound the Arrow batches that they get (a lower bound of the caller's stays)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def wide_batches(spark: SparkSession, rows: int = 50_000) -> Iterator[None]:
+    """Larger Arrow batches for what is evaluated in here, of short rows; then the session's own again."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def stored(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:

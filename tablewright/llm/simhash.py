@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import LOWER, TextBlock, attach, blocks, column, join_skewed, mix, owned, prepare, span_keys, stored, wanted, word_spans
+from tablewright.llm.shared import LOWER, TextBlock, attach, blocks, column, join_skewed, mix, owned, prepare, span_keys, stored, wanted, wide_batches, word_spans
 
 #: Members of a bucket on either side beyond which it is dealt out in tiles.
 TILE = 4096
@@ -309,11 +309,9 @@ def links(classes: DataFrame, how: Closeness = FOUR_BITS) -> DataFrame:
         if kept and size:
             yield edges(pa.Table.from_batches(kept).combine_chunks())
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     columns = both.select("key", "tile", "asks", "node", "fp", *sketch)
-    found = stored(columns.repartition("key", "tile").sortWithinPartitions("key", "tile", "asks").mapInArrow(scan, "a long, b long"), "simhash-links")
-    prepare(spark)
-    return found
+    with wide_batches(spark):
+        return stored(columns.repartition("key", "tile").sortWithinPartitions("key", "tile", "asks").mapInArrow(scan, "a long, b long"), "simhash-links")
 
 
 # ---------------------------------------------------------------- components
@@ -464,7 +462,6 @@ def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame,
     prints = stored(texts.select("key", "id", "text").mapInArrow(make, "key long, id long, node long, size long, bands array<long>"), "copies-prints")
     classes = prints.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"))
     buckets = prints.select("node", F.explode("bands").alias("bucket")).distinct().select("bucket", "node")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     # Buckets that seem to hold over a SHARE-th of all rows, judged by a 64th of the nodes, are dealt out by salt; their salts' first nodes meet after.
     some = buckets.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
     some = stored(some.where("n > 1"), "copies-some")
@@ -475,8 +472,8 @@ def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame,
     wide = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node").select(F.xxhash64("bucket", "salt").alias("bucket"), "node")
     stars = wide.mapInArrow(_stars, "a long, b long")
     leads = dealt.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket", "salt").agg(F.min("node").alias("node")).select("bucket", "node")  # SHARE x SALTS rows at most
-    stars = stored(stars.unionByName(leads.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long")), "copies-candidates")
-    prepare(spark)
+    with wide_batches(spark):
+        stars = stored(stars.unionByName(leads.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long")), "copies-candidates")
     groups = stored(components(stars).join(classes, "node"), "copies-groups")
     parts = F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_TEXTS)).cast("int")
     large = groups.groupBy("root").agg(parts.alias("r")).where("r > 1")  # fewer than the shingles' number / TILE_SHINGLES + the texts' / TILE_TEXTS
