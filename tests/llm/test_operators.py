@@ -382,6 +382,64 @@ def test_digests(spark, docs, none):
     assert digest.likeness(d, d) == 1.0 and len(d.filters) > 5
 
 
+def naive_digest(text):
+    """Sets of bits of every filter of a text's digest, and its number of features, window by window."""
+    data, ranks = text.encode(), digest.rarity_ranks()
+    if not data:
+        return 0, []
+    windows = len(data) - 63
+    if windows <= 0:
+        found = [data]
+    else:
+        rank = []
+        for p in range(windows):
+            n = collections.Counter(data[p : p + 64])
+            rank.append(int(ranks[1000 - sum(round(c * math.log2(c) * 65536) for c in n.values()) * 1000 // (64 * 6 * 65536)]))
+        wins = collections.Counter(min(range(s, s + 64), key=lambda p: (rank[p], p)) for s in range(windows - 63))
+        at = sorted(p for p, n in wins.items() if n >= 16 and rank[p] < 1 << 20) or [min(range(windows), key=lambda p: (rank[p], p))]
+        found = [data[p : p + 64] for p in at]
+    found = list(dict.fromkeys(found))
+    filters = []
+    for k in range(0, len(found), 160):
+        bits = set()
+        for piece in found[k : k + 160]:
+            key = int(shared.span_keys(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]))[0])
+            bits |= {key >> 11 * i & 2047 for i in range(5)}
+        filters.append(bits)
+    return len(found), filters
+
+
+def naive_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    a, b = (b, a) if len(a) > len(b) else (a, b)
+    total = 0
+    for x in a:
+        best = 0
+        for y in b:
+            chance = len(x) * len(y) / 2048
+            over, most = len(x & y) - chance, min(len(x), len(y))
+            noise = 3 * math.sqrt(chance * (1 - len(x) / 2048) * (1 - len(y) / 2048))
+            best = max(best, 1 if len(x & y) == most else min(1, over / max(most - chance, 1e-9)) if over > noise else 0)
+        total += best
+    return total / len(a)
+
+
+def test_digests_by_brute_force():
+    texts = ["", "short", "x" * 64, "ab" * 100, BASE, BASE[:700], BASE.replace(" ", "  ", 20), prose(2000, 8) + BASE, "é中" * 60, "".join(chr(33 + i * i % 90) for i in range(400)), BASE + BASE, prose(12, 1), prose(9000, 4)]
+    data = [t.encode() for t in texts]
+    got = digest.digests(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = [naive_digest(t) for t in texts]
+    for d, (features, filters) in zip(got, want, strict=True):
+        bits = [set(np.flatnonzero(np.unpackbits(f.view(np.uint8), bitorder="little")).tolist()) for f in d.filters]
+        assert (d.features, bits) == (features, filters)
+        assert str(digest.Digest.parse(str(d))) == str(d)
+    for i, a in enumerate(got):
+        for j, b in enumerate(got):
+            assert abs(digest.likeness(a, b) - naive_likeness(want[i][1], want[j][1])) < 1e-9
+    assert len(want[-1][1]) > 2  # a chain of several filters
+
+
 def test_window_entropies_are_exact():
     buf = np.frombuffer(LONG[:3000].encode(), np.uint8)
     got = digest.window_entropies(buf)

