@@ -23,10 +23,10 @@ ADDED, REMOVED, CHANGED, UNCHANGED = "Alta", "Baja", "Modificación", "Sin cambi
 STATES = [ADDED, REMOVED, CHANGED, UNCHANGED]
 BEFORE, AFTER = " (Archivo 1)", " (Archivo 2)"
 HELP = {
-    ADDED: "Registros del Archivo 2 que no existen en el Archivo 1.",
-    REMOVED: "Registros del Archivo 1 que no existen en el Archivo 2; reducen su inclusión.",
-    CHANGED: "Registros con la misma clave y alguna columna distinta.",
-    UNCHANGED: "Registros idénticos en ambos archivos.",
+    ADDED: "Solo está en el Archivo 2.",
+    REMOVED: "Solo está en el Archivo 1, que por eso no queda incluido del todo en el otro.",
+    CHANGED: "Su clave está en los dos, pero algún valor comparado difiere.",
+    UNCHANGED: "Está en los dos con los mismos valores.",
 }
 
 

@@ -16,7 +16,7 @@ from tablewright.operators.compare import ADDED, REMOVED, Comparison
 MOST_PAIRS, TOP = 40_000, 200
 #: Added records that are broadcast at once.
 BLOCK = 20_000
-NOTHING = "No hay bajas y altas para emparejar."
+NOTHING = "Nada que buscar: falta alguna baja o alguna alta."
 
 
 def _records(comparison: Comparison, state: str, tag: str) -> DataFrame:
@@ -70,4 +70,4 @@ def suggestions(comparison: Comparison, *, most_pairs: int | None = MOST_PAIRS,
     if top is None:
         return out.drop("a_fila"), ""
     out = out.orderBy(F.desc("Similitud"), "a_fila").limit(top).drop("a_fila")
-    return out, "" if out.head(1) else f"No se encontraron pares con similitud ≥ {opts.fuzzy_threshold:.0%}."
+    return out, "" if out.head(1) else f"Ninguna alta alcanza el {opts.fuzzy_threshold:.0%} de parecido con una baja."
