@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a table up to which no key is looked after by itself.
+CALM = 1_000_000
+
 
 def null_counts(df: DataFrame) -> DataFrame:
     """columna and nulos of every column: one scan."""
@@ -42,13 +45,22 @@ def profile(df: DataFrame) -> DataFrame:
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """All rows whose key (nulls are equal) occurs more than once; none without keys.
 
-    Counts are aggregated before the shuffle and joined back, so that a hot key can be split.
+    Counts are aggregated before the shuffle and joined back.  Keys with more than a thousandth of a large table's rows
+    (fewer than a thousand such keys exist) are broadcast, so their rows stay where they are.
     """
     if not keys:
         return df.limit(0)
-    often = df.groupBy(*[F.col(f"`{k}`") for k in keys]).count().where("count > 1").drop("count")
-    same = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
-    return df.alias("l").join(often.alias("r"), same, "left_semi")
+    often = df.groupBy(*[F.col(f"`{k}`") for k in keys]).count().where("count > 1")
+
+    def among(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        same = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
+        return rows.alias("l").join(found.alias("r"), same, how)
+
+    total = df.count()
+    if total <= CALM:
+        return among(df, often.drop("count"), "left_semi")
+    hot = F.broadcast(often.where(F.col("count") > total // 1000).drop("count"))
+    return among(df, hot, "left_semi").unionByName(among(among(df, hot, "left_anti"), often.drop("count"), "left_semi"))
 
 
 def effective_score(rules: Column, complete: Column) -> Column:

@@ -10,6 +10,7 @@ UNSUPPORTED, NO_WORKBOOK, EMPTY, COLUMNS = "formato no soportado", "no es un lib
 #: Kind of trouble: text ({file}: the file, {doing}: what was being done, {what}: the error's own words) and advice.
 TROUBLES: dict[str, tuple[str, str]] = {
     "archive": (f"{{file}} {NO_WORKBOOK} que se pueda abrir.", "Si lleva contraseña, guarde una copia sin ella; si viene de otro programa, expórtelo como .xlsx."),
+    "old": (f"{{file}} {NO_WORKBOOK} que se pueda leer: {{what}}.", "Guárdelo como «Libro de Excel (.xlsx)», sin contraseña."),
     "sheet": ("{file} no tiene la hoja pedida: la hoja {what} no existe.", "Pida la lista de hojas y elija una de ellas."),
     "line": (f"{{file}}: {{what}}; el número de {COLUMNS} debe ser el mismo en todo el archivo.", "Ponga entre comillas los valores que llevan el separador dentro."),
     "quote": ("{file}: {what}.", "Cierre las comillas de ese valor o duplique las que son parte de él."),
@@ -59,7 +60,11 @@ class MissingSheet(KeyError):
     """A sheet that the workbook doesn't have."""
 
 
-BY_CLASS |= {RaggedLine: "line", OpenQuote: "quote", MissingSheet: "sheet"}
+class OldBook(ValueError):
+    """A file that is no workbook of Excel 97 to 2003, or a locked one."""
+
+
+BY_CLASS |= {OldBook: "old", RaggedLine: "line", OpenQuote: "quote", MissingSheet: "sheet"}
 
 
 def kind_of(exc: BaseException) -> str:

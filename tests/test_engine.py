@@ -209,7 +209,7 @@ def test_workbooks(spark, tmp_path):
 
 
 def test_friendly_errors(spark, tmp_path):
-    for name, data, words in (("informe.pdf", b"x", "formato no soportado"), ("malo.xlsx", b"x", "no es un libro de Excel"), ("vacio.csv", b"", "está vacío"), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n", "línea 3 .*columnas"), ("viejo.xls", b"x", "componente")):
+    for name, data, words in (("informe.pdf", b"x", "formato no soportado"), ("malo.xlsx", b"x", "no es un libro de Excel"), ("vacio.csv", b"", "está vacío"), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n", "línea 3 .*columnas"), ("viejo.xls", b"x", "no es un libro de Excel")):
         (tmp_path / name).write_bytes(data)
         with pytest.raises(FileLoadError, match=words) as e:
             tables.load_table(spark, str(tmp_path / name))
@@ -413,3 +413,82 @@ def test_repeated_users_may_be_mostly_null(spark):
     again = sorted(r.fila for r in rules.validate("Cuentas", df).where("regla = 'CUE2'").collect())
     assert again == [*range(50), 60, 61]
     assert rules.validate("Cuentas", df.where("fila >= 49")).where("regla = 'CUE2'").count() == 2
+
+
+def test_repeated_keys_may_be_hot(spark, monkeypatch):
+    rows = [(None, 1)] * 300 + [("a", 1)] * 2 + [("b", 1), ("b", 2), ("c", None), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, n int").repartition(4)
+    whole = sorted(map(str, quality.repeated_keys(df, ["k", "n"]).collect()))
+    monkeypatch.setattr(quality, "CALM", 10)
+    assert sorted(map(str, quality.repeated_keys(df, ["k", "n"]).collect())) == whole and len(whole) == 304
+
+
+def old_workbook(sheets, texts, small=False):
+    """A compound file with a BIFF8 workbook: sheets are (name, state, records), texts the shared ones, cut every 50 bytes."""
+    import struct
+
+    record = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
+    bof = record(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    parts, own = [], struct.pack("<II", len(texts), len(texts))
+    for t in texts:
+        wide = any(ord(c) > 255 for c in t)
+        if len(own) + 3 > 50:
+            parts.append(own)
+            own = b""
+        own += struct.pack("<HB", len(t), wide)
+        for k, c in enumerate(t):
+            if len(own) + 2 > 50 and k:
+                parts.append(own)
+                wide = any(ord(x) > 255 for x in t[k:])  # each piece says its own width
+                own = bytes([wide])
+            own += c.encode("utf-16-le") if wide else c.encode("latin-1")
+    parts.append(own)
+    head = bof + record(0x41E, struct.pack("<HHB", 164, 10, 0) + b"yyyy-mm-dd") + b"".join(record(0xE0, struct.pack("<HH", 0, f) + bytes(16)) for f in (0, 164, 14))
+    head += record(0xFC, parts[0]) + b"".join(record(0x3C, p) for p in parts[1:])
+    names = [struct.pack("<BBBB", state, 0, len(name), 0) + name.encode("latin-1") for name, state, _ in sheets]
+    at = len(head) + sum(8 + len(n) for n in names) + 4
+    table, bodies = b"", b""
+    for n, (_, _, rows) in zip(names, sheets, strict=True):
+        table += record(0x85, struct.pack("<I", at + len(bodies)) + n)
+        bodies += bof + b"".join(record(k, d) for k, d in rows) + record(0x0A, b"")
+    stream = head + table + record(0x0A, b"") + bodies
+    if not small:
+        stream = stream.ljust(5000, b"\0")
+    sectors = [stream[k : k + 512].ljust(512, b"\0") for k in range(0, len(stream), 512)]
+    n = len(sectors)
+    links = [*range(1, n), 0xFFFFFFFE]
+    entry = lambda name, kind, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + bytes(36) + struct.pack("<III", start, size, 0)
+    root = entry("Root Entry", 5, 0 if small else 0xFFFFFFFE, n * 512 if small else 0)
+    folder = (root + entry("Workbook", 2, 0, len(stream))).ljust(512, b"\0")
+    chain = struct.pack(f"<{8 * n}I", *range(1, 8 * n), 0xFFFFFFFE).ljust(512, b"\xff") if small else b""
+    links += [0xFFFFFFFE, *([0xFFFFFFFE] if small else []), 0xFFFFFFFD]
+    fat = struct.pack(f"<{len(links)}I", *links).ljust(512, b"\xff")
+    place = n + 1 + small
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIII", 0, 1, n, 0, 4096) + struct.pack("<IIII", n + 1 if small else 0xFFFFFFFE, int(small), 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", place, *[0xFFFFFFFF] * 108) + b"".join(sectors) + folder + chain + fat
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_old_workbooks(spark, tmp_path, small):
+    import struct
+
+    texts = ["Código", "Nombre", "Costo", "Alta", "00123", "Camión ≥ " + "largo " * 30, "Ñandú " * 20, "fin", "x" * 47, "日本語" * 20]
+    label = lambda r, c, k: (0xFD, struct.pack("<HHHI", r, c, 0, k))
+    rows = [label(0, c, c) for c in range(4)]
+    rows += [label(1, 0, 4), label(1, 1, 5), (0x203, struct.pack("<HHHd", 1, 2, 0, 10.5)), (0x203, struct.pack("<HHHd", 1, 3, 1, 45306.0))]
+    rows += [label(2, 0, 6), label(2, 1, 9), (0xBD, struct.pack("<HHHIHIH", 2, 2, 0, (1234 << 2) | 3, 2, (45306 << 2) | 2, 3))]
+    rows += [(0x205, struct.pack("<HHHBB", 4, 0, 0, 1, 0)), (0x06, struct.pack("<HHH", 4, 1, 0) + b"\0" * 6 + b"\xff\xff" + bytes(6)), (0x207, struct.pack("<HB", 6, 0) + b"Hecho!"), (0x27E, struct.pack("<HHHI", 4, 2, 0, (0xFFFFFFFF << 2 & 0xFFFFFFFF) | 2)), (0x205, struct.pack("<HHHBB", 4, 3, 0, 7, 1))]
+    rows += [(0x06, struct.pack("<HHHd", 5, 2, 0, 7.25) + bytes(6)), (0x204, struct.pack("<HHHHB", 5, 0, 0, 3, 0) + b"abc")]
+    raw = old_workbook([("Datos", 0, rows), ("Oculta", 1, [label(0, 0, 7), label(1, 0, 8)])], texts, small)
+    (tmp_path / "v.xls").write_bytes(raw)
+    path = str(tmp_path / "v.xls")
+    assert [(s["nombre"], s["visible"]) for s in tables.sheet_info(spark, path)] == [("Datos", True), ("Oculta", False)]
+    df, said = tables.load_table(spark, path)
+    assert df.columns == ["fila", *texts[:4]] and "Formato Excel antiguo (.xls)" in {w["titulo"] for w in said}
+    assert sorted(map(tuple, df.collect())) == [
+        (2, "00123", texts[5].strip() + " ", "10.5", "2024-01-15 00:00:00"), (3, texts[6], texts[9], "12.34", "2024-01-15 00:00:00"), (4, None, None, None, None), (5, "True", "Hecho!", "-1", None), (6, "abc", None, "7.25", None),
+    ]
+    other, _ = tables.load_bytes(spark, "v.xls", raw, tables.ReadOptions(sheet="Oculta"))
+    assert [r.fin for r in other.collect()] == ["x" * 47]
+    with pytest.raises(FileLoadError, match="hoja"):
+        tables.load_table(spark, path, tables.ReadOptions(sheet="Nada"))
