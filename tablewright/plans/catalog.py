@@ -13,7 +13,8 @@ from tablewright.operators import clean, fuzzy, positional, quality, rules, sche
 from tablewright.operators.compare import CHANGED, CompareOptions, Comparison, of_kinds
 from tablewright.plans import pairs
 from tablewright.plans.pairs import view
-from tablewright.sources import files, tables, writers
+from tablewright.sources import files, tables, writers, xlsx
+from tablewright.sources.errors import FileLoadError
 from tablewright.sources.xlsx import to_excel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -741,6 +742,50 @@ def csv_distributed(spark: SparkSession, sf: str) -> DataFrame:
     return tables.distributed_csv(spark, files.parts(spark, folder)[0])[0]
 
 
+@query("csv_windows", "SELECT row_number() OVER (ORDER BY n_nationkey) + 1 AS fila, CAST(n_nationkey AS VARCHAR) AS clave, 'Perú; ' || n_name AS nombre FROM nation")
+def csv_windows(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()  # 25 rows
+    text = "\r\n".join(["clave;nombre", *[f'{r.n_nationkey};"Perú; {r.n_name}"' for r in names]])
+    return tables.load_bytes(spark, "naciones.csv", text.encode("cp1252"))[0]
+
+
+@query("csv_folder", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, n_nationkey || ', ' || n_regionkey AS lista FROM nation")
+def csv_folder(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", F.array("n_nationkey", "n_regionkey").alias("lista"))
+    folder = files.scratch(spark, "csv")
+    writers.write_csv(rows, folder)
+    return spark.read.option("header", True).option("escape", '"').csv(folder)
+
+
+#: A file with every fault that is told: its columns, then the titles of its warnings.
+@query("load_faults", """SELECT que, texto FROM (VALUES ('columna', '1'), ('columna', '2'), ('columna', '2 (2)'), ('columna', 'Columna_4'), ('aviso', 'Columnas sin encabezado'), ('aviso', 'Encabezados repetidos'), ('aviso', 'Columnas completamente vacías'), ('aviso', 'Filas vacías'), ('aviso', 'El encabezado parece contener datos'), ('aviso', 'Detección automática')) AS t(que, texto)""")
+def load_faults(spark: SparkSession, sf: str) -> DataFrame:
+    df, found = tables.load_bytes(spark, "faltas.csv", b"1|2|2|\nx|y||z\n||| \n|||\n")
+    return spark.createDataFrame([("columna", c) for c in df.columns if c != "fila"] + [("aviso", w["titulo"]) for w in found], "que string, texto string")
+
+
+@query("workbook_sheets", "SELECT nombre, visible FROM (VALUES ('Resumen', true), ('Datos', true)) AS t(nombre, visible)")
+def workbook_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    book = to_excel({"Resumen": nation.groupBy("n_regionkey").count(), "Datos": nation})
+    return spark.createDataFrame([(s["nombre"], s["visible"]) for s in xlsx.catalogue(book)], "nombre string, visible boolean")
+
+
+_TROUBLE = [("informe.pdf", b"x"), ("libro.xlsx", b"x"), ("libro.xls", b"x"), ("vacio.csv", b""), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n"), ("abierto.csv", b'a,b\n1,"2\n')]
+
+
+@query("load_errors", "SELECT archivo, frase FROM (VALUES ('informe.pdf', 'formato no soportado'), ('libro.xlsx', 'no es un libro de Excel'), ('libro.xls', 'no es un libro de Excel'), ('vacio.csv', 'está vacío'), ('roto.csv', 'línea 3 trae 4'), ('abierto.csv', 'línea 2 no se cierran')) AS t(archivo, frase)")
+def load_errors(spark: SparkSession, sf: str) -> DataFrame:
+    said = []
+    for name, raw in _TROUBLE:
+        try:
+            tables.load_bytes(spark, name, raw)
+        except FileLoadError as exc:
+            told = ("formato no soportado", "no es un libro de Excel", "está vacío", "línea 3 trae 4", "línea 2 no se cierran")
+            said += [(name, x) for x in told if x in exc.message and exc.suggestion]
+    return spark.createDataFrame(said, "archivo string, frase string")
+
+
 # ---------------------------------------------------------------- similarity
 
 
