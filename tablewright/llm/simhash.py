@@ -74,6 +74,8 @@ FIVE_WORDS = Overlap()
 SHARE, SALTS, HOT = 2000, 64, 32
 #: Shingles and texts of a group of candidates beyond which it is dealt out in tiles.
 TILE_SHINGLES, TILE_TEXTS = 1 << 21, 4096
+#: Smaller groups are dealt out as well, in parts of this many texts, into this many parts at most.
+TILE_LEAST, TILES = 256, 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -461,24 +463,24 @@ def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame,
 
     prints = stored(texts.select("key", "id", "text").mapInArrow(make, "key long, id long, node long, size long, bands array<long>"), "copies-prints")
     classes = prints.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"))
-    buckets = prints.select("node", F.explode("bands").alias("bucket")).distinct().select("bucket", "node")
     # Buckets that seem to hold over a SHARE-th of all rows, judged by a 64th of the nodes, are dealt out by salt; their salts' first nodes meet after.
-    some = buckets.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n"))
-    some = stored(some.where("n > 1"), "copies-some")
-    seen = prints.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node").distinct().count() * how.bands
-    hot = some.where(F.col("n") > max(HOT, seen // SHARE)).select("bucket", F.lit(True).alias("hot"))  # fewer than SHARE rows
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))).otherwise(0)
-    dealt = buckets.join(F.broadcast(hot), "bucket", "left").select("bucket", salt.cast("int").alias("salt"), "node")
-    wide = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "node").select(F.xxhash64("bucket", "salt").alias("bucket"), "node")
-    stars = wide.mapInArrow(_stars, "a long, b long")
-    leads = dealt.join(F.broadcast(hot), "bucket", "left_semi").groupBy("bucket", "salt").agg(F.min("node").alias("node")).select("bucket", "node")  # SHARE x SALTS rows at most
+    some = prints.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node", "bands").dropDuplicates(["node"])
+    seen = stored(some.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")), "copies-some")
+    least = max(HOT, (seen.agg(F.sum("n").alias("n")).first().n or 0) // SHARE)
+    hot = F.broadcast(seen.where(F.col("n") > least).select("bucket", F.lit(True).alias("hot")))  # fewer than SHARE rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    spread = lambda rows, how: rows.select("node", F.explode("bands").alias("bucket")).join(hot, "bucket", how).select("bucket", salt, "node")
+    # Equal sets go before their bands are spread out.
+    wide = spread(prints.select("node", "bands").dropDuplicates(["node"]), "left").select(F.xxhash64("bucket", "salt").alias("bucket"), "node")
+    stars = wide.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long")
+    leads = spread(prints, "inner").groupBy("bucket", "salt").agg(F.min("node").alias("node")).select("bucket", "node")  # SHARE x SALTS rows at most
     with wide_batches(spark):
         stars = stored(stars.unionByName(leads.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, "a long, b long")), "copies-candidates")
     groups = stored(components(stars).join(classes, "node"), "copies-groups")
-    parts = F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_TEXTS)).cast("int")
-    large = groups.groupBy("root").agg(parts.alias("r")).where("r > 1")  # fewer than the shingles' number / TILE_SHINGLES + the texts' / TILE_TEXTS
+    parts = F.greatest(F.least(F.ceil(F.count("*") / TILE_LEAST), F.lit(TILES)), F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int")
+    large = stored(groups.groupBy("root").agg(parts.alias("r")).where("r > 1"), "copies-large")
     mine = F.pmod(F.xxhash64("node"), "r").cast("int")
-    dealt = groups.join(F.broadcast(large), "root", "left").withColumn("r", F.coalesce("r", F.lit(1))).withColumn("mine", mine)
+    dealt = attach(groups, large, ["root"]).withColumn("r", F.coalesce("r", F.lit(1))).withColumn("mine", mine)
     tile = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda k: F.least("mine", k) * F.col("r") + F.greatest("mine", k))
     members = texts.select("key", "text").join(dealt.select("key", "node", "root", F.explode(tile).alias("tile")), "key").select("root", "tile", "node", "text")
 
