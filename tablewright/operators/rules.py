@@ -418,7 +418,7 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
     if absent := [f.label(k) for k in ACCOUNT_LEVELS["alto"] if k not in f]:
         return _missing(df, "CUE1", absent)
     # Nulls are equal to each other here.  They may be most rows, so they are counted apart and spread over the join's tasks.
-    user = strip(_value(df, f.at["usuario"]))
+    source, user = df, strip(_value(df, f.at["usuario"]))
     nobody = df.agg((F.count_if(user.isNull()) > 1).alias("__many"))  # one row
     spread = F.concat(F.lit("#"), F.pmod(F.xxhash64(F.col(order)), F.lit(4096)).cast("string"))
     df = df.withColumn("__user", F.coalesce(F.concat(F.lit("="), user), spread))
@@ -460,7 +460,7 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
                 limit = ACCOUNT_TOLERANCE.get(key, 0.0)
                 severe = level == "alto" or key.startswith("ticket")
                 whole.append(("CUE13", ERROR if severe else WARNING, f.at[key], SAYS["nulls"].format(f.at[key]), _blank_share([f.at[key]]), limit, SAYS["tolerance"].format(f"{limit:.0%}")))
-    return scan.issues().unionByName(_level_rows(df, whole))
+    return scan.issues().unionByName(_level_rows(source, whole))
 
 
 def _levels(df: DataFrame, f: _Fields, levels: dict[str, list[str]], rules: tuple[str, str], texts: tuple[str, str]) -> DataFrame:
