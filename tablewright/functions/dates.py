@@ -20,21 +20,23 @@ ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?)?)?\z"
 SERIAL = r"^\d{5}(\.\d+)?\z"
 
 
-def parse_date(c: Column) -> Column:
+def parse_date(c: Column, *, short: bool = False) -> Column:
     """Text as a timestamp without zone: ISO (also yyyy, yyyy-mm, yyyymmdd), day-first with - / or ., serial day numbers.
 
-    Offsets are dropped.  Times of day alone and swapped days and months are no dates.
+    Offsets are dropped.  Times of day alone and swapped days and months are no dates.  With ``short`` intermediate values
+    are bound, which keeps generated code short where many dates are parsed at once but leaves whole-stage code.
     """
+    bind = let if short else lambda value, use: use(value)
 
     def moment(s: Column) -> Column:
         for pattern, instead in REWRITES:
             s = F.regexp_replace(s, pattern, instead)
-        return let(s, lambda made: F.when(made.rlike(ISO), made.try_cast("timestamp_ntz")))
+        return bind(s, lambda made: F.when(made.rlike(ISO), made.try_cast("timestamp_ntz")))
 
     def serial(days: Column) -> Column:
         return F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), ((days % 1) * 86400).cast("decimal(18,6)"))
 
-    return let(strip(c.cast("string")), lambda s: F.when(s.rlike(SERIAL), let(s.try_cast("double"), serial)).when(s.rlike(r"^\d"), moment(s)))
+    return bind(strip(c.cast("string")), lambda s: F.when(s.rlike(SERIAL), bind(s.try_cast("double"), serial)).when(s.rlike(r"^\d"), moment(s)))
 
 
 def looks_dated(c: Column) -> Column:

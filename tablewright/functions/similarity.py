@@ -117,7 +117,7 @@ def _as_number(c: Column, kind: T.DataType) -> Column:
 def _as_date(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp_ntz")
-    return F.when(looks_dated(c), parse_date(c)) if isinstance(kind, T.StringType) else F.lit(None).cast("timestamp_ntz")
+    return F.when(looks_dated(c), parse_date(c, short=True)) if isinstance(kind, T.StringType) else F.lit(None).cast("timestamp_ntz")
 
 
 def with_difference(df: DataFrame, a: str, b: str, kind: T.DataType = T.StringType(), *, algorithm: str = JARO_WINKLER, tolerance: float = 0.0, dates_by_day: bool = True) -> DataFrame:

@@ -89,7 +89,7 @@ def infer_schema(*dfs: DataFrame, order: str = "fila", overrides: dict[str, str]
     if wrong := {c: t for c, t in (overrides or {}).items() if c not in columns or t not in TYPES}:
         raise ValueError(f"no such columns or types: {wrong}")
     nulls = [df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns if c != order]).first().asDict() if len(df.columns) > 1 else {} for df in dfs]
-    rows = samples(dfs, columns, order).withColumns({"n": numbers.parse_number(F.col("s")), "d": parse_date(F.col("s"))})
+    rows = samples(dfs, columns, order).withColumns({"n": numbers.parse_number(F.col("s")), "d": parse_date(F.col("s"), short=True)})
     some = F.slice(F.array_sort(F.collect_list(F.struct("file", "at", "v"))), 1, EXAMPLES)["v"]  # of SAMPLE values
     found = {r.i: r.asDict() for r in rows.groupBy("i").agg(*[v.alias(k) for k, v in measures().items()], some.alias("some")).collect()}  # one row a column
     out = []
@@ -133,7 +133,7 @@ def cast(c: Column, kind: str, style: str = numbers.COMMA) -> Column:
     if kind in (INTEGER, DECIMAL):
         n = numbers.parse_number(c, style)
         return F.when(n % 1 == 0, n).try_cast("bigint") if kind == INTEGER else n
-    return parse_date(c) if kind == DATE else cast_boolean(c)
+    return parse_date(c, short=True) if kind == DATE else cast_boolean(c)
 
 
 def unfit(c: Column, typed: Column, kind: str) -> Column:
