@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.operators.compare import CompareOptions, normal
+from tablewright.operators.occurrence import numbered
 
 # Kinds of row, labels.
 SHIFTED, OTHER, ONLY_A, ONLY_B = "Desplazada", "Contenido distinto en la misma posición", "Solo en Archivo 1", "Solo en Archivo 2"
@@ -36,41 +37,26 @@ class PositionalResult:
         return not (self.desplazadas or self.distintas or self.solo_en_a or self.solo_en_b)
 
 
-def numbered(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
-    """The frame with gap-free positions from 1 by ``order``, without sorting all rows in one task.
-
-    The values of ``order`` are cut at quantiles; each range's count gives the base of the next (one small row per range
-    reaches the driver).  Another than a numeric order is range-partitioned, and that partitioning is written first.
-    """
-    spark = df.sparkSession
-    if isinstance(df.schema[order].dataType, T.NumericType):
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else []
-        at = sum((F.coalesce(F.col(order) > c, F.lit(False)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-        rows = df.withColumn("__part", at)
-    else:
-        rows = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-        rows = rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
-    base, bases = 0, []
-    for part, n in sorted((r[0], r[1]) for r in rows.groupBy("__part").count().collect()):
-        bases.append((part, base))
-        base += n
-    table = spark.createDataFrame(bases, "__part int, __base long")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return rows.withColumn("__own", own).join(F.broadcast(table), "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__part", "__base", "__own")
-
-
 def signatures(df: DataFrame, columns: list[str], opts: CompareOptions, order: str) -> DataFrame:
     """fila, pos and the normalised row as one text (tolerances don't apply)."""
-    parts = [F.coalesce(normal(F.col(f"`{c}`"), df.schema[c].dataType, opts), F.lit("∅")) for c in columns]
-    return numbered(df.select(F.col(order).alias("fila"), F.concat_ws("‖", *parts).alias("firma")), "fila")
+    own = {f"c{i}": df.schema[c].dataType for i, c in enumerate(columns)}
+    rows = numbered(df.select(F.col(f"`{order}`").alias("fila"), *[F.col(f"`{c}`").alias(n) for n, c in zip(own, columns, strict=True)]), "fila")
+    parts = [F.coalesce(normal(F.col(n), kind, opts), F.lit("∅")) for n, kind in own.items()]  # after the rows are dealt: the sampling needs none of it
+    return rows.select("fila", "pos", F.concat_ws("‖", *parts).alias("firma"))
+
+
+def _both(old: DataFrame, new: DataFrame, columns: list[str], opts: CompareOptions, order: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of both tables, which are dealt at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda df: signatures(df, columns, opts, order), (old, new))
+    return a, b
 
 
 def strict(old: DataFrame, new: DataFrame, columns: list[str], opts: CompareOptions | None = None, *, order: str = "fila") -> DataFrame:
     """One row of counters: row N against row N.  Distributed; a row inserted early makes all later ones differ."""
     opts = opts or CompareOptions()
-    a, b = (signatures(x, columns, opts, order).select("pos", F.col("firma").alias(n)) for x, n in ((old, "a"), (new, "b")))
-    both = a.join(b, "pos", "full_outer")
+    a, b = _both(old, new, columns, opts, order)
+    both = a.select("pos", F.col("firma").alias("a")).join(b.select("pos", F.col("firma").alias("b")), "pos", "full_outer")
     return both.agg(F.count_if(F.col("a") == F.col("b")).alias("iguales"), F.count_if(F.col("a") != F.col("b")).alias("distintas"), F.count_if(F.col("b").isNull()).alias("solo_en_a"), F.count_if(F.col("a").isNull()).alias("solo_en_b"))
 
 
@@ -99,7 +85,7 @@ def aligned_rows(old: DataFrame, new: DataFrame, columns: list[str], opts: Compa
     for df in (old, new):
         if df.limit(most_rows + 1).count() > most_rows:
             raise ValueError(f"an alignment takes {most_rows} rows at most; use strict()")
-    sides = [signatures(df, columns, opts, order).withColumn("g", F.lit(0)) for df in (old, new)]
+    sides = [df.withColumn("g", F.lit(0)) for df in _both(old, new, columns, opts, order)]
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pos"), b.sort_values("pos")

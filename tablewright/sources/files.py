@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _open(spark: SparkSession, path: str):
@@ -68,3 +68,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     out = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     fs.deleteOnExit(_open(spark, out)[1])
     return out
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A frame written as Parquet in the shared folder and read back: its rows and their order in files stay what they were."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
