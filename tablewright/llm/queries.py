@@ -97,6 +97,27 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that occur in windows of benchmark items."""
+    from tablewright.llm.decontaminate import marked
+
+    return marked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and folds of all documents in a tree over sources."""
+    from tablewright.llm.merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 100, among all rows."""
+    from tablewright.llm.negatives import mine, usable
+
+    return mine(usable(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
@@ -108,12 +129,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
+    "op11_decontamination": op11_decontamination,
+    "op12_merkle": op12_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
 def _oracle_sql() -> dict[str, str]:
-    from tablewright.llm.mixing import RECIPE, oracle
+    from tablewright.llm import decontaminate, merkle, mixing, negatives
 
-    return {"op5_mixing": oracle(RECIPE)}
+    return {"op5_mixing": mixing.oracle(mixing.RECIPE), "op11_decontamination": decontaminate.oracle(), "op12_merkle": merkle.oracle(), "op13_hard_negatives": negatives.oracle()}
 
 
 ORACLE_SQL: dict[str, str] = _oracle_sql()
