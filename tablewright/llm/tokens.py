@@ -34,14 +34,18 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``."""
+    """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``.
 
-    def __init__(self, path: str) -> None:
+    A special token in a text becomes its id, as the library has it; with ``special_as_text`` it is encoded like any text.
+    Bytes that are no UTF-8 count as the replacement character.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32

@@ -50,9 +50,7 @@ def none(spark):
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.mark.parametrize("name", [WORD, BYTE])
@@ -66,6 +64,22 @@ def test_encoder_equals_the_library(name):
             assert ids[offs[k] : offs[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_special_tokens_are_what_the_library_makes_of_them(name):
+    """At starts and ends, inside words, across lines and at the borders of blocks."""
+    e, t, r = Encoder(P.path(name)), tokenizer(name), random.Random(3)
+    special = [x.content for x in t.get_added_tokens_decoder().values()] or ["<|endoftext|>"]
+    bits = [*special, *special, "<|", "|>", " ", "  ", "\n", "a", "hello", " world", "é", "中", ".", "<|endoftext", "\t"]
+    texts = [*special, *["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(2000)]]
+    for block in shared.blocks(pa.array(texts), 500):
+        ids, offs = e.encode(block)
+        for k in range(len(block)):
+            text = block.buf[block.offs[k] : block.offs[k + 1]].tobytes().decode()
+            assert ids[offs[k] : offs[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    as_text = Encoder(P.path(name), special_as_text=True)
+    assert set(as_text.encode(next(shared.blocks(pa.array(special))))[0].tolist()).isdisjoint(t.get_added_tokens_decoder())
+
+
 @pytest.mark.parametrize("name", [WORD, BYTE])
 @pytest.mark.parametrize("size", [1024, 2048, 4096])
 def test_encoder_tells_words_of_equal_sums_apart(name, size):
