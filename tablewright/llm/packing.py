@@ -4,7 +4,7 @@ Every document is tokenised once into pieces of at most ``capacity`` ids, writte
 sequences of their own; the others are dealt into parts of bounded size, and each part is packed by best-fit
 decreasing.  Dual feasible functions over a part's lengths give a lower bound on the bins that any packing needs; a part that
 meets its bound is certified and done.  Parts with a gap exchange documents: those of their bins that are not
-full meet in common parts, best-fit decreasing runs again, and the better packing stays.  A part that is alone with its gap
+full meet in common parts, best-fit decreasing runs again, and the better packing stays, until a round saves no bin.  A part that is alone with its gap
 exchanges with the certified part that has most room.  The bound over all lengths certifies the whole.
 
 Defined results: null text is empty and holds the end id alone; null ids stay null; repeated rows are packed as often as
@@ -13,6 +13,7 @@ they occur; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -133,8 +134,11 @@ def tokenised(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int, id
     return stored(source.mapInArrow(cut, "key long, doc_id long, piece int, start long, length long, ids binary"), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 1024, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Packed:
-    """Tokenise and pack all documents; ``report`` tells bins, bound and gap after each round."""
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 1024, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Packed:
+    """Tokenise and pack all documents; ``report`` tells bins, bound and gap after each round.
+
+    Rounds go on until one saves no bin (or for ``rounds`` at most): the gap that stays is then told by the last report.
+    """
     prepare(docs.sparkSession)
     pieces = tokenised(docs, tokenizer, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col)
     whole = pieces.where(F.col("length") == capacity).select("key", (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -164,12 +168,12 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 10
     packed = stored(loose.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInPandas(first, schema), "packed")
     place = ["key", "part", "bin", "offset"]
     done, free, report = [packed.where(F.col("fill") == capacity).select(*place)], packed.where(F.col("fill") < capacity), []
-    used = parts
-    for at in range(rounds + 1):
+    used, before = parts, None
+    for at in itertools.count():
         # One row per part with a gap comes to the driver: a part holds PART pieces on average.
         total = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
-        report.append({"round": at, "bins": total.bins or 0, "bound": total.bound or 0})
-        if at == rounds:
+        report.append({"round": at, "bins": total.bins or 0, "bound": total.bound or 0, "gap": (total.bins or 0) - (total.bound or 0)})
+        if at == rounds or before is not None and total.bins >= before:
             break
         room = free.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count("*").alias("free"))
         gaps = sorted(tuple(r) for r in room.where("bins > bound").select("part", "free").collect())
@@ -184,10 +188,13 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 10
                 group, held = group + 1, 0
             meet.append((part, group))
             held += size
+        if len(meet) > 2 and meet[-2][1] != group:  # a lone last part joins those before it
+            meet[-1] = (meet[-1][0], meet[-2][1])
         used = group + 1
         plan = docs.sparkSession.createDataFrame(meet, "part long, new long")
         both = free.join(F.broadcast(plan) if len(meet) < 100_000 else plan, "part", "left")
         moved = both.where("new IS NOT NULL").select("key", "length", F.col("new").alias("part"), "bin", "offset", F.col("part").alias("old"))
+        before = moved.select("old", "bin").distinct().count()  # bins that meet
         packed = stored(moved.groupBy("part").applyInPandas(again, schema), "repacked")
         done.append(packed.where(F.col("fill") == capacity).select(*place))
         free = both.where("new IS NULL").drop("new").select(*packed.columns).unionByName(packed.where(F.col("fill") < capacity))
