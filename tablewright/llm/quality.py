@@ -149,7 +149,9 @@ def learn(docs: DataFrame, marked: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"quality": batch.column(0).slice(block.first, len(block)), "s": pa.array(list(statistics(block)), pa.list_(pa.float64()))})
 
     texts = wanted(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(marked), "doc_id").select("quality", "text").mapInArrow(measure, "quality int, s array<double>").toArrow()
+    # Of several texts under one id the least teaches: rows that reach the driver are ids of the table, whatever their copies.
+    one = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = one.select("quality", "text").mapInArrow(measure, "quality int, s array<double>").toArrow()
     stats = got.column("s").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS))
     order = np.lexsort(stats.T)  # the same model whatever order the rows come in
     return fit(stats[order], got.column("quality").to_numpy()[order])
@@ -193,7 +195,7 @@ def rates(docs: DataFrame, model: Model, marked: DataFrame | None = None, *, hos
     mean = (whole.good + 0.5) / (whole.n + 1) if whole.n else 0.5
     k0 = _strength(hosts.select((F.col("host_good") / F.col("host_n")).alias("r"), F.lit(mean).alias("m"), F.col("host_n").alias("n")))
     hosts = hosts.select("__host", ((F.col("host_good") + k0 * mean) / (F.col("host_n") + k0)).alias("host_rate"))
-    both = paths.join(hosts, "__host")
+    both = attach(paths, stored(hosts, "quality-hosts"), ["__host"])
     k1 = _strength(both.select((F.col("good") / F.col("n")).alias("r"), F.col("host_rate").alias("m"), "n"))
     return stored(both.withColumn("strength", F.lit(float(k1))), "quality-rates"), float(mean)
 
