@@ -71,11 +71,12 @@ def budgets(sums: DataFrame, recipe: Recipe) -> DataFrame:
     """Leaves with their tokens and budget: three rounds of filling children by weight up to what they hold.
 
     Sorted by room per weight, children fill up one after another: one is full if its weight's share of what is left
-    after the fuller ones is at least its room; the rest share what remains.
+    after the fuller ones is at least its room; the rest share what remains.  A node's children, one row each, are sorted by
+    one task: domains are named by the recipe, languages are few, sources of a language and domain are rows by the million at most.
     """
     nodes = sums.withColumn("room", F.col("tokens") * recipe.epochs)
-    total = F.expr(f"CAST(sum(tokens) OVER () * {recipe.tenths} AS BIGINT) DIV 10")
-    nodes = nodes.withColumn("budget_0", total)
+    total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("n")).first().n * recipe.tenths // 10
+    nodes = nodes.withColumn("budget_0", F.lit(total).cast("long"))
     for k, level in enumerate(LEAF):
         path, above = LEAF[: k + 1], LEAF[:k]
         tier = nodes.groupBy(*path).agg(F.sum("room").alias("r"), F.max(f"budget_{k}").alias("b")).withColumn("w", F.expr(recipe.weight_sql(level)).cast("long")).where("w > 0 AND r > 0")
