@@ -30,6 +30,8 @@ WINDOW, RUN, WINS, FEATURES, BITS = 64, 64, 16, 160, 2048
 USUAL, SPREAD, WEAK = 650.0, 45.0, 250
 #: Bytes that one pass works on, so that its arrays stay in the processor's cache.
 CHUNK = 1 << 17
+#: Rows of the sample that bounds are taken from, for each partition on average.
+SAMPLED = 64
 
 _G = np.array([0] + [round(c * np.log2(c) * 65536) for c in range(1, WINDOW + 1)], np.int64)
 #: What one more byte adds to a window's sum of c log2 c, when c are there.
@@ -164,27 +166,41 @@ def likeness(a: Digest, b: Digest) -> float:
     return total / len(a.filters)
 
 
+def _sortable(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Pairs of signed numbers as 16 bytes each that sort as they do."""
+    flip = np.uint64(1 << 63)
+    return np.stack([key.astype(np.int64).view(np.uint64) ^ flip, h.astype(np.int64).view(np.uint64) ^ flip], 1).astype(">u8").view("S16").reshape(-1)
+
+
 def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and extra, range-partitioned and sorted: each partition ends with an extra copy of the row that follows."""
+    """id, text and extra, range-partitioned and sorted: each partition ends with an extra copy of the row that follows.
+
+    Rows are ordered by id, then by their text's hash, so many rows with equal or missing ids are dealt out as well.
+    """
     spark = docs.sparkSession
     low = -(1 << 63)
-    source = wanted(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.coalesce("id", F.lit(low)))
+    source = wanted(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumns({"key": F.coalesce("id", F.lit(low)), "h": F.xxhash64("text")})
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    # Ids that exist are the bounds, so every partition has a first row and that row is known beforehand.
-    got = source.agg(F.min("key").alias("least"), F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 10_000).alias("cuts")).first()
-    bounds = np.array(sorted({got.least, *(got.cuts or [])} - {None}), np.int64)
-    if not len(bounds):
+    # Rows that exist are the bounds, so every partition has a first row and that row is known beforehand: some SAMPLED a partition, by hash.
+    total = docs.count()
+    every = max(1, total // (SAMPLED * n))
+    some = source.where(F.pmod(F.xxhash64("key", "h"), F.lit(every)) == 0).select("key", "h").distinct()
+    least = source.agg(F.min(F.struct("key", "h")).alias("r")).select("r.key", "r.h").where("key IS NOT NULL")
+    got = some.unionByName(least).distinct().toPandas()
+    if not len(got):
         return source.select("id", "text", F.lit(False).alias("extra"))
+    found = np.sort(_sortable(got["key"].to_numpy(), got["h"].to_numpy()))
+    bounds = found[np.unique(np.linspace(0, len(found), n, endpoint=False).astype(np.int64))]
 
-    def parts(key: pd.Series) -> pd.DataFrame:
-        keys = key.to_numpy()
-        part = np.searchsorted(bounds, keys, "right") - 1
-        return pd.DataFrame({"part": part, "before": np.where(bounds[part] == keys, (part - 1) % len(bounds), -1)})
+    def parts(key: pd.Series, h: pd.Series) -> pd.DataFrame:
+        own = _sortable(key.to_numpy(), h.to_numpy())
+        part = np.searchsorted(bounds, own, "right") - 1
+        return pd.DataFrame({"part": part, "before": np.where(bounds[part] == own, (part - 1) % len(bounds), -1)})
 
     where = F.pandas_udf(parts, "part int, before int")
-    dealt = source.withColumn("w", where("key")).withColumn("to", F.explode(F.expr("IF(w.before >= 0, array(struct(w.part AS part, false AS extra), struct(w.before AS part, true AS extra)), array(struct(w.part AS part, false AS extra)))")))
-    dealt = dealt.select("id", "text", "key", F.col("to.part").alias("part"), F.col("to.extra").alias("extra"))
-    return dealt.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("extra", "key", F.xxhash64("text"), "text").select("id", "text", "extra")
+    dealt = source.withColumn("w", where("key", "h")).withColumn("to", F.explode(F.expr("IF(w.before >= 0, array(struct(w.part AS part, false AS extra), struct(w.before AS part, true AS extra)), array(struct(w.part AS part, false AS extra)))")))
+    dealt = dealt.select("id", "text", "key", "h", F.col("to.part").alias("part"), F.col("to.extra").alias("extra"))
+    return dealt.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("extra", "key", "h", "text").select("id", "text", "extra")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
