@@ -208,7 +208,8 @@ class Comparison:
         for columns in groups.values():
             kind = self.kinds[columns[0]]
             cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`a_{c}`").alias("a"), F.col(f"`b_{c}`").alias("b")) for c in columns])
-            cell = rows.select(self.key_text().alias("Clave"), "occ", "changed", F.explode(cells).alias("x")).where(F.array_contains("changed", F.col("x.c")))
+            differing = F.filter(cells, lambda x: F.array_contains("changed", x["c"]))
+            cell = rows.select(self.key_text().alias("Clave"), "occ", F.explode(differing).alias("x"))
             cell = with_difference(cell.select("Clave", "occ", F.col("x.c").alias("Columna"), F.col("x.a").alias("a"), F.col("x.b").alias("b")), "a", "b", kind, algorithm=opts.fuzzy_algorithm, tolerance=opts.numeric_tolerance, dates_by_day=opts.date_tolerance)
             parts.append(cell.select("Clave", *self._lead(show), "Columna", as_text(F.col("a"), kind).alias("Valor en Archivo 1"), as_text(F.col("b"), kind).alias("Valor en Archivo 2"), F.col("kind").alias("Tipo de diferencia"), F.round(F.col("sim") * 100, 1).alias("Similitud")))
         if not parts:
@@ -257,11 +258,23 @@ class Comparison:
         kind = F.col("Tipo de diferencia")
         return self.details(False).groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind)
 
+    def figures(self) -> DataFrame:
+        """One row with all counts of the comparison: rows are added up by key, keys by table, in one pass over the join."""
+        n = lambda s: F.count_if(F.col("estado") == s)
+        keys = self.base.groupBy(*[f"k{i}" for i in range(len(self.keys))]).agg(F.count("a__fila").alias("n1"), F.count("b__fila").alias("n2"), n(ADDED).alias("altas"), n(REMOVED).alias("bajas"), n(CHANGED).alias("modificaciones"), n(UNCHANGED).alias("sin_cambios"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        both = F.col("n1") - F.col("n2")
+        lone = lambda gap: total(F.when((F.col("n1") > 0) & (F.col("n2") > 0) & (gap > 0), gap))
+        return keys.agg(total("n1").alias("total_a"), total("n2").alias("total_b"), *[total(c).alias(c) for c in ("altas", "bajas", "modificaciones", "sin_cambios")], lone(both).alias("huerfanos_a"), lone(-both).alias("huerfanos_b"))
+
     def summary(self) -> DataFrame:
         """The comparison in ten named figures."""
-        t = self.totals().crossJoin(self.inclusion().select("total_a", "total_b", "cobertura_clave", "cobertura_exacta")).crossJoin(self.orphans())  # one row each
-        named = {"Registros en Archivo 1": "total_a", "Registros en Archivo 2": "total_b", "Altas": "altas", "Bajas": "bajas", "Modificaciones": "modificaciones", "Sin cambios": "sin_cambios", "Cobertura por clave (%)": "cobertura_clave", "Cobertura exacta (%)": "cobertura_exacta", "Sin par en Archivo 1": "huerfanos_a", "Sin par en Archivo 2": "huerfanos_b"}
-        return t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("Indicador"), F.col(c).cast("double").alias("Valor")) for k, c in named.items()])).alias("x")).select("x.*")
+        share = lambda c: F.when(F.col("total_a") > 0, F.round(100 * c / F.col("total_a"), 2)).otherwise(0.0)
+        named = {
+            "Registros en Archivo 1": F.col("total_a"), "Registros en Archivo 2": F.col("total_b"), "Altas": F.col("altas"), "Bajas": F.col("bajas"), "Modificaciones": F.col("modificaciones"), "Sin cambios": F.col("sin_cambios"),
+            "Cobertura por clave (%)": share(F.col("modificaciones") + F.col("sin_cambios")), "Cobertura exacta (%)": share(F.col("sin_cambios")), "Sin par en Archivo 1": F.col("huerfanos_a"), "Sin par en Archivo 2": F.col("huerfanos_b"),
+        }
+        return self.figures().select(F.explode(F.array(*[F.struct(F.lit(k).alias("Indicador"), c.cast("double").alias("Valor")) for k, c in named.items()])).alias("x")).select("x.*")
 
 
 def of_kinds(details: DataFrame, kinds: list[str] | None = None) -> DataFrame:

@@ -1,21 +1,22 @@
 """Suggested matches between removed and added records by text similarity.
 
-Every removed record asks all added ones, which come in blocks of bounded size; each block's best answers meet in one
-aggregate.  Interactive use stops at a stated number of pairs and says so.
+Pairs are found through an inverted index of tokens, the rarest first, and only those whose lengths and shared tokens can reach the
+threshold are measured; none that reaches it is left out.  Interactive use stops at a stated number of pairs and says so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.similarity import as_text, similarity, with_difference
+from tablewright.functions.similarity import LEVENSHTEIN, as_text, similarity, with_difference
 from tablewright.operators.compare import ADDED, REMOVED, Comparison
+from tablewright.sources.files import stored
 
 #: Pairs up to which the search runs, and suggestions it returns.
 MOST_PAIRS, TOP = 40_000, 200
-#: Added records that are broadcast at once.
-BLOCK = 20_000
+#: Similarities at which matches are looked for first, and added records that are broadcast at once where no index helps.
+LEVELS, BLOCK = (0.94,), 20_000
 NOTHING = "Nada que buscar: falta alguna baja o alguna alta."
 
 
@@ -27,23 +28,137 @@ def _records(comparison: Comparison, state: str, tag: str) -> DataFrame:
     return rows.select(F.col(f"{tag}__fila").alias(f"{tag}_fila"), text(comparison.keys).alias(f"{tag}_clave"), text(comparison.keys + comparison.columns).alias(f"{tag}_registro"))
 
 
+def _best(found: DataFrame) -> DataFrame:
+    """The most similar added record of each removed one, the first of equals."""
+    better = F.min_by(F.struct("sim", "b_fila", "b_clave", "b_registro"), F.struct(-F.col("sim"), "b_fila")).alias("b")
+    return found.where("sim > 0").groupBy("a_fila", "a_clave", "a_registro").agg(better).select("a_fila", "a_clave", "a_registro", "b.*")
+
+
 def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, *, block: int = BLOCK) -> DataFrame:
     """For each removed record the most similar added one (the first of equals) if it reaches the threshold.
 
-    Both frames have fila, clave and registro, prefixed a_ and b_.  Blocks of added records hold about ``block`` rows.
+    Both frames have fila (unique), clave and registro, prefixed a_ and b_.  The search starts at the highest of ``LEVELS``: a record that
+    finds a match there needs no other, as all pairs that similar are candidates; the rest asks again, at last at the
+    threshold.  A threshold too low for an index (``_Levenshtein.least``, ``_JaroWinkler.least``) compares all pairs, in blocks.
     """
+    bounds = (_Levenshtein if algorithm == LEVENSHTEIN else _JaroWinkler)()
+    if threshold < bounds.least:
+        return _all_pairs(removed, added, algorithm, threshold, block)
+    a, b = _tokened(removed, added, bounds)
+    found, rest = None, a
+    for level in sorted({threshold, *[x for x in LEVELS if x > threshold]}, reverse=True):
+        own = stored(_best(candidates(rest, b, bounds, level).withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where(F.col("sim") >= level)), "fuzzy-found")
+        rest = rest.join(own.select("a_fila"), "a_fila", "left_anti")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _all_pairs(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, block: int) -> DataFrame:
+    """All pairs, block by block of about ``block`` added records."""
     blocks = max(1, -(-added.count() // block))
     found = None
     for k in range(blocks):
         own = added if blocks == 1 else added.where(F.pmod(F.xxhash64("b_fila"), F.lit(blocks)) == k)
         pairs = removed.join(F.broadcast(own), how="cross").withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where(F.col("sim") >= threshold)
-        better = F.min_by(F.struct("sim", "b_fila", "b_clave", "b_registro"), F.struct(-F.col("sim"), "b_fila")).alias("b")
-        part = pairs.where("sim > 0").groupBy("a_fila", "a_clave", "a_registro").agg(better).select("a_fila", "a_clave", "a_registro", "b.*")
-        found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        return found
-    best = F.min_by(F.struct("sim", "b_fila", "b_clave", "b_registro"), F.struct(-F.col("sim"), "b_fila")).alias("b")
-    return found.groupBy("a_fila", "a_clave", "a_registro").agg(best).select("a_fila", "a_clave", "a_registro", "b.*")
+        found = _best(pairs) if found is None else found.unionByName(_best(pairs))
+    return found if blocks == 1 else _best(found)
+
+
+# ---------------------------------------------------------------- index
+
+
+class _Levenshtein:
+    """Tokens are the q-grams of a text, padded at both ends and numbered where they repeat; an edit changes q of them."""
+
+    q = 3
+    least = 0.76
+
+    def tokens(self, text: Column) -> Column:
+        padded = F.concat(F.repeat(F.lit("\x01"), self.q - 1), text, F.repeat(F.lit("\x02"), self.q - 1))
+        return F.transform(F.sequence(F.lit(1), F.length(text) + self.q - 1), lambda i: F.substring(padded, i, self.q))
+
+    def size(self, length: Column) -> Column:
+        return length + self.q - 1
+
+    def prefixes(self, length: Column, level: float) -> list[tuple[int, Column]]:
+        """For each class of pairs the characters they begin with alike and how many of a text's tokens are looked up."""
+        return [(0, self.q * _edits(length, level) + 1)]
+
+    def shared(self, _: int, a: Column, b: Column, level: float) -> tuple[Column, Column]:
+        """Whether lengths allow a pair, and how many tokens it must share."""
+        edits = _edits(F.greatest(a, b), level)
+        return F.abs(a - b) <= edits, F.greatest(F.lit(1), self.size(F.greatest(a, b)) - self.q * edits)
+
+
+def _edits(longest: Column, level: float) -> Column:
+    return F.floor((1 - level) * longest + 1e-6).cast("int")
+
+
+class _JaroWinkler:
+    """Tokens are the characters of a text, numbered where they repeat; pairs are told apart by how many first ones are equal."""
+
+    least = 0.7
+
+    def tokens(self, text: Column) -> Column:
+        return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, 1)))
+
+    def size(self, length: Column) -> Column:
+        return F.greatest(F.lit(1), length)
+
+    @staticmethod
+    def jaro(p: int, level: float) -> float:
+        """The Jaro similarity that a pair with p equal first characters needs."""
+        return (level - 0.1 * p) / (1 - 0.1 * p)
+
+    def prefixes(self, length: Column, level: float) -> list[tuple[int, Column]]:
+        return [(p, (self.size(length) - F.ceil(max(0.0, 3 * self.jaro(p, level) - 2) * length - 1e-6) + 1).cast("int")) for p in range(5)]
+
+    def shared(self, p: int, a: Column, b: Column, level: float) -> tuple[Column, Column]:
+        """Matched characters are at most those shared; with m of them Jaro is (m / a + m / b + 1) / 3 at most."""
+        need = 3 * self.jaro(p, level) - 1
+        fits = F.least(a, b) >= (need - 1) * F.greatest(a, b) - 1e-6
+        return fits, F.greatest(F.lit(1), F.ceil(need * a * b / F.greatest(F.lit(1), a + b) - 1e-6).cast("int"))
+
+
+def _tokened(removed: DataFrame, added: DataFrame, bounds: _Levenshtein | _JaroWinkler) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their length and tokens, those first that the fewest records have."""
+
+    def exploded(df: DataFrame, tag: str) -> DataFrame:
+        each = df.select(F.col(f"{tag}_fila").alias("fila"), F.explode(bounds.tokens(F.col(f"{tag}_registro"))).alias("t")).groupBy("fila", "t").count()
+        return each.select("fila", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.concat("t", k.cast("string")))).alias("t"))
+
+    sides = {tag: exploded(df, tag) for df, tag in ((removed, "a"), (added, "b"))}
+    often = stored(sides["a"].select("t").unionAll(sides["b"].select("t")).groupBy("t").agg(F.count("*").alias("n")), "fuzzy-tokens")
+    out = []
+    for df, tag in ((removed, "a"), (added, "b")):
+        own = sides[tag].join(often, "t").groupBy("fila").agg(F.array_sort(F.collect_list(F.struct("n", "t")))["t"].alias(f"{tag}_tokens"))
+        out.append(stored(df.join(own.withColumnRenamed("fila", f"{tag}_fila"), f"{tag}_fila").withColumn(f"{tag}_n", F.length(f"{tag}_registro")), "fuzzy-records"))
+    return out[0], out[1]
+
+
+def candidates(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, level: float) -> DataFrame:
+    """All pairs that can reach the level, each once: it meets at the rarest token that its texts share.
+
+    Tokens stand in one order in all records, so two texts that share enough of them share one among their first few.
+    """
+
+    def looked_up(df: DataFrame, tag: str) -> DataFrame:
+        text, n, tokens = F.col(f"{tag}_registro"), F.col(f"{tag}_n"), F.col(f"{tag}_tokens")
+        keys = [F.when(n >= p, F.struct(F.lit(p).alias("p"), F.substring(text, 1, p).alias("first"), F.slice(tokens, 1, F.greatest(F.lit(1), F.least(bounds.size(n), size))).alias("t"))) for p, size in bounds.prefixes(n, level)]
+        each = df.withColumn("k", F.explode(F.array_compact(F.array(*keys))))
+        return each.select(*df.columns, "k.p", "k.first", F.posexplode("k.t").alias(f"{tag}_at", "t"))
+
+    met = looked_up(a, "a").join(looked_up(b, "b"), ["p", "first", "t"])
+    fits, need = F.lit(False), F.lit(1)
+    for p, _ in bounds.prefixes(F.lit(1), level):
+        allowed, own = bounds.shared(p, F.col("a_n"), F.col("b_n"), level)
+        fits, need = F.when(F.col("p") == p, allowed).otherwise(fits), F.when(F.col("p") == p, own).otherwise(need)
+    if isinstance(bounds, _JaroWinkler):  # of the class of exactly p equal first characters
+        after = [F.substring(f"{t}_registro", F.col("p") + 1, F.lit(1)) for t in ("a", "b")]
+        fits = fits & ((F.col("p") == 4) | (F.least("a_n", "b_n") == F.col("p")) | (after[0] != after[1]))
+    room = [F.col(f"{t}_at") < bounds.size(F.col(f"{t}_n")) - need + 1 for t in ("a", "b")]
+    both = met.where(fits & room[0] & room[1]).withColumn("both", F.array_intersect("a_tokens", "b_tokens"))
+    return both.where((F.col("both")[0] == F.col("t")) & (F.size("both") >= need)).select("a_fila", "a_clave", "a_registro", "b_fila", "b_clave", "b_registro")
 
 
 def suggestions(comparison: Comparison, *, most_pairs: int | None = MOST_PAIRS, top: int | None = TOP) -> tuple[DataFrame | None, str]:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a table up to which no key is looked after by itself.
 CALM = 1_000_000
@@ -29,17 +30,65 @@ def completeness(df: DataFrame) -> DataFrame:
     return df.agg(F.when(cells > 0, F.round(100 * (1 - nulls / cells), 2)).otherwise(0.0).alias("score"))
 
 
+#: Bits that a bitmap may spend for each distinct value that a sketch expects: beyond it values are counted one by one.
+SPARSE = 256
+
+
+def _whole(name: str, kind: T.DataType) -> list[tuple[Column, Column | None]]:
+    """Ways to see a column's values as whole numbers, one number a value, each with the test that it holds for a value (None: always)."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.BooleanType):
+        return [(c.cast("bigint"), None)]
+    if isinstance(kind, T.IntegralType):
+        return [(c.cast("bigint"), None)]
+    if isinstance(kind, T.DecimalType) and kind.precision < 18:
+        return [((c * 10**kind.scale).cast("bigint"), None)]
+    if isinstance(kind, T.DateType):
+        return [(F.unix_date(c).cast("bigint"), None)]
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return [(F.unix_date(F.to_date(c)).cast("bigint"), c == F.date_trunc("day", c))]
+    if isinstance(kind, T.DoubleType):  # whole numbers, and amounts with two decimals
+        return [(F.round(c * k).try_cast("bigint"), (F.abs(c) < 1e13) & (c == F.round(c * k) / k)) for k in (1, 100)]
+    return []
+
+
 def profile(df: DataFrame) -> DataFrame:
     """columna, tipo, nulos and unicos (exact distinct values) of every column.
 
-    Distinct values are counted as (column, value) pairs in one shuffle, whatever the number of columns.
+    A first pass counts nulls, finds ranges, tries which columns hold whole numbers (days and amounts in cents among them) and
+    sketches how many values there are.  Columns of dense whole numbers are then counted by bitmaps, a bit a value, which are
+    made before anything is shuffled; the others by their distinct values in their own type, all of a type in one shuffle.
+    0.0 and -0.0 are one value, as are all NaN; both are values, not nulls.  Values of types that can't be grouped are told apart as text.
     """
-    names = df.columns
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)]))
-    pairs = df.select(values.alias("x")).select("x.*").groupBy("i", "v").agg(F.count("*").alias("n"))
-    got = pairs.groupBy("i").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulos"), F.count("v").alias("unicos"))
-    named = F.create_map(*[x for i, (c, t) in enumerate(df.dtypes) for x in (F.lit(i), F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")))])
-    return got.select(named[F.col("i")]["c"].alias("columna"), named[F.col("i")]["t"].alias("tipo"), "nulos", "unicos")
+    ways = {f"w{i}_{k}": (i, c, fits) for i, f in enumerate(df.schema) for k, (c, fits) in enumerate(_whole(f.name, f.dataType))}
+    seen = [F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema)] + [F.approx_count_distinct(c).alias(f"d{i}") for i, c in {i: c for i, c, _ in ways.values()}.items()]
+    for name, (i, c, fits) in ways.items():
+        c = c if fits is None else F.when(fits, c)
+        seen += [F.count(c).alias(f"{name}_n"), F.min(c).alias(f"{name}_low"), F.max(c).alias(f"{name}_high")]
+    first = df.agg(F.count("*").alias("rows"), *seen).first()
+    bits, other = {}, []
+    for i, f in enumerate(df.schema):
+        fit = [name for name, (j, _, _) in ways.items() if j == i and first[f"{name}_n"] == first[f"n{i}"] > 0 and first[f"{name}_high"] - first[f"{name}_low"] <= SPARSE * first[f"d{i}"]]
+        if fit:
+            bits[i] = ways[fit[0]][1] - F.lit(first[f"{fit[0]}_low"]) + 1
+        elif first[f"n{i}"]:
+            other.append((i, f))
+    counts = []
+    if bits:
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.bitmap_bucket_number(c).alias("b"), F.bitmap_bit_position(c).alias("p")) for i, c in bits.items()])).alias("x")).select("x.*").where("b IS NOT NULL")
+        counts.append(cells.groupBy("i", "b").agg(F.bitmap_count(F.bitmap_construct_agg("p")).alias("u")).groupBy("i").agg(F.sum("u").alias("u")))
+    groups: dict[str, list[tuple[int, Column]]] = {}
+    for i, f in other:
+        plain = isinstance(f.dataType, (T.AtomicType, T.StringType))
+        groups.setdefault(f.dataType.simpleString() if plain else "string", []).append((i, F.col(f"`{f.name}`") if plain else F.col(f"`{f.name}`").cast("string")))
+    for columns in groups.values():
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
+        counts.append(cells.distinct().groupBy("i").agg(F.count("*").alias("u")))
+    spark = df.sparkSession
+    named = spark.createDataFrame([(i, f.name, t, first["rows"] - first[f"n{i}"]) for i, (f, (_, t)) in enumerate(zip(df.schema, df.dtypes, strict=True))], "i int, columna string, tipo string, nulos long")
+    if not counts:
+        return named.select("columna", "tipo", "nulos", F.lit(0).cast("long").alias("unicos"))
+    return named.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "i", "left").select("columna", "tipo", "nulos", F.coalesce("u", F.lit(0)).cast("long").alias("unicos"))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

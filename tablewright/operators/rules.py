@@ -1,6 +1,7 @@
 """Business rules: six rule sets over one table, each a single scan, and three weighted scores.
 
-Every rule is a predicate over a row; what it finds is a structured issue (fila, severidad, regla, columna, mensaje).
+Every rule is a predicate over a row; what it finds is a structured issue (fila, severidad, regla, columna, mensaje).  Shares
+of blank cells over whole columns are observed while the issues of rows are written, so they cost no scan of their own.
 Messages keep the form "Fila N: ...", "Columna ...: ..." or "Nivel ...: ...".
 """
 
@@ -13,13 +14,15 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import parse_date
 from tablewright.functions.numbers import to_double
 from tablewright.functions.text import EMAIL, present, strip
+from tablewright.operators.quality import repeated_keys
+from tablewright.sources.files import stored
 
 ERROR, WARNING = "error", "advertencia"
 SCHEMA = "fila long, severidad string, regla string, columna string, mensaje string"
@@ -242,11 +245,29 @@ class RuleScan:
         issue = F.struct(F.lit(severity).alias("severidad"), F.lit(rule).alias("regla"), F.lit(column).alias("columna"), said.alias("mensaje"))
         self.items.append(F.when(F.coalesce(when, F.lit(False)), issue))
 
+    def rows(self) -> DataFrame:
+        """The table with each row's issues beside it, as an array in ``__issues``."""
+        return self.df.withColumn("__issues", F.array_compact(F.array(*self.items)))
+
     def issues(self) -> DataFrame:
         if not self.items:
             return self.df.sparkSession.createDataFrame([], SCHEMA)
-        found = self.df.select(F.col(self.order).cast("long").alias("fila"), F.explode(F.array_compact(F.array(*self.items))).alias("x"))
-        return found.select("fila", "x.*")
+        return self.rows().select(F.col(self.order).cast("long").alias("fila"), F.explode("__issues").alias("x")).select("fila", "x.*")
+
+    def with_levels(self, found: list[Level]) -> DataFrame:
+        """Issues of rows and of whole columns from one pass: the issues are written, the shares of whole columns observed meanwhile."""
+        if not found:
+            return self.issues()
+        spark, seen = self.df.sparkSession, Observation()
+        whole = RuleScan(self.df.observe(seen, *[level[4].alias(f"s{i}") for i, level in enumerate(found)]), self.order)
+        whole.items = self.items
+        rows, shares = stored(whole.issues(), "issues"), seen.get
+        above = [(None, severity, rule, column, f"{before}{shares[f's{i}'] * 100:.1f}%{after}") for i, (rule, severity, column, before, _, limit, after) in enumerate(found) if (shares[f"s{i}"] or 0) > limit]
+        return rows.unionByName(spark.createDataFrame(above, SCHEMA))
+
+
+#: An issue of whole columns: rule, severity, column, text before the share, share, tolerance, text after it.
+Level = tuple[str, str, str, str, Column, float, str]
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -257,18 +278,6 @@ def _raw(text: str, column: Column) -> Column:
     return F.format_string(text.replace("{}", "%s"), column)
 
 
-def _level_rows(df: DataFrame, found: list[tuple[str, str, str, str, Column, float, str]]) -> DataFrame:
-    """Issues of whole columns: (rule, severity, column, text before the share, share, tolerance, text after it)."""
-    if not found:
-        return df.sparkSession.createDataFrame([], SCHEMA)
-    shares = df.agg(*[s.alias(f"s{i}") for i, (*_, s, _, _) in enumerate(found)])
-    rows = []
-    for i, (rule, severity, column, before, _, limit, after) in enumerate(found):
-        text = F.concat(F.lit(before), F.format_string("%.1f%%", F.col(f"s{i}") * 100), F.lit(after))
-        rows.append(F.when(F.col(f"s{i}") > limit, F.struct(F.lit(severity).alias("severidad"), F.lit(rule).alias("regla"), F.lit(column).alias("columna"), text.alias("mensaje"))))
-    return shares.select(F.lit(None).cast("long").alias("fila"), F.explode(F.array_compact(F.array(*rows))).alias("x")).select("fila", "x.*")
-
-
 def _blank_share(columns: list[str]) -> Column:
     """Share of blank cells over several columns."""
     return F.avg(reduce(lambda a, b: a + b, [(~present(F.col(f"`{c}`"))).cast("double") for c in columns]) / len(columns))
@@ -309,7 +318,7 @@ def _dates_in_order(scan: RuleScan, df: DataFrame, rule: str, first: str, last:
 # ---------------------------------------------------------------- rule sets
 
 
-def validate_licences(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> DataFrame:
+def _scan_licences(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> RuleScan:
     """Licencias TI."""
     has = set(df.columns)
     if "Producto asociado" in has:
@@ -338,10 +347,10 @@ def validate_licences(df: DataFrame, references: dict[str, DataFrame], *, order:
     if "Enlace Contrato" in has:
         v = _value(df, "Enlace Contrato")
         scan.add("LIC10", WARNING, "Enlace Contrato", ~v.rlike(URL), _raw(SAYS["bad_url"], v))
-    return scan.issues()
+    return scan
 
 
-def validate_domains(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> DataFrame:
+def _scan_domains(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> RuleScan:
     """Dominios."""
     has = set(df.columns)
     if "Activo Asociado" in has:
@@ -359,10 +368,10 @@ def validate_domains(df: DataFrame, references: dict[str, DataFrame], *, order:
             v = _value(df, column)
             scan.add(rule, severity, column, bad(v), _raw(text, v))
     _dates_in_order(scan, df, "DOM5", "Fecha Inicio / Vencimiento", "Fecha Vencimiento", "Fecha Inicio")
-    return scan.issues()
+    return scan
 
 
-def validate_certificates(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila", today: str | None = None) -> DataFrame:
+def _scan_certificates(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila", today: str | None = None) -> RuleScan:
     """Certificados; ``today`` (yyyy-mm-dd) fixes the day that remaining days count from."""
     has = set(df.columns)
     if "Activo asociado" in has:
@@ -384,7 +393,22 @@ def validate_certificates(df: DataFrame, references: dict[str, DataFrame], *, or
             said = _number(df, "Dias Restantes")
             scan.add("CER4", WARNING, "Dias Restantes", F.abs(said - left) > 1, F.format_string(SAYS["days"], _figure(said), left.cast("string")))
         scan.add("CER4", WARNING, "Fecha Vencimiento", F.col("`Fecha Vencimiento`").isNotNull() & ends.isNull(), SAYS["certificate_date"])
-    return scan.issues()
+    return scan
+
+
+def validate_licences(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> DataFrame:
+    """Licencias TI."""
+    return _scan_licences(df, references, order=order).issues()
+
+
+def validate_domains(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila") -> DataFrame:
+    """Dominios."""
+    return _scan_domains(df, references, order=order).issues()
+
+
+def validate_certificates(df: DataFrame, references: dict[str, DataFrame], *, order: str = "fila", today: str | None = None) -> DataFrame:
+    """Certificados; ``today`` (yyyy-mm-dd) fixes the day that remaining days count from."""
+    return _scan_certificates(df, references, order=order, today=today).issues()
 
 
 class _Fields:
@@ -417,20 +441,11 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
     f = _Fields(df, ACCOUNT_FIELDS)
     if absent := [f.label(k) for k in ACCOUNT_LEVELS["alto"] if k not in f]:
         return _missing(df, "CUE1", absent)
-    # Nulls are equal to each other here.  They may be most rows, so they are counted apart and spread over the join's tasks.
-    source, user = df, strip(_value(df, f.at["usuario"]))
-    nobody = df.agg((F.count_if(user.isNull()) > 1).alias("__many"))  # one row
-    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64(F.col(order)), F.lit(4096)).cast("string"))
-    df = df.withColumn("__user", F.coalesce(F.concat(F.lit("="), user), spread))
-    often = df.where(F.startswith("__user", F.lit("="))).groupBy("__user").agg(F.count("*").alias("__n")).where("__n > 1")
-    df = df.join(often, "__user", "left").crossJoin(F.broadcast(nobody)).withColumn("__again", F.coalesce(F.col("__n") > 1, F.col("__many") & F.startswith("__user", F.lit("#"))))
-    f.df = df
     scan, state = RuleScan(df, order), f.upper("estado")
 
     def add(rule: str, severity: str, key: str, bad: Column, text: str) -> None:
         scan.add(rule, severity, f.at[key], bad, text)
 
-    scan.add("CUE2", ERROR, f.at["usuario"], F.col("__again"), _raw(SAYS["again"], F.coalesce(_value(df, f.at["usuario"]), F.lit(""))))
     for rule, key in (("CUE3", "nombre"), ("CUE4", "usuario"), ("CUE5", "estado")):
         add(rule, ERROR, key, ~f.has(key), SAYS["account_needs"].format(f.label(key)))
     name = f.text("nombre")
@@ -460,15 +475,23 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
                 limit = ACCOUNT_TOLERANCE.get(key, 0.0)
                 severe = level == "alto" or key.startswith("ticket")
                 whole.append(("CUE13", ERROR if severe else WARNING, f.at[key], SAYS["nulls"].format(f.at[key]), _blank_share([f.at[key]]), limit, SAYS["tolerance"].format(f"{limit:.0%}")))
-    return scan.issues().unionByName(_level_rows(source, whole))
+    return scan.with_levels(whole).unionByName(_repeated_users(df, f.at["usuario"], order))
+
+
+def _repeated_users(df: DataFrame, column: str, order: str) -> DataFrame:
+    """CUE2, of which only row and user are shuffled: nulls are equal to each other, and may be most rows."""
+    own = df.select(F.col(order).alias("fila"), _value(df, column).alias("shown"), strip(_value(df, column)).alias("user"))
+    scan = RuleScan(repeated_keys(own, ["user"]), "fila")
+    scan.add("CUE2", ERROR, column, F.lit(True), _raw(SAYS["again"], F.coalesce("shown", F.lit(""))))
+    return scan.issues()
 
 
-def _levels(df: DataFrame, f: _Fields, levels: dict[str, list[str]], rules: tuple[str, str], texts: tuple[str, str]) -> DataFrame:
+def _levels(f: _Fields, levels: dict[str, list[str]], rules: tuple[str, str], texts: tuple[str, str]) -> list[Level]:
     found = []
     for rule, level, limit, text in ((rules[0], "medio", 0.05, texts[0]), (rules[1], "bajo", 0.20, texts[1])):
         if columns := f.columns(levels[level]):
             found.append((rule, WARNING, f"Nivel {level}", f"Nivel {level.capitalize()}: {text} ", _blank_share(columns), limit, SAYS["most"].format(f"{limit:.0%}")))
-    return _level_rows(df, found)
+    return found
 
 
 def _user_optional(f: _Fields, key: str) -> Column:
@@ -509,7 +532,7 @@ def validate_users(df: DataFrame, references: dict | None = None, *, order: str
     for key in USER_LEVELS["bajo"]:
         if key in f:
             add("USU10", WARNING, key, ~_user_optional(f, key), SAYS["form"].format(f.label(key)))
-    return scan.issues().unionByName(_levels(df, f, USER_LEVELS, ("USU8", "USU9"), (SAYS["all_nulls"], SAYS["all_nulls"])))
+    return scan.with_levels(_levels(f, USER_LEVELS, ("USU8", "USU9"), (SAYS["all_nulls"], SAYS["all_nulls"])))
 
 
 def _strict_day(f: _Fields, key: str) -> Column:
@@ -571,11 +594,14 @@ def validate_servers(df: DataFrame, references: dict | None = None, *, order: st
     for key in SERVER_LEVELS["bajo"][1:]:
         if key in f:
             add("INF14", WARNING, key, f.has(key) & ~f.text(key).rlike(LABEL), SAYS["text_form"].format(f.label(key)))
-    return scan.issues().unionByName(_levels(df, f, SERVER_LEVELS, ("INF15", "INF15"), (SAYS["all_nulls"], SAYS["some_nulls"])))
+    return scan.with_levels(_levels(f, SERVER_LEVELS, ("INF15", "INF15"), (SAYS["all_nulls"], SAYS["some_nulls"])))
 
 
 RULE_SETS = {"Licencias TI": validate_licences, "Dominios": validate_domains, "Certificados": validate_certificates, "Cuentas": validate_accounts, "Usuario": validate_users, "Infraestructura": validate_servers}
 
+#: Rule sets whose every issue belongs to a row and needs no other.
+SCANS = {"Licencias TI": _scan_licences, "Dominios": _scan_domains, "Certificados": _scan_certificates}
+
 
 def validate(schema: str, df: DataFrame, references: dict[str, DataFrame] | None = None, *, order: str = "fila") -> DataFrame:
     """Issues of a rule set by name; an unknown one has none."""
@@ -649,9 +675,25 @@ def issues_table(issues: DataFrame) -> DataFrame:
     return issues.select(F.when(F.col("severidad") == ERROR, "Error").otherwise("Advertencia").alias("Tipo"), F.col("mensaje").alias("Mensaje")).orderBy(F.desc("Tipo"), "Mensaje")
 
 
+def _problems(found: Column) -> tuple[Column, Column]:
+    """Worst severity and all messages, errors first, of an array of issues."""
+    rank = lambda x: F.when(x["severidad"] == ERROR, 0).otherwise(1)
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct(rank(x).alias("r"), x["regla"].alias("regla"), x["mensaje"].alias("mensaje"))))
+    return F.when(ranked[0]["r"] == 0, ERROR).otherwise(WARNING), F.array_join(ranked["mensaje"], "; ")
+
+
 def problem_rows(df: DataFrame, issues: DataFrame, *, order: str = "fila") -> DataFrame:
     """The rows with issues, their worst severity and all their problems, errors first."""
-    rank = F.when(F.col("severidad") == ERROR, 0).otherwise(1)
-    each = issues.where("fila IS NOT NULL").groupBy("fila").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "regla", "mensaje"))).alias("p"))
-    text = F.array_join(F.col("p.mensaje"), "; ")
-    return df.join(each.select(F.col("fila").alias("__fila"), F.when(F.col("p")[0]["r"] == 0, ERROR).otherwise(WARNING).alias("severidad"), text.alias("Problemas")), F.col(order) == F.col("__fila")).drop("__fila")
+    each = issues.where("fila IS NOT NULL").groupBy(F.col("fila").alias("__fila")).agg(F.collect_list(F.struct("severidad", "regla", "mensaje")).alias("__issues"))
+    worst, text = _problems(F.col("__issues"))
+    return df.join(each, F.col(order) == F.col("__fila")).withColumns({"severidad": worst, "Problemas": text}).drop("__fila", "__issues")
+
+
+def problems(schema: str, df: DataFrame, references: dict[str, DataFrame] | None = None, *, order: str = "fila") -> DataFrame:
+    """``problem_rows`` of a rule set; without a join where all of its issues belong to one row (``SCANS``): they never leave it."""
+    if schema in SCANS:
+        scan = SCANS[schema](df, references or {}, order=order)
+        worst, text = _problems(F.col("__issues"))
+        rows = scan.rows().where(F.size("__issues") > 0).withColumns({"severidad": worst, "Problemas": text})
+        return rows.select(*df.columns, "severidad", "Problemas")
+    return problem_rows(df, validate(schema, df, references, order=order), order=order)

@@ -96,7 +96,7 @@ _CHANGED = "concat_ws(', ', CASE WHEN NOT same_price THEN 'o_totalprice' END, CA
 
 @query("compare_changed_side_by_side", _orders_sql(f"SELECT nk AS o_orderkey, {_CHANGED} AS `Columnas con cambios`, op AS `o_totalprice (Archivo 1)`, np AS `o_totalprice (Archivo 2)`, os AS `o_orderpriority (Archivo 1)`, ns AS `o_orderpriority (Archivo 2)` FROM s WHERE estado = 'Modificación'"))
 def compare_changed(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(orders(spark, sf).changed(False, first=["o_totalprice", "o_orderpriority"]))
+    return _plain(orders(spark, sf).changed(False))
 
 
 @query("compare_consolidated", _orders_sql("SELECT estado AS `Estado`, coalesce(nk, ok) AS o_orderkey, CASE WHEN nk IS NULL THEN op ELSE np END AS o_totalprice, CASE WHEN nk IS NULL THEN os ELSE ns END AS o_orderpriority FROM s"))
@@ -671,8 +671,7 @@ def quality_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("problem_rows", "SELECT fila, CASE WHEN bool_or(severidad = 'error') THEN 'error' ELSE 'advertencia' END AS severidad, count(*) AS problemas FROM (" + _LIC.replace("WITH v AS", "WITH v AS", 1) + ") GROUP BY fila")
 def problem_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, pairs.LICENCES, "orders")
-    found = rules.problem_rows(rows, rules.validate_licences(rows, _references(spark)))
+    found = rules.problems("Licencias TI", view(spark, sf, pairs.LICENCES, "orders"), _references(spark))
     return found.select("fila", "severidad", F.size(F.split("Problemas", "; ")).cast("long").alias("problemas"))
 
 
