@@ -14,6 +14,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.sources import files
+
 # The tables' schemas and sample rows.
 TABLES = {
     "proveedores": "razon_social string, nit string, contacto string, email string, telefono string",
@@ -48,17 +50,13 @@ class Store:
         return f"{self.path}/{table}/_current"
 
     def _version(self, table: str) -> str | None:
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        if not p.getFileSystem(hadoop).exists(p):
-            return None
-        rows = self.spark.read.text(self._pointer(table)).collect()
-        return rows[0][0] if rows else None
+        pointer = self._pointer(table)
+        return files.head(self.spark, pointer, files.size(self.spark, pointer)).decode() if files.exists(self.spark, pointer) else None
 
     def _write(self, table: str, df: DataFrame) -> None:
         version = f"{self.path}/{table}/v-{uuid4().hex}"
         df.write.parquet(version)
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        files.replace(self.spark, self._pointer(table), version.encode())
 
     def create(self) -> None:
         """Make the tables that don't exist."""
@@ -75,7 +73,9 @@ class Store:
         if table == HISTORY:
             return self.spark.read.schema(TABLES[table]).parquet(self._rows())
         version = self._version(table)
-        return self.spark.read.schema(TABLES[table]).parquet(version) if version else self.spark.createDataFrame([], TABLES[table])
+        if version is None:
+            raise ValueError(f"table {table} was never made in {self.path}; create() makes it")
+        return self.spark.read.schema(TABLES[table]).parquet(version)
 
     def names(self, table: str) -> DataFrame:
         """A reference table's rows by name."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import dates, numbers, similarity, text
 from tablewright.operators import clean, fuzzy, positional, quality, rules, schema, store
-from tablewright.operators.compare import CHANGED, CompareOptions, Comparison, of_kinds
+from tablewright.operators.compare import CHANGED, CompareOptions, Comparison, cosmetic, of_kinds
 from tablewright.plans import pairs
 from tablewright.plans.pairs import view
 from tablewright.sources import files, tables, writers, xlsx
@@ -158,18 +158,37 @@ def compare_shown_states(spark: SparkSession, sf: str) -> DataFrame:
     return orders(spark, sf).shown([CHANGED], False).select("o_orderkey")
 
 
+_COSMETIC = "('Mayúsculas/minúsculas', 'Tildes/acentos', 'Mayúsculas y tildes', 'Espacios en blanco')"
+
+
+@query("compare_cosmetic", _orders_sql(f"SELECT CAST(k AS VARCHAR) AS `Clave`, c AS `Columna`, t AS `Tipo de diferencia` FROM ({_CELLS}) WHERE t IN {_COSMETIC}", form="trim({})"))
+def compare_cosmetic(spark: SparkSession, sf: str) -> DataFrame:
+    return cosmetic(orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN, ignore_spaces=False).details(False)).select("Clave", "Columna", "Tipo de diferencia")
+
+
+#: Only priorities differ, so their columns come before the price's: the second named column is shown first.
+@query("compare_changed_first", _orders_sql("SELECT nk AS o_orderkey, 'o_orderpriority' AS primera FROM s WHERE estado = 'Modificación'", price="true"))
+def compare_changed_first(spark: SparkSession, sf: str) -> DataFrame:
+    found = orders(spark, sf, numeric_tolerance=10.0).changed(False)
+    shown = [c.removesuffix(" (Archivo 1)") for c in found.columns if c.endswith(" (Archivo 1)")]
+    return found.select("o_orderkey", F.lit(shown[0]).alias("primera"))
+
+
 @query("compare_details_of_kinds", _orders_sql(f"SELECT CAST(k AS VARCHAR) AS `Clave`, c AS `Columna`, t AS `Tipo de diferencia` FROM ({_CELLS}) WHERE t IN ('Tildes/acentos', 'Mayúsculas/minúsculas')"))
 def compare_details_of_kinds(spark: SparkSession, sf: str) -> DataFrame:
     found = of_kinds(orders(spark, sf, fuzzy_algorithm=similarity.LEVENSHTEIN).details(False), [similarity.ACCENTS, similarity.CASE])
     return found.select("Clave", "Columna", "Tipo de diferencia")
 
 
-_KINDS = ", ".join("({}, {}, {}, '{}')".format(i, *("NULL" if x is None else f"'{x}'" for x in (a, b)), kind) for i, (a, b, kind) in enumerate(pairs.DIFFERENCES))
+def _kind_of_order(k: int) -> str:
+    """Each order holds one of the pairs of values, or their kind, by its key."""
+    cases = [f"WHEN {i} THEN " + ("NULL" if d[k] is None else f"'{d[k]}'") for i, d in enumerate(pairs.DIFFERENCES)]
+    return f"CASE o_orderkey % {len(pairs.DIFFERENCES)} {' '.join(cases)} END"
 
 
-@query("difference_kinds", f"SELECT i, a, b, kind FROM (VALUES {_KINDS}) AS t(i, a, b, kind)")
+@query("difference_kinds", f"SELECT o_orderkey AS i, {_kind_of_order(0)} AS a, {_kind_of_order(1)} AS b, {_kind_of_order(2)} AS kind FROM orders")
 def difference_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs.DIFFERENCES)], "i int, a string, b string")
+    rows = view(spark, sf, f"SELECT o_orderkey AS i, {_kind_of_order(0)} AS a, {_kind_of_order(1)} AS b FROM orders", "orders")
     return similarity.with_difference(rows, "a", "b", tolerance=0.01).select("i", "a", "b", "kind")
 
 
@@ -399,6 +418,14 @@ def decimal_choice(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(found["coma"], found["punto"])], "coma string, punto string")
 
 
+#: Several files, some without a column: the sign is judged by all together.
+@query("decimal_style_files", f"SELECT {_style_sql('coma')} AS coma, {_style_sql('punto')} AS punto FROM ({pairs.PRICES})")
+def decimal_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, pairs.PRICES, "orders")
+    found = schema.decimal_styles({"coma": schema.DECIMAL, "punto": schema.DECIMAL}, rows.where("fila % 3 = 0"), rows.where("fila % 3 = 1").drop("punto"), rows.where("fila % 3 = 2"), rows.where("fila % 3 = 1").select("fila", "punto"))
+    return spark.createDataFrame([(found["coma"], found["punto"])], "coma string, punto string")
+
+
 @query("parse_dates", f"""SELECT fila, CASE WHEN fecha = '45123' THEN TIMESTAMP '2023-07-16' ELSE coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%Y-%m-%dT%H:%M:%S'), try_strptime(fecha, '%Y%m%d'), try_strptime(fecha, '%d/%m/%Y'), try_strptime(fecha, '%d-%m-%Y %H:%M'), try_strptime(fecha, '%d.%m.%Y')) END AS momento FROM ({pairs.DATES})""")
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, pairs.DATES, "orders").select("fila", dates.parse_date(F.col("fecha")).alias("momento"))
@@ -421,6 +448,17 @@ def infer_schema(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in found], "columna string, detectado string, tipo string, ejemplos string, vacios long")
 
 
+_FILES = " UNION ALL ".join(f"SELECT '{c}' AS columna, '{t}' AS detectado, '{{}}' AS tipo, array_to_string((list({c} ORDER BY fila % 2, fila) FILTER (trim({c}) <> ''{{}}))[1:3], ' | ') AS ejemplos, count(*) FILTER ({c} IS NULL{{}}) AS vacios FROM ({pairs.TYPED})".format(t, *[" AND fila % 2 = 1" if c == "saldo" else ""] * 2) for c, t in _FOUND.items())
+
+
+#: Two files, the first without one of the columns: types, examples and nulls are those of both together.
+@query("infer_schema_files", _FILES)
+def infer_schema_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, pairs.TYPED, "customer")
+    found = schema.infer_schema(rows.where("fila % 2 = 0").drop("saldo"), rows.where("fila % 2 = 1"))
+    return spark.createDataFrame([tuple(r.values()) for r in found], "columna string, detectado string, tipo string, ejemplos string, vacios long")
+
+
 _UNFIT = {"correo": ("Email", "fila % 9 = 4"), "pais_num": ("Entero", "fila % 11 = 5"), "activo": ("Booleano (Sí/No)", "fila % 7 = 3")}
 
 
@@ -738,7 +776,23 @@ def csv_distributed(spark: SparkSession, sf: str) -> DataFrame:
     head = spark.createDataFrame([(-1, "doc_id,texto")], "doc_id long, line string")
     folder = files.scratch(spark, "csv")
     head.unionByName(lines).repartition(1).sortWithinPartitions("doc_id").select("line").write.text(folder)  # one file, as people send them
-    return tables.distributed_csv(spark, files.parts(spark, folder)[0])[0]
+    return tables.load_table(spark, files.parts(spark, folder)[0])[0]
+
+
+#: A file of single bytes (these signs are the same in Windows-1252) with semicolons, line breaks in quotes and its header behind as many notes as there are events.
+@query("csv_late_header", """WITH d AS (SELECT doc_id, regexp_replace(coalesce(replace(text, chr(13), ''), ''), '[^\n -~¡-ÿ]', '?', 'g') AS t FROM documents)
+SELECT CAST((SELECT count(*) FROM events) + 2 + coalesce(sum(1 + length(t) - length(replace(t, chr(10), ''))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS fila, CAST(doc_id AS VARCHAR) AS clave, nullif('é' || t, '') AS texto FROM d""")
+def csv_late_header(spark: SparkSession, sf: str) -> DataFrame:
+    texts = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), r"[^\n -~¡-ÿ]", "?")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(';"é'), F.replace(texts, F.lit('"'), F.lit('""')), F.lit('"')).alias("line"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    notes = events.select((F.col("event_id") - (1 << 40)).alias("doc_id"), F.concat(F.lit("nota del evento "), F.col("event_id").cast("string"), F.lit("; "), F.repeat(F.col("event_type"), 12)).alias("line"))
+    head = spark.createDataFrame([(-1, "clave;texto")], "doc_id long, line string")
+    folder = files.scratch(spark, "csv")
+    lines = notes.unionByName(head).unionByName(docs).select("doc_id", F.posexplode(F.split("line", "\n")).alias("n", "line"))
+    lines = lines.repartition(1).sortWithinPartitions("doc_id", "n").select("line")  # one file, as people send them
+    lines.write.options(encoding="iso-8859-1", sep="\x01", quote="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return tables.load_table(spark, files.parts(spark, folder)[0], tables.ReadOptions(header_row=events.count() + 1))[0]
 
 
 @query("csv_windows", "SELECT row_number() OVER (ORDER BY n_nationkey) + 1 AS fila, CAST(n_nationkey AS VARCHAR) AS clave, 'Perú; ' || n_name AS nombre FROM nation")

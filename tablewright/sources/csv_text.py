@@ -134,6 +134,18 @@ def text_lines(spark: SparkSession, path: str, end: str) -> DataFrame:
     return spark.read.option("lineSep", end).text(path).select(F.col("value").cast("binary").alias("line"))
 
 
+def line_break_of(spark: SparkSession, path: str, prefix: bytes) -> str:
+    """``line_break`` of the whole file: only where its beginning has nothing but carriage returns is the rest looked at."""
+    found = line_break(prefix)
+    return "\n" if found == "\r" and spark.read.option("lineSep", "\r").text(path).where(F.contains("value", F.lit("\n"))).head(1) else found
+
+
+def header_of(lines: DataFrame, name: str, sep: str, header_row: int) -> tuple[int, list[str]] | None:
+    """``header`` by line number, wherever in the file that line is."""
+    found = parsed(lines, name, sep, header_row - 1, None).orderBy("fila").head(1)
+    return (found[0].fila, [v or "" for v in found[0].c]) if found else None
+
+
 def charset_of(lines: DataFrame) -> str:
     """``charset`` of all lines: one scan."""
     found = lines.agg(F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("fine"), F.bool_or(_has_odd()).alias("odd")).first()
@@ -177,8 +189,8 @@ def _begins(lines: DataFrame, name: str, sep: str) -> tuple[dict[int, tuple[int,
     return begins, since
 
 
-def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int) -> DataFrame:
-    """fila (the record's first line), seen (its number of values) and c (as many as the header has) of all records after the header."""
+def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int | None) -> DataFrame:
+    """fila (the record's first line), seen (its number of values) and c (as many as the header has; None: all) of all records after a line."""
     begins, unclosed = _begins(lines, name, sep)
     if unclosed:
         raise OpenQuote(unclosed)
@@ -186,7 +198,7 @@ def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int) ->
 
     def out(found: list[tuple[int, str]]) -> pa.RecordBatch:
         split = [(first, values(record, sep)) for first, record in found if first > header_at]
-        return pa.RecordBatch.from_pydict({"fila": pa.array([f for f, _ in split], pa.int64()), "seen": pa.array([len(v) for _, v in split], pa.int32()), "c": pa.array([fitted(f, v[:width], width) for f, v in split], pa.list_(pa.string()))})
+        return pa.RecordBatch.from_pydict({"fila": pa.array([f for f, _ in split], pa.int64()), "seen": pa.array([len(v) for _, v in split], pa.int32()), "c": pa.array([fitted(f, v[:width], len(v) if width is None else width) for f, v in split], pa.list_(pa.string()))})
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
         """Whole records of a partition, and the lines of those that cross its ends."""

@@ -30,6 +30,28 @@ def head(spark: SparkSession, path: str, n: int) -> bytes:
         stream.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file."""
+    fs, p = _open(spark, path)
+    return fs.exists(p)
+
+
+def replace(spark: SparkSession, path: str, data: bytes) -> None:
+    """Put a file in place of another at once: written aside, then renamed over it, so a reader finds the old one or the new."""
+    fs, p = _open(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = hadoop.Path(f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(aside)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.valueOf("OVERWRITE")
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(p), how)
+
+
 def name(path: str) -> str:
     """The last part of a path."""
     return path.rstrip("/").rsplit("/", 1)[-1]

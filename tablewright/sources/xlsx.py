@@ -238,28 +238,34 @@ def to_excel(frames: dict[str, DataFrame]) -> bytes:
 
 
 class XlsxDataSource(DataSource):
-    """Sheets as rows: fila and c1, c2, ... of text.  Options: path, sheet, columns."""
+    """Sheets as rows: fila and c1, c2, ... of text.  Options: path, sheet, columns (as many as the sheet has, if not given; too few are an error)."""
 
     @classmethod
     def name(cls) -> str:
         return "tablewright_xlsx"
 
     def schema(self) -> str:
-        return "fila long, " + ", ".join(f"c{i} string" for i in range(1, int(self.options.get("columns", "16")) + 1))
+        width = int(self.options["columns"]) if "columns" in self.options else max(map(len, _opened(dict(self.options)).grid), default=0)
+        return ", ".join(["fila long", *[f"c{i} string" for i in range(1, width + 1)]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), len(schema) - 1)
 
 
+def _opened(options: dict) -> Sheet:
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(options["path"]) if "://" in options["path"] else (pafs.LocalFileSystem(), options["path"])
+    with fs.open_input_stream(path) as f:
+        return read_sheet(f.read(), options.get("sheet"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, width: int) -> None:
-        self.path, self.sheet, self.width = options["path"], options.get("sheet"), width
+        self.options, self.width = options, width
 
     def read(self, partition) -> Iterator[tuple]:
-        import pyarrow.fs as pafs
-
-        fs, path = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
-        with fs.open_input_stream(path) as f:
-            sheet = read_sheet(f.read(), self.sheet)
-        for i, row in enumerate(sheet.grid, 1):
+        for i, row in enumerate(_opened(self.options).grid, 1):
+            if any(cell is not None for cell in row[self.width :]):
+                raise ValueError(f"row {i} has {len(row)} cells, more than the {self.width} columns asked for")
             yield (i, *[*row, *[None] * self.width][: self.width])
