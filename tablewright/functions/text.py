@@ -51,12 +51,6 @@ def fold(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"\p{M}", ""), *_folds())
 
 
-@F.pandas_udf(T.StringType())
-def fold_fully(s: pd.Series) -> pd.Series:
-    """As ``fold``, with characters that unfold into several as well."""
-    return s.map(lambda v: "".join(x for x in unicodedata.normalize("NFKD", v) if not unicodedata.combining(x)), na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def title(s: pd.Series) -> pd.Series:
     """Title case in which a letter after anything but a letter is large (3com: 3Com)."""

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tablewright.functions import numbers
 from tablewright.functions.dates import looks_dated, parse_date
 from tablewright.functions.text import EMAIL_TYPED, collapse, present, strip, typed_email
+from tablewright.sources.files import stored
 
 # Logical types, truth words, words in column names.
 TEXT, ID, EMAIL, INTEGER, DECIMAL, DATE, BOOLEAN = "Texto", "Identificador / Código", "Email", "Entero", "Decimal (Float)", "Fecha", "Booleano (Sí/No)"
@@ -151,20 +152,32 @@ def _typed(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None)
     return both, known, {c: F.col(f"__typed_{i}") for i, c in enumerate(known)}
 
 
+_CELL = "array<struct<Columna: string, `Tipo asignado`: string, Valor: string>>"
+
+
+def _unfit(known: dict[str, str], at: dict[str, Column]) -> Column:
+    """A row's values that don't fit their types."""
+    return F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.struct(F.lit(c).alias("Columna"), F.lit(t).alias("Tipo asignado"), F.col(f"`{c}`").cast("string").alias("Valor"))) for c, t in known.items()])).cast(_CELL)
+
+
+def _exploded(rows: DataFrame, order: str) -> DataFrame:
+    return rows.select(F.col(f"`{order}`").cast("long").alias("fila"), F.explode("__unfit").alias("x")).select("fila", "x.*")
+
+
 def unfit_cells(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila") -> DataFrame:
     """fila, Columna, Tipo asignado and Valor of every value that doesn't fit its type."""
     both, known, at = _typed(df, schema, styles)
-    if not known:
-        return df.sparkSession.createDataFrame([], "fila long, Columna string, `Tipo asignado` string, Valor string")
-    bad = F.array_compact(F.array(*[F.when(unfit(F.col(f"`{c}`"), at[c], t), F.struct(F.lit(c).alias("Columna"), F.lit(t).alias("Tipo asignado"), F.col(f"`{c}`").cast("string").alias("Valor"))) for c, t in known.items()]))
-    return both.select(F.col(order).cast("long").alias("fila"), F.explode(bad).alias("x")).select("fila", "x.*")
+    return _exploded(both.withColumn("__unfit", _unfit(known, at)), order)
 
 
 def apply_schema(df: DataFrame, schema: dict[str, str], styles: dict[str, str] | None = None, *, order: str = "fila") -> tuple[DataFrame, DataFrame]:
-    """The typed table, and for each column with unfit values their count, first examples and fate (``unfit_cells`` has them all)."""
-    both, _, at = _typed(df, schema, styles)
-    typed = both.select(*[at[c].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns])
-    cells = unfit_cells(df, schema, styles, order=order)
+    """The typed table, and for each column with unfit values their count, first examples and fate (``unfit_cells`` has them all).
+
+    One pass over the table: typed rows are written with what didn't fit beside them, and the report reads that alone.
+    """
+    both, known, at = _typed(df, schema, styles)
+    rows = stored(both.select(*[at[c].alias(c) if c in at else F.col(f"`{c}`") for c in df.columns], _unfit(known, at).alias("__unfit")), "typed")
+    typed, cells = rows.drop("__unfit"), _exploded(rows, order)
     fate = F.when(F.col("Tipo asignado") == EMAIL, KEEP).otherwise(LOSE)
     counts = cells.groupBy("Columna", "Tipo asignado").agg(F.count("*").alias("Valores no válidos"))
     first = cells.withColumn("k", F.row_number().over(Window.partitionBy("Columna").orderBy("fila"))).where(F.col("k") <= REPORTED)
