@@ -66,3 +66,12 @@ def parse_number(c: Column, style: str = COMMA) -> Column:
         return F.when(s.endswith("%"), value / 100).otherwise(value)
 
     return let(strip(c.cast("string")), lambda s: F.when(s.rlike(r"\d"), number(s)))
+
+
+def sums_before(counts: dict[int, int]) -> Column:
+    """Rows before each range, of which ``counts`` has the rows, as one array literal: looked up by index, whatever their number."""
+    sums, base = [], 0
+    for part in range(max(counts, default=0) + 1):
+        sums.append(base)
+        base += counts.get(part, 0)
+    return F.split(F.lit(",".join(map(str, sums))), ",").cast("array<bigint>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.numbers import sums_before
 from tablewright.sources.files import stored
 
 #: Rows of a key that one task numbers without concern.
@@ -22,22 +23,13 @@ def numbered(df: DataFrame, order: str | list[str], name: str = "pos") -> DataFr
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     rows = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered")  # range << 33 | place in it
     counts = {r[0]: r[1] for r in rows.groupBy(_range(F.col("__at")).alias("range")).count().collect()}
-    return rows.withColumn(name, _sums(counts)[_range(F.col("__at"))] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at")
+    return rows.withColumn(name, sums_before(counts)[_range(F.col("__at"))] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at")
 
 
 def _range(at: Column) -> Column:
     return F.shiftright(at, 33).cast("int")
 
 
-def _sums(counts: dict[int, int]) -> Column:
-    """Rows before each range, as one array literal: looked up by index, whatever their number."""
-    sums, base = [], 0
-    for part in range(max(counts, default=0) + 1):
-        sums.append(base)
-        base += counts.get(part, 0)
-    return F.split(F.lit(",".join(map(str, sums))), ",").cast("array<bigint>")
-
-
 def number_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """The frame with ``name``: 1, 2, ... within each key by ``order``, of any sortable type.  Keys hold no nulls.
 

@@ -12,13 +12,15 @@ error that names its line, as is a quote that is never closed; empty values are
 from __future__ import annotations
 
 import csv
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.numbers import sums_before
 from tablewright.sources.errors import OpenQuote, RaggedLine
 
 # Signs that may part values, the best first, and bytes that Windows-1252 doesn't have.
@@ -28,6 +30,8 @@ MARK = "﻿"
 #: Lines that the separator is judged by.
 JUDGED = 50
 
+csv.field_size_limit(1 << 30)  # values may be whole texts
+
 
 def charset(raw: bytes) -> str:
     """UTF-8 if the bytes are valid as such, else Windows-1252, or Latin-1 for bytes that the former doesn't have."""
@@ -101,8 +105,11 @@ def records(lines: Iterator[tuple[int, str]], sep: str, *, strict: bool = True)
 
 
 def values(record: str, sep: str) -> list[str]:
-    """The values of a record."""
-    return next(csv.reader(record.splitlines(keepends=True), delimiter=sep, skipinitialspace=True), [])
+    """The values of a record; a carriage return outside quotes counts as a blank."""
+    try:
+        return next(csv.reader([record], delimiter=sep, skipinitialspace=True), [])
+    except csv.Error:
+        return next(csv.reader([record.replace("\r", " ")], delimiter=sep, skipinitialspace=True), [])
 
 
 def fitted(first: int, found: list[str], width: int) -> list[str | None]:
@@ -189,8 +196,37 @@ def _begins(lines: DataFrame, name: str, sep: str) -> tuple[dict[int, tuple[int,
     return begins, since
 
 
+def _text(line: Column, name: str) -> Column:
+    """A line's text."""
+    if name == "utf-8-sig":
+        return line.cast("string")
+    text = F.decode(line, "ISO-8859-1")
+    if name == "latin-1":
+        return text
+    own = bytes(b for b in range(0x80, 0xA0) if b not in NOT_IN_1252)  # where Windows-1252 has other signs
+    return F.translate(text, own.decode("latin-1"), own.decode("cp1252"))
+
+
+def _unquoted(lines: DataFrame, counts: dict[int, int], name: str, sep: str, header_at: int, width: int | None) -> DataFrame:
+    """``parsed`` of a file without a quote: each line is a record, and no text leaves the JVM."""
+    at = F.monotonically_increasing_id()  # partition << 33 | place in it
+    rows = lines.select(at.alias("at"), F.regexp_replace(_text(F.col("line"), name), r"\r\z", "").alias("text"))
+    rows = rows.select((sums_before(counts)[F.shiftright("at", 33).cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("fila"), "text")
+    rows = rows.withColumn("text", F.when(F.col("fila") == 1, F.regexp_replace("text", "^" + MARK, "")).otherwise(F.col("text"))).where((F.col("text") != "") & (F.col("fila") > header_at))
+    cells = F.transform(F.split(F.translate("text", "\r", " "), re.escape(sep)), lambda v: F.nullif(F.ltrim(v), F.lit("")))
+    rows = rows.select("fila", cells.alias("c"))
+    padded = F.col("c") if width is None else F.slice(F.concat("c", F.array_repeat(F.lit(None).cast("string"), width)), 1, width)
+    return rows.select("fila", F.size("c").alias("seen"), padded.alias("c"))
+
+
 def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int | None) -> DataFrame:
-    """fila (the record's first line), seen (its number of values) and c (as many as the header has; None: all) of all records after a line."""
+    """fila (the record's first line), seen (its number of values) and c (as many as the header has; None: all) of all records after a line.
+
+    Only a file with a quote anywhere goes through Python.
+    """
+    seen = lines.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.bool_or(F.contains("line", F.lit(bytearray(b'"')))).alias("quoted")).collect()  # a row for each partition
+    if not any(r.quoted for r in seen):
+        return _unquoted(lines, {r.part: r.n for r in seen}, name, sep, header_at, width)
     begins, unclosed = _begins(lines, name, sep)
     if unclosed:
         raise OpenQuote(unclosed)
