@@ -57,7 +57,7 @@ def test_profiles_of_all_types(spark):
     rows = spark.range(3000).select(
         F.col("id").alias("dense"), (F.col("id") * 10**15 + 1).alias("sparse"), F.when(F.col("id") % 3 > 0, (F.col("id") % 7).cast("smallint")).alias("small"), (F.col("id") % 500 / 100).alias("cents"), F.sqrt("id").alias("real"),
         F.expr("CASE id % 5 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D WHEN 2 THEN double('NaN') WHEN 3 THEN double('infinity') END").alias("odd"), F.expr("CAST(id % 11 AS DECIMAL(9, 2)) / 4").alias("amount"), (F.col("id") % 2 == 0).alias("yes"),
-        F.expr("timestamp_ntz('2024-01-01') + make_dt_interval(int(id % 40))").alias("day"), F.expr("timestamp_ntz('2024-01-01 10:00:00') + make_dt_interval(0, int(id % 90))").alias("hour"), F.date_add(F.lit("1969-12-01").cast("date"), (F.col("id") % 60).cast("int")).alias("date"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(int(id % 40))").alias("day"), F.expr("TIMESTAMP_NTZ '2024-01-01 10:00:00' + make_dt_interval(0, int(id % 90))").alias("hour"), F.date_add(F.lit("1969-12-01").cast("date"), (F.col("id") % 60).cast("int")).alias("date"),
         (F.col("id") % 13).cast("string").alias("text"), F.array(F.col("id") % 4).alias("list"), F.lit(None).cast("int").alias("nothing"), F.when(F.col("id") < 5, -F.col("id")).alias("few"), F.col("id").cast("float").alias("single"), F.when(F.col("id") % 2 == 0, 1e300).alias("huge"),
     )
     got = {r.columna: (r.tipo, r.nulos, r.unicos) for r in quality.profile(rows).collect()}
