@@ -30,8 +30,10 @@ def completeness(df: DataFrame) -> DataFrame:
     return df.agg(F.when(cells > 0, F.round(100 * (1 - nulls / cells), 2)).otherwise(0.0).alias("score"))
 
 
-#: Bits that a bitmap may spend for each distinct value that a sketch expects: beyond it values are counted one by one.
-SPARSE = 256
+#: Bits that the bitmaps of a column may spend for each of its values, over all tasks: beyond it values are counted one by one.
+SPARSE = 64
+#: Words of 64 bits in a row of a bitmap (a power of two): rows are made by a hash aggregate, without a sort.
+WORDS = 8
 
 
 def _whole(name: str, kind: T.DataType) -> list[tuple[Column, Column | None]]:
@@ -55,28 +57,33 @@ def _whole(name: str, kind: T.DataType) -> list[tuple[Column, Column | None]]:
 def profile(df: DataFrame) -> DataFrame:
     """columna, tipo, nulos and unicos (exact distinct values) of every column.
 
-    A first pass counts nulls, finds ranges, tries which columns hold whole numbers (days and amounts in cents among them) and
-    sketches how many values there are.  Columns of dense whole numbers are then counted by bitmaps, a bit a value, which are
+    A first pass counts nulls, tries which columns hold whole numbers (days and amounts in cents among them) and finds how far
+    each task's values lie apart.  Columns of dense whole numbers are then counted by bitmaps, a bit a value, which are
     made before anything is shuffled; the others by their distinct values in their own type, all of a type in one shuffle.
     0.0 and -0.0 are one value, as are all NaN; both are values, not nulls.  Values of types that can't be grouped are told apart as text.
     """
     ways = {f"w{i}_{k}": (i, c, fits) for i, f in enumerate(df.schema) for k, (c, fits) in enumerate(_whole(f.name, f.dataType))}
-    seen = [F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema)] + [F.approx_count_distinct(c).alias(f"d{i}") for i, c in {i: c for i, c, _ in ways.values()}.items()]
-    for name, (i, c, fits) in ways.items():
+    seen = [F.count("*").alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema)]]
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", *[f"n{i}" for i in range(len(df.columns))])]
+    for name, (_, c, fits) in ways.items():
         c = c if fits is None else F.when(fits, c)
         seen += [F.count(c).alias(f"{name}_n"), F.min(c).alias(f"{name}_low"), F.max(c).alias(f"{name}_high")]
-    first = df.agg(F.count("*").alias("rows"), *seen).first()
+        total += [F.sum(f"{name}_n").alias(f"{name}_n"), F.min(f"{name}_low").alias(f"{name}_low"), F.sum(F.col(f"{name}_high").cast("double") - F.col(f"{name}_low")).alias(f"{name}_wide")]
+    first = df.groupBy(F.spark_partition_id().alias("task")).agg(*seen).agg(*total).first()  # a row for each task is shuffled
     bits, other = {}, []
     for i, f in enumerate(df.schema):
-        fit = [name for name, (j, _, _) in ways.items() if j == i and first[f"{name}_n"] == first[f"n{i}"] > 0 and first[f"{name}_high"] - first[f"{name}_low"] <= SPARSE * first[f"d{i}"]]
+        fit = [name for name, (j, _, _) in ways.items() if j == i and first[f"{name}_n"] == first[f"n{i}"] > 0 and first[f"{name}_wide"] <= SPARSE * first[f"n{i}"]]
         if fit:
-            bits[i] = ways[fit[0]][1] - F.lit(first[f"{fit[0]}_low"]) + 1
+            bits[i] = ways[fit[0]][1] - F.lit(first[f"{fit[0]}_low"])
         elif first[f"n{i}"]:
             other.append((i, f))
     counts = []
     if bits:
-        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.bitmap_bucket_number(c).alias("b"), F.bitmap_bit_position(c).alias("p")) for i, c in bits.items()])).alias("x")).select("x.*").where("b IS NOT NULL")
-        counts.append(cells.groupBy("i", "b").agg(F.bitmap_count(F.bitmap_construct_agg("p")).alias("u")).groupBy("i").agg(F.sum("u").alias("u")))
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in bits.items()])).alias("x")).select("x.*").where("v IS NOT NULL")
+        word, bit = F.shiftright("v", 6), F.expr("shiftleft(1L, CAST(v & 63 AS INT))")
+        cells = cells.select("i", F.shiftright(word, WORDS.bit_length() - 1).alias("row"), word.bitwiseAND(WORDS - 1).alias("word"), bit.alias("bit"))
+        rows = cells.groupBy("i", "row").agg(*[F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)])
+        counts.append(rows.groupBy("i").agg(F.sum(reduce(lambda a, b: a + b, [F.bit_count(f"b{k}") for k in range(WORDS)])).alias("u")))
     groups: dict[str, list[tuple[int, Column]]] = {}
     for i, f in other:
         plain = isinstance(f.dataType, (T.AtomicType, T.StringType))
