@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -810,11 +811,27 @@ def csv_folder(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(folder)
 
 
-#: A file with every fault that is told: its columns, then the titles of its warnings.
-@query("load_faults", """SELECT que, texto FROM (VALUES ('columna', '1'), ('columna', '2'), ('columna', '2 (2)'), ('columna', 'Columna_4'), ('aviso', 'Columnas sin encabezado'), ('aviso', 'Encabezados repetidos'), ('aviso', 'Columnas completamente vacías'), ('aviso', 'Filas vacías'), ('aviso', 'El encabezado parece contener datos'), ('aviso', 'Detección automática')) AS t(que, texto)""")
+def _one_file(lines: DataFrame) -> str:
+    """The path of a text file with lines (at, line) in order."""
+    folder = files.scratch(lines.sparkSession, "csv")
+    lines.repartition(1).sortWithinPartitions("at", "line").select("line").write.text(folder)
+    return files.parts(lines.sparkSession, folder)[0]
+
+
+def _customer_lines(spark: SparkSession, sf: str, head: str, line: str, tail: str | None = None) -> DataFrame:
+    """A line for each customer, between a first line and perhaps a last one."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("at"), F.expr(line).alias("line"))
+    ends = [(-1, head)] + ([(1 << 60, tail)] if tail is not None else [])
+    return spark.createDataFrame(ends, "at long, line string").unionByName(rows)
+
+
+#: A file with every fault that is told: its columns, the titles of its warnings and its rows, of which those of each tenth customer are empty.
+@query("load_faults", """SELECT 'filas' AS que, CAST(count(*) AS VARCHAR) AS texto FROM customer UNION ALL SELECT que, texto FROM (VALUES ('columna', '1'), ('columna', '2'), ('columna', '2 (2)'), ('columna', 'Columna_4'), ('aviso', 'Columnas sin encabezado'), ('aviso', 'Encabezados repetidos'), ('aviso', 'Columnas completamente vacías'), ('aviso', 'Filas vacías'), ('aviso', 'El encabezado parece contener datos'), ('aviso', 'Detección automática')) AS t(que, texto)""")
 def load_faults(spark: SparkSession, sf: str) -> DataFrame:
-    df, found = tables.load_bytes(spark, "faltas.csv", b"1|2|2|\nx|y||z\n||| \n|||\n")
-    return spark.createDataFrame([("columna", c) for c in df.columns if c != "fila"] + [("aviso", w["titulo"]) for w in found], "que string, texto string")
+    lines = _customer_lines(spark, sf, "1|2|2|", "IF(c_custkey % 10 = 0, '||| ', concat('x', c_custkey, '|y||z'))")
+    df, found = tables.load_table(spark, _one_file(lines))
+    said = [("columna", c) for c in df.columns if c != "fila"] + [("aviso", w["titulo"]) for w in found] + [("filas", str(df.count()))]
+    return spark.createDataFrame(said, "que string, texto string")
 
 
 @query("workbook_sheets", "SELECT nombre, visible FROM (VALUES ('Resumen', true), ('Datos', true)) AS t(nombre, visible)")
@@ -824,18 +841,24 @@ def workbook_sheets(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s["nombre"], s["visible"]) for s in xlsx.catalogue(book)], "nombre string, visible boolean")
 
 
-_TROUBLE = [("informe.pdf", b"x"), ("libro.xlsx", b"x"), ("libro.xls", b"x"), ("vacio.csv", b""), ("roto.csv", b"a,b\n1,2\n1,2,3,4\n"), ("abierto.csv", b'a,b\n1,"2\n')]
+_TROUBLE = [("informe.pdf", b"x", "formato no soportado"), ("libro.xlsx", b"x", "no es un libro de Excel"), ("libro.xls", b"x", "no es un libro de Excel"), ("vacio.csv", b"", "está vacío")]
+_TOLD = " UNION ALL ".join(f"SELECT '{name}' AS archivo, '{said}' AS frase" for name, _, said in _TROUBLE)
 
 
-@query("load_errors", "SELECT archivo, frase FROM (VALUES ('informe.pdf', 'formato no soportado'), ('libro.xlsx', 'no es un libro de Excel'), ('libro.xls', 'no es un libro de Excel'), ('vacio.csv', 'está vacío'), ('roto.csv', 'línea 3 trae 4'), ('abierto.csv', 'línea 2 no se cierran')) AS t(archivo, frase)")
+#: Bytes that are no table, and files of all customers whose last line is too long or leaves a quote open.
+@query("load_errors", f"{_TOLD} UNION ALL SELECT 'roto.csv', 'línea ' || (count(*) + 2) || ' trae 4' FROM customer UNION ALL SELECT 'abierto.csv', 'línea ' || (count(*) + 2) || ' no se cierran' FROM customer")
 def load_errors(spark: SparkSession, sf: str) -> DataFrame:
     said = []
-    for name, raw in _TROUBLE:
+    for name, raw, told in _TROUBLE:
         try:
             tables.load_bytes(spark, name, raw)
         except FileLoadError as exc:
-            told = ("formato no soportado", "no es un libro de Excel", "está vacío", "línea 3 trae 4", "línea 2 no se cierran")
-            said += [(name, x) for x in told if x in exc.message and exc.suggestion]
+            said += [(name, told)] if told in exc.message and exc.suggestion else []
+    for name, tail, pattern in (("roto.csv", "1,2,3,4", r"línea \d+ trae 4"), ("abierto.csv", '1,"2', r"línea \d+ no se cierran")):
+        try:
+            tables.load_table(spark, _one_file(_customer_lines(spark, sf, "a,b", "concat(c_custkey, ',', c_name)", tail)))
+        except FileLoadError as exc:
+            said += [(name, x) for x in re.findall(pattern, exc.message) if exc.suggestion]
     return spark.createDataFrame(said, "archivo string, frase string")
 
 
