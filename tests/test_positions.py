@@ -45,3 +45,37 @@ def test_half_of_all_rows_under_one_key_are_spread(spark, monkeypatch, many_part
     assert ends.where("n <> m OR n <> d").count() == 0 and got.count() == 40_000
     spread = written[0].groupBy(F.shiftright("__at", 33).alias("r")).count()
     assert spread.count() > 100 and spread.agg(F.max("count")).first()[0] < 20_000 / 50
+
+
+def test_alignment_is_that_of_difflib(spark):
+    """Runs that cross and cut each other, repeated rows, empty tables: every row as difflib's blocks give it."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+
+    def moved(rows, at, to, n):
+        rest = rows[:at] + rows[at + n :]
+        return rest[:to] + rows[at : at + n] + rest[to:]
+
+    base = [f"r{k}" for k in range(120)]
+    cases = [(base, moved(moved(base, 10, 70, 25), 50, 3, 9)[:90] + ["x", "y"]), ([r.choice("abc") for _ in range(40)], [r.choice("abc") for _ in range(47)]), (["p"] * 7, ["p"] * 4 + ["q"] + ["p"] * 5), (base[:30], base[:30][::-1]), (["a", "b"], []), ([], ["a"])]
+    for a, b in cases:
+        want, equal = [], 0
+        for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            for k in range(max(i2 - i1, j2 - j1)):
+                i, j = (i1 + k if i1 + k < i2 else None), (j1 + k if j1 + k < j2 else None)
+                if op == "equal" and i == j:
+                    equal += 1
+                    continue
+                kind = positional.SHIFTED if op == "equal" else positional.ONLY_B if i is None else positional.ONLY_A if j is None else positional.OTHER
+                want.append((len(want), kind, *["—" if v is None else str(v) for v in (i, j)], 0))
+        sides = [spark.createDataFrame([(k, v) for k, v in enumerate(x)], "fila long, v string") for x in (a, b)]
+        got = positional.aligned_rows(*sides, ["v"]).select("orden", "Tipo", "Fila en Archivo 1", "Fila en Archivo 2", "iguales").orderBy("orden").collect()
+        assert list(map(tuple, got)) == [(-1, "", "—", "—", equal), *want]
+
+
+def test_alignment_takes_any_number_of_rows(spark):
+    rows = spark.range(120_000).select(F.col("id").alias("fila"), F.col("id").alias("v"))
+    r = positional.aligned(rows, rows.where("fila <> 60000"), ["v"])
+    assert (r.iguales, r.desplazadas, r.distintas, r.solo_en_a, r.solo_en_b) == (60_000, 59_999, 0, 1, 0)
