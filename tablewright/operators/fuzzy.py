@@ -1,22 +1,29 @@
 """Suggested matches between removed and added records by text similarity.
 
-Pairs are found through an inverted index of tokens, the rarest first, and only those whose lengths and shared tokens can reach the
-threshold are measured; none that reaches it is left out.  Interactive use stops at a stated number of pairs and says so.
+Where texts differ, pairs are found through an inverted index of tokens, the rarest first, and only those whose lengths and shared
+tokens can reach the threshold are measured.  Texts of one form share so many tokens that next to all pairs would meet there: these
+are dealt into blocks, each task bounds all pairs of two blocks at once and measures those that can still win.  Neither way leaves
+a pair out that reaches the threshold.  Interactive use stops at a stated number of pairs and says so.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.nearest import nearest
 from tablewright.functions.similarity import LEVENSHTEIN, as_text, similarity, with_difference
 from tablewright.operators.compare import ADDED, REMOVED, Comparison
 from tablewright.sources.files import stored
 
 #: Pairs up to which the search runs, and suggestions it returns.
 MOST_PAIRS, TOP = 40_000, 200
-#: Similarities at which matches are looked for first, and added records that are broadcast at once where no index helps.
-LEVELS, BLOCK = (0.94,), 20_000
+#: Similarities at which matches are looked for first, and removed and added records of a block where no index helps.
+LEVELS, REMOVED_BLOCK, BLOCK = (0.94,), 4_096, 65_536
+#: Pairs for each that meets in the index if the index is to be worth its joins.
+WORTH = 200
 NOTHING = "Nada que buscar: falta alguna baja o alguna alta."
 
 
@@ -37,14 +44,24 @@ def _best(found: DataFrame) -> DataFrame:
 def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, *, block: int = BLOCK) -> DataFrame:
     """For each removed record the most similar added one (the first of equals) if it reaches the threshold.
 
-    Both frames have fila (unique), clave and registro, prefixed a_ and b_.  The search starts at the highest of ``LEVELS``: a record that
-    finds a match there needs no other, as all pairs that similar are candidates; the rest asks again, at last at the
-    threshold.  A threshold too low for an index (``_Levenshtein.least``, ``_JaroWinkler.least``) compares all pairs, in blocks.
+    Both frames have fila (unique), clave and registro, prefixed a_ and b_.  All pairs are compared in blocks where the threshold is too
+    low for an index (``_Levenshtein.least``, ``_JaroWinkler.least``) or more than one pair in ``WORTH`` would meet there.
     """
     bounds = (_Levenshtein if algorithm == LEVENSHTEIN else _JaroWinkler)()
-    if threshold < bounds.least:
-        return _all_pairs(removed, added, algorithm, threshold, block)
-    a, b = _tokened(removed, added, bounds)
+    if threshold >= bounds.least:
+        a, b = _tokened(removed, added, bounds)
+        if _meetings(a, b, bounds, threshold) * WORTH <= float(a.count()) * b.count():
+            return _by_index(a, b, bounds, algorithm, threshold)
+        removed, added = a.select(*removed.columns), b.select(*added.columns)
+    return _all_pairs(removed, added, algorithm, threshold, block)
+
+
+def _by_index(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, algorithm: str, threshold: float) -> DataFrame:
+    """``best_matches`` of records with tokens.
+
+    The search starts at the highest of ``LEVELS``: a record that finds a match there needs no other, as all pairs that similar are
+    candidates; the rest asks again, at last at the threshold.
+    """
     found, rest = None, a
     for level in sorted({threshold, *[x for x in LEVELS if x > threshold]}, reverse=True):
         own = stored(_best(candidates(rest, b, bounds, level).withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where(F.col("sim") >= level)), "fuzzy-found")
@@ -54,14 +71,28 @@ def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold
 
 
 def _all_pairs(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, block: int) -> DataFrame:
-    """All pairs, block by block of about ``block`` added records."""
-    blocks = max(1, -(-added.count() // block))
-    found = None
-    for k in range(blocks):
-        own = added if blocks == 1 else added.where(F.pmod(F.xxhash64("b_fila"), F.lit(blocks)) == k)
-        pairs = removed.join(F.broadcast(own), how="cross").withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where(F.col("sim") >= threshold)
-        found = _best(pairs) if found is None else found.unionByName(_best(pairs))
-    return found if blocks == 1 else _best(found)
+    """All pairs: each task compares a block of removed records with one of about ``block`` added ones."""
+    n_a, n_b = removed.count(), added.count()
+    blocks_a = max(1, -(-n_a // min(REMOVED_BLOCK, max(256, n_a // 64))))
+    blocks_b = max(1, -(-n_b // block))
+    tasks = 2 * blocks_a * blocks_b  # blocks meet by hash; few share a task
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, copies: int) -> DataFrame:
+        row = df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)))
+        return row.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(tasks, "block_a", "block_b")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("b_fila")
+        best, which = nearest(a.column("a_registro").to_pylist(), b.column("b_registro").to_pylist(), algorithm, threshold)
+        rows = np.flatnonzero(which >= 0)
+        left, right = a.take(rows).select(removed_columns), b.take(which[rows]).select(added_columns)
+        return pa.table([*left.columns, pa.array(best[rows]), *right.columns], names=[*removed_columns, "sim", *added_columns])
+
+    removed_columns, added_columns = removed.columns, added.columns
+    kinds = {**{f.name: f.dataType.simpleString() for f in removed.schema}, "sim": "double", **{f.name: f.dataType.simpleString() for f in added.schema}}
+    sides = dealt(removed, "block_a", blocks_a, "block_b", blocks_b), dealt(added, "block_b", blocks_b, "block_a", blocks_a)
+    groups = [df.withColumns({k: F.col(k).cast("long") for k in ("block_a", "block_b")}).groupBy("block_a", "block_b") for df in sides]
+    return _best(groups[0].cogroup(groups[1]).applyInArrow(search, ", ".join(f"{k} {v}" for k, v in kinds.items())))
 
 
 # ---------------------------------------------------------------- index
@@ -136,19 +167,26 @@ def _tokened(removed: DataFrame, added: DataFrame, bounds: _Levenshtein | _JaroW
     return out[0], out[1]
 
 
+def _looked_up(df: DataFrame, tag: str, bounds: _Levenshtein | _JaroWinkler, level: float) -> DataFrame:
+    """A row for each token of a record that is looked up, with its class of pairs (p, first) and its place."""
+    text, n, tokens = F.col(f"{tag}_registro"), F.col(f"{tag}_n"), F.col(f"{tag}_tokens")
+    keys = [F.when(n >= p, F.struct(F.lit(p).alias("p"), F.substring(text, 1, p).alias("first"), F.slice(tokens, 1, F.greatest(F.lit(1), F.least(bounds.size(n), size))).alias("t"))) for p, size in bounds.prefixes(n, level)]
+    each = df.withColumn("k", F.explode(F.array_compact(F.array(*keys))))
+    return each.select(*df.columns, "k.p", "k.first", F.posexplode("k.t").alias(f"{tag}_at", "t"))
+
+
+def _meetings(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, level: float) -> float:
+    """How many pairs meet at a token that both look up."""
+    each = [_looked_up(df, tag, bounds, level).groupBy("p", "first", "t").agg(F.count("*").cast("double").alias(f"n_{tag}")) for df, tag in ((a, "a"), (b, "b"))]
+    return each[0].join(each[1], ["p", "first", "t"]).agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0.0
+
+
 def candidates(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, level: float) -> DataFrame:
     """All pairs that can reach the level, each once: it meets at the rarest token that its texts share.
 
     Tokens stand in one order in all records, so two texts that share enough of them share one among their first few.
     """
-
-    def looked_up(df: DataFrame, tag: str) -> DataFrame:
-        text, n, tokens = F.col(f"{tag}_registro"), F.col(f"{tag}_n"), F.col(f"{tag}_tokens")
-        keys = [F.when(n >= p, F.struct(F.lit(p).alias("p"), F.substring(text, 1, p).alias("first"), F.slice(tokens, 1, F.greatest(F.lit(1), F.least(bounds.size(n), size))).alias("t"))) for p, size in bounds.prefixes(n, level)]
-        each = df.withColumn("k", F.explode(F.array_compact(F.array(*keys))))
-        return each.select(*df.columns, "k.p", "k.first", F.posexplode("k.t").alias(f"{tag}_at", "t"))
-
-    met = looked_up(a, "a").join(looked_up(b, "b"), ["p", "first", "t"])
+    met = _looked_up(a, "a", bounds, level).join(_looked_up(b, "b", bounds, level), ["p", "first", "t"])
     fits, need = F.lit(False), F.lit(1)
     for p, _ in bounds.prefixes(F.lit(1), level):
         allowed, own = bounds.shared(p, F.col("a_n"), F.col("b_n"), level)

@@ -73,3 +73,23 @@ def test_problems_without_a_join_are_those_with_one(spark):
     alone = rules.problems("Dominios", rows)
     assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, joined.collect())) and alone.count() > 30
+
+
+def one_form(n, seed):
+    """Texts of one form, as keys with names are: nearly all share most of their tokens; some are longer than a machine word."""
+    r = random.Random(seed)
+    return [f"{k} | Customer#{k:09d} | {r.choice(['BUILDING', 'MACHINERY', 'FURNITURE'])}{' ñ\U0001f600x' * (r.random() < 0.2) * r.randint(1, 12)}" for k in r.sample(range(10**6), n)]
+
+
+@pytest.mark.parametrize("algorithm", [LEVENSHTEIN, JARO_WINKLER])
+def test_texts_of_one_form_in_blocks(spark, algorithm):
+    """The blocks' bounds and word-wide measures against the plain measure of every pair; no index joins where all texts meet."""
+    for left, right in ((one_form(150, 1), one_form(170, 2)), (words(80, 3), words(60, 4))):
+        a, b = sides(spark, left, right)
+        pairs = a.crossJoin(b).withColumn("sim", similarity(F.col("a_registro"), F.col("b_registro"), algorithm)).where("sim >= 0.85")
+        want = sorted(map(tuple, fuzzy._best(pairs).collect()))
+        whole = fuzzy.best_matches(a, b, algorithm, 0.85)
+        assert "CoGroup" in whole._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, whole.collect())) == want and len(want) > 5
+        bounds = (fuzzy._Levenshtein if algorithm == LEVENSHTEIN else fuzzy._JaroWinkler)()
+        assert sorted(map(tuple, fuzzy._by_index(*fuzzy._tokened(a, b, bounds), bounds, algorithm, 0.85).collect())) == want
