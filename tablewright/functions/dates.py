@@ -27,16 +27,24 @@ def parse_date(c: Column, *, short: bool = False) -> Column:
     are bound, which keeps generated code short where many dates are parsed at once but leaves whole-stage code.
     """
     bind = let if short else lambda value, use: use(value)
+    return bind(strip(c.cast("string")), lambda s: bind(in_iso_order(s), lambda made: moment(s, made, bind)))
 
-    def moment(s: Column) -> Column:
-        for pattern, instead in REWRITES:
-            s = F.regexp_replace(s, pattern, instead)
-        return bind(s, lambda made: F.when(made.rlike(ISO), made.try_cast("timestamp_ntz")))
+
+def in_iso_order(s: Column) -> Column:
+    """A stripped text that begins with a digit, its date in ISO order; null for others."""
+    made = s
+    for pattern, instead in REWRITES:
+        made = F.regexp_replace(made, pattern, instead)
+    return F.when(s.rlike(r"^\d"), made)
+
+
+def moment(s: Column, made: Column, bind=lambda value, use: use(value)) -> Column:
+    """The timestamp of a stripped text, of which ``made`` is the ISO order."""
 
     def serial(days: Column) -> Column:
         return F.expr("timestamp_ntz'1899-12-30 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), ((days % 1) * 86400).cast("decimal(18,6)"))
 
-    return bind(strip(c.cast("string")), lambda s: F.when(s.rlike(SERIAL), bind(s.try_cast("double"), serial)).when(s.rlike(r"^\d"), moment(s)))
+    return F.when(s.rlike(SERIAL), bind(s.try_cast("double"), serial)).when(made.rlike(ISO), made.try_cast("timestamp_ntz"))
 
 
 def looks_dated(c: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.dates import parse_date
+from tablewright.functions.dates import in_iso_order, moment, parse_date
 from tablewright.functions.numbers import to_double
 from tablewright.functions.text import EMAIL, present, strip
 from tablewright.operators.quality import repeated_keys
@@ -238,21 +238,30 @@ class RuleScan:
     """Collects rules and finds all their issues in one scan."""
 
     def __init__(self, df: DataFrame, order: str) -> None:
-        self.df, self.order, self.items = df, order, []
+        self.df, self.order, self.items, self.made = df, order, [], 0
 
     def add(self, rule: str, severity: str, column: str, when: Column, text: Column | str) -> None:
         said = F.concat(F.lit("Fila "), F.col(self.order).cast("string"), F.lit(": "), F.lit(text) if isinstance(text, str) else text)
         issue = F.struct(F.lit(severity).alias("severidad"), F.lit(rule).alias("regla"), F.lit(column).alias("columna"), said.alias("mensaje"))
         self.items.append(F.when(F.coalesce(when, F.lit(False)), issue))
 
+    def once(self, value: Column) -> Column:
+        """A value that several rules use, as a column of its own: computed once a row, in code short enough to be compiled."""
+        self.made += 1
+        self.df = self.df.withColumn(f"__v{self.made}", value)
+        return F.col(f"__v{self.made}")
+
     def rows(self) -> DataFrame:
-        """The table with each row's issues beside it, as an array in ``__issues``."""
-        return self.df.withColumn("__issues", F.array_compact(F.array(*self.items)))
+        """The table with each row's issues beside it, as an array in ``__issues``.
+
+        A filter on the issues would be moved to the rows they are made from, and all rules computed again for it; none passes a generator.
+        """
+        return self.df.withColumn("__issues", F.explode_outer(F.array(F.array_compact(F.array(*self.items)))))
 
     def issues(self) -> DataFrame:
         if not self.items:
             return self.df.sparkSession.createDataFrame([], SCHEMA)
-        return self.rows().select(F.col(self.order).cast("long").alias("fila"), F.explode("__issues").alias("x")).select("fila", "x.*")
+        return self.rows().select(F.col(self.order).cast("long").alias("fila"), F.explode_outer("__issues").alias("x")).where("x IS NOT NULL").select("fila", "x.*")
 
     def with_levels(self, found: list[Level]) -> DataFrame:
         """Issues of rows and of whole columns from one pass: the issues are written, the shares of whole columns observed meanwhile."""
@@ -274,8 +283,10 @@ def _value(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`").cast("string")
 
 
-def _raw(text: str, column: Column) -> Column:
-    return F.format_string(text.replace("{}", "%s"), column)
+def _raw(text: str, *values: Column) -> Column:
+    """A text with values in place of its marks ({} or %s)."""
+    parts = re.split(r"\{\}|%s", text)
+    return F.concat(F.lit(parts[0]), *[x for v, part in zip(values, parts[1:], strict=True) for x in (F.coalesce(v, F.lit("null")), F.lit(part))])
 
 
 def _blank_share(columns: list[str]) -> Column:
@@ -294,9 +305,12 @@ def known(df: DataFrame, column: str, reference: DataFrame, name: str, flag: str
     return df.join(names, key(strip(_value(df, column)) if lower else _value(df, column)) == F.col(f"{flag}_key"), "left").drop(f"{flag}_key")
 
 
-def _moment(df: DataFrame, column: str) -> Column:
-    kind = dict(df.dtypes)[column]
-    return F.col(f"`{column}`").cast("timestamp_ntz") if kind.startswith(("timestamp", "date")) else parse_date(F.col(f"`{column}`"))
+def _moment(scan: RuleScan, df: DataFrame, column: str) -> Column:
+    """A date that rules compare: each step of reading it is computed once."""
+    if dict(df.dtypes)[column].startswith(("timestamp", "date")):
+        return F.col(f"`{column}`").cast("timestamp_ntz")
+    text = scan.once(strip(_value(df, column)))
+    return scan.once(moment(text, scan.once(in_iso_order(text))))
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -304,12 +318,13 @@ def _number(df: DataFrame, column: str) -> Column:
 
 
 def _figure(c: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.6f", c), r"\.?0+\z", "")
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15) & (c != 0)  # of 0 the sign shows
+    return F.when(whole, c.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", c), r"\.?0+\z", ""))
 
 
 def _dates_in_order(scan: RuleScan, df: DataFrame, rule: str, first: str, last: str, name: str) -> None:
     if first in df.columns and last in df.columns:
-        a, b = _moment(df, first), _moment(df, last)
+        a, b = _moment(scan, df, first), _moment(scan, df, last)
         both = F.col(f"`{first}`").isNotNull() & F.col(f"`{last}`").isNotNull()
         scan.add(rule, ERROR, first, both & (a > b), SAYS["late"].format(name))
         scan.add(rule, WARNING, first, both & (a.isNull() | b.isNull()), SAYS["bad_date"])
@@ -341,8 +356,8 @@ def _scan_licences(df: DataFrame, references: dict[str, DataFrame], *, order: st
     total, used, free = n.values()
     scan.add("LIC5", ERROR, "Cantidad Total", total < 0, SAYS["negative"].format("Cantidad Total"))
     scan.add("LIC6", ERROR, "Cantidad Asignadas", used < 0, SAYS["negative"].format("Cantidad Asignadas"))
-    scan.add("LIC7", ERROR, "Cantidad Asignadas", used > total, F.format_string(SAYS["over_total"], _figure(used), _figure(total)))
-    scan.add("LIC8", WARNING, "Cantidad Disponible", F.abs(free - (total - used)) > 0.01, F.format_string(SAYS["not_free"], _figure(free), _figure(total - used)))
+    scan.add("LIC7", ERROR, "Cantidad Asignadas", used > total, _raw(SAYS["over_total"], _figure(used), _figure(total)))
+    scan.add("LIC8", WARNING, "Cantidad Disponible", F.abs(free - (total - used)) > 0.01, _raw(SAYS["not_free"], _figure(free), _figure(total - used)))
     _dates_in_order(scan, df, "LIC9", "Fecha Compra", "Fecha Vencimiento", "Fecha Compra")
     if "Enlace Contrato" in has:
         v = _value(df, "Enlace Contrato")
@@ -387,11 +402,11 @@ def _scan_certificates(df: DataFrame, references: dict[str, DataFrame], *, order
             v = _value(df, column)
             scan.add(rule, severity, column, bad(v), _raw(text, v) if "{}" in text else text)
     if "Fecha Vencimiento" in has:
-        ends = _moment(df, "Fecha Vencimiento")
+        ends = _moment(scan, df, "Fecha Vencimiento")
         left = F.date_diff(F.to_date(ends), F.lit(today).cast("date") if today else F.current_date())
         if "Dias Restantes" in has:
             said = _number(df, "Dias Restantes")
-            scan.add("CER4", WARNING, "Dias Restantes", F.abs(said - left) > 1, F.format_string(SAYS["days"], _figure(said), left.cast("string")))
+            scan.add("CER4", WARNING, "Dias Restantes", F.abs(said - left) > 1, _raw(SAYS["days"], _figure(said), left.cast("string")))
         scan.add("CER4", WARNING, "Fecha Vencimiento", F.col("`Fecha Vencimiento`").isNotNull() & ends.isNull(), SAYS["certificate_date"])
     return scan
 
@@ -416,15 +431,21 @@ class _Fields:
 
     def __init__(self, df: DataFrame, fields: dict[str, tuple[str, ...]]) -> None:
         self.df, self.fields, self.at = df, fields, resolve(df.columns, fields)
+        self.scan: RuleScan | None = None  # which computes each text once
+        self.texts: dict[str, Column] = {}
 
     def __contains__(self, key: str) -> bool:
         return key in self.at
 
     def has(self, key: str) -> Column:
-        return present(F.col(f"`{self.at[key]}`"))
+        text = self.text(key)
+        return text.isNotNull() & (text != "")
 
     def text(self, key: str) -> Column:
-        return strip(_value(self.df, self.at[key]))
+        if key not in self.texts:
+            text = strip(_value(self.df, self.at[key]))
+            self.texts[key] = self.scan.once(text) if self.scan else text
+        return self.texts[key]
 
     def upper(self, key: str) -> Column:
         return F.when(self.has(key), F.upper(self.text(key))).otherwise("")
@@ -441,7 +462,8 @@ def validate_accounts(df: DataFrame, references: dict | None = None, *, order: s
     f = _Fields(df, ACCOUNT_FIELDS)
     if absent := [f.label(k) for k in ACCOUNT_LEVELS["alto"] if k not in f]:
         return _missing(df, "CUE1", absent)
-    scan, state = RuleScan(df, order), f.upper("estado")
+    scan = f.scan = RuleScan(df, order)
+    state = f.upper("estado")
 
     def add(rule: str, severity: str, key: str, bad: Column, text: str) -> None:
         scan.add(rule, severity, f.at[key], bad, text)
@@ -508,7 +530,8 @@ def validate_users(df: DataFrame, references: dict | None = None, *, order: str
     f = _Fields(df, USER_FIELDS)
     if absent := [f.label(k) for k in USER_LEVELS["alto"] if k not in f]:
         return _missing(df, "USU1", absent, " para Usuario")
-    scan, state = RuleScan(df, order), f.upper("estado")
+    scan = f.scan = RuleScan(df, order)
+    state = f.upper("estado")
 
     def add(rule: str, severity: str, key: str, bad: Column, text: str) -> None:
         if key in f:

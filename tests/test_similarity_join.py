@@ -93,3 +93,12 @@ def test_texts_of_one_form_in_blocks(spark, algorithm):
         assert sorted(map(tuple, whole.collect())) == want and len(want) > 5
         bounds = (fuzzy._Levenshtein if algorithm == LEVENSHTEIN else fuzzy._JaroWinkler)()
         assert sorted(map(tuple, fuzzy._by_index(*fuzzy._tokened(a, b, bounds), bounds, algorithm, 0.85).collect())) == want
+
+
+def test_rules_are_computed_once_a_row(spark):
+    """No filter on the issues is moved to the rows they are made from: each rule's pattern stands in one operator of the plan."""
+    rows = spark.range(60).select(F.col("id").alias("fila"), F.concat(F.lit(" host"), F.col("id").cast("string")).alias("Dominio"), F.lit("01/02/2024").alias("Fecha Inicio / Vencimiento"), F.when(F.col("id") % 2 == 0, "31/01/2024").otherwise("no").alias("Fecha Vencimiento"))
+    for found in (rules.validate("Dominios", rows), rules.problems("Dominios", rows)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert len([line for line in plan.split("\n") if "[a-zA-Z0-9-]" in line or "a-z" in line]) == 1
+    assert {(r.regla, r.severidad): r.n for r in rules.validate("Dominios", rows).groupBy("regla", "severidad").agg(F.count("*").alias("n")).collect()} == {("DOM1", "error"): 60, ("DOM5", "error"): 30, ("DOM5", "advertencia"): 30}
