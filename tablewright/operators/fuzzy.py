@@ -22,17 +22,23 @@ from tablewright.sources.files import stored
 MOST_PAIRS, TOP = 40_000, 200
 #: Similarities at which matches are looked for first, and removed and added records of a block where no index helps.
 LEVELS, REMOVED_BLOCK, BLOCK = (0.94,), 4_096, 65_536
-#: Pairs for each that meets in the index if the index is to be worth its joins.
-WORTH = 200
+#: Pairs for each that meets in the index if the index is to be worth its joins, and records of a side by which that is judged.
+WORTH, JUDGED = 200, 1_000
 NOTHING = "Nada que buscar: falta alguna baja o alguna alta."
 
 
-def _records(comparison: Comparison, state: str, tag: str) -> DataFrame:
-    def text(columns: list[str]) -> F.Column:
-        return F.concat_ws(" | ", *[F.coalesce(as_text(F.col(f"`{tag}_{c}`"), comparison.kinds[c]), F.lit("")) for c in columns])
+def _records(comparison: Comparison) -> tuple[DataFrame, DataFrame]:
+    """Removed and added records, the comparison computed once for both and all that is asked of them."""
 
-    rows = comparison.base.where(F.col("estado") == state)
-    return rows.select(F.col(f"{tag}__fila").alias(f"{tag}_fila"), text(comparison.keys).alias(f"{tag}_clave"), text(comparison.keys + comparison.columns).alias(f"{tag}_registro"))
+    def fields(tag: str) -> Column:
+        def text(columns: list[str]) -> Column:
+            return F.concat_ws(" | ", *[F.coalesce(as_text(F.col(f"`{tag}_{c}`"), comparison.kinds[c]), F.lit("")) for c in columns])
+
+        return F.struct(F.col(f"{tag}__fila").alias("fila"), text(comparison.keys).alias("clave"), text(comparison.keys + comparison.columns).alias("registro"))
+
+    rows = comparison.base.where(F.col("estado").isin(REMOVED, ADDED))
+    rows = stored(rows.select("estado", F.when(F.col("estado") == REMOVED, fields("a")).otherwise(fields("b")).alias("r")), "fuzzy-sides")
+    return tuple(rows.where(F.col("estado") == state).select(*[F.col(f"r.{c}").alias(f"{tag}_{c}") for c in ("fila", "clave", "registro")]) for state, tag in ((REMOVED, "a"), (ADDED, "b")))
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -45,15 +51,18 @@ def best_matches(removed: DataFrame, added: DataFrame, algorithm: str, threshold
     """For each removed record the most similar added one (the first of equals) if it reaches the threshold.
 
     Both frames have fila (unique), clave and registro, prefixed a_ and b_.  All pairs are compared in blocks where the threshold is too
-    low for an index (``_Levenshtein.least``, ``_JaroWinkler.least``) or more than one pair in ``WORTH`` would meet there.
+    low for an index (``_Levenshtein.least``, ``_JaroWinkler.least``) or more than one pair in ``WORTH`` would meet there.  The latter is
+    judged by some ``JUDGED`` records of each side, before any index is built; either way the result is the same.
     """
     bounds = (_Levenshtein if algorithm == LEVENSHTEIN else _JaroWinkler)()
+    n_a, n_b = removed.count(), added.count()
     if threshold >= bounds.least:
-        a, b = _tokened(removed, added, bounds)
-        if _meetings(a, b, bounds, threshold) * WORTH <= float(a.count()) * b.count():
-            return _by_index(a, b, bounds, algorithm, threshold)
-        removed, added = a.select(*removed.columns), b.select(*added.columns)
-    return _all_pairs(removed, added, algorithm, threshold, block)
+        a, b = (df.where(F.pmod(F.xxhash64(df.columns[0]), F.lit(max(1, n // JUDGED))) == 0) for df, n in ((removed, n_a), (added, n_b)))
+        a, b = _tokened(a, b, bounds)
+        whole = n_a < 2 * JUDGED and n_b < 2 * JUDGED  # then all records were looked at
+        if _meetings(a, b, bounds, threshold) * WORTH <= (float(n_a) * n_b if whole else float(a.count()) * b.count()):
+            return _by_index(*((a, b) if whole else _tokened(removed, added, bounds)), bounds, algorithm, threshold)
+    return _all_pairs(removed, added, algorithm, threshold, block, n_a, n_b)
 
 
 def _by_index(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, algorithm: str, threshold: float) -> DataFrame:
@@ -70,9 +79,9 @@ def _by_index(a: DataFrame, b: DataFrame, bounds: _Levenshtein | _JaroWinkler, a
     return found
 
 
-def _all_pairs(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, block: int) -> DataFrame:
-    """All pairs: each task compares a block of removed records with one of about ``block`` added ones."""
-    n_a, n_b = removed.count(), added.count()
+def _all_pairs(removed: DataFrame, added: DataFrame, algorithm: str, threshold: float, block: int, n_a: int | None = None, n_b: int | None = None) -> DataFrame:
+    """All pairs: each task compares a block of removed records with one of about ``block`` added ones; n_a and n_b: their numbers, if known."""
+    n_a, n_b = removed.count() if n_a is None else n_a, added.count() if n_b is None else n_b
     blocks_a = max(1, -(-n_a // min(REMOVED_BLOCK, max(256, n_a // 64))))
     blocks_b = max(1, -(-n_b // block))
     tasks = 2 * blocks_a * blocks_b  # blocks meet by hash; few share a task
@@ -207,9 +216,8 @@ def suggestions(comparison: Comparison, *, most_pairs: int | None = MOST_PAIRS,
     opts = comparison.options
     if not opts.fuzzy_enabled:
         return None, ""
-    removed, added = _records(comparison, REMOVED, "a"), _records(comparison, ADDED, "b")
-    n = {r.estado: r.n for r in comparison.states().collect()}
-    a, b = n.get(REMOVED, 0), n.get(ADDED, 0)
+    removed, added = _records(comparison)
+    a, b = removed.count(), added.count()
     if not a or not b:
         return None, NOTHING
     if most_pairs is not None and a * b > most_pairs:
