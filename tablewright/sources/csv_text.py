@@ -1,9 +1,12 @@
 """CSV of unknown character set and separator, read alike at every size.
 
 A file's lines are split at line feeds.  A quoted value may hold line breaks, so whether a line begins inside one depends on
-all lines before it.  For a distributed file each partition first tells where it would end for both ways to begin (a few
-numbers a partition); composed in order, these give every partition its true beginning and its first line's number.  Records
-are then parsed where they begin; those that cross into another partition meet by their first line's number.
+all lines before it.  For a distributed file each split first tells where it would end for both ways to begin (a few
+numbers a split); composed in order, these give every split its true beginning and its first line's number.  Records
+are then parsed where they begin; those that cross into another split meet by their first line's number.
+
+A folder is one file in parts, which follow each other by their names (numbers in them by value); each part ends a line, values
+in quotes may go on in the next one.
 
 Defined results: empty lines are no records; a record with fewer values than the header ends in nulls, one with more is an
 error that names its line, as is a quote that is never closed; empty values are null.
@@ -16,12 +19,13 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.numbers import sums_before
 from tablewright.sources.errors import OpenQuote, RaggedLine
+from tablewright.sources.files import natural
 
 # Signs that may part values, the best first, and bytes that Windows-1252 doesn't have.
 SEPARATORS = ";,\t|"
@@ -137,8 +141,9 @@ def header(lines: Iterable[tuple[int, str]], sep: str, header_row: int) -> tuple
 
 
 def text_lines(spark: SparkSession, path: str, end: str) -> DataFrame:
-    """The file's lines as bytes."""
-    return spark.read.option("lineSep", end).text(path).select(F.col("value").cast("binary").alias("line"))
+    """The lines of a file or of a folder's parts as bytes, and where each split of them begins (file, start)."""
+    whole = spark.read.option("lineSep", end).text(path)
+    return whole.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def line_break_of(spark: SparkSession, path: str, prefix: bytes) -> str:
@@ -168,15 +173,40 @@ def _decoder(name: str) -> Callable[[bytes], str]:
     return lambda raw: raw.decode("utf-8" if name == "utf-8-sig" else name, "replace").removesuffix("\r")
 
 
-def _begins(lines: DataFrame, name: str, sep: str) -> tuple[dict[int, tuple[int, int]], int]:
-    """For each partition the number of its first line and the first line of the record that is open there (0: none); the line at which the file ends open (0: none)."""
+def _split_key() -> Column:
+    return F.xxhash64("file", "start").alias("split")
+
+
+def _place() -> Column:
+    """A number that grows by one from line to line of a split."""
+    return F.monotonically_increasing_id().alias("at")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Lines of one split each (line, split): a task may read several splits, one after another."""
+    for batch in batches:
+        splits = batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero(splits[1:] != splits[:-1]) + 1).tolist(), len(splits)]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if to > at:
+                yield int(splits[at]), batch.column(0).slice(at, to - at).to_pylist()
+
+
+def _begins(lines: DataFrame, order: list[int], name: str, sep: str) -> tuple[dict[int, tuple[int, int]], int]:
+    """For each split, in order, the number of its first line and the first line of the record that is open there (0: none); the line at which the file ends open (0: none)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        decode, split, n, open_, since = _decoder(name), None, 0, [False, True], [0, 0]
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"split": pa.array([split], pa.int64()), "n": pa.array([n], pa.int64()), **{f"open{k}": pa.array([open_[k]]) for k in (0, 1)}, **{f"since{k}": pa.array([since[k]], pa.int64()) for k in (0, 1)}})
 
-        decode, n, open_, since = _decoder(name), 0, [False, True], [0, 0]
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
+        for own, raws in _runs(batches):
+            if own != split:
+                if split is not None:
+                    yield told()
+                split, n, open_, since = own, 0, [False, True], [0, 0]
+            for raw in raws:
                 n += 1
                 if b'"' not in raw:
                     continue
@@ -185,12 +215,14 @@ def _begins(lines: DataFrame, name: str, sep: str) -> tuple[dict[int, tuple[int,
                     now = left_open(line, sep, open_[k])
                     since[k] = (since[k] if open_[k] else n) if now else 0
                     open_[k] = now
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), **{f"open{k}": pa.array([open_[k]]) for k in (0, 1)}, **{f"since{k}": pa.array([since[k]], pa.int64()) for k in (0, 1)}})
+        if split is not None:
+            yield told()
 
+    found = {r.split: r for r in lines.select("line", _split_key()).mapInArrow(look, "split long, n long, open0 boolean, open1 boolean, since0 long, since1 long").collect()}  # a row for each split
     begins, line, since = {}, 1, 0
-    for r in sorted(lines.mapInArrow(look, "part long, n long, open0 boolean, open1 boolean, since0 long, since1 long").collect()):  # a row for each partition
-        begins[r.part] = (line, since)
-        own = r[f"since{int(since > 0)}"]  # 0 while open: open since before this partition
+    for r in (found[split] for split in order):
+        begins[r.split] = (line, since)
+        own = r[f"since{int(since > 0)}"]  # 0 while open: open since before this split
         since = 0 if not r[f"open{int(since > 0)}"] else line + own - 1 if own else since
         line += r.n
     return begins, since
@@ -207,11 +239,15 @@ def _text(line: Column, name: str) -> Column:
     return F.translate(text, own.decode("latin-1"), own.decode("cp1252"))
 
 
-def _unquoted(lines: DataFrame, counts: dict[int, int], name: str, sep: str, header_at: int, width: int | None) -> DataFrame:
-    """``parsed`` of a file without a quote: each line is a record, and no text leaves the JVM."""
-    at = F.monotonically_increasing_id()  # partition << 33 | place in it
-    rows = lines.select(at.alias("at"), F.regexp_replace(_text(F.col("line"), name), r"\r\z", "").alias("text"))
-    rows = rows.select((sums_before(counts)[F.shiftright("at", 33).cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("fila"), "text")
+def _unquoted(lines: DataFrame, splits: list[tuple[int, int, int]], name: str, sep: str, header_at: int, width: int | None) -> DataFrame:
+    """``parsed`` of a file without a quote: each line is a record, and no text leaves the JVM.  Splits, in order: key, place of the first line, lines."""
+    shifts, before = [], 0
+    for split, first, n in splits:
+        shifts.append((split, before + 1 - first))
+        before += n
+    shifts = F.broadcast(lines.sparkSession.createDataFrame(shifts, "split long, shift long"))  # a row for each split
+    rows = lines.select(_place(), _split_key(), F.regexp_replace(_text(F.col("line"), name), r"\r\z", "").alias("text")).join(shifts, "split", "left")
+    rows = rows.select((F.col("at") + F.col("shift")).alias("fila"), "text")
     rows = rows.withColumn("text", F.when(F.col("fila") == 1, F.regexp_replace("text", "^" + MARK, "")).otherwise(F.col("text"))).where((F.col("text") != "") & (F.col("fila") > header_at))
     cells = F.transform(F.split(F.translate("text", "\r", " "), re.escape(sep)), lambda v: F.nullif(F.ltrim(v), F.lit("")))
     rows = rows.select("fila", cells.alias("c"))
@@ -224,10 +260,12 @@ def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int | N
 
     Only a file with a quote anywhere goes through Python.
     """
-    seen = lines.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.bool_or(F.contains("line", F.lit(bytearray(b'"')))).alias("quoted")).collect()  # a row for each partition
+    each = lines.select("file", "start", _split_key(), _place(), F.contains("line", F.lit(bytearray(b'"'))).alias("quoted"))
+    seen = each.groupBy("file", "start", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.bool_or("quoted").alias("quoted")).collect()  # a row for each split
+    seen.sort(key=lambda r: (natural(r.file), r.start))
     if not any(r.quoted for r in seen):
-        return _unquoted(lines, {r.part: r.n for r in seen}, name, sep, header_at, width)
-    begins, unclosed = _begins(lines, name, sep)
+        return _unquoted(lines, [(r.split, r.first, r.n) for r in seen], name, sep, header_at, width)
+    begins, unclosed = _begins(lines, [r.split for r in seen], name, sep)
     if unclosed:
         raise OpenQuote(unclosed)
     row = "fila long, seen int, c array<string>"
@@ -237,19 +275,22 @@ def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int | N
         return pa.RecordBatch.from_pydict({"fila": pa.array([f for f, _ in split], pa.int64()), "seen": pa.array([len(v) for _, v in split], pa.int32()), "c": pa.array([fitted(f, v[:width], len(v) if width is None else width) for f, v in split], pa.list_(pa.string()))})
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
-        """Whole records of a partition, and the lines of those that cross its ends."""
-        from pyspark import TaskContext
-
-        number, since = begins[TaskContext.get().partitionId()]
-        decode, held, whole, parts = _decoder(name), [], [], []
-        open_ = since > 0
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
+        """Whole records of each split, and the lines of those that cross its ends."""
+        decode, split, held, whole, parts = _decoder(name), None, [], [], []
+        number = since = 0
+        open_ = False
+        for its, raws in _runs(batches):
+            if its != split:
+                yield "part", [(held[0][0], n, line) for n, line in held]
+                split, held = its, []
+                number, since = begins[split]
+                open_ = since > 0
+            for raw in raws:
                 line = decode(raw)
                 if number == 1:
                     line = line.removeprefix(MARK)
                 open_ = left_open(line, sep, open_)
-                if since and not held:  # belongs to a record that began in another partition
+                if since and not held:  # belongs to a record that began in another split
                     parts.append((since, number, line))
                     since = since if open_ else 0
                 elif held or line:
@@ -271,6 +312,7 @@ def parsed(lines: DataFrame, name: str, sep: str, header_at: int, width: int | N
             if kind == "part" and found:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in zip(("first", "number", "line"), zip(*found, strict=True), strict=True)})
 
+    lines = lines.select("line", _split_key())
     rows = lines.mapInArrow(inside, row)
     if not any(since for _, since in begins.values()):
         return rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,20 +15,38 @@ def _open(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def natural(name: str) -> list:
+    """A name as a sort key: numbers in it count by their value."""
+    return [int(x) if x.isdecimal() else x for x in re.split(r"([0-9]+)", name)]
+
+
+def _pieces(fs, p) -> list:
+    """States of a file, or of the files of a folder that are its parts, in the order of their names."""
+    status = fs.getFileStatus(p)
+    if not status.isDirectory():
+        return [status]
+    found = [s for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return sorted(found, key=lambda s: natural(s.getPath().getName()))
+
+
 def size(spark: SparkSession, path: str) -> int:
-    """Bytes of a file."""
-    fs, p = _open(spark, path)
-    return fs.getFileStatus(p).getLen()
+    """Bytes of a file, or of a folder's parts together."""
+    return sum(s.getLen() for s in _pieces(*_open(spark, path)))
 
 
 def head(spark: SparkSession, path: str, n: int) -> bytes:
-    """The first ``n`` bytes of a file."""
+    """The first ``n`` bytes of a file, or of a folder's parts one after another."""
     fs, p = _open(spark, path)
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
+    out = b""
+    for status in _pieces(fs, p):
+        if len(out) >= n:
+            break
+        stream = fs.open(status.getPath())
+        try:
+            out += bytes(stream.readNBytes(n - len(out)))
+        finally:
+            stream.close()
+    return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -58,16 +77,15 @@ def name(path: str) -> str:
 
 
 def signature(spark: SparkSession, path: str) -> tuple[str, int, int]:
-    """Path, bytes and time of the last change of a file: another one means other contents."""
-    fs, p = _open(spark, path)
-    status = fs.getFileStatus(p)
-    return path, status.getLen(), status.getModificationTime()
+    """Path, bytes and time of the last change of a file or a folder's parts: another one means other contents."""
+    found = _pieces(*_open(spark, path))
+    return path, sum(s.getLen() for s in found), max((s.getModificationTime() for s in found), default=0)
 
 
 def parts(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the data files that a writer left in a folder, in order."""
     fs, p = _open(spark, folder)
-    return sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    return [f.getPath().toString() for f in _pieces(fs, p) if f.getPath().getName().startswith("part-")]
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.compare import Comparison
 from tablewright.operators.fuzzy import suggestions
-from tablewright.sources.xlsx import to_excel
+from tablewright.sources.csv_text import MARK
+from tablewright.sources.xlsx import to_excel, write_workbooks
 
 
 def csv_bytes(df: DataFrame, most: int = 1_000_000) -> bytes:
@@ -31,6 +32,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _csv_line(df: DataFrame) -> Column:
+    """A row as a line of CSV; values with separators, quotes, line ends or outer blanks stand in quotes, lists become texts."""
+    cells = []
+    for c, t in df.dtypes:
+        own = F.array_join(F.col(f"`{c}`").cast("array<string>"), ", ") if t.startswith("array") else F.col(f"`{c}`").cast("string")
+        text = F.coalesce(own, F.lit(""))
+        quoted = text.rlike(r'[",\n\r]|^ | \z') | (F.lit(len(df.columns) == 1) & (text == ""))  # an empty line would be no record
+        cells.append(F.when(quoted, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
+    return F.concat_ws(",", *cells)
+
+
+def write_whole_csv(df: DataFrame, path: str) -> None:
+    """A frame of any size as one CSV file in parts (a folder whose files follow each other by name): ``csv_bytes`` in the frame's order.
+
+    Only the first part has the byte-order mark and the header.
+    """
+    head = io.StringIO()
+    csv.writer(head, lineterminator="").writerow(df.columns)
+    first = df.sparkSession.createDataFrame([(MARK + head.getvalue(),)], "line string").coalesce(1)
+    first.unionAll(df.select(_csv_line(df).alias("line"))).write.text(path)
+
+
 def report_frames(comparison: Comparison, issues: DataFrame | None = None) -> dict[str, DataFrame]:
     """The sheets of a comparison report by name."""
     plain = lambda df: df.drop(*[c for c in df.columns if c.startswith("__")])
@@ -68,6 +91,15 @@ def cleaned_files(df: DataFrame, file_name: str) -> dict[str, bytes]:
     return {f"{base}_limpio.xlsx": to_excel({"Datos": df}), f"{base}_limpio.csv": csv_bytes(df)}
 
 
+def write_whole_cleaned(df: DataFrame, folder: str, file_name: str) -> dict[str, str]:
+    """``cleaned_files`` of a table of any size, in parts: the paths of its workbooks and of its CSV by their names."""
+    base = file_name.rsplit(".", 1)[0]
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in (f"{base}_limpio.xlsx", f"{base}_limpio.csv")}
+    write_workbooks(df, paths[f"{base}_limpio.xlsx"], "Datos")
+    write_whole_csv(df, paths[f"{base}_limpio.csv"])
+    return paths
+
+
 def write_cleaned(df: DataFrame, folder: str, file_name: str) -> str:
     """A cleaned table of any size as a folder of CSV files; its path."""
     path = f"{folder.rstrip('/')}/{file_name.rsplit('.', 1)[0]}_limpio.csv"

@@ -1,9 +1,10 @@
 """Large CSV files with and without quotes, late headers, wide sheets, and the store's pointers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators.store import Store
-from tablewright.sources import tables, xlsx
+from tablewright.sources import tables, writers, xlsx
 from tablewright.sources.errors import FileLoadError
 
 NOTES = "".join(f"nota {i}; sin datos\n" for i in range(400))
@@ -55,3 +56,41 @@ def test_a_reader_finds_the_old_table_or_the_new(spark, tmp_path):
     store.upsert("aplicaciones", [("Uno", "1", "p", "r")])
     assert before.count() == 0 and store.table("aplicaciones").count() == 1
     assert [p.name for p in (tmp_path / "store" / "aplicaciones").iterdir() if p.name.startswith("_current")] == ["_current"]
+
+
+def test_a_file_in_parts_is_one_file(spark, tmp_path, monkeypatch):
+    """Twelve parts, of which some begin inside quotes, in the order of their numbers, whatever splits a task reads together."""
+    text = "﻿id,texto\n" + "".join(f'{i},"línea {i}\nsegue ""así""\n, fin"\n' if i % 3 else f"{i},corta\n" for i in range(200))
+    (tmp_path / "uno.csv").write_bytes(text.encode())
+    lines, folder = text.splitlines(keepends=True), tmp_path / "partes.csv"
+    folder.mkdir()
+    for k in range(12):
+        (folder / f"part-{k}.txt").write_bytes("".join(lines[k * len(lines) // 12 : (k + 1) * len(lines) // 12]).encode())
+    want = sorted(map(tuple, tables.load_table(spark, str(tmp_path / "uno.csv"))[0].collect()))
+    assert sorted(map(tuple, tables.load_table(spark, str(folder))[0].collect())) == want and len(want) == 200
+    monkeypatch.setattr(tables, "DRIVER_BYTES", 0)
+    for split in ("200", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            assert sorted(map(tuple, tables.load_table(spark, str(folder))[0].collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tables_of_any_size_as_workbooks_and_csv(spark, tmp_path, monkeypatch):
+    """Written and read by tasks they give what one workbook and one text give; none but the header is made by the driver."""
+    rows = [(i, None if i % 5 == 0 else f'á "{i}", x\ny', i / 4, i % 2 == 0) if i % 7 else (None, None, None, None) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "n long, t string, x double, b boolean").repartition(3).orderBy("n")
+    whole = spark.createDataFrame([r for r in df.collect()], df.schema).coalesce(1)
+    monkeypatch.setattr(xlsx, "PART_ROWS", 4)
+    paths = writers.write_whole_cleaned(df, str(tmp_path), "datos.xlsx")
+    want = tables.load_bytes(spark, "d.xlsx", xlsx.to_excel({"Datos": whole}))[0]
+    got = tables.load_workbooks(spark, paths["datos_limpio.xlsx"])[0]
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert spark.read.parquet(paths["datos_limpio.xlsx"]).agg(F.max("n"), F.count("*")).first()[:] == (4, spark.read.parquet(paths["datos_limpio.xlsx"]).where("n > 0").count() + 1)
+    texts = df.select(F.col("n").cast("string").alias("n"), "t")
+    writers.write_whole_csv(texts, str(tmp_path / "t.csv"))
+    want = tables.load_bytes(spark, "t.csv", writers.csv_bytes(texts))[0].collect()
+    assert sorted(map(tuple, tables.load_table(spark, str(tmp_path / "t.csv"))[0].collect()), key=str) == sorted(map(tuple, want), key=str)
+    writers.write_whole_csv(texts.limit(0), str(tmp_path / "none.csv"))
+    assert tables.load_table(spark, str(tmp_path / "none.csv"))[0].columns == ["fila", "n", "t"]
