@@ -11,7 +11,8 @@ Equal fingerprints are one class from the start.  Pairs are compared in numpy in
 as a spanning forest, so rows out grow with rows in.  Buckets with many members are dealt out as a grid of tiles.
 Components are found by contraction: every node takes its least neighbour's label until no edge is left.
 
-Near copies of the pipeline (``keep_first``) are held by shared shingles, exactly: minhash bands find candidates, the sets decide.
+Near copies of the pipeline (``keep_first``) are held by shared shingles, exactly: SimHash's components (``near_duplicates``) are
+candidates, so are texts that share a minhash band, since pairs at 0.8 may differ in more bits than 64 can tell; the sets decide.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than a
 shingle form one shingle; repeated rows fall in one class and are all returned; null ids are returned with their
@@ -59,7 +60,8 @@ FOUR_BITS = Closeness()
 class Overlap:
     """How texts are held to be near copies: sets of ``words``-word shingles of a Jaccard similarity of ``least`` or more.
 
-    Pairs are looked for in ``bands`` tables of ``rows`` minhashes each, and every link is checked on the sets themselves.
+    Pairs are looked for in the components that SimHash links (``FOUR_BITS``) and in ``bands`` tables of ``rows`` minhashes each, and
+    every link is checked on the sets themselves.
     """
 
     words: int = 5
@@ -446,7 +448,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame, DataFrame]:
     """Of texts (key: unique, id, text): the written table of their nodes (key, id, node), and node and root of those with near copies.
 
-    Equal sets are one node.  Nodes that share a band, directly or through others, form a group; inside a group all pairs are
+    Equal sets are one node.  Nodes that share a SimHash component or a band, directly or through others, form a group; inside a group all pairs are
     compared by their sets, except those that links connect already.  Large groups are dealt out as a grid of tiles.
     """
     spark = texts.sparkSession
@@ -461,7 +463,11 @@ def near_copies(texts: DataFrame, how: Overlap = FIVE_WORDS) -> tuple[DataFrame,
                 own = [batch.column(k).slice(block.first, len(block)) for k in (0, 1)]
                 yield pa.RecordBatch.from_pydict({"key": own[0], "id": own[1], "node": pa.array(node.view(np.int64)), "size": pa.array(counts), "bands": pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.reshape(-1).view(np.int64)))})
 
-    prints = stored(texts.select("key", "id", "text").mapInArrow(make, "key long, id long, node long, size long, bands array<long>"), "copies-prints")
+    near = near_duplicates(texts.select(F.col("key").alias("doc_id"), "text"), FOUR_BITS).select(F.col("doc_id").alias("key"), "component_id")
+    prints = texts.select("key", "id", "text").mapInArrow(make, "key long, id long, node long, size long, bands array<long>").join(near, "key")
+    # A component is one bucket more; texts without words are one node anyway.
+    bucket = F.when(F.col("size") > 0, F.array_append("bands", F.xxhash64("component_id", F.lit("simhash")))).otherwise(F.col("bands"))
+    prints = stored(prints.withColumn("bands", bucket).drop("component_id"), "copies-prints")
     classes = prints.groupBy("node").agg(F.min("key").alias("key"), F.max("size").alias("size"))
     # Buckets that seem to hold over a SHARE-th of all rows, judged by a 64th of the nodes, are dealt out by salt; their salts' first nodes meet after.
     some = prints.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node", "bands").dropDuplicates(["node"])

@@ -833,3 +833,13 @@ def test_skewed_join_is_a_join(spark):
     right = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, v int")
     got = shared.join_skewed(left, right, ["k"])
     assert got.count() == 3051 and got.where("v = 1").count() == 3000 and got.where("v = 2").count() == 1
+
+
+def test_near_copies_take_simhash_components_as_candidates(spark):
+    """Without a single minhash band the pipeline's stage still finds what SimHash links, and only links that the sets bear out."""
+    words = [f"w{k * 7919 % 1009}" for k in range(600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "otra"]), " ".join(words[::-1]), "", " ", "uno dos", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {r.fp for r in simhash.near_duplicates(rows.where("doc_id < 2")).select("component_id", F.col("component_id").alias("fp")).collect()}
+    assert linked == {0}
+    assert sorted(r.doc_id for r in simhash.keep_first(rows, simhash.Overlap(bands=0)).collect()) == [0, 2, 3, 5]
