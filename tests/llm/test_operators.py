@@ -90,6 +90,32 @@ def test_encoder_tells_words_of_equal_sums_apart(name, size):
         assert e.encode(next(shared.blocks(pa.array([text]))))[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_closing_marks_and_line_feeds_teach_no_new_units(name):
+    """A word is learnt once as it stands and once behind a blank, whatever closes it and whatever line follows."""
+    r, marks = random.Random(8), [".", ",", "!!", "###", "***", ".\n", "?\n", "\n", ""]
+    texts = ["".join(r.choice(VOCAB) + (m := r.choice(marks)) + ("" if m.endswith("\n") else " ") for _ in range(200)) + "x" for _ in range(100)]
+    e, t = Encoder(P.path(name)), tokenizer(name)
+    for block in shared.blocks(pa.array(texts), 5000):
+        ids, offs = e.encode(block)
+        for k in range(len(block)):
+            assert ids[offs[k] : offs[k + 1]].tolist() == t.encode(texts[block.first + k], add_special_tokens=False).ids
+    assert e.units <= 2 * len(VOCAB) + 20
+
+
+@pytest.mark.parametrize("name", [WORD, BYTE])
+def test_units_are_cut_where_the_library_cuts(name):
+    """Letters, marks, digits, blanks of all kinds and special tokens side by side in any order."""
+    bits = ["a", "Z", "the", "é", "É", "ß", "ÿ", "×", "÷", "'", "'s", "'LL", ".", "...", "<", "|", ">", "_", "\n", "\n\n", "\r\n", "\t", " ", "  ", "\x85", "\xa0", "\u2003", "\u2028", "7", "123", "٣", "½", "\u0301", "\u0338", "中", "\U0001f600", "Σ", "İ", "\x00", "\x1c", "\x7f", "<|endoftext|>", "endoftext"]
+    r = random.Random(12)
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(5000)]
+    e, want = Encoder(P.path(name)), tokenizer(name).encode_batch(texts, add_special_tokens=False)
+    for block in shared.blocks(pa.array(texts), 300):
+        ids, offs = e.encode(block)
+        for k in range(len(block)):
+            assert ids[offs[k] : offs[k + 1]].tolist() == want[block.first + k].ids, texts[block.first + k]
+
+
 def test_encoder_survives_clashing_keys(monkeypatch):
     monkeypatch.setattr("tablewright.llm.tokens.folded", lambda a, b: (a & np.uint64(7)) + np.uint64(1 << 63))
     e, t = Encoder(P.path(WORD)), tokenizer(WORD)
